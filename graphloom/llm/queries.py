@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing
+from graphloom.llm import mixing, substrings
 from graphloom.session import table
 
 QUERIES = {
+    "op4_substring_dedup": lambda spark, sf_dir: substrings.op4_substring_dedup(table(spark, sf_dir, "documents")),
     "op5_mix_sources": lambda spark, sf_dir: mixing.op5_mix_sources(table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
+    "op4_substring_dedup": substrings.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
 }
