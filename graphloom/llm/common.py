@@ -57,7 +57,7 @@ def running_sums(rows: DataFrame, group: str, klass: str, digest_col: str, value
     digest prefix that hold about ``range_rows`` rows each; rows are summed inside a range, and
     the ranges' sums are summed over one row per range.  No task holds a whole group.
     """
-    per_class = rows.groupBy(group, klass).agg(F.ceil(F.count("*") / range_rows).alias("_cuts"))
+    per_class = written(rows.groupBy(group, klass).agg(F.ceil(F.count("*") / range_rows).alias("_cuts")), "cuts")
     cut = rows.join(per_class, [group, klass]).withColumn("_range", F.floor(F.conv(F.substring(digest_col, 1, 8), 16, 10).cast("long") * F.col("_cuts") / F.lit(4294967296)).cast("long"))
     ranges = cut.groupBy(group, klass, "_range").agg(F.sum(value).alias("_in_range"))
     over_ranges = Window.partitionBy(group).orderBy(F.col(klass).desc(), "_range").rowsBetween(Window.unboundedPreceding, -1)

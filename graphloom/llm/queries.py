@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, substrings
+from graphloom.llm import mixing, packing, substrings
 from graphloom.session import table
 
 QUERIES = {
+    "op10_pack": lambda spark, sf_dir: packing.op10_pack(table(spark, sf_dir, "documents")),
     "op4_substring_dedup": lambda spark, sf_dir: substrings.op4_substring_dedup(table(spark, sf_dir, "documents")),
     "op5_mix_sources": lambda spark, sf_dir: mixing.op5_mix_sources(table(spark, sf_dir, "documents")),
 }
