@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, packing, substrings
+from graphloom.llm import language, mixing, packing, quality, substrings
 from graphloom.session import table
 
 QUERIES = {
+    "op7_language_id": lambda spark, sf_dir: language.op7_language_id(table(spark, sf_dir, "documents")),
+    "op8_quality_classifier": lambda spark, sf_dir: quality.op8_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_pack": lambda spark, sf_dir: packing.op10_pack(table(spark, sf_dir, "documents")),
     "op4_substring_dedup": lambda spark, sf_dir: substrings.op4_substring_dedup(table(spark, sf_dir, "documents")),
     "op5_mix_sources": lambda spark, sf_dir: mixing.op5_mix_sources(table(spark, sf_dir, "documents")),
