@@ -106,13 +106,14 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def questions(batch: int, tag: int, buckets: int, keys: np.ndarray, *rest: np.ndarray, drop_bits: int = 0) -> Iterator[tuple]:
+def questions(batch: int, tag: int, buckets: int, keys: np.ndarray, *rest: np.ndarray, drop_bits: int = 0, always: bool = False) -> Iterator[tuple]:
     """Rows that ask about sorted unique 64-bit ``keys`` with arrays ``rest`` alongside.
 
-    ``drop_bits`` low bits of the keys are not sent (the keys must be unique without them)."""
+    ``drop_bits`` low bits of the keys are not sent (the keys must be unique without them).
+    ``always``: every bucket gets a row, also one without keys, and so answers this batch."""
     edges = bucket_edges(keys, buckets)
     sent = keys >> U64(drop_bits) if drop_bits else keys
-    for b in np.flatnonzero(np.diff(edges)):
+    for b in range(buckets) if always else np.flatnonzero(np.diff(edges)):
         a, z = edges[b], edges[b + 1]
         yield batch, tag, int(b), pack(deltas(sent[a:z]), *[r[a:z] for r in rest])
 
