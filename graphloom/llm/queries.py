@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import language, lm, mixing, packing, quality, substrings
+from graphloom.llm import jaccard, language, lm, mixing, packing, quality, substrings
 from graphloom.session import table
 
 QUERIES = {
+    "op9_jaccard_join": lambda spark, sf_dir: jaccard.op9_jaccard_join(table(spark, sf_dir, "documents")),
     "op3_lm_score": lambda spark, sf_dir: lm.op3_lm_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_language_id": lambda spark, sf_dir: language.op7_language_id(table(spark, sf_dir, "documents")),
     "op8_quality_classifier": lambda spark, sf_dir: quality.op8_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
