@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import jaccard, language, lm, mixing, packing, quality, substrings
+from graphloom.llm import hamming, jaccard, language, licenses, lm, mixing, packing, quality, substrings
 from graphloom.session import table
 
 QUERIES = {
+    "op2_license_scan": lambda spark, sf_dir: licenses.op2_license_scan(table(spark, sf_dir, "documents")),
+    "op6_topk_search": lambda spark, sf_dir: hamming.op6_topk_search(table(spark, sf_dir, "embeddings")),
     "op9_jaccard_join": lambda spark, sf_dir: jaccard.op9_jaccard_join(table(spark, sf_dir, "documents")),
     "op3_lm_score": lambda spark, sf_dir: lm.op3_lm_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_language_id": lambda spark, sf_dir: language.op7_language_id(table(spark, sf_dir, "documents")),
@@ -16,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": licenses.ORACLE,
+    "op6_topk_search": hamming.ORACLE,
     "op3_lm_score": lm.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
