@@ -412,5 +412,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return found.join(reached, F.col("class_id") == F.col("_id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: the one with the smallest id.
+
+    Of rows that repeat an id one stays.  Rows without an id all stay."""
+    found = written(near_duplicates(docs.select("doc_id", "text"), size).select("doc_id", "component_id").filter("doc_id is not null"), "jaccard-components")
+    leave = found.filter("component_id != doc_id").select("doc_id")
+    repeated = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "jaccard-repeated")
+    stay = docs.join(leave, "doc_id", "left_anti").select(*docs.columns)
+    single = stay.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.union(stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "class_id")

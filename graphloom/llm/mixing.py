@@ -61,29 +61,30 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken, copies."""
-    source = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    """One row per document: doc_id, size, source, source_size, target, taken, copies, text_hash."""
+    source = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sizes = written(source, "mix-sizes")
     sources = written(source_targets(sizes, weights, share, most), "mix-sources")
     rows = sizes.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     rows = rows.withColumns({"klass": size_class(F.col("size")), "digest": digest(F.col("doc_id"), SEED), "one": F.lit(1)})
-    ranked = running_sums(rows, "source_no", "klass", "digest", "one", [F.col("doc_id").asc_nulls_last(), F.col("size").desc()], RANGE_ROWS)
+    ranked = running_sums(rows, "source_no", "klass", "digest", "one", [F.col("doc_id").asc_nulls_last(), F.col("size").desc(), F.col("text_hash")], RANGE_ROWS)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda n: F.floor(rate * n + F.col("offset"))
     copies = (upto(F.col("before") + 1) - upto(F.col("before"))).cast("long")
-    return ranked.select("doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return ranked.select("doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "text_hash")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    counted = mix(docs, **settings)
-    # Repeated ids share one row of copies each; rows of one id are told apart by their order.
-    order = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    keyed = docs.withColumns({"_size": n_words(F.col("text")), "_source": F.col("source").cast("string")})
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_source", "_size").orderBy(F.xxhash64("text"))))
-    takes = counted.filter("copies > 0").withColumn("_nth2", F.row_number().over(order)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "_nth2", "copies")
-    joined = keyed.join(takes, keyed["doc_id"].eqNullSafe(takes["_id"]) & keyed["_source"].eqNullSafe(takes["_src"]) & (keyed["_size"] == takes["_sz"]) & (keyed["_nth"] == takes["_nth2"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[keyed[c] for c in docs.columns])
+    taken = mix(docs, **settings).groupBy("doc_id", "text_hash", "source").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies"))
+    takes = written(taken.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "rows", "copies"), "mix-takes")
+    same = lambda d: d["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(d["text"]) == F.col("_hash")) & d["source"].cast("string").eqNullSafe(F.col("_source"))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    own = [docs[c] for c in docs.columns]
+    single = docs.join(takes.filter("rows = 1"), same(docs)).select(*own, times.alias("_copy")).select(*docs.columns)
+    # Equal rows share their copies: one of them stands for all.
+    equal = docs.join(takes.filter("rows > 1"), same(docs)).select(*own, "_id", "_hash", "_source", "copies").dropDuplicates(["_id", "_hash", "_source"])
+    return single.union(equal.select(*docs.columns, times.alias("_copy")).select(*docs.columns))
 
 
 def op5_mix_sources(docs: DataFrame) -> DataFrame:

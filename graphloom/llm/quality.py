@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import digest, written
 from graphloom.llm.tokens import U64, windows, words
@@ -94,8 +95,8 @@ def ratios(counts: np.ndarray) -> np.ndarray:
     return np.log((target + SMOOTHING) / (raw * share + SMOOTHING)).astype(np.float32)
 
 
-def weighed(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id and the mean log ratio of every row."""
+def weighed(docs: DataFrame, table: np.ndarray, *keep: str) -> DataFrame:
+    """The columns ``keep`` and log_ratio, the mean log ratio, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +108,10 @@ def weighed(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     total += np.bincount(doc, shared.value[k][cell], minlength=n)
                     if k == 0:
                         used += np.bincount(doc, minlength=n)
-                yield pa.record_batch([part.column("doc_id"), pa.array(total / np.maximum(used, 1))], names=["doc_id", "log_ratio"])
+                yield pa.record_batch([*[part.column(c) for c in keep], pa.array(total / np.maximum(used, 1))], names=[*keep, "log_ratio"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_ratio double")
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("log_ratio", T.DoubleType())])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def threshold(scores: np.ndarray, good: np.ndarray, cost: float = GOOD_COST) -> float:
@@ -147,23 +149,57 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
             k -= n
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, log_ratio, key, kept."""
-    place = F.conv(F.substring(digest(F.col("doc_id"), SEED), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+class Model:
+    """A fitted classifier: the table of log ratios and the key from which documents are kept."""
+
+    def __init__(self, table: np.ndarray, edge: float):
+        self.table, self.edge = table, edge
+
+    def judge(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep`` of every row with log_ratio, key and kept."""
+        return keyed(weighed(docs, self.table, *dict.fromkeys(["doc_id", *keep]))).withColumn("kept", F.col("key") >= F.lit(float(self.edge)))
+
+
+def _place(doc_id: str, seed: str) -> Column:
+    """A reproducible number in [0, 2**32) per document."""
+    return F.conv(F.substring(digest(F.col(doc_id), seed), 1, 8), 16, 10).cast("long")
+
+
+def keyed(scores: DataFrame) -> DataFrame:
+    """``key``: the log weight of a LENGTH-word text at this rate, plus Gumbel noise."""
+    uniform = (_place("doc_id", SEED) + 0.5) / F.lit(4294967296.0)
+    return scores.withColumn("key", F.col("log_ratio") * LENGTH - F.log(-F.log(uniform)))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of all of ``docs`` with the marks of ``labels`` (doc_id, quality)."""
     # Repeated labels of a document: good only if all are.
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good")).withColumn("fits", F.conv(F.substring(digest(F.col("_id"), SEED + "-fold"), 1, 8), 16, 10).cast("long") % 2 == 0)
-    joined = docs.join(marks, docs["doc_id"] == marks["_id"], "left")
-    counts = _counted(joined.select(docs["text"], F.coalesce(F.col("good") & F.col("fits"), F.lit(False)).alias("target")))
-    scores = written(weighed(docs.select("doc_id", "text"), ratios(counts)), "quality-scores")
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
+    marks = marks.withColumn("fits", _place("_id", SEED + "-fold") % 2 == 0)
+    joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"), "left")
+    table = ratios(_counted(joined.select("text", F.coalesce(F.col("good") & F.col("fits"), F.lit(False)).alias("target"))))
+    scores = written(weighed(docs, table, "doc_id"), "quality-scores")
     judged = scores.join(marks.filter(~F.col("fits")), F.col("doc_id") == F.col("_id")).select("doc_id", "log_ratio", "good")
     n = judged.count()
-    sample = judged.filter(place < F.lit(min(1.0, 0.95 * FIT_ROWS / max(n, 1)))).toPandas() if n else None
-    least = threshold(sample["log_ratio"].to_numpy(), sample["good"].to_numpy(dtype=bool)) if sample is not None else -np.inf
-    noise = -F.log(-F.log((place * F.lit(4294967296.0) + 0.5) / F.lit(4294967296.0)))
-    keyed = scores.withColumn("key", F.col("log_ratio") * LENGTH + noise)
-    k = scores.filter(F.col("log_ratio") >= F.lit(float(least))).count() if np.isfinite(least) else scores.count()
-    edge = kth_largest(keyed, "key", k) if k else np.inf
-    return keyed.withColumn("kept", F.col("key") >= F.lit(float(edge)))
+    if not n:
+        return Model(table, -np.inf)
+    share = min(1.0, 0.95 * FIT_ROWS / n)
+    sample = judged.filter(_place("doc_id", SEED + "-sample") < F.lit(int(share * 4294967296))).toPandas()
+    least = threshold(sample["log_ratio"].to_numpy(), sample["good"].to_numpy(dtype=bool))
+    if not np.isfinite(least):
+        return Model(table, least)
+    k = scores.filter(F.col("log_ratio") >= F.lit(least)).count()
+    return Model(table, kth_largest(keyed(scores), "key", k) if k else np.inf)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: doc_id, log_ratio, key, kept."""
+    return fit(docs, labels).judge(docs).select("doc_id", "log_ratio", "key", "kept")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps."""
+    return fit(docs, labels).judge(docs, *docs.columns).filter("kept").select(*docs.columns)
 
 
 def op8_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

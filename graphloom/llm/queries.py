@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from graphloom.llm import fingerprints, hamming, jaccard, language, licenses, lm, mixing, packing, quality, substrings
 from graphloom.session import table
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_fingerprints": lambda spark, sf_dir: fingerprints.op1_fingerprints(table(spark, sf_dir, "documents")),
     "op2_license_scan": lambda spark, sf_dir: licenses.op2_license_scan(table(spark, sf_dir, "documents")),
     "op6_topk_search": lambda spark, sf_dir: hamming.op6_topk_search(table(spark, sf_dir, "embeddings")),

@@ -206,6 +206,15 @@ def dedup(docs: DataFrame, block: int = BLOCK, window: int = WINDOW, hashed: boo
     return held.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cover, kept_schema)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut out of the texts; the texts of other rows stay as they are."""
+    out = dedup(docs)
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*docs.columns)
+
+
 def op4_substring_dedup(docs: DataFrame) -> DataFrame:
     out = dedup(docs.select("doc_id", "text"), hashed=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
