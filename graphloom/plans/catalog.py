@@ -1,10 +1,480 @@
-"""Registry of the engine's named queries and their SQL counterparts."""
+"""The engine's named queries and, where SQL can express them, the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions.text import chunk, content_id, norm_key
+from graphloom.operators import chat, graph as G, judge as J, merge as M, retrieve as R
+from graphloom.plans import testbed as B
+from graphloom.session import table
+from graphloom.streaming import sessions as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WORDS = "the and tion of thhe"
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        name = f.__name__
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+# --- SQL that several oracles share --------------------------------------------------------------
+
+VEC = """vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 7)"""
+COS = "1 - list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v)))"
+KG_NODES = """kn AS (
+  SELECT 'r:' || r_regionkey AS id, 'Region' AS type, r_name AS text FROM region UNION ALL
+  SELECT 'n:' || n_nationkey, 'Nation', n_name FROM nation UNION ALL
+  SELECT 'c:' || c_custkey, 'Customer', c_name FROM customer UNION ALL
+  SELECT 's:' || s_suppkey, 'Supplier', s_name FROM supplier UNION ALL
+  SELECT 'p:' || p_partkey, 'Part', p_name FROM part UNION ALL
+  SELECT 'o:' || o_orderkey, 'Order', o_orderpriority FROM orders)"""
+KG_EDGES = """ke AS (
+  SELECT 'n:' || n_nationkey AS source, 'r:' || n_regionkey AS target, 'in_region' AS relation, 1.0::DOUBLE AS weight, n_nationkey::BIGINT AS edge_idx FROM nation UNION ALL
+  SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'in_nation', 1.0, 1099511627776 + c_custkey FROM customer UNION ALL
+  SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'in_nation', 1.0, 2 * 1099511627776 + s_suppkey FROM supplier UNION ALL
+  SELECT 'c:' || o_custkey, 'o:' || o_orderkey, 'placed', 1.0, 3 * 1099511627776 + o_orderkey FROM orders UNION ALL
+  SELECT 'o:' || l_orderkey, 'p:' || l_partkey, 'contains', l_quantity, 4 * 1099511627776 + l_orderkey * 16 + l_linenumber FROM lineitem)"""
+VG = f"""{VEC},
+vn AS (SELECT vec_id, vec_id::VARCHAR AS id, text, e FROM vec LEFT JOIN documents ON vec_id = doc_id),
+ve AS (
+  SELECT vec_id::VARCHAR AS source, next::VARCHAR AS target, 'next_same_label' AS relation, vec_id * 2 AS edge_idx
+  FROM (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next FROM vec) WHERE next IS NOT NULL UNION ALL
+  SELECT vec_id::VARCHAR, ((vec_id * 7 + 1) % (SELECT count(*) FROM vec))::VARCHAR, 'related', vec_id * 2 + 1 FROM vec),
+hits AS (SELECT id, row_number() OVER (ORDER BY {COS}, vec_id) - 1 AS pos, 1 - ({COS}) AS score FROM vn, q)"""
+SEEDS = VG + ", seed AS (SELECT * FROM hits WHERE pos < 5)"
+TOP10 = VG + ", got AS (SELECT * FROM hits WHERE pos < 10)"
+HOP = SEEDS + """,
+x AS (SELECT s.pos, ve.* FROM ve JOIN seed s ON ve.source = s.id),
+placed AS (SELECT id, min(k) AS k, max(score) AS score FROM (
+  SELECT id, [0, pos, 0] AS k, score FROM seed UNION ALL SELECT target, [1, pos, edge_idx], NULL FROM x) GROUP BY id),
+hopn AS (SELECT row_number() OVER (ORDER BY k) - 1 AS place, p.id, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS text, score FROM placed p JOIN vn ON p.id = vn.id)"""
+UND = f"WITH {KG_EDGES}, und AS (SELECT source AS a, target AS b FROM ke UNION SELECT target, source FROM ke), h0 AS (SELECT 'c:1' AS id), h1 AS (SELECT DISTINCT b AS id FROM und WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0)), h2 AS (SELECT DISTINCT b AS id FROM und WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1)), hop AS (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)"
+STEX = TOP10 + """,
+deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ve UNION ALL SELECT target FROM ve) GROUP BY id),
+adj AS (SELECT target AS id, count(*) AS adjacent FROM (SELECT DISTINCT source, target FROM ve) WHERE source IN (SELECT id FROM got) AND target NOT IN (SELECT id FROM got) GROUP BY target),
+st AS (SELECT adj.id, degree, adjacent, round((-1.0 / 9) + CASE WHEN least(degree, 10) > 1 THEN (adjacent - 1.0) / (least(degree, 10) - 1.0) ELSE 0 END + list_dot_product(e, v), 5) AS gs_score
+  FROM adj JOIN deg ON adj.id = deg.id JOIN vn ON adj.id = vn.id, q)"""
+EV = """ev AS (
+  SELECT user_id::VARCHAR AS session_id, event_id, event_type AS kind, json_extract_string(props, '$.k') AS k,
+    CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'clear' ELSE 'update' END AS op,
+    event_type IN ('click', 'view') AS has_nodes, event_type = 'purchase' AS has_edges,
+    event_type IN ('signup', 'purchase') AS has_progress, floor(value)::INTEGER AS cur FROM events)"""
+FOLD = EV + """,
+f1 AS (SELECT *, row_number() OVER w AS revision,
+    coalesce(last_value(CASE WHEN has_progress AND op = 'update' THEN cur END IGNORE NULLS) OVER w, 0) AS current,
+    coalesce(last_value(CASE WHEN has_progress AND op = 'update' THEN kind END IGNORE NULLS) OVER w, '') AS message,
+    coalesce(last_value(CASE WHEN has_progress AND op = 'update' THEN least(100.0, greatest(0.0, cur / 100.0 * 100.0)) END IGNORE NULLS) OVER w, 0.0)::DOUBLE AS percent,
+    sum(CASE WHEN op = 'clear' THEN 1 ELSE 0 END) OVER w AS clears
+  FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f2 AS (SELECT *, coalesce(lag(percent) OVER (PARTITION BY session_id ORDER BY event_id), 0.0) AS before,
+    op = 'update' AND (has_nodes OR has_edges OR has_progress) AS may FROM f1),
+f3 AS (SELECT *, coalesce(max(may::INT) OVER (PARTITION BY session_id, clears ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS first FROM f2),
+fold AS (SELECT *, may AND (abs(percent - before) > 1e-9 OR has_nodes OR has_edges OR first) AS snapshot FROM f3)"""
+NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
+JUDGE = """jw AS (SELECT doc_id, lang, ['Answer 1', 'Answer 2', 'Tie', '2', 'neither'][doc_id % 5 + 1] AS w, doc_id % 2 = 1 AS rev,
+    CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 11 = 0 THEN 1 WHEN doc_id % 13 = 0 THEN 2 ELSE 0 END AS broken FROM documents),
+jc AS (SELECT *, unnest(['Comprehensiveness', 'Diversity', 'Empowerment', 'Overall Winner']) AS criterion FROM jw),
+ja AS (SELECT *, CASE WHEN broken = 2 THEN NULL WHEN broken = 1 AND criterion <> 'Comprehensiveness' THEN NULL
+    WHEN criterion = 'Diversity' THEN 1
+    WHEN w = 'Answer 1' THEN 1 WHEN w IN ('Answer 2', '2') THEN 2 WHEN w = 'Tie' THEN 0 END AS win FROM jc),
+jr AS (SELECT 'one_vs_' || lang AS pair_id, criterion, CASE WHEN rev AND win IN (1, 2) THEN 3 - win ELSE win END AS winner FROM ja)"""
+RATES = """count(*) FILTER (winner = 1) AS answer1, count(*) FILTER (winner = 2) AS answer2, count(*) FILTER (winner = 0) AS tie,
+  count(*) FILTER (winner IS NULL) AS invalid, count(*) AS total, count(winner) AS valid,
+  CASE WHEN count(winner) > 0 THEN round(count(*) FILTER (winner = 1) / count(winner) * 100, 2) ELSE 0 END AS answer1_pct,
+  CASE WHEN count(winner) > 0 THEN round(count(*) FILTER (winner = 2) / count(winner) * 100, 2) ELSE 0 END AS answer2_pct,
+  CASE WHEN count(winner) > 0 THEN round(count(*) FILTER (winner = 0) / count(winner) * 100, 2) ELSE 0 END AS tie_pct"""
+
+# --- vector and keyword search --------------------------------------------------------------------
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return df.select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
+def _topk(distance: str, where: str = "true", queries: str = "vec_id < 20", k: int = 5) -> str:
+    return f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {queries}),
+s AS (SELECT query_id, vec_id, {distance} AS d FROM v, q WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM s)
+SELECT query_id, vec_id::VARCHAR AS id, round(d, 6) + 0.0 AS distance, rank::INTEGER AS rank FROM r WHERE rank <= {k}"""
+
+
+L2 = "list_dot_product(e, e) + list_dot_product(v, v) - 2 * list_dot_product(e, v)"
+
+
+@query(_topk(COS, queries="vec_id = 7", k=10))
+def vector_topk(spark, sf_dir):
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_vectors(spark, sf_dir, 8).filter("query_id = 7"), 10))
+
+
+@query(_topk(COS))
+def vector_topk_batch(spark, sf_dir):
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_vectors(spark, sf_dir, 20), 5))
+
+
+@query(_topk(L2))
+def vector_topk_l2(spark, sf_dir):
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes, "l2sq").search(B.query_vectors(spark, sf_dir, 20), 5))
+
+
+@query(_topk(COS, where="label = 3"))
+def vector_topk_filtered(spark, sf_dir):
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_vectors(spark, sf_dir, 20), 5, where={"label": 3}))
+
+
+_TOKENS = WORDS.split()
+
+
+@query(f"""WITH s AS (SELECT doc_id, {' + '.join(f"contains(lower(doc_id::VARCHAR || ' ' || text), '{t}')::INT" for t in _TOKENS)} AS hits FROM documents)
+SELECT (row_number() OVER (ORDER BY hits DESC, doc_id) - 1)::INTEGER AS pos, doc_id::VARCHAR AS id, round(hits / {len(_TOKENS)}.0, 6) AS score FROM s WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 20""")
+def keyword_topk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("ord"))
+    return R.keyword_seeds(docs, WORDS, 20).select("pos", "id", F.round("score", 6).alias("score"))
+
+
+def _one_hop(spark, sf_dir):
+    return R.OneHopRetriever().retrieve(B.vector_graph(spark, sf_dir), WORDS, vector=B.query_vector(spark, sf_dir), top_k=5)
+
+
+@query(f"WITH {SEEDS} SELECT pos::INTEGER AS pos, s.id, round(score, 6) AS score, length(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)))::INTEGER AS n FROM seed s JOIN vn ON s.id = vn.id")
+def vector_retriever(spark, sf_dir):
+    found = R.VectorRetriever().retrieve(B.vector_graph(spark, sf_dir), WORDS, vector=B.query_vector(spark, sf_dir), top_k=5)
+    return found.nodes.select(F.col("place").alias("pos"), "id", F.round("score", 6).alias("score"), F.length("text").alias("n"))
+
+
+@query(f"WITH {HOP} SELECT place::INTEGER AS place, id, text, round(score, 6) AS score FROM hopn")
+def one_hop_nodes(spark, sf_dir):
+    return _one_hop(spark, sf_dir).nodes.select("place", "id", "text", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {HOP} SELECT pos::INTEGER AS pos, edge_idx, source, target, relation, 1.0::DOUBLE AS weight FROM x")
+def one_hop_edges(spark, sf_dir):
+    return _one_hop(spark, sf_dir).edges.select("pos", "edge_idx", "source", "target", "relation", "weight")
+
+
+@query(f"WITH {HOP}, c AS (SELECT '[' || id || '] ' || text AS chunk, min(place) AS p FROM hopn WHERE text <> '' GROUP BY 1) SELECT (row_number() OVER (ORDER BY p) - 1)::INTEGER AS pos, chunk FROM c")
+def context_chunks(spark, sf_dir):
+    return _one_hop(spark, sf_dir).chunks.select(F.posexplode("chunks").alias("pos", "chunk"))
+
+
+# --- graph container --------------------------------------------------------------------------------
+
+
+@query(f"WITH {KG_EDGES} SELECT edge_idx, source, target, relation, weight FROM ke WHERE source IN ('c:1', 'n:3', 'o:5', 'r:0')")
+def neighbors(spark, sf_dir):
+    ids = spark.createDataFrame([("c:1",), ("n:3",), ("o:5",), ("r:0",)], "id string")
+    return B.knowledge_graph(spark, sf_dir).neighbors(ids).select("edge_idx", "source", "target", "relation", "weight")
+
+
+@query(f"WITH {KG_NODES}, {KG_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ke UNION ALL SELECT target FROM ke) GROUP BY id) SELECT coalesce(kn.id, d.id) AS id, coalesce(degree, 0)::BIGINT AS degree FROM kn FULL JOIN d ON kn.id = d.id")
+def degree(spark, sf_dir):
+    return G.degrees(B.knowledge_graph(spark, sf_dir))
+
+
+@query(f"WITH {KG_NODES}, {KG_EDGES}, have AS (SELECT * FROM kn WHERE type <> 'Part'), ends AS (SELECT unnest([source, target]) AS id FROM ke) SELECT id, type, text FROM have UNION ALL SELECT DISTINCT id, 'Entity', NULL FROM ends WHERE id NOT IN (SELECT id FROM have)")
+def endpoint_closure(spark, sf_dir):
+    graph = B.knowledge_graph(spark, sf_dir)
+    return G.closed(graph.nodes.filter("type != 'Part'"), graph.edges).select("id", "type", "text")
+
+
+@query(f"WITH {KG_EDGES}, b AS (SELECT source AS id, target AS n FROM ke WHERE relation IN ('in_region', 'in_nation') UNION SELECT target, source FROM ke WHERE relation IN ('in_region', 'in_nation')) SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM b GROUP BY id")
+def adjacency_list(spark, sf_dir):
+    graph = B.knowledge_graph(spark, sf_dir)
+    some = G.PropertyGraph(graph.nodes, graph.edges.filter("relation in ('in_region', 'in_nation')"))
+    return G.adjacency(some).select("id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+def _seed(spark):
+    return spark.createDataFrame([("c:1",)], "id string")
+
+
+@query(UND + " SELECT id, hop FROM hop")
+def khop_nodes(spark, sf_dir):
+    return G.k_hop(B.knowledge_graph(spark, sf_dir), _seed(spark), 2).select("id", "hop")
+
+
+@query(UND + " SELECT edge_idx, source, target, relation FROM ke WHERE source IN (SELECT id FROM hop) AND target IN (SELECT id FROM hop)")
+def khop_induced_edges(spark, sf_dir):
+    graph = B.knowledge_graph(spark, sf_dir)
+    return G.induced(graph, G.k_hop(graph, _seed(spark), 2)).edges.select("edge_idx", "source", "target", "relation")
+
+
+@query("SELECT 'c:' || o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS text, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey")
+def node_upsert_last_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("id"), F.col("o_orderstatus").alias("text"), F.col("o_orderkey").alias("ord"))
+    return G.last_wins(rows, "id", "ord")
+
+
+@query("SELECT l_suppkey AS source, l_partkey AS target, arg_min(l_shipdate, l_orderkey * 16 + l_linenumber) AS shipped, min(l_orderkey * 16 + l_linenumber) AS ord FROM lineitem GROUP BY ALL")
+def first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_shipdate").alias("shipped"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("ord"))
+    return G.first_wins(rows, ["source", "target"], "ord")
+
+
+@query(f"WITH {KG_NODES} SELECT id, text AS label, type AS \"group\", id AS title FROM kn WHERE type IN ('Region', 'Nation')")
+def node_labels(spark, sf_dir):
+    nodes = B.knowledge_nodes(spark, sf_dir).filter("type in ('Region', 'Nation')").withColumn("metadata", F.to_json(F.struct(F.lit("x").alias("original_label"))))
+    return G.labels(nodes)
+
+
+# --- multi-stage retrieval ----------------------------------------------------------------------------
+
+
+def _retrieved(spark, sf_dir):
+    graph = B.vector_graph(spark, sf_dir)
+    vector = B.query_vector(spark, sf_dir)
+    hits = graph.search("node_vector", vector, 10).select("id", (F.col("rank") - 1).alias("pos"))
+    return graph, vector, hits
+
+
+@query(f"WITH {STEX} SELECT id, degree, adjacent, gs_score FROM st")
+def stex_scores(spark, sf_dir):
+    graph, vector, hits = _retrieved(spark, sf_dir)
+    return R.stex(graph, hits, vector).select("id", "degree", "adjacent", F.round("gs_score", 5).alias("gs_score"))
+
+
+@query(f"WITH {STEX} SELECT id, gs_score FROM st ORDER BY gs_score DESC, degree, id LIMIT 10")
+def fastinsight_round1(spark, sf_dir):
+    graph, vector, hits = _retrieved(spark, sf_dir)
+    scored = R.stex(graph, hits, vector).select("id", "degree", F.round("gs_score", 5).alias("gs_score"))
+    return scored.orderBy(F.desc("gs_score"), "degree", "id").limit(10).select("id", "gs_score")
+
+
+@query()
+def fastinsight_final(spark, sf_dir):
+    graph = B.vector_graph(spark, sf_dir)
+    found = R.FastInsightRetriever().retrieve(graph, WORDS, vector=B.query_vector(spark, sf_dir), diving_top_k=30)
+    return found.nodes.select("place", "id", "origin", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
+
+
+@query(f"""WITH {TOP10}, f AS (SELECT got.id, vn.e[1:3] AS x FROM got JOIN vn ON got.id = vn.id),
+l AS (SELECT DISTINCT source, target FROM ve WHERE source IN (SELECT id FROM f) AND target IN (SELECT id FROM f) UNION SELECT id, id FROM f)
+SELECT a.id, round(0.3 * any_value(a.x[1]) + 0.7 * avg(b.x[1]), 6) AS y1, round(0.3 * any_value(a.x[2]) + 0.7 * avg(b.x[2]), 6) AS y2, round(0.3 * any_value(a.x[3]) + 0.7 * avg(b.x[3]), 6) AS y3
+FROM f a JOIN l ON a.id = l.source JOIN f b ON l.target = b.id GROUP BY a.id""")
+def gcn_smooth(spark, sf_dir):
+    graph, _, hits = _retrieved(spark, sf_dir)
+    features = hits.join(graph.nodes, "id").select("id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("features"))
+    return R.smoothed(features, graph.edges).select("id", *[F.round(F.col("features")[i], 6).alias(f"y{i + 1}") for i in range(3)])
+
+
+@query(f"""WITH {SEEDS} SELECT benchmark.item_id, 'Answer the question using the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || (SELECT string_agg(id, chr(10) ORDER BY pos) FROM seed WHERE pos < 3) || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM benchmark""")
+def prompt_build(spark, sf_dir):
+    _, _, hits = _retrieved(spark, sf_dir)
+    chunks = hits.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("chunks"))
+    rows = table(spark, sf_dir, "benchmark").join(F.broadcast(chunks), F.lit(True))  # one row
+    return rows.select("item_id", R.prompt(F.col("text"), F.col("chunks"), 3).alias("prompt"))
+
+
+# --- entity resolution and merging ----------------------------------------------------------------------
+
+
+def _triple_text(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("row"), F.concat(F.lit("("), F.col("s_name"), F.lit("; in ;"), F.col("n_name"), F.lit(")(; x; y)("), F.col("n_name"), F.lit(";;a;b)")).alias("graph"))
+
+
+@query("""SELECT s_suppkey AS row, 0 AS i, s_name AS head, 'in' AS relation, n_name AS tail FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT s_suppkey, 1, n_name, '', 'a;b' FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def triple_parse(spark, sf_dir):
+    rows = _triple_text(spark, sf_dir).select("row", F.posexplode(M.parsed_triples(F.col("graph"))).alias("i", "t"))
+    return rows.select("row", "i", "t.head", "t.relation", "t.tail")
+
+
+@query("""WITH t AS (SELECT s_suppkey * 4096 AS ord, s_name AS head, 'in' AS relation, n_name AS tail FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT s_suppkey * 4096 + 1, n_name, '', 'a;b' FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'node-' || md5(lower(head)) AS source, CASE WHEN relation = '' THEN 'related' ELSE relation END AS relation, 'node-' || md5(lower(tail)) AS target, min(ord) AS edge_idx FROM t GROUP BY ALL""")
+def triple_graph_edges(spark, sf_dir):
+    rows = _triple_text(spark, sf_dir).select("row", F.posexplode(M.parsed_triples(F.col("graph"))).alias("i", "t"))
+    _, edges = M.triples_to_graph(rows.select("t.head", "t.relation", "t.tail", (F.col("row") * 4096 + F.col("i")).alias("ord")))
+    return edges.select("source", "relation", "target", "edge_idx")
+
+
+@query("""WITH names AS (SELECT '  ' || upper(n_name) || ' ' AS name FROM nation UNION ALL SELECT r_name FROM region)
+SELECT name, coalesce('n:' || n_nationkey, 'entity-' || md5(trim(lower(name)))) AS resolved, n_nationkey IS NULL AS placeholder FROM names LEFT JOIN nation ON trim(lower(name)) = lower(n_name)""")
+def entity_resolve(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    entities = nations.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("text"), F.col("n_nationkey").cast("long").alias("ord"))
+    names = nations.select(F.concat(F.lit("  "), F.upper("n_name"), F.lit(" ")).alias("name")).union(table(spark, sf_dir, "region").select("r_name"))
+    return M.resolve_names(names, entities).select("name", "resolved", "placeholder")
+
+
+@query("SELECT 's:' || l_suppkey AS source, l_returnflag AS relation, 'p:' || l_partkey AS target, max(l_quantity) AS weight FROM lineitem GROUP BY ALL")
+def edge_dedup_max_weight(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("source"), F.col("l_returnflag").alias("relation"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("edge_idx"))
+    return M.merge_edges(rows).select("source", "relation", "target", "weight")
+
+
+@query("""WITH f AS (SELECT l_partkey, l_suppkey, min(l_orderkey * 16 + l_linenumber) AS o FROM lineitem GROUP BY ALL)
+SELECT l_partkey AS part, string_agg(l_suppkey::VARCHAR, ',' ORDER BY o, l_suppkey) AS suppliers FROM f GROUP BY l_partkey""")
+def append_unique(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("ord"))
+    return rows.groupBy(F.col("l_partkey").alias("part")).agg(F.array_join(F.transform(M.append_unique("l_suppkey", "ord"), lambda x: x.cast("string")), ",").alias("suppliers"))
+
+
+@query("""SELECT 's:' || s_suppkey AS source, 'n:' || s_nationkey AS target, CASE WHEN s_suppkey % 3 = 0 THEN 'fact' WHEN s_suppkey % 3 = 1 THEN 'open' ELSE 'related' END AS relation FROM supplier""")
+def relation_coalesce(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    source, target = F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n:"), F.col("s_nationkey").cast("string"))
+    topology = s.select(source.alias("source"), target.alias("target"), F.lit(1.0).alias("weight"), F.col("s_suppkey").alias("ord"))
+    facts = s.filter("s_suppkey % 3 = 0").select(source.alias("source"), target.alias("target"), F.explode(F.array(F.struct(F.lit("fact").alias("relation"), F.lit(0).alias("o")), F.struct(F.lit("later").alias("relation"), F.lit(1).alias("o")))).alias("e")).select("source", "target", "e.relation", F.col("e.o").alias("ord"))
+    openie = s.filter("s_suppkey % 3 < 2").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.upper("s_name").alias("head"), F.explode(F.array(F.struct(F.lit("earlier").alias("relation"), F.lit(0).alias("o")), F.struct(F.lit("open").alias("relation"), F.lit(1).alias("o")))).alias("e"), F.col("n_name").alias("tail")).select("head", "e.relation", "tail", F.col("e.o").alias("ord"))
+    texts = B.knowledge_nodes(spark, sf_dir).select("id", "text")
+    return M.topology_edges(topology, facts, openie, texts).select("source", "target", "relation")
+
+
+def _union_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    order = (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("ord")
+    nodes = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("o_orderpriority").alias("gid"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("local_id"), F.lit("Part").alias("type"), F.col("p_brand").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit("{}").alias("metadata"), order)
+    edges = lines.select(F.col("o_orderpriority").alias("gid"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.lit("supplied").alias("relation"), F.col("l_quantity").alias("weight"), order.alias("edge_idx"))
+    return nodes, edges
+
+
+@query("""WITH l AS (SELECT o_orderpriority AS gid, p_brand AS text, l_partkey, l_orderkey * 16 + l_linenumber AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+g AS (SELECT text, gid, min(o) AS o FROM l GROUP BY ALL)
+SELECT 'node-' || md5('part|' || lower(text)) AS id, any_value(text) AS text, string_agg(gid, ',' ORDER BY o) AS graph_ids, (SELECT count(DISTINCT l_partkey) FROM l WHERE l.text = g.text)::INTEGER AS n_local FROM g GROUP BY text""")
+def subgraph_union_nodes(spark, sf_dir):
+    nodes, _ = M.merge_subgraph_nodes(_union_rows(spark, sf_dir)[0])
+    return nodes.select("id", "text", F.array_join("graph_ids", ",").alias("graph_ids"), F.size("original_node_ids").alias("n_local"))
+
+
+@query("""WITH l AS (SELECT o_orderpriority AS gid, 'node-' || md5('part|' || lower(p_brand)) AS source, o_orderpriority || ':s' || l_suppkey AS target, l_quantity AS w, l_orderkey * 16 + l_linenumber AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+SELECT source, 'supplied' AS relation, target, max(w) AS weight, count(DISTINCT o)::INTEGER AS n FROM l GROUP BY source, target""")
+def subgraph_union_edges(spark, sf_dir):
+    nodes, edges = _union_rows(spark, sf_dir)
+    _, local = M.merge_subgraph_nodes(nodes)
+    merged = M.merge_subgraph_edges(edges, local)
+    return merged.select("source", "relation", "target", "weight", F.size("original_edge_ids").alias("n"))
+
+
+@query("""SELECT n_nationkey AS k, 'entity-' || md5(lower(n_name)) AS hashed, '[' || n_nationkey || '] ' || n_name AS chunk FROM nation""")
+def content_ids(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), content_id("entity", norm_key(F.col("n_name"))).alias("hashed"), chunk(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("chunk"))
+
+
+# --- evaluation --------------------------------------------------------------------------------------------
+
+
+def _answers(spark, sf_dir, role):
+    return table(spark, sf_dir, "conversations").filter(F.col("role") == role).groupBy(F.col("conv_id").cast("string").alias("query")).agg(F.max_by("text", "turn").alias("answer"), F.min("conv_id").alias("ord"))
+
+
+@query("""WITH a AS (SELECT conv_id, arg_max(text, turn) AS u FROM conversations WHERE role = 'user' GROUP BY conv_id), b AS (SELECT conv_id, arg_max(text, turn) AS v FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+j AS (SELECT a.conv_id, u, v, row_number() OVER (ORDER BY a.conv_id) - 1 AS n FROM a JOIN b USING (conv_id)), d AS (SELECT *, unnest(['for', 'rev']) AS direction FROM j)
+SELECT 'judge-' || lpad(n::VARCHAR, 6, '0') || '-' || direction AS custom_id, conv_id::VARCHAR AS query, direction, md5(CASE WHEN direction = 'for' THEN u ELSE v END) AS a, md5(CASE WHEN direction = 'for' THEN v ELSE u END) AS b FROM d""")
+def judge_pairs(spark, sf_dir):
+    out = J.request_pairs(_answers(spark, sf_dir, "user"), _answers(spark, sf_dir, "assistant"))
+    return out.select("custom_id", "query", "direction", F.md5(F.col("answer_a").cast("binary")).alias("a"), F.md5(F.col("answer_b").cast("binary")).alias("b"))
+
+
+def _rates(spark, sf_dir):
+    return J.win_rates(J.verdicts(*B.judge_rows(spark, sf_dir)))
+
+
+@query(f"WITH {JUDGE} SELECT pair_id, criterion, {RATES} FROM jr GROUP BY pair_id, criterion")
+def judge_winrate(spark, sf_dir):
+    return _rates(spark, sf_dir).filter("pair_id is not null")
+
+
+@query(f"WITH {JUDGE} SELECT criterion, {RATES} FROM jr GROUP BY criterion")
+def judge_overall(spark, sf_dir):
+    return _rates(spark, sf_dir).filter("pair_id is null").drop("pair_id")
+
+
+@query("""SELECT conv_id, turn, trim(text) AS message, text <> '' AS valid, CASE WHEN turn % 3 = 0 THEN 5 ELSE greatest(1, turn) END AS top_k,
+CASE WHEN turn % 2 = 0 THEN 'openai' ELSE 'hf' END AS embedding_provider, CASE WHEN turn % 2 = 0 THEN 'm:1' ELSE 'BAAI/bge-m3' END AS embedding_model, 'raise' AS embedding_error_policy, role AS session_id FROM conversations""")
+def chat_normalize(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    payload = F.to_json(F.struct(F.col("text").alias("message"), F.when(F.col("turn") % 3 == 0, F.lit("x")).otherwise(F.col("turn").cast("string")).alias("top_k"), F.when(F.col("turn") % 2 == 0, F.lit("OpenAI:m:1")).alias("embedding"), F.concat(F.lit(" "), F.col("role")).alias("session_id")))
+    out = chat.requests(t.select("conv_id", "turn", payload.alias("payload")))
+    return out.select("conv_id", "turn", "message", "valid", "top_k", "embedding_provider", "embedding_model", "embedding_error_policy", "session_id")
+
+
+# --- sessions ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FOLD} SELECT session_id, event_id, revision::INTEGER AS revision, current, message, percent, snapshot FROM fold")
+def session_fold(spark, sf_dir):
+    return S.folded(B.session_events(spark, sf_dir)).select("session_id", "event_id", "revision", "current", "message", "percent", "snapshot")
+
+
+@query(f"""WITH {FOLD}, l AS (SELECT *, max(clears) OVER (PARTITION BY session_id) AS c FROM fold), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY revision DESC) AS n FROM l WHERE clears = c AND snapshot)
+SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY revision) - 1)::INTEGER AS step, revision::INTEGER AS revision, percent FROM r WHERE n <= 5""")
+def session_replay_last_n(spark, sf_dir):
+    return S.replay(S.folded(B.session_events(spark, sf_dir)), 5).select("session_id", "step", "revision", "percent")
+
+
+@query(f"WITH {FOLD} SELECT session_id, arg_max(percent, event_id) AS percent, arg_max(message, event_id) AS message, max(revision)::INTEGER AS revision FROM fold GROUP BY session_id")
+def session_progress(spark, sf_dir):
+    return S.folded(B.session_events(spark, sf_dir)).groupBy("session_id").agg(F.max_by("percent", "event_id").alias("percent"), F.max_by("message", "event_id").alias("message"), F.max("revision").alias("revision"))
+
+
+OVERLAY = EV + """,
+cut AS (SELECT session_id, max(event_id) AS c FROM ev WHERE op = 'clear' GROUP BY session_id),
+live AS (SELECT ev.* FROM ev LEFT JOIN cut USING (session_id) WHERE op = 'update' AND (c IS NULL OR event_id > c))"""
+
+
+@query(f"WITH {OVERLAY} SELECT session_id, 'p:' || k AS id, arg_max(CASE WHEN kind = 'click' THEN 'current' ELSE 'previous' END, event_id) AS style FROM live WHERE has_nodes GROUP BY session_id, k")
+def session_overlay_nodes(spark, sf_dir):
+    return S.overlay_nodes(B.session_events(spark, sf_dir))
+
+
+EDGES = OVERLAY + """,
+oe AS (SELECT session_id, 'c:' || session_id AS source, 'p:' || k AS target, CASE WHEN max(event_id) = any_value(m) THEN 'current' ELSE 'previous' END AS style
+  FROM (SELECT *, max(event_id) OVER (PARTITION BY session_id) AS m FROM live WHERE has_edges) GROUP BY session_id, k)"""
+
+
+@query(f"WITH {EDGES} SELECT session_id, source, target, 'RELATED' AS relation, style FROM oe")
+def session_edge_style(spark, sf_dir):
+    return S.overlay_edges(B.session_events(spark, sf_dir))
+
+
+@query(f"""WITH {EDGES}, ons AS (SELECT session_id, 'p:' || k AS id, arg_max(CASE WHEN kind = 'click' THEN 'current' ELSE 'previous' END, event_id) AS style FROM live WHERE has_nodes GROUP BY session_id, k),
+pe AS (SELECT DISTINCT session_id, 'p:' || k AS source, 'p:' || ((k::INTEGER + 1) % 100) AS target, 'next' AS relation FROM ev UNION ALL SELECT session_id, source, target, 'RELATED' FROM oe)
+SELECT pe.session_id, pe.source, pe.target, pe.relation, coalesce(oe.style, CASE WHEN a.style IS NOT NULL AND b.style IS NOT NULL THEN CASE WHEN 'current' IN (a.style, b.style) THEN 'current' ELSE 'previous' END END) AS style
+FROM pe LEFT JOIN oe ON pe.session_id = oe.session_id AND pe.source = oe.source AND pe.target = oe.target AND pe.relation = 'RELATED' LEFT JOIN ons a ON pe.session_id = a.session_id AND pe.source = a.id LEFT JOIN ons b ON pe.session_id = b.session_id AND pe.target = b.id""")
+def session_view_edges(spark, sf_dir):
+    events = B.session_events(spark, sf_dir)
+    overlay = S.overlay_edges(events)
+    key = F.get_json_object("props", "$.k").cast("int")
+    near = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("p:"), key.cast("string")).alias("source"), F.concat(F.lit("p:"), ((key + 1) % 100).cast("string")).alias("target"), F.lit("next").alias("relation")).distinct()
+    return S.styled_edges(near.unionByName(overlay.drop("style")), S.overlay_nodes(events), overlay)
+
+
+@query()
+def session_stream_fold(spark, sf_dir):
+    """The streaming twin of session_fold, run to completion over the events file."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folded = S.stream_folded(B.session_events(spark, sf_dir, stream))
+    name = f"session_stream_{uuid.uuid4().hex[:8]}"
+    run = folded.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("session_id", "event_id", "revision", "current", "message", "percent", "snapshot")
+
+
+# --- sources and sinks -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {KG_NODES}, {KG_EDGES} SELECT source, target, relation, weight FROM ke WHERE relation IN ('in_region', 'in_nation')")
+def export_jsonl_roundtrip(spark, sf_dir):
+    """Edges written as JSON lines and read back."""
+    from graphloom.sources.sinks import edge_lines
+
+    edges = edge_lines(B.knowledge_edges(spark, sf_dir).filter("relation in ('in_region', 'in_nation')"))
+    return edges.select(F.from_json("value", "source string, target string, relation string, weight string").alias("e")).select("e.source", "e.target", "e.relation", F.col("e.weight").cast("double").alias("weight"))
+
+
