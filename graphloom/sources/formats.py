@@ -12,7 +12,7 @@ from graphloom.functions.text import content_id, first_present, float_or, norm_k
 from graphloom.operators import merge as M
 from graphloom.operators.graph import PropertyGraph, canonical_format, first_wins, last_wins
 from graphloom.operators.vector import VectorIndex, edge_documents
-from graphloom.sources.base import GraphSource, GraphSourceError, UnsupportedSourceError, as_path, field, graph, lines, merged_json, other_fields
+from graphloom.sources.base import GraphSource, GraphSourceError, UnsupportedSourceError, as_path, field, graph, lines, merged_json, numbered, other_fields
 
 
 def exists(source, *names: str) -> bool:
@@ -256,10 +256,11 @@ class SubgraphUnionSource(GraphSource):
         """All columns as text, gid (the file's stem), row_idx (the row's place in its file) and ord."""
         where = f"{path}/{graph_id}.csv" if graph_id else path
         raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(where)
-        named = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("ord"))
-        gid = F.regexp_extract("_f", r"([^/]*)\.csv$", 1)
-        first = named.groupBy("_f").agg(F.min("ord").alias("_o"))
-        return named.join(first, "_f").withColumns({"gid": gid, "row_idx": F.col("ord") - F.col("_o")}).drop("_f", "_o")
+        named = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"))
+        # A multi-line file is read by one task, so its rows are numbered without gaps.
+        first = named.groupBy("_f").agg(F.min("_i").alias("_o"))
+        placed = named.join(first, "_f").withColumns({"gid": F.regexp_extract("_f", r"([^/]*)\.csv$", 1), "row_idx": F.col("_i") - F.col("_o")}).drop("_o")
+        return numbered(placed, ["_f", "_i"])
 
     def read(self, spark, source, *, keep_source_reference=False, graph_id=None, **options):
         nodes = self.table(spark, f"{source}/nodes", graph_id)
