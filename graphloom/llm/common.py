@@ -65,3 +65,13 @@ def running_sums(rows: DataFrame, group: str, klass: str, digest_col: str, value
     inside = Window.partitionBy(group, klass, "_range").orderBy(digest_col, *ties).rowsBetween(Window.unboundedPreceding, -1)
     summed = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return summed.join(offsets, [group, klass, "_range"]).withColumn("before", F.col("_offset") + F.col("_inside")).drop("_cuts", "_range", "_offset", "_inside")
+
+
+def veiled(docs: DataFrame, *plain: str) -> DataFrame:
+    """``docs`` with all columns but ``plain`` renamed, so that none meets a name used inside an operator."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in plain else f"_veiled{i}") for i, c in enumerate(docs.columns)])
+
+
+def unveiled(rows: DataFrame, docs: DataFrame, *plain: str) -> DataFrame:
+    """The columns of ``docs`` out of rows made from ``veiled(docs, *plain)``."""
+    return rows.select(*[F.col(c if c in plain else f"_veiled{i}").alias(c) for i, c in enumerate(docs.columns)])

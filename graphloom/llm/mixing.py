@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import columns, digest, n_words, running_sums, written
+from graphloom.llm.common import columns, digest, n_words, running_sums, unveiled, veiled, written
 
 #: Rows of one source and size class that are ranked together, about.
 RANGE_ROWS = 2000
@@ -76,6 +76,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken."""
+    plain = ("doc_id", "text", "source")
+    given, docs = docs, veiled(docs, *plain)
     taken = mix(docs, **settings).groupBy("doc_id", "text_hash", "source").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies"))
     takes = written(taken.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "rows", "copies"), "mix-takes")
     same = lambda d: d["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(d["text"]) == F.col("_hash")) & d["source"].cast("string").eqNullSafe(F.col("_source"))
@@ -84,7 +86,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     single = docs.join(takes.filter("rows = 1"), same(docs)).select(*own, times.alias("_copy")).select(*docs.columns)
     # Equal rows share their copies: one of them stands for all.
     equal = docs.join(takes.filter("rows > 1"), same(docs)).select(*own, "_id", "_hash", "_source", "copies").dropDuplicates(["_id", "_hash", "_source"])
-    return single.union(equal.select(*docs.columns, times.alias("_copy")).select(*docs.columns))
+    return unveiled(single.union(equal.select(*docs.columns, times.alias("_copy")).select(*docs.columns)), given, *plain)
 
 
 def op5_mix_sources(docs: DataFrame) -> DataFrame:

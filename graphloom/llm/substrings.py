@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import exchange as X
+from graphloom.llm.common import unveiled, veiled
 from graphloom.llm.tokens import U64, windows, words
 
 BLOCK = 7
@@ -167,7 +168,7 @@ def _kept(table: pa.Table, anchors: Anchors, starts: np.ndarray, window: int, ha
 
 
 def dedup(docs: DataFrame, block: int = BLOCK, window: int = WINDOW, hashed: bool = False) -> DataFrame:
-    """The columns of ``docs`` but text, and n_words, n_removed and kept.
+    """The columns of ``docs`` but text, and n_words, n_removed and kept; no other column may have such a name, or batch.
 
     ``kept`` is the text itself where nothing went, else the kept words joined by one space;
     with ``hashed`` it is the SHA-256 of the kept words joined by one space, for every row."""
@@ -208,11 +209,12 @@ def dedup(docs: DataFrame, block: int = BLOCK, window: int = WINDOW, hashed: boo
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of the texts; the texts of other rows stay as they are."""
-    out = dedup(docs)
+    plain = ("doc_id", "text", "n_chars")
+    out = dedup(veiled(docs, *plain))
     new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    return unveiled(out.withColumns(new), docs, *plain)
 
 
 def op4_substring_dedup(docs: DataFrame) -> DataFrame:
