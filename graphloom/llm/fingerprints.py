@@ -8,9 +8,9 @@ cell by cell, digests in both cancel, and peeling recovers the rest: a cell with
 whose check fits its key gives a digest of one version, which is taken out of its other cells.
 
 The fingerprint is a sketch of fixed size.  Where the difference of two fingerprints does not peel
-to nothing, sketches with more room are made and subtracted: the digests are split by their bits
+to nothing, sketches with more room are made and subtracted: the digests are split by their top bits
 into groups of a few, each group is sketched and peeled on its own, and a group that fails is
-sketched again with 2, 4 and 16 times the cells, by other bits.  Likeness is then the Jaccard
+sketched again with 2 and then 8 times the cells, by other bits.  Likeness is then the Jaccard
 similarity of the digest sets, from the numbers of both and of the recovered digests.
 
 Order of documents: descending id, null ids last, equal ids by a hash of the text.  The order is
@@ -33,13 +33,15 @@ from graphloom.llm.common import parallelism
 CUT = r"(?<=[.!?])[\x20\x09\x0B-\x0D]+|\n+"
 LONG = 400
 BLOCK_WORDS = 32
-#: log2 of a fingerprint's cells per subtable, and digests in a group, about.
-FINGERPRINT = 3
-GROUP = 6
-#: (log2 of cells per subtable, lowest digest bit used) of a group's attempts; group bits come from the top.
-ATTEMPTS = ((2, 0), (3, 6), (4, 15), (6, 27))
-SPLITS = 5
-ROUNDS = 40
+#: log2 of a fingerprint's cells per subtable, and its lowest digest bit.
+FINGERPRINT, FINGERPRINT_LOW = 3, 39
+#: Digests of both versions in a group, about, and how often sets are halved at most (by their top bits).
+GROUP = 8
+SPLITS = 14
+#: (log2 of cells per subtable, lowest digest bit) of a group's attempts.
+ATTEMPTS = ((3, 0), (4, 9), (6, 21))
+#: Half steps of peeling: a table that needs more counts as failed.
+ROUNDS = 24
 
 
 def paragraphs(text: Column) -> Column:
@@ -53,16 +55,27 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _place(digest: Column, subtable: Column, bits: int, low: int) -> Column:
+def _place(digest: Column, subtable: int, bits: int, low: int) -> Column:
     """Cell of a digest in a subtable (0 to 2), numbered over the three."""
-    return F.call_function("shiftrightunsigned", digest, (subtable * bits + low).cast("int")).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + subtable * (1 << bits)
+    return F.shiftrightunsigned(digest, subtable * bits + low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + F.lit(subtable << bits)
+
+
+def _placed(digest: Column, bits: int, low: int, **more: Column) -> Column:
+    """A digest with its check and its three cells."""
+    return F.struct(digest.alias("key"), _check(digest).alias("check"), *[_place(digest, t, bits, low).alias(f"p{t}") for t in range(3)], *[c.alias(n) for n, c in more.items()])
+
+
+def _in_cell(placed: Column, j: Column) -> Column:
+    return (placed["p0"] == j) | (placed["p1"] == j) | (placed["p2"] == j)
 
 
 def sketch(digests: Column, bits: int, low: int) -> Column:
     """The table of ``digests``: 3 * 2**bits cells (n, key, check)."""
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-    add = lambda a, d: F.struct((a["n"] + 1).alias("n"), a["key"].bitwiseXOR(d).alias("key"), a["check"].bitwiseXOR(_check(d)).alias("check"))
-    return F.transform(F.sequence(F.lit(0), F.lit((3 << bits) - 1)), lambda j: F.aggregate(F.filter(digests, lambda d: _place(d, F.floor(j / (1 << bits)).cast("int"), bits, low) == j), zero, add))
+    add = lambda a, d: F.struct((a["n"] + 1).alias("n"), a["key"].bitwiseXOR(d["key"]).alias("key"), a["check"].bitwiseXOR(d["check"]).alias("check"))
+    # A one-element array holds the placed digests, so that they are computed once and not per cell.
+    once = F.array(F.transform(digests, lambda d: _placed(d, bits, low)))
+    return F.flatten(F.transform(once, lambda placed: F.transform(F.sequence(F.lit(0), F.lit((3 << bits) - 1)), lambda j: F.aggregate(F.filter(placed, lambda d: _in_cell(d, j)), zero, add))))
 
 
 def subtracted(a: Column, b: Column) -> Column:
@@ -74,11 +87,11 @@ def peeled(cells: Column, bits: int, low: int) -> Column:
     pure = lambda c: F.filter(c, lambda x: (F.abs(x["n"]) == 1) & (x["check"] == _check(x["key"])))
 
     def step(state: Column, _: Column) -> Column:
-        found = F.array_distinct(F.transform(pure(state["cells"]), lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"))))
+        found = F.array_distinct(F.transform(pure(state["cells"]), lambda x: _placed(x["key"], bits, low, n=x["n"])))
 
         def without(cell: Column, j: Column) -> Column:
-            here = F.filter(state["found"], lambda f: _place(f["key"], F.floor(j / (1 << bits)).cast("int"), bits, low) == j)
-            return F.aggregate(here, cell, lambda c, f: F.struct((c["n"] - f["n"]).alias("n"), c["key"].bitwiseXOR(f["key"]).alias("key"), c["check"].bitwiseXOR(_check(f["key"])).alias("check")))
+            here = F.filter(state["found"], lambda f: _in_cell(f, j))
+            return F.aggregate(here, cell, lambda c, f: F.struct((c["n"] - f["n"]).alias("n"), c["key"].bitwiseXOR(f["key"]).alias("key"), c["check"].bitwiseXOR(f["check"]).alias("check")))
 
         # Two half steps a round, so that what was found is computed once: find, then take out.
         took = F.struct(
@@ -92,30 +105,38 @@ def peeled(cells: Column, bits: int, low: int) -> Column:
         # ``over`` is set while looking; looking twice in a row without a find changes nothing more.
         return F.when(F.size(state["found"]) > 0, took).when(state["over"], state).otherwise(looked)
 
-    none = F.expr("cast(array() as array<struct<key: bigint, n: int>>)")
+    none = F.expr("cast(array() as array<struct<key: bigint, check: bigint, p0: int, p1: int, p2: int, n: int>>)")
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(False).alias("over"))
     clear = lambda s: F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["check"] == 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(clear(s), F.struct(s["first"].alias("first"), s["second"].alias("second"))))
 
 
-def split_groups(digests: Column, times: Column) -> Column:
-    """``digests`` in 8**times groups by their top bits, all groups, in the same order for every set."""
-    groups = F.array(digests)
-    for k in range(SPLITS):
-        halves = lambda g, k=k: F.flatten(F.transform(g, lambda ds: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.filter(ds, lambda d: F.call_function("shiftrightunsigned", d, F.lit(61 - 3 * k)).bitwiseAND(F.lit(7)) == j))))
-        groups = F.when(times > k, halves(groups)).otherwise(groups)
-    return groups
+def split_groups(a: Column, b: Column, times: Column) -> Column:
+    """Both digest sets in 2**times groups (a, b) by their top bits."""
+    kind = "array<struct<a: array<bigint>, b: array<bigint>>>"
+    has = lambda d, k, bit: F.call_function("shiftrightunsigned", d, (F.lit(64) - k).cast("int")).bitwiseAND(F.lit(1)) == bit
+    half = lambda g, k, bit: F.struct(F.filter(g["a"], lambda d: has(d, k, bit)).alias("a"), F.filter(g["b"], lambda d: has(d, k, bit)).alias("b"))
+    halves = lambda groups, k: F.flatten(F.transform(groups, lambda g: F.array(half(g, k, 0), half(g, k, 1)))).cast(kind)
+    levels = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, F.array(F.struct(a.alias("a"), b.alias("b"))).cast(kind), halves)
 
 
 def differences(a: Column, b: Column, print_a: Column, print_b: Column) -> Column:
     """(first, second) from the fingerprints, or from larger sketches where those do not peel."""
     both = F.size(a) + F.size(b)
-    times = F.when(both <= GROUP, 0).otherwise(F.least(F.lit(SPLITS), F.ceil(F.log(both / F.lit(float(GROUP))) / F.lit(2.0794415416798357)).cast("int")))
-    tries = lambda x, y: F.coalesce(*[peeled(subtracted(sketch(x, bits, low), sketch(y, bits, low)), bits, low) for bits, low in ATTEMPTS], F.struct(F.size(F.array_except(x, y)).alias("first"), F.size(F.array_except(y, x)).alias("second")))
-    each = F.zip_with(split_groups(a, times), split_groups(b, times), tries)
+    times = F.when(both <= GROUP, 0).otherwise(F.least(F.lit(SPLITS), F.ceil(F.log2(both / F.lit(float(GROUP)))).cast("int")))
+
+    def decoded(g: Column) -> Column:
+        x, y = g["a"], g["b"]
+        tries = [peeled(subtracted(sketch(x, bits, low), sketch(y, bits, low)), bits, low) for bits, low in ATTEMPTS]
+        # Digests that share all their cells in every attempt: none is expected in 10^30 groups.
+        last = F.struct(F.size(F.array_except(x, y)).alias("first"), F.size(F.array_except(y, x)).alias("second"))
+        nothing = F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))
+        return F.when(F.size(x) + F.size(y) == 0, nothing).otherwise(F.coalesce(*tries, last))
+
     zero = F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))
-    summed = F.aggregate(each, zero, lambda s, x: F.struct((s["first"] + x["first"]).alias("first"), (s["second"] + x["second"]).alias("second")))
-    small = peeled(subtracted(print_a, print_b), FINGERPRINT, 36)
+    summed = F.aggregate(F.transform(split_groups(a, b, times), decoded), zero, lambda s, x: F.struct((s["first"] + x["first"]).alias("first"), (s["second"] + x["second"]).alias("second")))
+    small = peeled(subtracted(print_a, print_b), FINGERPRINT, FINGERPRINT_LOW)
     return F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= 3 << FINGERPRINT, small), summed)
 
 
@@ -160,7 +181,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 def fingerprinted(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, the two fingerprints and the two likenesses."""
     spread = with_next(docs, ranges)
-    rows = spread.withColumn("digests", paragraphs(F.col("text"))).withColumn("print", sketch(F.col("digests"), FINGERPRINT, 36))
+    rows = spread.withColumn("digests", paragraphs(F.col("text"))).withColumn("print", sketch(F.col("digests"), FINGERPRINT, FINGERPRINT_LOW))
     if "next" not in rows.columns:
         order = Window.partitionBy("range").orderBy("ghost", F.col("place").desc(), F.xxhash64("text"))
         rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "digests", "print")]).filter("ghost = 0")
@@ -169,7 +190,7 @@ def fingerprinted(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))})
-    edited = edited.withColumn("edited_digests", paragraphs(F.col("edited"))).withColumn("edited_print", sketch(F.col("edited_digests"), FINGERPRINT, 36))
+    edited = edited.withColumn("edited_digests", paragraphs(F.col("edited"))).withColumn("edited_print", sketch(F.col("edited_digests"), FINGERPRINT, FINGERPRINT_LOW))
     compared = edited.withColumns({f"to_{x}": differences(F.col("digests"), F.col(f"{x}_digests"), F.col("print"), F.col(f"{x}_print")) for x in ("edited", "next")})
     return compared.select(
         "doc_id",
