@@ -9,8 +9,8 @@ from graphloom.functions.text import present, strip
 
 ROLES = ("system", "user", "assistant")
 PROVIDER, MODEL = "hf", "BAAI/bge-m3"
-#: Retriever names and what they are also called.
-RETRIEVERS = {"one-hop": "one-hop", "graph-hop": "one-hop", "graph-2-hop": "one-hop", "graph": "one-hop", "vector": "vector", "fastinsight": "fastinsight", "fi": "fastinsight", "hybrid": "hybrid"}
+#: Retriever names as requests give them, and the names here.
+RETRIEVERS = {"one-hop": "one-hop", "graph-hop": "one-hop", "graph-2-hop": "one-hop", "graph": "one-hop", "vector": "vector", "collect": "collect", "fastinsight": "collect", "fi": "collect", "hybrid": "hybrid"}
 
 
 def retriever_name(name: Column, default: str = "one-hop") -> Column:

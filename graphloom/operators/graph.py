@@ -153,7 +153,7 @@ def labels(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.coalesce(bundle, shown, F.col("id")).alias("label"), F.col("type").alias("group"), F.col("id").alias("title"))
 
 
-#: Format names and the names they are also known by.
+#: Format names as callers give them, and the names here.
 FORMAT_ALIASES = {
     "component": "component_graph",
     "component_graph": "component_graph",

@@ -267,10 +267,10 @@ class HybridRetriever(Retriever):
         raise NotImplementedError("hybrid retrieval is not defined")
 
 
-class FastInsightRetriever(Retriever):
+class CollectingRetriever(Retriever):
     """Vector hits, graph collection and reranking; only ``final_top_k`` cuts the result."""
 
-    name = "fastinsight"
+    name = "collect"
 
     def __init__(self, reranker: Reranker | None = None):
         self.reranker = reranker or LexicalReranker()

@@ -249,16 +249,16 @@ def stex_scores(spark, sf_dir):
 
 
 @query(f"WITH {STEX} SELECT id, gs_score FROM st ORDER BY gs_score DESC, degree, id LIMIT 10")
-def fastinsight_round1(spark, sf_dir):
+def collect_round1(spark, sf_dir):
     graph, vector, hits = _retrieved(spark, sf_dir)
     scored = R.stex(graph, hits, vector).select("id", "degree", F.round("gs_score", 5).alias("gs_score"))
     return scored.orderBy(F.desc("gs_score"), "degree", "id").limit(10).select("id", "gs_score")
 
 
 @query()
-def fastinsight_final(spark, sf_dir):
+def collect_final(spark, sf_dir):
     graph = B.vector_graph(spark, sf_dir)
-    found = R.FastInsightRetriever().retrieve(graph, WORDS, vector=B.query_vector(spark, sf_dir), diving_top_k=30)
+    found = R.CollectingRetriever().retrieve(graph, WORDS, vector=B.query_vector(spark, sf_dir), diving_top_k=30)
     return found.nodes.select("place", "id", "origin", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
 
 

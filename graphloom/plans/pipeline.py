@@ -13,7 +13,7 @@ class GraphPipeline:
     """Runs one request: retrieval is a plan, its chunks are collected, the generator writes the answer."""
 
     def __init__(self, retrievers: dict[str, R.Retriever] | None = None, embedder: Callable | None = None, generator: Callable[[str, list, list], str] | None = None):
-        self.retrievers = retrievers or {r.name: r for r in (R.OneHopRetriever(), R.VectorRetriever(), R.FastInsightRetriever(), R.HybridRetriever())}
+        self.retrievers = retrievers or {r.name: r for r in (R.OneHopRetriever(), R.VectorRetriever(), R.CollectingRetriever(), R.HybridRetriever())}
         self.embedder = embedder
         self.generator = generator or (lambda question, history, chunks: "\n".join(chunks))
 

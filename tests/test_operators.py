@@ -163,7 +163,7 @@ def test_pipeline(spark):
 
 def test_registry():
     r = G.GraphRegistry()
-    r.register("a", G.PropertyGraph(None, None), "LightRAG")
+    r.register("a", G.PropertyGraph(None, None), "Attribute-Bundle")
     assert r.unique_name("a") == "a_2" and r.active == "a" and r.listed()[0]["graph_type"] == "attribute_bundle_graph"
     with pytest.raises(KeyError):
         r.switch("b")

@@ -26,7 +26,7 @@ def shown(graph):
 def test_component(spark, tmp_path):
     lines(tmp_path / "nodes.jsonl", [{"id": "d1", "text": "alpha", "lang": "en"}, "", {"text": "no id"}, {"id": 2}, {"id": "d1", "text": "beta"}])
     lines(tmp_path / "edges.jsonl", [["d1", "2"], {"src": "d1", "target": "x", "weight": 9}, ["d1"]])
-    nodes, edges = shown(read_graph(spark, "fastinsight", str(tmp_path), keep_source_reference=True))
+    nodes, edges = shown(read_graph(spark, "component", str(tmp_path), keep_source_reference=True))
     assert nodes[:2] == [("d1", "Chunk", "beta"), ("2", "Chunk", None)] and ("x", "Entity", None) in nodes
     assert edges == [("d1", "", "2", 1.0), ("d1", "", "x", 1.0)]
     assert SOURCES["component_graph"].can_read(str(tmp_path)) and not SOURCES["component_graph"].can_read(5)
@@ -53,7 +53,7 @@ def test_topology(spark, tmp_path):
         spark.createDataFrame([(i, c, [1.0, 0.0]) for i, c in rows], "hash_id string, content string, embedding array<float>").coalesce(1).write.parquet(str(folder / f"vdb_{name}.parquet"))
     spark.createDataFrame([("e1", "e3", 5.0), ("e3", "e1", 2.0)], "src string, dst string, weight double").write.parquet(str(work / "topology.parquet"))
     (tmp_path / "openie_results_ner_x.json").write_text(json.dumps({"docs": [{"idx": "c", "passage": "p", "extracted_entities": ["Alice", " "], "extracted_triples": [["Bob", "old", "Alice"], ["bob", "likes", "ALICE"], ["x", "y"]]}]}))
-    nodes, edges = shown(read_graph(spark, "hipporag", str(tmp_path)))
+    nodes, edges = shown(read_graph(spark, "topology-semantic", str(tmp_path)))
     assert [n[0] for n in nodes[:3]] == ["e1", "e2", "e3"] and nodes[3][2] == "carol"
     assert ("e1", "knows", "e3", 5.0) in edges and ("e3", "likes", "e1", 2.0) in edges and len(edges) == 3
     only = read_graph(spark, "openie", str(tmp_path))
@@ -69,13 +69,13 @@ def test_subgraph_union(spark, tmp_path):
     (tmp_path / "edges/0.csv").write_text("src,edge_attr,dst,weight\n0,on,1,2\n0,on,1,5\n")
     (tmp_path / "edges/1.csv").write_text("src,edge_attr,dst\n7,on,8\n")
     spark.createDataFrame([("1", "x", 0, [0.5])], "gid string, kind string, row_idx long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    g = read_graph(spark, "g-retriever", str(tmp_path))
+    g = read_graph(spark, "subgraph union", str(tmp_path))
     nodes, edges = shown(g)
     assert {n[0] for n in nodes} >= {"0:1", "1:8"} and len(nodes) == 3
     cube = next(r for r in g.nodes.collect() if r["text"])
     assert cube["text"] == "red, Cube" and cube["embedding"] == [0.5] and json.loads(json.loads(cube["metadata"])["graph_ids"]) == ["0", "1"]
     assert sorted(e[3] for e in edges) == [1.0, 5.0]
-    assert read_graph(spark, "g_retriever", str(tmp_path), graph_id="1").edges.count() == 1
+    assert read_graph(spark, "subgraph_union", str(tmp_path), graph_id="1").edges.count() == 1
 
 
 def test_triples(spark, tmp_path):
