@@ -19,6 +19,7 @@ their own.  An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -35,8 +36,8 @@ END = 1
 #: Tokens dealt to one partition, about, and the least that a served queue gives if it has it.
 PARTITION_TOKENS = 1 << 20
 QUANTUM = 64
-#: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+#: Words, and pieces of words, whose ids a worker remembers; it starts anew beyond that.
+REMEMBERED = 400_000
 RANGE_ROWS = 2000
 #: Sequence ids of one partition: at most this many.
 STRIDE = 1 << 20
@@ -56,12 +57,25 @@ def stored_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Letters whose lower case and composition are plain, then ASCII marks other than the apostrophe:
+#: such a word's tokens are those of its letters and those of its marks.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class WordEncoder:
     """Ids of whole texts through the ids of their words.
 
     This vocabulary's tokenizer drops white space and never joins tokens across it, so a text's
-    ids are its words' ids in order; a word is encoded once while it is remembered.  Texts that
-    hold a special token's string or white space beyond ASCII go to the tokenizer whole."""
+    ids are its words' ids in order; a word is encoded once while it is remembered.  Plain words
+    are cut in letters and marks, as the tokenizer cuts them, and go to its model directly; any
+    other word goes through the whole tokenizer, and so do texts with a special token's string."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,25 +83,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.stored = stored_type(self.tokenizer.get_vocab_size())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) > REMEMBERED:
+                self.pieces = {"": b""}
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return got
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text)
+        return self._piece(plain[1].lower()) + self._piece(plain[2]) if plain else self._whole(text)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self.special):
-            return self._ids([text])[0]
+            return self._whole(text)
         parts = text.encode().split()
         known = self.known
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            new = list({p for p in parts if p not in known})
+            new = {p for p in parts if p not in known}
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._ids([p.decode() for p in new]), strict=True))
+                new = set(parts)
+            for p in new:
+                known[p] = self._word(p)
             return b"".join(map(known.__getitem__, parts))
 
 
@@ -187,12 +219,14 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = encoder(path or vocabulary_path()).stored
         for b in batches:
-            out = []
-            for doc, source, n, ids, cuts in zip(*[b.column(c).to_pylist() for c in ("doc_id", "source", "doc_tokens", "ids", "pieces")], strict=True):
-                view = memoryview(np.frombuffer(ids, stored).astype("<u4").tobytes())
-                out += [(doc, p["start"], p["length"], zlib.crc32(view[4 * p["start"] : 4 * (p["start"] + p["length"])]), n, p["sequence_id"], p["offset"], source) for p in cuts]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 7 + [pa.string()], strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            lists = b.column("pieces")
+            cuts = lists.flatten()
+            start, length = cuts.field("start").to_numpy(), cuts.field("length").to_numpy()
+            of = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ids = [memoryview(np.frombuffer(x, stored).astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
+            crc = [zlib.crc32(ids[d][4 * s : 4 * (s + n)]) for d, s, n in zip(of.tolist(), start.tolist(), length.tolist(), strict=True)]
+            doc = pa.array(of)
+            yield pa.record_batch([b.column("doc_id").take(doc), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), b.column("doc_tokens").take(doc), cuts.field("sequence_id"), cuts.field("offset"), b.column("source").take(doc)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     return tokens.join(per_row, "row").select("doc_id", "source", "doc_tokens", "ids", "pieces").mapInArrow(checked, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 
