@@ -1,7 +1,8 @@
 """Operator 8: quality classifier by importance resampling.
 
 Two generative models over the same hashed word n-grams (1 and 2 words, cased): the target's,
-counted over documents labelled good, and the raw text's, counted over all documents.  A
+counted over documents labelled good (of at most ``FIT_ROWS`` labelled ones, those with the
+smallest id digests), and the raw text's, counted over all documents.  A
 document's weight is the mean over its n-grams of log target - log raw, so length does not
 decide.  Documents are sampled without replacement in proportion to the exponential of
 ``LENGTH`` times that mean: the k largest sums of log weight and Gumbel noise.
@@ -10,7 +11,7 @@ k follows from the labels: a threshold on the mean is chosen on labelled documen
 target model did not count, so that good documents are kept first of all; k is the number of
 all documents at or above it.
 
-Null or empty text: no evidence, weight 0, as any average document.  Without labels every
+Null or empty text: no evidence, weight 0, as any average document.  Without good labels every
 document is kept.  Keys that tie with the k-th are all kept.  Rows that repeat an id share its
 noise.  An empty table gives an empty result.  Extra columns are ignored.
 """
@@ -25,15 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import digest, written
+from graphloom.llm.common import digest, unveiled, veiled, written
 from graphloom.llm.tokens import U64, windows, words
 
 BITS = 18
 SIZES = (1, 2)
 SMOOTHING = 3.0
 LENGTH = 500.0
-#: Held-out labelled documents on which the threshold is chosen, at most, and the cost of losing a good one.
-FIT_ROWS = 20_000
+#: Labelled documents that the classifier is fitted on, at most: half of them for the target model,
+#: half to choose the threshold.  As their number is bounded, their ids are broadcast.
+FIT_ROWS = 50_000
+#: The cost of losing a good document, against keeping another.
 GOOD_COST = 5.0
 #: Cells of the counts that travel in one row.
 BLOCK = 1 << 14
@@ -118,7 +121,7 @@ def threshold(scores: np.ndarray, good: np.ndarray, cost: float = GOOD_COST) ->
     """The threshold with the least cost of good ones below and others at or above it.
 
     Between two scores it lies in the middle; of equally cheap thresholds the lowest is taken."""
-    if not len(scores) or good.all():
+    if not good.any() or good.all():
         return -np.inf
     order = np.argsort(scores, kind="stable")
     s, g = scores[order], good[order]
@@ -174,17 +177,14 @@ def keyed(scores: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of all of ``docs`` with the marks of ``labels`` (doc_id, quality)."""
     # Repeated labels of a document: good only if all are.
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
-    marks = marks.withColumn("fits", _place("_id", SEED + "-fold") % 2 == 0)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
+    share = min(1.0, 0.95 * FIT_ROWS / max(1, known.count()))
+    marks = F.broadcast(known.filter(_place("_id", SEED + "-sample") < F.lit(int(share * 4294967296))).withColumn("fits", _place("_id", SEED + "-fold") % 2 == 0))
     joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"), "left")
     table = ratios(_counted(joined.select("text", F.coalesce(F.col("good") & F.col("fits"), F.lit(False)).alias("target"))))
     scores = written(weighed(docs, table, "doc_id"), "quality-scores")
     judged = scores.join(marks.filter(~F.col("fits")), F.col("doc_id") == F.col("_id")).select("doc_id", "log_ratio", "good")
-    n = judged.count()
-    if not n:
-        return Model(table, -np.inf)
-    share = min(1.0, 0.95 * FIT_ROWS / n)
-    sample = judged.filter(_place("doc_id", SEED + "-sample") < F.lit(int(share * 4294967296))).toPandas()
+    sample = judged.toPandas()
     least = threshold(sample["log_ratio"].to_numpy(), sample["good"].to_numpy(dtype=bool))
     if not np.isfinite(least):
         return Model(table, least)
@@ -199,7 +199,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    return fit(docs, labels).judge(docs, *docs.columns).filter("kept").select(*docs.columns)
+    hidden = veiled(docs, "doc_id", "text")
+    return unveiled(fit(docs, labels).judge(hidden, *hidden.columns).filter("kept"), docs, "doc_id", "text")
 
 
 def op8_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
