@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import release, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,6 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         edges = written(_stars(_stars(edges, True), False), "stars")
+        release(edges.sparkSession)
         now = mark(edges)
         if now == before:
             break

@@ -15,9 +15,12 @@ other hot lists are thus skipped as long as others suffice, and none is ever cut
 
 Steps: (1) signatures are counted by the two-way exchange, and equal sets fall into classes with
 one representative; (2) each representative is verified against the smallest document it shares
-most of a few signatures with, which joins groups of near copies by stars; (3) lists that still
-meet two components are probed as allocated, and pairs of different components are verified
-exactly, by intersecting whole sets; (4) components are closed over all links.
+most of a few signatures with, which joins groups of near copies by stars; (3) lists that are
+probed and still meet two components send their documents to a cluster, named by the list's
+largest component; a document goes to a cluster once, however many lists name it, and the
+documents of a cluster are verified exactly by intersecting whole sets, in pairs of blocks where
+there are many; only links that join components leave a block; (4) components are closed over
+all links.
 
 Null or blank text: an empty set, linked with nothing, its own component.  Null doc_id: counted,
 but without links and with a null component.  Rows that repeat an id are one node.  An empty
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import exchange as X
-from graphloom.llm.common import written
+from graphloom.llm.common import release, written
 from graphloom.llm.components import components
 from graphloom.llm.substrings import doc_keys, text_of
 from graphloom.llm.tokens import U64, mix64, windows, words
@@ -45,6 +48,11 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: One segment in NEAR has a one-deletion neighbourhood; LEAD segments per band pair choose the document verified first.
 NEAR = 16
 LEAD = 4
+#: Signatures that must name a leader before it is verified first.
+NAMED = 2
+#: Documents of a block in which a cluster is verified, and shingles compared at a time.
+BLOCK = 1024
+COLUMNS = 8192
 SETS, COUNTS, LEADERS, MIXED = 1, 2, 3, 4
 _SIGN = U64(1 << 63)
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
@@ -293,9 +301,10 @@ def _found(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
             new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(d)))
-            best = np.lexsort((t[at], -times, d[at]))
+            at = at[times >= NAMED]
+            best = np.lexsort((t[at], -times[times >= NAMED], d[at]))
             dd = d[at][best]
-            top = best[np.concatenate([[True], dd[1:] != dd[:-1]])]
+            top = best[np.concatenate([[True], dd[1:] != dd[:-1]])] if len(dd) else best
             leader[d[at][top]] = _signed(t[at][top])
             has[d[at][top]] = True
     blobs = [X.pack(costs[s.first[i] : s.first[i + 1]]) if active[i] else None for i in range(n)]
@@ -336,45 +345,134 @@ def _entries(table: pa.Table, size: int) -> tuple[Sets, Signatures, np.ndarray]:
 
 
 def _ask_mixed(table: pa.Table, buckets: int, size: int) -> Iterator[tuple]:
-    _, s, costs = _entries(table, size)
+    """Per list: its largest component here (size, id), whether it has several, and whether a document here probes it."""
+    sets, s, costs = _entries(table, size)
     comp = table.column("component").to_numpy().view(U64) ^ _SIGN
-    at = np.flatnonzero(costs > 0)
-    ids = comp[s.doc[at]]
-    keys, _, least, order, run = _uniques(s.sig[at], ids)
-    most = ~_uniques(s.sig[at], ~ids)[2]
-    yield from X.questions(table.column("batch")[0].as_py(), MIXED, buckets, keys, least, (most != least).astype(U64))
+    members = table.column("members").to_numpy().astype(U64)
+    probes = s.allocate(costs, sets)
+    at = np.flatnonzero((costs > 0) & (probes | (s.kind != 1)))
+    doc = s.doc[at]
+    order = np.lexsort((~comp[doc], members[doc], s.sig[at]))
+    keys = s.sig[at][order]
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    c = comp[doc][order]
+    several = np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first) if len(first) else first
+    probed = np.logical_or.reduceat(probes[at][order], first) if len(first) else first
+    flags = several.astype(U64) | probed.astype(U64) << U64(1)
+    yield from X.questions(table.column("batch")[0].as_py(), MIXED, buckets, keys[last], members[doc][order][last], c[last], flags)
 
 
 def _answer_mixed(table: pa.Table) -> pa.Table:
+    """Of lists that are probed and meet two components, the largest component; it names a cluster."""
     bucket = table.column("bucket")[0].as_py()
-    keys, spans, (comp, several) = X.merged(table, MIXED)
-    order, starts, run = X.runs(keys)
+    keys, spans, (members, comp, flags) = X.merged(table, MIXED)
+    order = np.lexsort((~comp, members, keys))
+    k = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    run = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
     c = comp[order]
-    mixed = (np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts)) | np.logical_or.reduceat(several[order] > 0, starts)
-    out = _back(mixed, order, run)
-    return X.rows((b, MIXED, bucket, X.pack(X.pack_bits(out[a:z]))) for b, a, z in spans)
+    found = np.bitwise_or.reduceat(flags[order], first)
+    several = (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)) | (found & U64(1) > 0)
+    largest = c[np.append(first[1:], len(c)) - 1]
+    asked = several & (found & U64(2) > 0)
+    flag, cluster = _back(asked.astype(U64), order, run), _back(np.where(asked, largest, U64(0)), order, run)
+    return X.rows((b, MIXED, bucket, X.pack(flag[a:z], cluster[a:z])) for b, a, z in spans)
 
 
-ENTRY = "sig long, doc_id long, component long, n long, probes boolean, indexed boolean"
+MEMBER = "cluster long, doc_id long, component long, shingles binary"
 
 
-def _mixed_entries(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
-    """Entries of lists that meet two components: all of them as indexed, those allocated as probes."""
+def _members(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
+    """A row for each cluster that a document is in, with its whole set."""
     sets, s, costs = _entries(table, size)
-    at = np.flatnonzero(costs > 0)
-    keys, _, _, order, run = _uniques(s.sig[at], U64(0) * s.sig[at])
-    bits = X.answers(got, MIXED, keys, buckets, bits=True)
-    mixed = np.zeros(len(s.sig), bool)
-    if bits:
-        mixed[at] = _back(bits[0], order, run)
-    probes = s.allocate(np.where(mixed, costs, 0), sets) & mixed
-    indexed = mixed & (s.kind != 1)
-    keep = np.flatnonzero(probes | indexed)
-    doc = s.doc[keep]
-    return pa.table(
-        [pa.array(s.sig[keep].view(np.int64)), pa.array(table.column("doc_id").to_numpy()[doc]), pa.array(table.column("component").to_numpy()[doc]), pa.array(sets.sizes[doc]), pa.array(probes[keep]), pa.array(indexed[keep])],
-        names=["sig", "doc_id", "component", "n", "probes", "indexed"],
-    )
+    at = np.flatnonzero((costs > 0) & (s.allocate(costs, sets) | (s.kind != 1)))
+    order, starts, run = X.runs(s.sig[at])
+    answer = X.answers(got, MIXED, s.sig[at][order[starts]] if len(starts) else s.sig[at], buckets)
+    doc, cluster = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if answer:
+        flag, key = _back(answer[0], order, run) > 0, _signed(_back(answer[1], order, run))
+        both = np.unique(np.stack([s.doc[at][flag], key[flag]]), axis=1) if flag.any() else np.zeros((2, 0), np.int64)
+        doc, cluster = both
+    ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+    blobs = [sets.of[sets.first[i] : sets.first[i + 1]].tobytes() for i in doc]
+    return pa.table([pa.array(cluster, pa.int64()), pa.array(ids[doc], pa.int64()), pa.array(comp[doc], pa.int64()), pa.array(blobs, pa.binary())], names=["cluster", "doc_id", "component", "shingles"])
+
+
+def block_links(ids: list[int], comps: list[int], block: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between documents of different components, as many as join them; of two blocks only those across.
+
+    Intersections are counted exactly, as a product of the 0/1 matrix of the shared shingles."""
+    n = len(ids)
+    sizes = np.array([len(x) for x in sets])
+    comp, side = np.array(comps), np.array(block)
+    if n == 2:
+        both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
+    else:
+        vocabulary, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(n), sizes)
+        shared = counts[column] > 1
+        place = np.cumsum(counts > 1) - 1
+        row, column = row[shared], place[column[shared]]
+        both = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[row[lo:hi], column[lo:hi] - a] = 1
+            both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both
+    links = (DENOMINATOR * both >= NUMERATOR * union) & (comp[:, None] != comp[None, :])
+    if side.min() != side.max():
+        links &= side[:, None] != side[None, :]
+    parent = {c: c for c in comps}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(links, 1)), strict=True):
+        a, b = root(comps[i]), root(comps[j])
+        if a != b:
+            parent[a] = b
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of block pairs whose rows follow each other."""
+    held: list[tuple] = []
+    key = None
+
+    def done() -> list[tuple[int, int]]:
+        return block_links([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], [np.frombuffer(r[3], U64) for r in held]) if len(held) > 1 else []
+
+    for batch in batches:
+        out = []
+        cols = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "doc_id", "component", "b", "shingles")]
+        for cluster, p, q, *row in zip(*cols, strict=True):
+            if (cluster, p, q) != key:
+                out += done()
+                key, held = (cluster, p, q), []
+            held.append(row)
+        if out:
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+    out = done()
+    if out:
+        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+
+def cluster_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) within clusters.  A cluster beyond BLOCK documents is compared in pairs of blocks."""
+    # Written, so that its size is known: a small table is broadcast and the members stay where they are.
+    large = written(members.groupBy("cluster").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("cluster", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "jaccard-large")
+    cut = members.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = cut.select("cluster", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "doc_id", "component", "shingles")
+    return pairs.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(_verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -390,24 +488,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     counted = X.ask(held.groupBy("batch").applyInArrow(ask_first, X.MESSAGE), _answer)
     found = written(held.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(find, FOUND), "jaccard-found")
+    release(docs.sparkSession)
     active = found.filter("text is not null")
     texts = active.select("doc_id", "text")
     stars = written(verified(active.filter("leader is not null").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), texts, size), "jaccard-stars")
+    release(docs.sparkSession)
     joined = components(stars).withColumnRenamed("id", "_id")
-    located = active.join(joined, F.col("doc_id") == F.col("_id"), "left").select("batch", "doc_id", "text", "costs", F.coalesce("component", "doc_id").alias("component"))
+    sizes = joined.groupBy("component").agg(F.count("*").alias("members"))
+    placed = joined.join(sizes, "component").select("_id", "component", "members")
+    located = active.join(placed, F.col("doc_id") == F.col("_id"), "left").select("batch", "doc_id", "text", "costs", F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
 
     def ask_again(table: pa.Table) -> pa.Table:
         return X.rows(_ask_mixed(table, buckets, size))
 
     def enter(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _mixed_entries(table, X.by_batch(replies), buckets, size)
+        return _members(table, X.by_batch(replies), buckets, size)
 
     mixed = X.ask(located.groupBy("batch").applyInArrow(ask_again, X.MESSAGE), _answer_mixed)
-    entries = written(located.groupBy("batch").cogroup(mixed.groupBy("batch")).applyInArrow(enter, ENTRY), "jaccard-entries")
-    r, s = entries.filter("probes").alias("r"), entries.filter("indexed").alias("s")
-    near = (F.col("r.component") != F.col("s.component")) & (F.col("s.n") <= F.col("r.n")) & (F.col("s.n") * DENOMINATOR >= F.col("r.n") * NUMERATOR)
-    pairs = r.join(s, (F.col("r.sig") == F.col("s.sig")) & near).select(F.greatest("r.doc_id", "s.doc_id").alias("a"), F.least("r.doc_id", "s.doc_id").alias("b")).distinct()
-    links = written(stars.union(verified(pairs, texts, size)), "jaccard-links")
+    members = located.groupBy("batch").cogroup(mixed.groupBy("batch")).applyInArrow(enter, MEMBER)
+    gathered = written(members, "jaccard-members")
+    release(docs.sparkSession)
+    links = written(stars.union(cluster_links(gathered)), "jaccard-links")
+    release(docs.sparkSession)
     reached = components(links).withColumnRenamed("id", "_id")
     return found.join(reached, F.col("class_id") == F.col("_id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
