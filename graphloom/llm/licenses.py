@@ -44,7 +44,7 @@ def _terms(text: str) -> list[str]:
 
 
 def split_terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _NOT_TERM), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), _NOT_TERM), "")
 
 
 def term_weights(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
@@ -66,6 +66,12 @@ def own_licences(files: DataFrame, templates: dict[str, str], threshold: float)
     known = F.array(*[F.lit(t) for t in vocabulary])
     lines = files.filter("text is not null").select("row", F.explode(F.split("text", "\n")).alias("line")).select("row", split_terms(F.col("line")).alias("terms"))
     met = lines.withColumn("met", F.array_intersect("terms", known)).filter(F.size("met") > 1)
+    # A line's cosine is at most M / sqrt(M^2 + U), where M bounds the weight of its template terms
+    # (all their occurrences at the largest weight) and U that of its other terms (each once):
+    # lines that cannot reach the threshold need no exact vector.
+    others = F.size(F.array_except("terms", known))
+    most = (F.size("terms") - others) * F.array_max(F.transform("met", lambda t: weights[t]))
+    met = met.filter(most * most * (1 - threshold * threshold) >= threshold * threshold * others * other * other * 0.999)
     # Sum of squared counts of the terms of no template: run lengths of the sorted rest.
     rest = F.array_sort(F.filter("terms", lambda t: ~F.array_contains(known, t)))
     start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
