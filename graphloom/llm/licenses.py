@@ -3,9 +3,12 @@
 A notice is a line of a text; a licence file is one whose name starts with LICENSE, LICENCE,
 COPYING or NOTICE.  Lines of every whole text are compared with the template notices: terms are
 runs of ASCII letters and digits in lower case, a term's weight is its count times
-ln((1 + N) / (1 + df)) + 1 with df over all N texts, and the similarity is the cosine.  Terms
-that no template has count in a line's length with df 1.  A text's own licence is its most
-similar template at ``THRESHOLD`` or more (of equals the first by name).
+ln((1 + N) / (1 + df)) + 1 with df over all N texts, also for terms that no template has, and the
+similarity is the cosine.  A text's own licence is its most similar template at ``THRESHOLD`` or
+more (of equals the first by name).
+
+Lines that cannot reach the threshold by exact bounds are left out before vectors are built; only
+the terms of the others are counted over all texts.
 
 A file without a licence of its own takes that of the nearest ancestor directory, its own
 directory first, that directly holds a licence file with one; of several the most similar, then
@@ -17,9 +20,12 @@ from it.  Repeated rows each get a result.  An empty table gives an empty result
 
 from __future__ import annotations
 
+import functools
+import json
 import math
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
@@ -35,6 +41,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.7
+#: Room for rounding in bounds.
+SLACK = 1e-5
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)"
 _NOT_TERM = "[^a-z0-9]+"
 
@@ -47,53 +55,89 @@ def split_terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _NOT_TERM), "")
 
 
-def term_weights(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the templates' terms, and of any other term."""
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    found = texts.select(F.explode(F.array_intersect(known, split_terms(F.col("text")))).alias("term"))
-    df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per template term at most
-    n = texts.count()
-    idf = lambda d: math.log((1 + n) / (1 + d)) + 1
-    return {t: idf(df.get(t, 0)) for t in vocabulary}, max(idf(1), 1.0)
-
-
-def own_licences(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(row, licence, similarity) of the files that have a licence of their own.  ``files``: row, text."""
-    counted = {name: {t: _terms(text).count(t) for t in _terms(text)} for name, text in sorted(templates.items())}
-    vocabulary = sorted({t for terms in counted.values() for t in terms})
-    idf, other = term_weights(files, vocabulary)
-    weights = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(idf[t]))])
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    lines = files.filter("text is not null").select("row", F.explode(F.split("text", "\n")).alias("line")).select("row", split_terms(F.col("line")).alias("terms"))
-    met = lines.withColumn("met", F.array_intersect("terms", known)).filter(F.size("met") > 1)
-    # A line's cosine is at most M / sqrt(M^2 + U), where M bounds the weight of its template terms
-    # (all their occurrences at the largest weight) and U that of its other terms (each once):
-    # lines that cannot reach the threshold need no exact vector.
-    others = F.size(F.array_except("terms", known))
-    most = (F.size("terms") - others) * F.array_max(F.transform("met", lambda t: weights[t]))
-    met = met.filter(most * most * (1 - threshold * threshold) >= threshold * threshold * others * other * other * 0.999)
-    # Sum of squared counts of the terms of no template: run lengths of the sorted rest.
-    rest = F.array_sort(F.filter("terms", lambda t: ~F.array_contains(known, t)))
-    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-    squares = F.aggregate(
-        rest,
-        start,
-        lambda a, t: F.when(a["last"] == t, F.struct(t.alias("last"), (a["run"] + 1.0).alias("run"), (a["sum"] + 2.0 * a["run"] + 1.0).alias("sum"))).otherwise(F.struct(t.alias("last"), F.lit(1.0).alias("run"), (a["sum"] + 1.0).alias("sum"))),
-        lambda a: a["sum"],
-    )
-    weighed = met.withColumn("met", F.transform("met", lambda t: F.struct(t.alias("term"), (F.size(F.filter("terms", lambda u: u == t)) * weights[t]).alias("w"))))
-    length = F.sqrt(F.aggregate("met", F.lit(0.0), lambda a, m: a + m["w"] * m["w"]) + F.lit(other * other) * squares)
-    weighed = weighed.withColumn("length", length)
-
-    def similar(name: str, terms: dict[str, int]) -> Column:
-        size = math.sqrt(sum((n * idf[t]) ** 2 for t, n in sorted(terms.items())))
-        vector = F.create_map(*[x for t, n in sorted(terms.items()) for x in (F.lit(t), F.lit(n * idf[t]))])
-        dot = F.aggregate("met", F.lit(0.0), lambda a, m: a + m["w"] * F.coalesce(vector[m["term"]], F.lit(0.0)))
-        return F.struct((-F.round(dot / (F.col("length") * F.lit(size)), 6)).alias("order"), F.lit(name).alias("licence"))
-
-    options = [similar(name, terms) for name, terms in counted.items()]
-    best = weighed.select("row", F.array_min(F.array(*options)).alias("best")).filter(F.col("best.order") <= -threshold)
-    return best.groupBy("row").agg(F.min("best").alias("best")).select("row", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("similarity"))
+def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the templates, to be broadcast."""
+    return F.broadcast(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("v")).select("v.*"))
+
+
+def document_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df): the number of texts that hold each of the wanted terms that any does."""
+    found = texts.filter("text is not null").select(F.explode(F.array_distinct(split_terms(F.col("text")))).alias("term"))
+    return found.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def may_reach(low: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
+    """Whether a text in lower case may reach the threshold with any of the vectors.
+
+    The cosine is at most the length of a vector's part of terms that the text holds, over its
+    whole length.  Only the heaviest terms are looked up; the rest count as held."""
+    options = []
+    for vector in vectors:
+        heavy, rest = sorted(((w * w, t) for t, w in vector.items()), reverse=True), sum(w * w for w in vector.values())
+        least = (max(threshold, 0.0) - SLACK) ** 2 * rest
+        looked, spare = [], least / 2
+        while heavy and rest > spare:
+            square, term = heavy.pop(0)
+            looked.append((square, term))
+            rest -= square
+        held = F.lit(rest)
+        for square, term in looked:
+            held = held + F.when(F.contains(low, F.lit(term)), square).otherwise(0.0)
+        options.append(held >= least * (1 - SLACK))
+    return functools.reduce(lambda x, y: x | y, options)
+
+
+class Templates:
+    """The templates as vectors over the corpus."""
+
+    def __init__(self, texts: DataFrame, templates: dict[str, str]):
+        spark = texts.sparkSession
+        counted = [(name, Counter(_terms(text))) for name, text in sorted(templates.items())]
+        counted = [(name, terms) for name, terms in counted if terms]
+        self.n = texts.count()
+        vocabulary = sorted({t for _, terms in counted for t in terms})
+        wanted = _literal(spark, [{"term": t} for t in vocabulary], "term string")
+        df = {r["term"]: r["df"] for r in document_frequencies(texts, wanted).collect()}  # a row per template term at most
+        idf = {t: math.log((1 + self.n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
+        self.weights = _literal(spark, [{"term": t, "idf": w} for t, w in idf.items()], "term string, idf double")
+        self.vectors, parts = [], []
+        for name, terms in counted:
+            vector = {t: k * idf[t] for t, k in sorted(terms.items())}
+            size = math.sqrt(sum(w * w for w in vector.values()))
+            parts += [{"term": t, "template": len(self.vectors), "licence": name, "part": w / size} for t, w in vector.items()]
+            self.vectors.append(vector)
+        self.parts = _literal(spark, parts, "term string, template int, licence string, part double")
+
+
+def units(text: Column) -> Column:
+    """What is compared with the templates: the lines of a text."""
+    return F.array_distinct(F.split(text, "\n"))
+
+
+def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, threshold: float) -> DataFrame:
+    """(row, licence, similarity) of the files that have a licence of their own.
+
+    ``kept``: row, text of the files that may have one; ``texts``: the text of all."""
+    lines = kept.filter("text is not null").select("row", F.posexplode(units(F.col("text"))).alias("unit", "words"))
+    lines = lines.filter(may_reach(F.lower("words"), templates.vectors, threshold))
+    counts = lines.select("row", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("n"))
+    counts = written(counts.join(templates.weights, "term", "left"), "licence-terms")
+    dots = counts.join(templates.parts, "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"), F.count("*").alias("met")).filter("met > 1")
+    # No term's weight is below 1, so a line is at least as long as with weight 1 for terms of no template.
+    least = counts.groupBy("row", "unit").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("least"))
+    possible = written(dots.join(least, ["row", "unit"]).filter(F.col("dot") >= (threshold - SLACK) * F.col("least")).select("row", "unit", "licence", "dot"), "licence-candidates")
+    terms = counts.join(possible.select("row", "unit").distinct(), ["row", "unit"], "left_semi")
+    others = terms.filter("idf is null").select("term").distinct()
+    if others.isEmpty():
+        weighed = terms
+    else:
+        df = written(document_frequencies(texts, others), "licence-df")
+        true = F.log((1.0 + templates.n) / (1.0 + F.col("df"))) + 1.0
+        weighed = terms.join(df, "term", "left").withColumn("idf", F.coalesce("idf", true))
+    size = weighed.groupBy("row", "unit").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("size"))
+    similar = possible.join(size, ["row", "unit"]).select("row", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    best = similar.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "licence")).alias("best"))
+    return best.select("row", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("similarity"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -106,8 +150,12 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     """row, licence, similarity, origin (own, inherited or none), licence_path.
 
     ``files``: row (unique), path, text."""
-    files = files.select("row", "path", "text")
-    own = written(own_licences(files.select("row", "text"), templates or TEMPLATES, threshold), "licences")
+    texts = files.select("text")
+    vectors = Templates(texts, templates or TEMPLATES)
+    may = may_reach(F.col("low"), vectors.vectors, threshold)
+    files = files.select("row", "path", "text", F.lower("text").alias("low"))
+    files = written(files.select("row", "path", F.when(may, F.col("text")).alias("text")), "licence-files")
+    own = written(own_licences(files, texts, vectors, threshold), "licences")
     named = files.select("row", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")).join(own, "row", "left")
     holders = named.filter(F.col("licence").isNotNull() & F.col("name").rlike(LICENCE_FILE)).groupBy("directory").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("holder"))
     holders = holders.select(F.col("directory").alias("ancestor"), F.col("holder.path").alias("licence_path"), F.col("holder.licence").alias("given"))
