@@ -1,13 +1,13 @@
 """Operator 2: licence scan by sparse TF-IDF cosine and directory inheritance, in DataFrame operations only.
 
-A notice is a line of a text; a licence file is one whose name starts with LICENSE, LICENCE,
-COPYING or NOTICE.  Lines of every whole text are compared with the template notices: terms are
-runs of ASCII letters and digits in lower case, a term's weight is its count times
+A licence file is one whose name starts with LICENSE, LICENCE, COPYING or NOTICE.  Every line of a
+text, every block between blank lines (a header is one) and every whole text are compared with
+the templates, which are one-line notices, headers and full licence texts: terms are runs of ASCII letters and digits in lower case, a term's weight is its count times
 ln((1 + N) / (1 + df)) + 1 with df over all N texts, also for terms that no template has, and the
 similarity is the cosine.  A text's own licence is its most similar template at ``THRESHOLD`` or
 more (of equals the first by name).
 
-Lines that cannot reach the threshold by exact bounds are left out before vectors are built; only
+Pieces that cannot reach the threshold by exact bounds are left out before vectors are built; only
 the terms of the others are counted over all texts.
 
 A file without a licence of its own takes that of the nearest ancestor directory, its own
@@ -24,6 +24,7 @@ import functools
 import json
 import math
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +41,40 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Headers as they stand on top of source files, by licence name.
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+#: Parts that name a licence where blank lines cut a header.
+OPENINGS = {
+    "Apache-2.0": " ".join(HEADERS["Apache-2.0"].split("\n")[:2]),
+    "GPL-3.0": " ".join(HEADERS["GPL-3.0"].split("\n")[:3]),
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:""",
+}
+#: Files with the full texts of licences, by licence name.
+FULL_TEXTS = Path(__file__).parent / "licence_texts"
 THRESHOLD = 0.7
 #: Room for rounding in bounds.
 SLACK = 1e-5
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)"
+BLANK_LINES = r"\n[ \t\r\f]*(?:\n[ \t\r\f]*)*\n"
 _NOT_TERM = "[^a-z0-9]+"
 
 
@@ -90,9 +121,9 @@ def may_reach(low: Column, vectors: list[dict[str, float]], threshold: float) ->
 class Templates:
     """The templates as vectors over the corpus."""
 
-    def __init__(self, texts: DataFrame, templates: dict[str, str]):
+    def __init__(self, texts: DataFrame, templates: list[tuple[str, str]]):
         spark = texts.sparkSession
-        counted = [(name, Counter(_terms(text))) for name, text in sorted(templates.items())]
+        counted = [(name, Counter(_terms(text))) for name, text in sorted(templates)]
         counted = [(name, terms) for name, terms in counted if terms]
         self.n = texts.count()
         vocabulary = sorted({t for _, terms in counted for t in terms})
@@ -109,21 +140,27 @@ class Templates:
         self.parts = _literal(spark, parts, "term string, template int, licence string, part double")
 
 
+def built_in() -> list[tuple[str, str]]:
+    """Notices, headers and full texts with their licences' names."""
+    full = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(FULL_TEXTS.glob("*.txt"))]
+    return [*TEMPLATES.items(), *HEADERS.items(), *OPENINGS.items(), *full]
+
+
 def units(text: Column) -> Column:
-    """What is compared with the templates: the lines of a text."""
-    return F.array_distinct(F.split(text, "\n"))
+    """What is compared with the templates: the lines of a text, its blocks between blank lines, and the whole."""
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, BLANK_LINES), F.array(text)))
 
 
 def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, threshold: float) -> DataFrame:
     """(row, licence, similarity) of the files that have a licence of their own.
 
     ``kept``: row, text of the files that may have one; ``texts``: the text of all."""
-    lines = kept.filter("text is not null").select("row", F.posexplode(units(F.col("text"))).alias("unit", "words"))
-    lines = lines.filter(may_reach(F.lower("words"), templates.vectors, threshold))
-    counts = lines.select("row", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("n"))
+    pieces = kept.filter("text is not null").select("row", F.posexplode(units(F.col("text"))).alias("unit", "words"))
+    pieces = pieces.filter(may_reach(F.lower("words"), templates.vectors, threshold))
+    counts = pieces.select("row", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("n"))
     counts = written(counts.join(templates.weights, "term", "left"), "licence-terms")
     dots = counts.join(templates.parts, "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"), F.count("*").alias("met")).filter("met > 1")
-    # No term's weight is below 1, so a line is at least as long as with weight 1 for terms of no template.
+    # No term's weight is below 1, so a piece is at least as long as with weight 1 for terms of no template.
     least = counts.groupBy("row", "unit").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("least"))
     possible = written(dots.join(least, ["row", "unit"]).filter(F.col("dot") >= (threshold - SLACK) * F.col("least")).select("row", "unit", "licence", "dot"), "licence-candidates")
     terms = counts.join(possible.select("row", "unit").distinct(), ["row", "unit"], "left_semi")
@@ -151,7 +188,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
 
     ``files``: row (unique), path, text."""
     texts = files.select("text")
-    vectors = Templates(texts, templates or TEMPLATES)
+    vectors = Templates(texts, list(templates.items()) if templates else built_in())
     may = may_reach(F.col("low"), vectors.vectors, threshold)
     files = files.select("row", "path", "text", F.lower("text").alias("low"))
     files = written(files.select("row", "path", F.when(may, F.col("text")).alias("text")), "licence-files")

@@ -51,3 +51,26 @@ def test_common_words_beside_a_notice(spark):
     want = brute_force(texts, sorted(licenses.TEMPLATES.items()), lambda t: t.split("\n"))
     assert [g[0] for g in got] == [w[0] for w in want]
     assert [g[1] for g in got if g[0]] == pytest.approx([w[1] for w in want if w[0]], abs=2e-6)
+
+
+def pieces(text):
+    return [*text.split("\n"), *re.split(licenses.BLANK_LINES, text), text]
+
+
+def test_headers_and_full_texts(spark):
+    """Wrapped headers and whole licence texts are found; each equals brute force over lines, blocks and whole texts."""
+    prose = [f"tree {i} and the river {i * 7} of a valley\nstone w{i}" for i in range(300)]
+    full = dict((n, t) for n, t in licenses.built_in() if t.count("\n") > 15)
+    gpl = "\n".join(" * " + line for line in licenses.HEADERS["GPL-3.0"].split("\n"))
+    mit = full["MIT"].replace("<year> <copyright holders>", "2024 A Person")
+    texts = [*prose, f"/*\n{gpl}\n */\n\nint main() {{ return 0; }}\n", f"{mit}\n", full["Apache-2.0"], full["GPL-3.0"], full["MPL-2.0"], full["BSD-3-Clause"], licenses.HEADERS["MPL-2.0"].replace(" ", "\n# "), licenses.OPENINGS["GPL-3.0"].replace(" You", "\nYou") + "\n \n" + prose[0]]
+    got = scanned(spark, texts)
+    assert [g[0] for g in got[300:]] == ["GPL-3.0", "MIT", "Apache-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause", "MPL-2.0", "GPL-3.0"]
+    want = brute_force(texts, licenses.built_in(), pieces)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got if g[0]] == pytest.approx([w[1] for w in want if w[0]], abs=2e-6)
+
+
+def test_own_template_of_several_lines(spark):
+    texts = ["You may copy this\nfreely and without fee\nfor ever.", "Nothing to see"]
+    assert [g[0] for g in scanned(spark, texts, {"own": texts[0]})] == ["own", None]
