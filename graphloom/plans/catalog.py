@@ -124,17 +124,17 @@ def vector_topk(spark, sf_dir):
 
 @query(_topk(COS))
 def vector_topk_batch(spark, sf_dir):
-    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_vectors(spark, sf_dir, 20), 5))
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_set(spark, sf_dir), 5))
 
 
 @query(_topk(L2))
 def vector_topk_l2(spark, sf_dir):
-    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes, "l2sq").search(B.query_vectors(spark, sf_dir, 20), 5))
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes, "l2sq").search(B.query_set(spark, sf_dir), 5))
 
 
 @query(_topk(COS, where="label = 3"))
 def vector_topk_filtered(spark, sf_dir):
-    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_vectors(spark, sf_dir, 20), 5, where={"label": 3}))
+    return _hits(B.index(B.vector_graph(spark, sf_dir).nodes).search(B.query_set(spark, sf_dir), 5, where={"label": 3}))
 
 
 _TOKENS = WORDS.split()

@@ -66,6 +66,11 @@ def query_vectors(spark: SparkSession, sf_dir: str, below: int) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches' queries: every row whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
     row = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
     return [float(x) for x in row["embedding"]]
