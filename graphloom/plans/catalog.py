@@ -194,9 +194,7 @@ def endpoint_closure(spark, sf_dir):
 
 @query(f"WITH {KG_EDGES}, b AS (SELECT source AS id, target AS n FROM ke WHERE relation IN ('in_region', 'in_nation') UNION SELECT target, source FROM ke WHERE relation IN ('in_region', 'in_nation')) SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM b GROUP BY id")
 def adjacency_list(spark, sf_dir):
-    graph = B.knowledge_graph(spark, sf_dir)
-    some = G.PropertyGraph(graph.nodes, graph.edges.filter("relation in ('in_region', 'in_nation')"))
-    return G.adjacency(some).select("id", F.array_join("neighbours", ",").alias("neighbours"))
+    return G.adjacency(B.knowledge_graph(spark, sf_dir)).select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 def _seed(spark):
@@ -228,7 +226,7 @@ def first_wins(spark, sf_dir):
 
 @query(f"WITH {KG_NODES} SELECT id, text AS label, type AS \"group\", id AS title FROM kn WHERE type IN ('Region', 'Nation')")
 def node_labels(spark, sf_dir):
-    nodes = B.knowledge_nodes(spark, sf_dir).filter("type in ('Region', 'Nation')").withColumn("metadata", F.to_json(F.struct(F.lit("x").alias("original_label"))))
+    nodes = B.knowledge_nodes(spark, sf_dir).withColumn("metadata", F.to_json(F.struct(F.lit("x").alias("original_label"))))
     return G.labels(nodes)
 
 
@@ -474,7 +472,7 @@ def export_jsonl_roundtrip(spark, sf_dir):
     """Edges written as JSON lines and read back."""
     from graphloom.sources.sinks import edge_lines
 
-    edges = edge_lines(B.knowledge_edges(spark, sf_dir).filter("relation in ('in_region', 'in_nation')"))
+    edges = edge_lines(B.knowledge_edges(spark, sf_dir))
     return edges.select(F.from_json("value", "source string, target string, relation string, weight string").alias("e")).select("e.source", "e.target", "e.relation", F.col("e.weight").cast("double").alias("weight"))
 
 

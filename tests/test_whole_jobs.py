@@ -13,6 +13,9 @@ WHOLE = {
     "vector_topk_batch": catalog._topk(catalog.COS, **HUNDREDTHS),
     "vector_topk_l2": catalog._topk(catalog.L2, **HUNDREDTHS),
     "vector_topk_filtered": catalog._topk(catalog.COS, where="label = 3", **HUNDREDTHS),
+    "adjacency_list": f"WITH {catalog.KG_EDGES}, b AS (SELECT source AS id, target AS n FROM ke UNION SELECT target, source FROM ke) SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM b GROUP BY id",
+    "node_labels": f"WITH {catalog.KG_NODES} SELECT id, text AS label, type AS \"group\", id AS title FROM kn",
+    "export_jsonl_roundtrip": f"WITH {catalog.KG_EDGES} SELECT source, target, relation, weight FROM ke",
 }
 
 
