@@ -152,18 +152,18 @@ def units(text: Column) -> Column:
 
 
 def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, threshold: float) -> DataFrame:
-    """(row, licence, similarity) of the files that have a licence of their own.
+    """(key, licence, similarity) of the files that have a licence of their own.
 
-    ``kept``: row, text of the files that may have one; ``texts``: the text of all."""
-    pieces = kept.filter("text is not null").select("row", F.posexplode(units(F.col("text"))).alias("unit", "words"))
+    ``kept``: key (unique), text of the files that may have one; ``texts``: the text of all."""
+    pieces = kept.filter("text is not null").select("key", F.posexplode(units(F.col("text"))).alias("unit", "words"))
     pieces = pieces.filter(may_reach(F.lower("words"), templates.vectors, threshold))
-    counts = pieces.select("row", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("n"))
+    counts = pieces.select("key", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("n"))
     counts = written(counts.join(templates.weights, "term", "left"), "licence-terms")
-    dots = counts.join(templates.parts, "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"), F.count("*").alias("met")).filter("met > 1")
+    dots = counts.join(templates.parts, "term").groupBy("key", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"), F.count("*").alias("met")).filter("met > 1")
     # No term's weight is below 1, so a piece is at least as long as with weight 1 for terms of no template.
-    least = counts.groupBy("row", "unit").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("least"))
-    possible = written(dots.join(least, ["row", "unit"]).filter(F.col("dot") >= (threshold - SLACK) * F.col("least")).select("row", "unit", "licence", "dot"), "licence-candidates")
-    terms = counts.join(possible.select("row", "unit").distinct(), ["row", "unit"], "left_semi")
+    least = counts.groupBy("key", "unit").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("least"))
+    possible = written(dots.join(least, ["key", "unit"]).filter(F.col("dot") >= (threshold - SLACK) * F.col("least")).select("key", "unit", "licence", "dot"), "licence-candidates")
+    terms = counts.join(possible.select("key", "unit").distinct(), ["key", "unit"], "left_semi")
     others = terms.filter("idf is null").select("term").distinct()
     if others.isEmpty():
         weighed = terms
@@ -171,10 +171,10 @@ def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, thresh
         df = written(document_frequencies(texts, others), "licence-df")
         true = F.log((1.0 + templates.n) / (1.0 + F.col("df"))) + 1.0
         weighed = terms.join(df, "term", "left").withColumn("idf", F.coalesce("idf", true))
-    size = weighed.groupBy("row", "unit").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("size"))
-    similar = possible.join(size, ["row", "unit"]).select("row", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
-    best = similar.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "licence")).alias("best"))
-    return best.select("row", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("similarity"))
+    size = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("size"))
+    similar = possible.join(size, ["key", "unit"]).select("key", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    best = similar.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "licence")).alias("best"))
+    return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("similarity"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -186,14 +186,14 @@ def ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """row, licence, similarity, origin (own, inherited or none), licence_path.
 
-    ``files``: row (unique), path, text."""
+    ``files``: row (any value, null or repeated too), path, text."""
     texts = files.select("text")
     vectors = Templates(texts, list(templates.items()) if templates else built_in())
     may = may_reach(F.col("low"), vectors.vectors, threshold)
     files = files.select("row", "path", "text", F.lower("text").alias("low"))
-    files = written(files.select("row", "path", F.when(may, F.col("text")).alias("text")), "licence-files")
+    files = written(files.select(F.monotonically_increasing_id().alias("key"), "row", "path", F.when(may, F.col("text")).alias("text")), "licence-files")
     own = written(own_licences(files, texts, vectors, threshold), "licences")
-    named = files.select("row", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")).join(own, "row", "left")
+    named = files.select("key", "row", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")).join(own, "key", "left")
     holders = named.filter(F.col("licence").isNotNull() & F.col("name").rlike(LICENCE_FILE)).groupBy("directory").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("holder"))
     holders = holders.select(F.col("directory").alias("ancestor"), F.col("holder.path").alias("licence_path"), F.col("holder.licence").alias("given"))
     directories = files.filter("path is not null").select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory")).distinct().select("directory", F.explode(ancestors(F.col("directory"))).alias("up")).select("directory", "up.ancestor", "up.depth")

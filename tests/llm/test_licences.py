@@ -74,3 +74,12 @@ def test_headers_and_full_texts(spark):
 def test_own_template_of_several_lines(spark):
     texts = ["You may copy this\nfreely and without fee\nfor ever.", "Nothing to see"]
     assert [g[0] for g in scanned(spark, texts, {"own": texts[0]})] == ["own", None]
+
+
+def test_null_and_repeated_ids(spark):
+    """Every row gets its own result, whatever its id."""
+    note = "Released under the MIT License."
+    rows = [(None, note, "a"), (None, "plain words", "a"), (3, note, "b"), (3, "plain words too", "b"), (3, "Licensed under the Apache License, Version 2.0.", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r["doc_id"]), str(r["licence"]), r["origin"]) for r in licenses.op2_license_scan(docs).collect())
+    assert got == [("3", "Apache-2.0", "own"), ("3", "MIT", "own"), ("3", "None", "none"), ("None", "MIT", "own"), ("None", "None", "none")]
