@@ -159,7 +159,7 @@ def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, thresh
     pieces = pieces.filter(may_reach(F.lower("words"), templates.vectors, threshold))
     counts = pieces.select("key", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("n"))
     counts = written(counts.join(templates.weights, "term", "left"), "licence-terms")
-    dots = counts.join(templates.parts, "term").groupBy("key", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"), F.count("*").alias("met")).filter("met > 1")
+    dots = counts.join(templates.parts, "term").groupBy("key", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"))
     # No term's weight is below 1, so a piece is at least as long as with weight 1 for terms of no template.
     least = counts.groupBy("key", "unit").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("least"))
     possible = written(dots.join(least, ["key", "unit"]).filter(F.col("dot") >= (threshold - SLACK) * F.col("least")).select("key", "unit", "licence", "dot"), "licence-candidates")

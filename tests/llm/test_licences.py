@@ -83,3 +83,7 @@ def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((str(r["doc_id"]), str(r["licence"]), r["origin"]) for r in licenses.op2_license_scan(docs).collect())
     assert got == [("3", "Apache-2.0", "own"), ("3", "MIT", "own"), ("3", "None", "none"), ("None", "MIT", "own"), ("None", "None", "none")]
+
+
+def test_template_of_one_word(spark):
+    assert [g[0] for g in scanned(spark, ["The text\nUnlicense", "no such word"], {"Unlicense": "Unlicense"})] == ["Unlicense", None]
