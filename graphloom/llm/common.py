@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,32 +12,54 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark drops a query's shuffle files when it ends, on all executors, while this is set.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEFT_TO_EXIT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor sees: spark.checkpoint.dir.  Only a local master (tests) may do without."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
-        current = spark.sparkContext.getCheckpointDir()
-        set_dir = current or tempfile.mkdtemp(prefix="graphloom-shared-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(set_dir)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        set_dir = tempfile.mkdtemp(prefix="graphloom-shared-")
+        spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a zstd parquet table in the shared folder: cuts lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a zstd parquet table in the shared folder: cuts lineage and outlives any executor.
 
-    It drops them when the driver's garbage is collected, which may be long after a job whose
-    results are written; a step with several large jobs would keep all their shuffles on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The shuffle files that made it go when it is written; the application's tables go when it exits."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    if folder not in _LEFT_TO_EXIT:
+        fs, at = _hadoop_path(spark, folder)
+        fs.deleteOnExit(at)
+        _LEFT_TO_EXIT.add(folder)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned and that no later plan reads."""
+    for table in tables:
+        fs, at = _hadoop_path(table.sparkSession, table._written_to)
+        fs.delete(at, True)
 
 
 def parallelism(spark: SparkSession) -> int:

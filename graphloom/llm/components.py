@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import release, written
+from graphloom.llm.common import dropped, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,8 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first()
     before = mark(edges)
     while before[0]:
-        edges = written(_stars(_stars(edges, True), False), "stars")
-        release(edges.sparkSession)
+        last, edges = edges, written(_stars(_stars(edges, True), False), "stars")
+        dropped(last)
         now = mark(edges)
         if now == before:
             break

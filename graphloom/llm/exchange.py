@@ -142,9 +142,9 @@ def merged(table: pa.Table, tag: int) -> tuple[np.ndarray, list[tuple[int, int,
     return np.concatenate(keys), spans, [np.concatenate(c) for c in zip(*rest)]
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(keys: np.ndarray, stable: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, start of each run in that order, run of each ordered entry) of equal keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable" if stable else None)
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]

@@ -3,24 +3,25 @@
 A document's set is its distinct ``SHINGLE``-word shingles.  Two sets R and S with
 |S| <= |R| and Jaccard similarity of 3/4 or more differ in at most H = floor((|R| + |S|) / 7)
 shingles, and |S| >= 3/4 |R|.  Sizes are cut in bands that grow by 4/3, so a partner lies in the
-same band or in the next.  For each pair of bands the universe of shingle hashes is cut in more
-than H segments; a set's subset in a segment is its signature there.
+same band or in the next.  Each band cuts the universe of shingle hashes in more segments than H
+can be for its sets and any larger partner; a set's subset in a segment is its signature there.
 
 Pigeonhole with cost-based allocation: give segment i of R a number v_i of 0 (skipped), 1 (equal
 subsets) or 2 (subsets that differ in one shingle at most).  If the v_i add up to H + 1, a
-partner must meet one of them.  S is indexed under all its subsets, and in every ``NEAR``-th
-segment under the one-deletion neighbourhood too; R probes the cheapest units that add up, where a
-unit's cost is the length of the list it meets.  Subsets of frequent passages, empty subsets and
-other hot lists are thus skipped as long as others suffice, and none is ever cut off.
+partner must meet one of them.  Every set is indexed by the segments of its band, and in every
+``NEAR``-th segment by the one-deletion neighbourhood of its subset too.  R, as the larger one,
+probes by the segments of its own band and of the band below, in each the cheapest units that add
+up, where a unit's cost is the length of the list it meets.  Subsets of frequent passages, empty
+subsets and other hot lists are thus skipped as long as others suffice, and none is ever cut off.
 
 Steps: (1) signatures are counted by the two-way exchange, and equal sets fall into classes with
 one representative; (2) each representative is verified against the smallest document it shares
 most of a few signatures with, which joins groups of near copies by stars; (3) lists that are
-probed and still meet two components send their documents to a cluster, named by the list's
-largest component; a document goes to a cluster once, however many lists name it, and the
-documents of a cluster are verified exactly by intersecting whole sets, in pairs of blocks where
-there are many; only links that join components leave a block; (4) components are closed over
-all links.
+probed and still meet two components go to a cluster, named by the list's document with the
+smallest hash, which is the same for most lists of a group of copies; the documents of a cluster
+are verified exactly by intersecting whole sets, a large cluster in pairs of blocks, of which those
+within its main component are left out; only links that join components leave a block; (4)
+components are closed over all links.
 
 Null or blank text: an empty set, linked with nothing, its own component.  Null doc_id: counted,
 but without links and with a null component.  Rows that repeat an id are one node.  An empty
@@ -33,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import exchange as X
-from graphloom.llm.common import release, written
+from graphloom.llm.common import dropped, written
 from graphloom.llm.components import components
 from graphloom.llm.substrings import doc_keys, text_of
 from graphloom.llm.tokens import U64, mix64, windows, words
@@ -45,14 +47,16 @@ from graphloom.llm.tokens import U64, mix64, windows, words
 SHINGLE = 5
 #: Similarity of NUMERATOR / DENOMINATOR or more links.
 NUMERATOR, DENOMINATOR = 75, 100
-#: One segment in NEAR has a one-deletion neighbourhood; LEAD segments per band pair choose the document verified first.
+#: One segment in NEAR has a one-deletion neighbourhood; one in SPARE is more than needed, so that hot ones can be skipped.
 NEAR = 16
+SPARE = 12
+#: Segments, of each band a set is cut by, that choose the document it is verified against first.
 LEAD = 4
 #: Signatures that must name a leader before it is verified first.
 NAMED = 2
 #: Documents of a block in which a cluster is verified, and shingles compared at a time.
-BLOCK = 1024
-COLUMNS = 8192
+BLOCK = 2048
+COLUMNS = 4096
 SETS, COUNTS, LEADERS, MIXED = 1, 2, 3, 4
 _SIGN = U64(1 << 63)
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
@@ -76,14 +80,11 @@ def most_differences(larger: np.ndarray, smaller: np.ndarray) -> np.ndarray:
     return (larger + smaller) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
-def segments(band: np.ndarray, next_band: bool) -> np.ndarray:
-    """Segments for sets of a band with their own band, or with the next one as the larger.
-
-    A few more than needed, so that hot and empty ones can be skipped; 1 if only equal sets link."""
+def segments(band: np.ndarray) -> np.ndarray:
+    """Segments by which sets of a band meet those of their own band and of the next; 1 if only equal sets link."""
     top = _EDGES[band + 1] - 1
-    larger = np.minimum(_EDGES[band + 2] - 1, top * DENOMINATOR // NUMERATOR) if next_band else top
-    h = most_differences(larger, top)
-    return np.where(h > 0, h + 2 + h // 12, 1)
+    h = most_differences(np.minimum(_EDGES[band + 2] - 1, top * DENOMINATOR // NUMERATOR), top)
+    return np.where(h > 0, h + 2 + h // SPARE, 1)
 
 
 class Sets:
@@ -116,21 +117,21 @@ class Sets:
 class Signatures:
     """All index entries of some sets, ordered by document.
 
-    Arrays per entry: sig, doc, kind (0: own band, 1: as the larger of two bands, 2: as the
-    smaller), near (entry of a one-deletion neighbourhood), unit (its segment, over all)."""
+    Arrays per entry: sig, doc, kind (0: by the segments of the own band, 1: by those of the band
+    below, as the larger one), near (entry of a one-deletion neighbourhood), unit (its segment,
+    over all), no (its segment in the set), content (shingles in it)."""
 
     def __init__(self, sets: Sets, only: np.ndarray):
         docs = np.flatnonzero(only & (sets.sizes > 0))
         band = np.searchsorted(_EDGES, sets.sizes[docs], "right") - 1
         parts, base = [], 0
         self.segment_doc, self.segment_kind = [], []
-        for kind in (0, 1, 2):
-            low = band - 1 if kind == 1 else band
-            fits = low >= 0
-            m = np.where(fits, segments(np.maximum(low, 0), kind > 0), 1)
-            use = fits & (m > 1)
+        for kind in (0, 1):
+            low = band - kind
+            m = np.where(low >= 0, segments(np.maximum(low, 0)), 1)
+            use = m > 1
             d, mm = docs[use], m[use]
-            salt = (low[use] * 2 + (kind > 0)).astype(U64) * _B
+            salt = low[use].astype(U64) * _B
             if not len(d):
                 continue
             sizes = sets.sizes[d]
@@ -168,8 +169,8 @@ class Signatures:
     def allocate(self, cost: np.ndarray, sets: Sets) -> np.ndarray:
         """Per entry, whether its document probes it: the cheapest units that add up to H + 1.
 
-        ``cost``: per entry, what its list would cost.  A document allocates for each band pair
-        in which it may be the larger set.  A segment's second unit is never cheaper than its first."""
+        ``cost``: per entry, what its list would cost.  A document allocates for each band in which
+        it may be the larger set.  A segment's second unit is never cheaper than its first."""
         units = len(self.segment_doc)
         plain = np.bincount(self.unit[~self.near], cost[~self.near], minlength=units)
         second = np.maximum(plain, np.bincount(self.unit[self.near], cost[self.near], minlength=units))
@@ -178,7 +179,7 @@ class Signatures:
         seg = np.concatenate([np.arange(units), np.flatnonzero(has_second)])
         price = np.concatenate([plain, second[has_second]])
         level = np.concatenate([np.zeros(units, np.int8), np.ones(int(has_second.sum()), np.int8)])
-        group = self.segment_doc[seg] * 3 + self.segment_kind[seg]
+        group = self.segment_doc[seg] * 2 + self.segment_kind[seg]
         order = np.lexsort((seg, level, price, group))
         g = group[order]
         starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
@@ -186,8 +187,10 @@ class Signatures:
         size = sets.sizes[self.segment_doc[seg[order]]]
         kind = self.segment_kind[seg[order]]
         below = _EDGES[np.searchsorted(_EDGES, size, "right") - 1] - 1
-        need = most_differences(size, np.where(kind == 0, size, np.minimum(size, below))) + 1
-        taken = order[(rank < need) & (kind < 2)]
+        smaller = np.where(kind == 0, size, np.minimum(size, below))
+        # No set of the band below is large enough: nothing to probe there.
+        need = np.where(DENOMINATOR * smaller >= NUMERATOR * size, most_differences(size, smaller) + 1, 0)
+        taken = order[rank < need]
         chosen = np.zeros((2, units), bool)
         chosen[level[taken], seg[taken]] = True
         return np.where(self.near, chosen[1][self.unit], chosen[0][self.unit])
@@ -195,7 +198,7 @@ class Signatures:
 
 def _uniques(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, their counts, smallest id, order, run)."""
-    order, starts, run = X.runs(keys)
+    order, starts, run = X.runs(keys, stable=False)
     if not len(starts):
         return keys, np.zeros(0, np.int64), ids, order, run
     return keys[order[starts]], np.diff(np.append(starts, len(keys))), np.minimum.reduceat(ids[order], starts), order, run
@@ -267,7 +270,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return X.rows(out)
 
 
-FOUND = "batch int, doc_id long, n_shingles long, class_id long, leader long, costs binary, text string"
+FOUND = "batch int, doc_id long, n_shingles long, class_id long, leader long, hub boolean, entries binary, text string"
 
 
 def _signed(ids: np.ndarray) -> np.ndarray:
@@ -275,7 +278,9 @@ def _signed(ids: np.ndarray) -> np.ndarray:
 
 
 def _found(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
-    """A row per document; representatives with shared signatures carry what later steps need."""
+    """A row per document; representatives with shared signatures carry their entries of lists that may be compared.
+
+    Only documents that have a leader or may be one keep their text."""
     b = Batch(table, size)
     n = len(b.ids)
     classes = b.ids.copy()
@@ -284,15 +289,16 @@ def _found(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
         classes[b.live] = _back(answer[0], *b.classes)
     s = b.signatures
     answer = X.answers(got, COUNTS, b.sig_keys, buckets)
-    costs = _back(answer[0], b.sig_order, b.sig_run) if answer else np.zeros(0, U64)
+    costs = (_back(answer[0], b.sig_order, b.sig_run) if answer else np.zeros(0, U64)).astype(np.int64)
     active = np.zeros(n, bool)
     active[s.doc[costs > 0]] = True
     active &= b.lead & (classes == b.ids)
-    leader = np.zeros(n, np.int64)
-    has = np.zeros(n, bool)
+    leader, has, hub = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
     answer = X.answers(got, LEADERS, b.lead_keys, buckets)
     if answer:
         docs, to = s.doc[b.led], _back(answer[0], b.lead_order, b.lead_run)
+        own = np.bincount(docs[(to == b.ids[docs]) & (costs[b.led] > 0)], minlength=n)
+        hub = (own >= NAMED) & active
         other = (to != b.ids[docs]) & active[docs]
         # The leader that most of a document's signatures name; of equals the smallest.
         order = np.lexsort((to[other], docs[other]))
@@ -307,178 +313,222 @@ def _found(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
             top = best[np.concatenate([[True], dd[1:] != dd[:-1]])] if len(dd) else best
             leader[d[at][top]] = _signed(t[at][top])
             has[d[at][top]] = True
-    blobs = [X.pack(costs[s.first[i] : s.first[i + 1]]) if active[i] else None for i in range(n)]
+    probes = s.allocate(costs, b.sets)
+    wanted = np.flatnonzero((costs > 0) & (probes | (s.kind == 0)) & active[s.doc])
+    wanted = wanted[np.lexsort((s.sig[wanted], s.doc[wanted]))]
+    bounds = np.searchsorted(s.doc[wanted], np.arange(n + 1))
+    keys, flags = s.sig[wanted], probes[wanted]
+    blobs = [X.pack(X.deltas(keys[a:z]), X.pack_bits(flags[a:z])) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     null_id = ~table.column("doc_id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-    texts = text_of(table)
+    texts = pc.if_else(pa.array(has | hub), text_of(table), pa.scalar(None, pa.string()))
     return pa.table(
-        [table.column("batch"), table.column("doc_id"), pa.array(b.sets.sizes, pa.int64()), pa.array(_signed(classes), pa.int64(), mask=null_id), pa.array(leader, pa.int64(), mask=~has), pa.array(blobs, pa.binary()), pa.array([t if keep else None for t, keep in zip(texts.to_pylist(), active, strict=True)], pa.string())],
-        names=["batch", "doc_id", "n_shingles", "class_id", "leader", "costs", "text"],
+        [table.column("batch"), table.column("doc_id"), pa.array(b.sets.sizes, pa.int64()), pa.array(_signed(classes), pa.int64(), mask=null_id), pa.array(leader, pa.int64(), mask=~has), pa.array(hub), pa.array(blobs, pa.binary()), texts],
+        names=["batch", "doc_id", "n_shingles", "class_id", "leader", "hub", "entries", "text"],
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.  ``texts``: doc_id, text."""
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, probed) of the rows' entries."""
+    rows, sigs, probed = [], [], []
+    for i, blob in enumerate(table.column("entries").to_pylist()):
+        keys, bits = X.unpack(blob)
+        rows.append(np.full(len(keys), i))
+        sigs.append(np.cumsum(keys, dtype=U64))
+        probed.append(X.unpack_bits(bits, len(keys)))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(probed)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                x, y = Sets(part.column("text_a"), size), Sets(part.column("text_b"), size)
-                keep = []
-                for i in range(part.num_rows):
-                    p, q = x.of[x.first[i] : x.first[i + 1]], y.of[y.first[i] : y.first[i + 1]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(DENOMINATOR * both >= NUMERATOR * (len(p) + len(q) - both))
-                yield pa.record_batch([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
-
-
-def _entries(table: pa.Table, size: int) -> tuple[Sets, Signatures, np.ndarray]:
-    """Sets, signatures and list lengths of active rows."""
-    sets = Sets(text_of(table), size)
-    s = Signatures(sets, np.ones(table.num_rows, bool))
-    parts = [X.unpack(c)[0] for c in table.column("costs").to_pylist()]
-    return sets, s, (np.concatenate(parts) if parts else np.zeros(0, U64)).astype(np.int64)
-
-
-def _ask_mixed(table: pa.Table, buckets: int, size: int) -> Iterator[tuple]:
-    """Per list: its largest component here (size, id), whether it has several, and whether a document here probes it."""
-    sets, s, costs = _entries(table, size)
-    comp = table.column("component").to_numpy().view(U64) ^ _SIGN
-    members = table.column("members").to_numpy().astype(U64)
-    probes = s.allocate(costs, sets)
-    at = np.flatnonzero((costs > 0) & (probes | (s.kind != 1)))
-    doc = s.doc[at]
-    order = np.lexsort((~comp[doc], members[doc], s.sig[at]))
-    keys = s.sig[at][order]
-    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else np.zeros(0, np.int64)
-    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    c = comp[doc][order]
+
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().view(U64) ^ _SIGN
+
+
+def _ask_mixed(table: pa.Table, buckets: int) -> Iterator[tuple]:
+    """Per list: its document with the smallest hash here, a component, whether it has several, and whether it is probed here."""
+    row, sigs, probed = _entries(table)
+    ids, comp = _unsigned(table.column("doc_id")), _unsigned(table.column("component"))
+    order = np.lexsort((mix64(ids ^ _A)[row], sigs))
+    keys = sigs[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    c = comp[row][order]
     several = np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first) if len(first) else first
-    probed = np.logical_or.reduceat(probes[at][order], first) if len(first) else first
-    flags = several.astype(U64) | probed.astype(U64) << U64(1)
-    yield from X.questions(table.column("batch")[0].as_py(), MIXED, buckets, keys[last], members[doc][order][last], c[last], flags)
+    asked = np.logical_or.reduceat(probed[order], first) if len(first) else first
+    flags = several.astype(U64) | asked.astype(U64) << U64(1)
+    yield from X.questions(table.column("batch")[0].as_py(), MIXED, buckets, keys[first], ids[row][order][first], c[first], flags)
 
 
 def _answer_mixed(table: pa.Table) -> pa.Table:
-    """Of lists that are probed and meet two components, the largest component; it names a cluster."""
+    """Of lists that are probed and meet two components, the document with the smallest hash; it names a cluster."""
     bucket = table.column("bucket")[0].as_py()
-    keys, spans, (members, comp, flags) = X.merged(table, MIXED)
-    order = np.lexsort((~comp, members, keys))
+    keys, spans, rest = X.merged(table, MIXED)
+    if not len(keys):
+        return X.rows([])
+    ids, comp, flags = rest
+    order = np.lexsort((mix64(ids ^ _A), keys))
     k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    run = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
     c = comp[order]
     found = np.bitwise_or.reduceat(flags[order], first)
     several = (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)) | (found & U64(1) > 0)
-    largest = c[np.append(first[1:], len(c)) - 1]
     asked = several & (found & U64(2) > 0)
-    flag, cluster = _back(asked.astype(U64), order, run), _back(np.where(asked, largest, U64(0)), order, run)
+    flag, cluster = _back(asked.astype(U64), order, run), _back(np.where(asked, ids[order][first], U64(0)), order, run)
     return X.rows((b, MIXED, bucket, X.pack(flag[a:z], cluster[a:z])) for b, a, z in spans)
 
 
-MEMBER = "cluster long, doc_id long, component long, shingles binary"
+MEMBER = "cluster long, id long, component long"
 
 
-def _members(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
-    """A row for each cluster that a document is in, with its whole set."""
-    sets, s, costs = _entries(table, size)
-    at = np.flatnonzero((costs > 0) & (s.allocate(costs, sets) | (s.kind != 1)))
-    order, starts, run = X.runs(s.sig[at])
-    answer = X.answers(got, MIXED, s.sig[at][order[starts]] if len(starts) else s.sig[at], buckets)
+def _members(table: pa.Table, got: dict, buckets: int) -> pa.Table:
+    """A row for each cluster that a document is in."""
+    row, sigs, _ = _entries(table)
+    order, starts, run = X.runs(sigs, stable=False)
+    answer = X.answers(got, MIXED, sigs[order[starts]] if len(starts) else sigs, buckets)
     doc, cluster = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if answer:
         flag, key = _back(answer[0], order, run) > 0, _signed(_back(answer[1], order, run))
-        both = np.unique(np.stack([s.doc[at][flag], key[flag]]), axis=1) if flag.any() else np.zeros((2, 0), np.int64)
-        doc, cluster = both
+        if flag.any():
+            doc, cluster = np.unique(np.stack([row[flag], key[flag]]), axis=1)
     ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-    blobs = [sets.of[sets.first[i] : sets.first[i + 1]].tobytes() for i in doc]
-    return pa.table([pa.array(cluster, pa.int64()), pa.array(ids[doc], pa.int64()), pa.array(comp[doc], pa.int64()), pa.array(blobs, pa.binary())], names=["cluster", "doc_id", "component", "shingles"])
+    return pa.table([pa.array(cluster, pa.int64()), pa.array(ids[doc], pa.int64()), pa.array(comp[doc], pa.int64())], names=["cluster", "id", "component"])
+
+
+def _linked(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each of ``left`` links with each of ``right``; intersections are a product of the 0/1 matrix of the shared shingles."""
+    n = len(sets)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = counts[column] > 1
+    place = np.cumsum(counts > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        both += part[left] @ part[right].T
+    out = np.zeros(both.shape, bool)
+    for a in range(0, len(left), 256):
+        common = both[a : a + 256].astype(np.int64)
+        out[a : a + 256] = DENOMINATOR * common >= NUMERATOR * (sizes[left[a : a + 256], None] + sizes[None, right] - common)
+    return out
 
 
 def block_links(ids: list[int], comps: list[int], block: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between documents of different components, as many as join them; of two blocks only those across.
-
-    Intersections are counted exactly, as a product of the 0/1 matrix of the shared shingles."""
-    n = len(ids)
-    sizes = np.array([len(x) for x in sets])
-    comp, side = np.array(comps), np.array(block)
-    if n == 2:
-        both = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
-    else:
-        vocabulary, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(n), sizes)
-        shared = counts[column] > 1
-        place = np.cumsum(counts > 1) - 1
-        row, column = row[shared], place[column[shared]]
-        both = np.zeros((n, n), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            lo, hi = np.searchsorted(column, (a, a + COLUMNS))
-            part = np.zeros((n, COLUMNS), np.float32)
-            part[row[lo:hi], column[lo:hi] - a] = 1
-            both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    links = (DENOMINATOR * both >= NUMERATOR * union) & (comp[:, None] != comp[None, :])
-    if side.min() != side.max():
-        links &= side[:, None] != side[None, :]
-    parent = {c: c for c in comps}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    """Links between documents of different components, as many as join them; of two blocks only those across."""
+    sizes, side = np.array([len(x) for x in sets]), np.array(block)
+    left = np.flatnonzero(side == side.min())
+    right = np.flatnonzero(side == side.max())
+    label = np.unique(comps, return_inverse=True)[1]
+    linked = _linked(sizes, sets, left, right)
     out = []
-    for i, j in zip(*np.nonzero(np.triu(links, 1)), strict=True):
-        a, b = root(comps[i]), root(comps[j])
-        if a != b:
-            parent[a] = b
-            out.append((ids[i], ids[j]))
+    for i, doc in enumerate(left.tolist()):
+        while len(other := right[linked[i] & (label[right] != label[doc])]):
+            out.append((ids[doc], ids[int(other[0])]))
+            label[label == label[other[0]]] = label[doc]
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+LINK = "a long, b long"
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _verify(size: int):
     """Links of block pairs whose rows follow each other."""
-    held: list[tuple] = []
-    key = None
-
-    def done() -> list[tuple[int, int]]:
-        return block_links([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], [np.frombuffer(r[3], U64) for r in held]) if len(held) > 1 else []
-
-    for batch in batches:
-        out = []
-        cols = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "doc_id", "component", "b", "shingles")]
-        for cluster, p, q, *row in zip(*cols, strict=True):
-            if (cluster, p, q) != key:
-                out += done()
-                key, held = (cluster, p, q), []
-            held.append(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def done() -> list[tuple[int, int]]:
+            return block_links([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], [r[3] for r in held]) if len({r[1] for r in held}) > 1 else []
+
+        for batch in batches:
+            out = []
+            sets = Sets(batch.column("text"), size)
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "doc_id", "component", "b")]
+            for i, (cluster, p, q, *row) in enumerate(zip(*cols, strict=True)):
+                if (cluster, p, q) != key:
+                    out += done()
+                    key, held = (cluster, p, q), []
+                held.append((*row, sets.of[sets.first[i] : sets.first[i + 1]].copy()))
+            if out:
+                yield _links(out)
+        out = done()
         if out:
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-    out = done()
-    if out:
-        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield _links(out)
+
+    return run
 
 
-def cluster_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) within clusters.  A cluster beyond BLOCK documents is compared in pairs of blocks."""
+def cluster_links(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) within clusters: as many as join the components that link.
+
+    ``members``: cluster, id, component; ``texts``: doc_id, text.  A cluster beyond BLOCK documents is
+    compared in pairs of blocks.  The blocks of its largest component meet only those of others."""
+    per = members.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster")
     # Written, so that its size is known: a small table is broadcast and the members stay where they are.
-    large = written(members.groupBy("cluster").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("cluster", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "jaccard-large")
-    cut = members.join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = cut.select("cluster", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "doc_id", "component", "shingles")
-    return pairs.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(_verify, "a long, b long")
+    large = per.agg(F.sum("n").alias("_n"), F.max("n").alias("_main"), F.max_by("component", "n").alias("main")).filter(F.col("_n") > BLOCK)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    large = written(large.select("cluster", "main", blocks(F.col("_main")).alias("mains"), blocks(F.col("_n") - F.col("_main")).alias("others")), "jaccard-large")
+    cut = members.join(large, "cluster", "left").withColumns({"mains": F.coalesce("mains", F.lit(0)), "others": F.coalesce("others", F.lit(1)), "is_main": F.coalesce(F.col("component") == F.col("main"), F.lit(False))})
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    cut = cut.withColumn("b", block + F.when(F.col("is_main"), F.lit(0)).otherwise(F.col("mains")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
+    pairs = cut.select("cluster", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "id", "component")
+    rows = texts.join(pairs, F.col("doc_id") == F.col("id")).select("cluster", "p", "q", "b", "doc_id", "component", "text")
+    return rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(_verify(size), LINK)
+
+
+def _verify_stars(size: int):
+    """Links of followers with the hubs that stand before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs: list[np.ndarray] = []
+        key = None
+        for batch in batches:
+            out = []
+            sets = Sets(batch.column("text"), size)
+            for i, (hub, salt, follower, doc) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("star", "salt", "follower", "doc_id")], strict=True)):
+                if (hub, salt) != key:
+                    key, hubs = (hub, salt), []
+                own = sets.of[sets.first[i] : sets.first[i + 1]]
+                if not follower:
+                    hubs.append(own.copy())
+                    continue
+                for other in hubs:
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if DENOMINATOR * both >= NUMERATOR * (len(own) + len(other) - both):
+                        out.append((doc, hub))
+                        break
+            if out:
+                yield _links(out)
+
+    return run
+
+
+def star_links(found: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) of documents with their leaders.  A leader goes to one place for each BLOCK followers."""
+    followers = found.filter("leader is not null").select(F.col("leader").alias("star"), "doc_id", "text")
+    stars = written(followers.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")), "jaccard-leaders")
+    hubs = found.filter("hub").join(stars, F.col("doc_id") == F.col("star")).select("star", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("follower"), "doc_id", "text")
+    large = stars.filter("salts > 1").select(F.col("star").alias("_star"), "salts")
+    salted = followers.join(large, F.col("star") == F.col("_star"), "left")
+    rows = salted.select("star", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(True).alias("follower"), "doc_id", "text")
+    return hubs.union(rows).repartition("star", "salt").sortWithinPartitions("star", "salt", "follower").mapInArrow(_verify_stars(size), LINK)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
     batches, buckets = X.plan_sizes(docs)
-    held = X.in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batches, "doc_id", "text")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = X.in_batches(given, batches, "doc_id", "text")
 
     def ask_first(table: pa.Table) -> pa.Table:
         return X.rows(Batch(table, size).messages(table.column("batch")[0].as_py(), buckets))
@@ -488,30 +538,24 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     counted = X.ask(held.groupBy("batch").applyInArrow(ask_first, X.MESSAGE), _answer)
     found = written(held.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(find, FOUND), "jaccard-found")
-    release(docs.sparkSession)
-    active = found.filter("text is not null")
-    texts = active.select("doc_id", "text")
-    stars = written(verified(active.filter("leader is not null").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")), texts, size), "jaccard-stars")
-    release(docs.sparkSession)
-    joined = components(stars).withColumnRenamed("id", "_id")
-    sizes = joined.groupBy("component").agg(F.count("*").alias("members"))
-    placed = joined.join(sizes, "component").select("_id", "component", "members")
-    located = active.join(placed, F.col("doc_id") == F.col("_id"), "left").select("batch", "doc_id", "text", "costs", F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+    stars = written(star_links(found, size), "jaccard-stars")
+    placed = components(stars).withColumnRenamed("id", "_id")
+    listed = found.filter("entries is not null").select("batch", "doc_id", "entries")
+    located = listed.join(placed, F.col("doc_id") == F.col("_id"), "left").select("batch", "doc_id", "entries", F.coalesce("component", "doc_id").alias("component"))
 
     def ask_again(table: pa.Table) -> pa.Table:
-        return X.rows(_ask_mixed(table, buckets, size))
+        return X.rows(_ask_mixed(table, buckets))
 
     def enter(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _members(table, X.by_batch(replies), buckets, size)
+        return _members(table, X.by_batch(replies), buckets)
 
     mixed = X.ask(located.groupBy("batch").applyInArrow(ask_again, X.MESSAGE), _answer_mixed)
-    members = located.groupBy("batch").cogroup(mixed.groupBy("batch")).applyInArrow(enter, MEMBER)
-    gathered = written(members, "jaccard-members")
-    release(docs.sparkSession)
-    links = written(stars.union(cluster_links(gathered)), "jaccard-links")
-    release(docs.sparkSession)
+    members = written(located.groupBy("batch").cogroup(mixed.groupBy("batch")).applyInArrow(enter, MEMBER), "jaccard-members")
+    links = written(stars.union(cluster_links(members, given, size)), "jaccard-links")
+    dropped(stars, members)
     reached = components(links).withColumnRenamed("id", "_id")
-    return found.join(reached, F.col("class_id") == F.col("_id"), "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    out = found.select("doc_id", "n_shingles", "class_id").join(reached, F.col("class_id") == F.col("_id"), "left")
+    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
