@@ -7,20 +7,21 @@ ln((1 + N) / (1 + df)) + 1 with df over all N texts, also for terms that no temp
 similarity is the cosine.  A text's own licence is its most similar template at ``THRESHOLD`` or
 more (of equals the first by name).
 
-Pieces that cannot reach the threshold by exact bounds are left out before vectors are built; only
-the terms of the others are counted over all texts.
+Only pieces that hold a key term are counted: without those, what is left of any template is too
+short to reach the threshold.  A piece whose template terms are too few beside its other words is
+then left out by an exact bound, and the other terms of what remains are counted over all texts.
 
 A file without a licence of its own takes that of the nearest ancestor directory, its own
 directory first, that directly holds a licence file with one; of several the most similar, then
 the first path.  Directories are resolved once each and files join their directory.
 
 Null or empty text: no licence of its own.  Null path: in no directory, and nothing inherits
-from it.  Repeated rows each get a result.  An empty table gives an empty result.
+from it.  Every row gets its own result, also where its id is null or repeated.  An empty table
+gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 from collections import Counter
@@ -29,7 +30,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import dropped, written
 
 #: Fixed notices, by licence name.
 TEMPLATES = {
@@ -73,6 +74,8 @@ FULL_TEXTS = Path(__file__).parent / "licence_texts"
 THRESHOLD = 0.7
 #: Room for rounding in bounds.
 SLACK = 1e-5
+#: Terms that are broadcast at most.
+BROADCAST_TERMS = 200_000
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)"
 BLANK_LINES = r"\n[ \t\r\f]*(?:\n[ \t\r\f]*)*\n"
 _NOT_TERM = "[^a-z0-9]+"
@@ -92,36 +95,38 @@ def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def document_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, df): the number of texts that hold each of the wanted terms that any does."""
+    """(term, df): the number of texts that hold each of the wanted (distinct) terms that any does.
+
+    Up to BROADCAST_TERMS wanted terms are sent to the texts; more are joined after terms are
+    counted, which shuffles a row for each term of a partition and not for each of a text."""
     found = texts.filter("text is not null").select(F.explode(F.array_distinct(split_terms(F.col("text")))).alias("term"))
-    return found.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    if wanted.count() <= BROADCAST_TERMS:
+        return found.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return found.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
 
 
-def may_reach(low: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
-    """Whether a text in lower case may reach the threshold with any of the vectors.
+def key_terms(vectors: list[dict[str, float]], df: dict[str, int], threshold: float) -> list[str]:
+    """Terms of which a text must hold one to reach the threshold with any of the vectors.
 
     The cosine is at most the length of a vector's part of terms that the text holds, over its
-    whole length.  Only the heaviest terms are looked up; the rest count as held."""
-    options = []
+    whole length; without the key terms what is left of any vector is too short.  Terms that weigh
+    much and that few texts hold are taken first."""
+    keys: set[str] = set()
     for vector in vectors:
-        heavy, rest = sorted(((w * w, t) for t, w in vector.items()), reverse=True), sum(w * w for w in vector.values())
-        least = (max(threshold, 0.0) - SLACK) ** 2 * rest
-        looked, spare = [], least / 2
-        while heavy and rest > spare:
-            square, term = heavy.pop(0)
-            looked.append((square, term))
-            rest -= square
-        held = F.lit(rest)
-        for square, term in looked:
-            held = held + F.when(F.contains(low, F.lit(term)), square).otherwise(0.0)
-        options.append(held >= least * (1 - SLACK))
-    return functools.reduce(lambda x, y: x | y, options)
+        rest = sum(w * w for w in vector.values())
+        least = (max(threshold, 0.0) - SLACK) ** 2 * rest * (1 - SLACK)
+        for term in sorted(vector, key=lambda t: ((1 + df.get(t, 0)) / vector[t] ** 2, t)):
+            if rest < least:
+                break
+            keys.add(term)
+            rest -= vector[term] ** 2
+    return sorted(keys)
 
 
 class Templates:
-    """The templates as vectors over the corpus."""
+    """The templates as vectors over the corpus, and the terms of which every similar text holds one."""
 
-    def __init__(self, texts: DataFrame, templates: list[tuple[str, str]]):
+    def __init__(self, texts: DataFrame, templates: list[tuple[str, str]], threshold: float):
         spark = texts.sparkSession
         counted = [(name, Counter(_terms(text))) for name, text in sorted(templates)]
         counted = [(name, terms) for name, terms in counted if terms]
@@ -138,6 +143,10 @@ class Templates:
             parts += [{"term": t, "template": len(self.vectors), "licence": name, "part": w / size} for t, w in vector.items()]
             self.vectors.append(vector)
         self.parts = _literal(spark, parts, "term string, template int, licence string, part double")
+        self.keys = F.array(*[F.lit(t) for t in key_terms(self.vectors, df, threshold)]).cast("array<string>")
+
+    def may_match(self, text: Column) -> Column:
+        return F.arrays_overlap(split_terms(text), self.keys)
 
 
 def built_in() -> list[tuple[str, str]]:
@@ -156,21 +165,24 @@ def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, thresh
 
     ``kept``: key (unique), text of the files that may have one; ``texts``: the text of all."""
     pieces = kept.filter("text is not null").select("key", F.posexplode(units(F.col("text"))).alias("unit", "words"))
-    pieces = pieces.filter(may_reach(F.lower("words"), templates.vectors, threshold))
-    counts = pieces.select("key", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("n"))
-    counts = written(counts.join(templates.weights, "term", "left"), "licence-terms")
+    words = pieces.filter(templates.may_match(F.col("words"))).select("key", "unit", F.explode(split_terms(F.col("words"))).alias("term"))
+    known = words.join(templates.weights, "term", "left").select("key", "unit", F.when(F.col("idf").isNotNull(), F.col("term")).alias("term"), "idf")
+    # A row per template term, and one for all other terms of a piece.
+    counts = written(known.groupBy("key", "unit", "term", "idf").agg(F.count("*").alias("n")), "licence-terms")
     dots = counts.join(templates.parts, "term").groupBy("key", "unit", "template", "licence").agg(F.sum(F.col("n") * F.col("idf") * F.col("part")).alias("dot"))
-    # No term's weight is below 1, so a piece is at least as long as with weight 1 for terms of no template.
-    least = counts.groupBy("key", "unit").agg(F.sqrt(F.sum((F.col("n") * F.coalesce("idf", F.lit(1.0))) ** 2)).alias("least"))
+    # No weight is below 1 and squares of counts are no less than counts, so a piece is at least this long.
+    least = counts.groupBy("key", "unit").agg(F.sqrt(F.sum(F.coalesce((F.col("n") * F.col("idf")) ** 2, F.col("n").cast("double")))).alias("least"))
     possible = written(dots.join(least, ["key", "unit"]).filter(F.col("dot") >= (threshold - SLACK) * F.col("least")).select("key", "unit", "licence", "dot"), "licence-candidates")
-    terms = counts.join(possible.select("key", "unit").distinct(), ["key", "unit"], "left_semi")
-    others = terms.filter("idf is null").select("term").distinct()
-    if others.isEmpty():
-        weighed = terms
-    else:
-        df = written(document_frequencies(texts, others), "licence-df")
-        true = F.log((1.0 + templates.n) / (1.0 + F.col("df"))) + 1.0
-        weighed = terms.join(df, "term", "left").withColumn("idf", F.coalesce("idf", true))
+    dropped(counts)
+    # The other terms of the pieces that are left, with their true frequencies.
+    left = possible.select("key", "unit").distinct()
+    again = kept.join(left.select("key").distinct(), "key", "left_semi").select("key", F.posexplode(units(F.col("text"))).alias("unit", "words")).join(left, ["key", "unit"], "left_semi")
+    terms = again.select("key", "unit", F.explode(split_terms(F.col("words"))).alias("term")).groupBy("key", "unit", "term").agg(F.count("*").alias("n"))
+    terms = written(terms.join(templates.weights, "term", "left"), "licence-pieces")
+    others = written(terms.filter("idf is null").select("term").distinct(), "licence-others")
+    df = written(document_frequencies(texts, others), "licence-df")
+    true = F.log((1.0 + templates.n) / (1.0 + F.col("df"))) + 1.0
+    weighed = terms.join(df, "term", "left").withColumn("idf", F.coalesce("idf", true))
     size = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("size"))
     similar = possible.join(size, ["key", "unit"]).select("key", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
     best = similar.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "licence")).alias("best"))
@@ -188,10 +200,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
 
     ``files``: row (any value, null or repeated too), path, text."""
     texts = files.select("text")
-    vectors = Templates(texts, list(templates.items()) if templates else built_in())
-    may = may_reach(F.col("low"), vectors.vectors, threshold)
-    files = files.select("row", "path", "text", F.lower("text").alias("low"))
-    files = written(files.select(F.monotonically_increasing_id().alias("key"), "row", "path", F.when(may, F.col("text")).alias("text")), "licence-files")
+    vectors = Templates(texts, list(templates.items()) if templates else built_in(), threshold)
+    files = written(files.select(F.monotonically_increasing_id().alias("key"), "row", "path", F.when(vectors.may_match(F.col("text")), F.col("text")).alias("text")), "licence-files")
     own = written(own_licences(files, texts, vectors, threshold), "licences")
     named = files.select("key", "row", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), F.regexp_extract("path", "([^/]*)$", 1).alias("name")).join(own, "key", "left")
     holders = named.filter(F.col("licence").isNotNull() & F.col("name").rlike(LICENCE_FILE)).groupBy("directory").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("holder"))
