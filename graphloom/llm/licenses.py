@@ -223,30 +223,31 @@ def op2_license_scan(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows = ", ".join(f"('{n}', '{t}')" for n, t in sorted(TEMPLATES.items()))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(sorted(built_in())))
     return f"""
-WITH tmpl AS (SELECT * FROM (VALUES {rows}) v(name, body)),
-tt AS (SELECT name, term, count(*)::DOUBLE AS n FROM (SELECT name, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM tmpl) GROUP BY name, term),
-vocab AS (SELECT DISTINCT term FROM tt),
-docs AS (SELECT doc_id, text, concat(coalesce(source, 'none'), '/', doc_id // 1000, '/', doc_id // 100, '/', CASE WHEN doc_id % 50 = 0 THEN 'LICENSE-' ELSE 'doc-' END, doc_id) AS path FROM documents),
+WITH tmpl AS (SELECT * FROM (VALUES {rows}) v(template, name, body)),
+tt AS (SELECT template, name, term, count(*)::DOUBLE AS n FROM (SELECT template, name, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM tmpl) GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS key, doc_id, text, concat(coalesce(source, 'none'), '/', doc_id // 1000, '/', doc_id // 100, '/', CASE WHEN doc_id % 50 = 0 THEN 'LICENSE-' ELSE 'doc-' END, doc_id) AS path FROM documents),
 total AS (SELECT count(*)::DOUBLE AS n FROM docs),
-dfs AS (SELECT term, count(DISTINCT doc_id)::DOUBLE AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM docs) SEMI JOIN vocab USING (term) GROUP BY term),
-idf AS (SELECT v.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM vocab v LEFT JOIN dfs USING (term), total),
-lines AS (SELECT doc_id, row_number() OVER () AS line, regexp_extract_all(lower(l), '[a-z0-9]+') AS terms FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM docs)),
-lt AS (SELECT doc_id, line, term, count(*)::DOUBLE AS n FROM (SELECT doc_id, line, unnest(terms) AS term FROM lines) GROUP BY ALL),
-lw AS (SELECT doc_id, line, lt.term, lt.n * coalesce(w, greatest(ln((1 + total.n) / 2) + 1, 1)) AS w FROM lt LEFT JOIN idf USING (term), total),
-len AS (SELECT line, sqrt(sum(w * w)) AS size FROM lw GROUP BY line),
-tw AS (SELECT name, term, tt.n * w AS w FROM tt JOIN idf USING (term)),
-tl AS (SELECT name, sqrt(sum(w * w)) AS size FROM tw GROUP BY name),
-cos AS (SELECT doc_id, lw.line, tw.name, round(sum(lw.w * tw.w) / any_value(len.size * tl.size), 6) AS c, count(*) AS met FROM lw JOIN tw USING (term) JOIN len ON lw.line = len.line JOIN tl ON tl.name = tw.name GROUP BY doc_id, lw.line, tw.name),
-own AS (SELECT doc_id, first(name ORDER BY c DESC, name) AS licence, max(c) AS similarity FROM cos WHERE c >= {THRESHOLD} GROUP BY doc_id),
-named AS (SELECT docs.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp_extract(path, '([^/]*)$', 1) AS name, licence, similarity FROM docs LEFT JOIN own USING (doc_id)),
+dfs AS (SELECT term, count(*)::DOUBLE AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM docs) GROUP BY term),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM (SELECT term FROM tt UNION SELECT term FROM dfs) LEFT JOIN dfs USING (term), total),
+pieces AS (SELECT key, row_number() OVER () AS piece, regexp_extract_all(lower(p), '[a-z0-9]+') AS terms
+  FROM (SELECT key, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r\\f]*(?:\\n[ \\t\\r\\f]*)*\\n'), [text]))) AS p FROM docs)),
+pw AS (SELECT key, piece, term, count(*) * any_value(w) AS w FROM (SELECT key, piece, unnest(terms) AS term FROM pieces) JOIN idf USING (term) GROUP BY key, piece, term),
+len AS (SELECT piece, sqrt(sum(w * w)) AS size FROM pw GROUP BY piece),
+tw AS (SELECT template, name, term, tt.n * w AS w FROM tt JOIN idf USING (term)),
+tl AS (SELECT template, sqrt(sum(w * w)) AS size FROM tw GROUP BY template),
+dot AS (SELECT key, piece, template, name, sum(pw.w * tw.w) AS d FROM pw JOIN tw USING (term) GROUP BY ALL),
+cos AS (SELECT key, name, round(d / (len.size * tl.size), 6) AS c FROM dot JOIN len USING (piece) JOIN tl USING (template)),
+own AS (SELECT key, first(name ORDER BY c DESC, name) AS licence, max(c) AS similarity FROM cos WHERE c >= {THRESHOLD} GROUP BY key),
+named AS (SELECT docs.key, docs.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp_extract(path, '([^/]*)$', 1) AS name, licence, similarity FROM docs LEFT JOIN own USING (key)),
 holders AS (SELECT directory AS ancestor, first(path ORDER BY similarity DESC, path) AS licence_path, first(licence ORDER BY similarity DESC, path) AS given FROM named WHERE licence IS NOT NULL AND name LIKE 'LICENSE%' GROUP BY directory),
-nearest AS (SELECT n.doc_id, first(h.licence_path ORDER BY length(h.ancestor) DESC) AS licence_path, first(h.given ORDER BY length(h.ancestor) DESC) AS given FROM named n JOIN holders h ON n.directory = h.ancestor OR starts_with(n.directory, h.ancestor || '/') GROUP BY n.doc_id)
+nearest AS (SELECT n.key, first(h.licence_path ORDER BY length(h.ancestor) DESC) AS licence_path, first(h.given ORDER BY length(h.ancestor) DESC) AS given FROM named n JOIN holders h ON n.directory = h.ancestor OR starts_with(n.directory, h.ancestor || '/') GROUP BY n.key)
 SELECT n.doc_id, coalesce(n.licence, r.given) AS licence, n.similarity,
-       CASE WHEN n.licence IS NOT NULL THEN 'own' WHEN r.doc_id IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN n.licence IS NOT NULL THEN 'own' WHEN r.key IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        CASE WHEN n.licence IS NOT NULL THEN n.path ELSE r.licence_path END AS licence_path
-FROM named n LEFT JOIN nearest r USING (doc_id)
+FROM named n LEFT JOIN nearest r USING (key)
 """
 
 

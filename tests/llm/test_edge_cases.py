@@ -53,8 +53,6 @@ EVERY = {
 
 @pytest.mark.parametrize("name", EVERY)
 def test_one_row_per_document(docs, labels, name):
-    if name == "op2":
-        docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     got = EVERY[name](docs, labels).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
 
