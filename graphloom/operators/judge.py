@@ -13,32 +13,42 @@ def winner(value: Column) -> Column:
     """1, 2 or 0 (tie) of a verdict as text; null where it says none of them.
 
     "answer 1" is looked for before "answer 2", and both before a tie."""
-    text = F.lower(F.trim(value))
-    number = text.try_cast("double")
+    text = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
     return (
-        F.when(number.isin(1.0, 2.0), number.cast("int"))
-        .when(text.isin("true"), F.lit(1))
-        .when(F.contains(text, F.lit("answer 1")), F.lit(1))
-        .when(F.contains(text, F.lit("answer 2")), F.lit(2))
-        .when(F.contains(text, F.lit("tie")) | F.contains(text, F.lit("draw")), F.lit(0))
+        F.when(F.contains(text, F.lit("answer 1")) | text.isin("1", "a", "answer1"), F.lit(1))
+        .when(F.contains(text, F.lit("answer 2")) | text.isin("2", "b", "answer2"), F.lit(2))
+        .when(F.contains(text, F.lit("tie")) | F.contains(text, F.lit("draw")) | text.isin("both"), F.lit(0))
     )
 
 
+def winner_of(value: Column) -> Column:
+    """The same of a JSON value: numbers count by their whole part and true as 1; anything else by its text."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    number = F.try_variant_get(value, "$", "double")
+    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("int")
+    truth = F.when(F.try_variant_get(value, "$", "boolean"), F.lit(1))
+    return F.when(kind == "BOOLEAN", truth).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.when(whole.isin(1, 2), whole)).otherwise(winner(F.try_variant_get(value, "$", "string")))
+
+
 def unfenced(text: Column) -> Column:
     """Content without a Markdown code fence around it."""
-    return F.regexp_replace(F.trim(text), r"(?s)^```[A-Za-z]*\s*|\s*```$", "")
+    return F.trim(F.regexp_replace(F.trim(text), r"\A```[A-Za-z]*\n|\n```\z", ""))
+
 
+def criteria_winners(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, criterion and winner of verdicts in ``content``: a row for each criterion.
 
-def criterion(content: Column, name: str) -> Column:
-    """A criterion's winner in a verdict: by its exact key, by its key in any case, else by pattern."""
-    text = unfenced(content)
-    inner = lambda v: F.coalesce(F.get_json_object(v, "$.Winner"), F.get_json_object(v, "$.winner"), v)
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    exact = F.get_json_object(text, f"$['{name}']")
-    match = F.get(F.filter(keys, lambda k: F.lower(k) == name.lower()), F.lit(0))
-    loose = F.from_json(text, "map<string,string>")[match]
-    pattern = F.regexp_extract(text, rf'(?is)"{name}"\s*:\s*(?:\{{.*?"Winner"\s*:\s*)?"?([^",}}]+)', 1)
-    return F.coalesce(winner(inner(exact)), winner(inner(loose)), winner(pattern))
+    The content is parsed once.  The block under the criterion's exact key counts, else the first
+    one under its key in any case; a block without a winner is invalid.  Only where there is no
+    such block is one looked for by pattern, in texts that are cut off or no JSON."""
+    parsed = rows.select(*keep, "content", F.try_variant_get(F.try_parse_json(unfenced(F.col("content"))), "$", "map<string,variant>").alias("_blocks"))
+    each = parsed.select("*", F.explode(F.array(*[F.lit(c) for c in CRITERIA])).alias("criterion"))
+    is_block = lambda k: F.startswith(F.coalesce(F.schema_of_variant(F.col("_blocks")[k]), F.lit("")), F.lit("OBJECT"))
+    keys = F.filter(F.map_keys("_blocks"), lambda k: (F.lower(k) == F.lower("criterion")) & is_block(k))
+    named = each.select("*", F.when(F.array_contains(keys, F.col("criterion")), F.col("criterion")).otherwise(F.get(keys, F.lit(0))).alias("_key"))
+    inside = winner_of(F.try_variant_get(F.col("_blocks")[F.col("_key")], "$.Winner", "variant"))
+    pattern = F.coalesce(*[F.when(F.col("criterion") == c, F.regexp_extract("content", rf'(?is)"{c}"\s*:\s*\{{[^}}]*"Winner"\s*:\s*"([^"]+)"', 1)) for c in CRITERIA])
+    return named.select(*keep, "criterion", F.when(F.col("_key").isNotNull(), inside).otherwise(winner(pattern)).alias("winner"))
 
 
 def directed(value: Column, reverse: Column) -> Column:
@@ -72,9 +82,9 @@ def verdicts(results: DataFrame, requests: DataFrame) -> DataFrame:
     meta = requests.select("pair_id", "custom_id", "direction")
     rows = results.join(meta, ["pair_id", "custom_id"], "left")
     # A result without request metadata falls back on its id.
-    reverse = F.coalesce(F.col("direction"), F.regexp_extract("custom_id", "-([a-z]+)$", 1)).startswith("rev")
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), directed(criterion(F.col("content"), c), reverse).alias("winner")) for c in CRITERIA])).alias("e")
-    return rows.select("pair_id", each).select("pair_id", "e.criterion", "e.winner")
+    told = F.lower(F.trim(F.coalesce(F.col("direction"), F.regexp_extract("custom_id", "-([a-z]+)$", 1))))
+    rows = rows.select("pair_id", "content", F.coalesce(told.isin("reverse", "rev", "backward", "back"), F.lit(False)).alias("reverse"))
+    return criteria_winners(rows, "pair_id", "reverse").select("pair_id", "criterion", directed(F.col("winner"), F.col("reverse")).alias("winner"))
 
 
 def percent(n: Column, d: Column) -> Column:

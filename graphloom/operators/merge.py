@@ -49,18 +49,18 @@ def first_known(value: str, order: str) -> Column:
     return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
 
 
-def triples_to_graph(triples: DataFrame, prefix: str = "node", *id_parts: Column) -> tuple[DataFrame, DataFrame]:
+def triples_to_graph(triples: DataFrame, prefix: str = "node", *id_parts: Column, normalised: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of triples (head, relation, tail, ord).
 
     Nodes are merged by normalised text and keep the text first seen; edges by (source, relation,
-    target) with the relation, ``related`` where empty, compared by its normalised text."""
+    target) and carry the normalised relation, or the stripped one, ``related`` where empty.  ``id_parts`` stand before
+    the text in what an id is the hash of."""
     clean = triples.select(strip(F.col("head")).alias("head"), strip(F.coalesce("relation", F.lit(""))).alias("relation"), strip(F.col("tail")).alias("tail"), "ord").filter("head != '' and tail != ''")
     node_id = lambda text: content_id(prefix, *id_parts, norm_key(text))
     ends = clean.select(F.explode(F.array(F.struct((F.col("ord") * 2).alias("ord"), F.col("head").alias("text")), F.struct((F.col("ord") * 2 + 1).alias("ord"), F.col("tail").alias("text")))).alias("e")).select(node_id(F.col("e.text")).alias("id"), F.col("e.text").alias("text"), F.col("e.ord").alias("ord"))
     nodes = first_wins(ends, ["id"], "ord")
-    edges = clean.select(node_id(F.col("head")).alias("source"), node_id(F.col("tail")).alias("target"), F.coalesce(present(F.col("relation")), F.lit(DEFAULT_RELATION)).alias("relation"), F.col("ord").alias("edge_idx"))
-    edges = first_wins(edges.withColumn("_r", norm_key(F.col("relation"))), ["source", "_r", "target"], "edge_idx").drop("_r")
-    return nodes, edges
+    edges = clean.select(node_id(F.col("head")).alias("source"), node_id(F.col("tail")).alias("target"), F.coalesce(present(norm_key(F.col("relation")) if normalised else F.col("relation")), F.lit(DEFAULT_RELATION)).alias("relation"), F.col("ord").alias("edge_idx"))
+    return nodes, first_wins(edges, ["source", "relation", "target"], "edge_idx")
 
 
 def merge_edges(edges: DataFrame, *keep: str) -> DataFrame:

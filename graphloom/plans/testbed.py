@@ -95,9 +95,9 @@ def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None =
 
 
 def verdict_content(doc_id: Column) -> Column:
-    """A verdict as a judge may write it: fenced, in lower case, truncated, or in numbers, by the id."""
+    """A verdict as a judge may write it: fenced, in lower case, truncated, in numbers or without a block, by the id."""
     w = F.element_at(F.array(F.lit("Answer 1"), F.lit("Answer 2"), F.lit("Tie"), F.lit("2"), F.lit("neither")), (doc_id % 5 + 1).cast("int"))
-    body = F.concat(F.lit('{"Comprehensiveness": {"Winner": "'), w, F.lit('", "Explanation": "x"}, "diversity": {"Winner": "Answer 1"}, "Empowerment": {"Winner": "'), w, F.lit('"}, "Overall Winner": "'), w, F.lit('"}'))
+    body = F.concat(F.lit('{"Comprehensiveness": {"Winner": "'), w, F.lit('", "Explanation": "x"}, "diversity": {"Winner": "Answer 1"}, "Empowerment": {"Winner": "'), w, F.lit('"}, "Overall Winner": '), F.when(doc_id % 3 == 0, F.concat(F.lit('{"Winner": "'), w, F.lit('"}'))).otherwise(F.concat(F.lit('"'), w, F.lit('"'))), F.lit("}"))
     return F.when(doc_id % 7 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(doc_id % 11 == 0, F.substring(body, 1, 60)).when(doc_id % 13 == 0, F.lit(None)).otherwise(body)
 
 

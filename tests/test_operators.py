@@ -108,11 +108,24 @@ def test_merge(spark):
 
 
 def test_winners(spark):
-    t = spark.createDataFrame([("Answer 1 or Answer 2",), ("TIE",), ("2",), ("x",), (None,)], "v string")
-    assert column(t.select(J.winner(F.col("v")).alias("w")), "w") == [1, 0, 2, None, None]
-    bodies = ['```json\n{"overall winner": {"Winner": "Answer 2"}}\n```', '{"Overall Winner": "Answer 1", "x', '{"Overall Winner": "draw"}']
-    c = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, c string").orderBy("i")
-    assert column(c.select(J.criterion(F.col("c"), "Overall Winner").alias("w")), "w") == [2, 1, 0]
+    cases = {"Answer 1 or Answer 2": 1, "TIE": 0, "2": 2, "x": None, "Answer1": 1, "a": 1, " B ": 2, "answer2": 2, "Both": 0, "draw": 0, "2.0": None, "true": None, "answer  2": 2}
+    t = spark.createDataFrame(list(cases.items()), "v string, w int")
+    assert [(r["v"], r["got"]) for r in t.select("v", J.winner(F.col("v")).alias("got")).collect()] == list(cases.items())
+    cases = {"1": 1, "2.0": 2, "2.9": 2, "3": None, "true": 1, "false": None, "null": None, '"tie"': 0, '["Answer 1"]': 1, "-1": None}
+    bodies = [(f'{{"Overall Winner": {{"Winner": {v}}}}}', w) for v, w in cases.items()]
+    bodies += [
+        ('```json\n{"overall winner": {"Winner": "Answer 2"}}\n```', 2),
+        ('{"Overall Winner": "Answer 1", "x', None),
+        ('{"Overall Winner": "draw"}', None),
+        ('{"Overall Winner": {"Winner": "Answer 1", "x', 1),
+        ('{"Overall Winner": {"Why": 1}, "overall winner": {"Winner": "1"}}', None),
+        ('{"Overall Winner": "none", "OVERALL WINNER": {"Winner": "1"}}', 1),
+        ("[1]", None),
+        (None, None),
+    ]
+    c = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i int, content string")
+    got = J.criteria_winners(c, "i").filter("criterion = 'Overall Winner'").orderBy("i").collect()
+    assert [r["winner"] for r in got] == [w for _, w in bodies]
     rows = spark.createDataFrame([("p", "c", 1), ("p", "c", J_flip(2)), ("p", "c", 0), ("p", "c", None)], "pair_id string, criterion string, winner int")
     r = J.win_rates(rows).filter("pair_id is not null").first()
     assert (r["answer1"], r["tie"], r["invalid"], r["answer1_pct"], r["tie_pct"]) == (2, 1, 1, 66.67, 33.33)
