@@ -90,6 +90,7 @@ JUDGE = """jw AS (SELECT doc_id, lang, ['Answer 1', 'Answer 2', 'Tie', '2', 'nei
 jc AS (SELECT *, unnest(['Comprehensiveness', 'Diversity', 'Empowerment', 'Overall Winner']) AS criterion FROM jw),
 ja AS (SELECT *, CASE WHEN broken = 2 THEN NULL WHEN broken = 1 AND criterion <> 'Comprehensiveness' THEN NULL
     WHEN criterion = 'Diversity' THEN 1
+    WHEN criterion = 'Overall Winner' AND doc_id % 3 <> 0 THEN NULL
     WHEN w = 'Answer 1' THEN 1 WHEN w IN ('Answer 2', '2') THEN 2 WHEN w = 'Tie' THEN 0 END AS win FROM jc),
 jr AS (SELECT 'one_vs_' || lang AS pair_id, criterion, CASE WHEN rev AND win IN (1, 2) THEN 3 - win ELSE win END AS winner FROM ja)"""
 RATES = """count(*) FILTER (winner = 1) AS answer1, count(*) FILTER (winner = 2) AS answer2, count(*) FILTER (winner = 0) AS tie,
@@ -106,7 +107,7 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
-def _topk(distance: str, where: str = "true", queries: str = "vec_id < 20", k: int = 5) -> str:
+def _topk(distance: str, where: str = "true", queries: str = "vec_id % 100 = 0", k: int = 5) -> str:
     return f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {queries}),
 s AS (SELECT query_id, vec_id, {distance} AS d FROM v, q WHERE {where}),
@@ -192,7 +193,7 @@ def endpoint_closure(spark, sf_dir):
     return G.closed(graph.nodes.filter("type != 'Part'"), graph.edges).select("id", "type", "text")
 
 
-@query(f"WITH {KG_EDGES}, b AS (SELECT source AS id, target AS n FROM ke WHERE relation IN ('in_region', 'in_nation') UNION SELECT target, source FROM ke WHERE relation IN ('in_region', 'in_nation')) SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM b GROUP BY id")
+@query(f"WITH {KG_EDGES}, b AS (SELECT source AS id, target AS n FROM ke UNION SELECT target, source FROM ke) SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM b GROUP BY id")
 def adjacency_list(spark, sf_dir):
     return G.adjacency(B.knowledge_graph(spark, sf_dir)).select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
@@ -224,7 +225,7 @@ def first_wins(spark, sf_dir):
     return G.first_wins(rows, ["source", "target"], "ord")
 
 
-@query(f"WITH {KG_NODES} SELECT id, text AS label, type AS \"group\", id AS title FROM kn WHERE type IN ('Region', 'Nation')")
+@query(f"WITH {KG_NODES} SELECT id, text AS label, type AS \"group\", id AS title FROM kn")
 def node_labels(spark, sf_dir):
     nodes = B.knowledge_nodes(spark, sf_dir).withColumn("metadata", F.to_json(F.struct(F.lit("x").alias("original_label"))))
     return G.labels(nodes)
@@ -260,14 +261,14 @@ def collect_final(spark, sf_dir):
     return found.nodes.select("place", "id", "origin", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
 
 
-@query(f"""WITH {TOP10}, f AS (SELECT got.id, vn.e[1:3] AS x FROM got JOIN vn ON got.id = vn.id),
+@query(f"""WITH {TOP10}, f AS (SELECT got.id, unnest(range(len(e))) AS dim, unnest(e) AS x FROM got JOIN vn ON got.id = vn.id),
 l AS (SELECT DISTINCT source, target FROM ve WHERE source IN (SELECT id FROM f) AND target IN (SELECT id FROM f) UNION SELECT id, id FROM f)
-SELECT a.id, round(0.3 * any_value(a.x[1]) + 0.7 * avg(b.x[1]), 6) AS y1, round(0.3 * any_value(a.x[2]) + 0.7 * avg(b.x[2]), 6) AS y2, round(0.3 * any_value(a.x[3]) + 0.7 * avg(b.x[3]), 6) AS y3
-FROM f a JOIN l ON a.id = l.source JOIN f b ON l.target = b.id GROUP BY a.id""")
+SELECT a.id, a.dim::INTEGER AS dim, round(0.3 * any_value(a.x) + 0.7 * avg(b.x), 6) + 0.0 AS y
+FROM f a JOIN l ON a.id = l.source JOIN f b ON l.target = b.id AND a.dim = b.dim GROUP BY a.id, a.dim""")
 def gcn_smooth(spark, sf_dir):
     graph, _, hits = _retrieved(spark, sf_dir)
-    features = hits.join(graph.nodes, "id").select("id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("features"))
-    return R.smoothed(features, graph.edges).select("id", *[F.round(F.col("features")[i], 6).alias(f"y{i + 1}") for i in range(3)])
+    features = hits.join(graph.nodes, "id").select("id", F.col("embedding").cast("array<double>").alias("features"))
+    return R.smoothed(features, graph.edges).select("id", F.posexplode("features").alias("dim", "y")).select("id", "dim", (F.round("y", 6) + 0.0).alias("y"))
 
 
 @query(f"""WITH {SEEDS} SELECT benchmark.item_id, 'Answer the question using the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || (SELECT string_agg(id, chr(10) ORDER BY pos) FROM seed WHERE pos < 3) || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM benchmark""")
@@ -462,17 +463,3 @@ def session_stream_fold(spark, sf_dir):
     run = folded.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("session_id", "event_id", "revision", "current", "message", "percent", "snapshot")
-
-
-# --- sources and sinks -----------------------------------------------------------------------------------------
-
-
-@query(f"WITH {KG_NODES}, {KG_EDGES} SELECT source, target, relation, weight FROM ke WHERE relation IN ('in_region', 'in_nation')")
-def export_jsonl_roundtrip(spark, sf_dir):
-    """Edges written as JSON lines and read back."""
-    from graphloom.sources.sinks import edge_lines
-
-    edges = edge_lines(B.knowledge_edges(spark, sf_dir))
-    return edges.select(F.from_json("value", "source string, target string, relation string, weight string").alias("e")).select("e.source", "e.target", "e.relation", F.col("e.weight").cast("double").alias("weight"))
-
-
