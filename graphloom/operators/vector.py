@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,7 +76,7 @@ class VectorIndex:
         kind = self.rows.schema["id"].dataType
         rows = self.rows
         for key, value in (where or {}).items():
-            rows = rows.filter(F.get_json_object("metadata", f"$.{key}") == str(value))
+            rows = rows.filter(has_value(F.col("metadata"), key, value))
         if not isinstance(queries, DataFrame):
             vector = coerced(queries)
             queries = spark.createDataFrame([("", vector)] if vector else [], "query_id string, vector array<double>")
@@ -104,6 +104,22 @@ class VectorIndex:
         return top.join(rows.drop("ord"), "id").select("query_id", "id", "document", "metadata", "embedding", "distance", "rank")
 
 
+def has_value(metadata: Column, key: str, value: Any) -> Column:
+    """Whether a JSON object has this value under a key, of the same type: a boolean, number or string.
+
+    Numbers compare by value.  ``None`` is had by objects whose member is null or missing."""
+    path = "$['" + key.replace("'", "\\'") + "']"
+    found = F.try_variant_get(F.try_parse_json(metadata), path, "variant")
+    kind = F.coalesce(F.schema_of_variant(found), F.lit("VOID"))
+    if value is None:
+        return kind == "VOID"
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(found, "$", "boolean") == value)
+    if isinstance(value, (int, float)):
+        return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(found, "$", "double") == float(value))
+    return (kind == "STRING") & (F.try_variant_get(found, "$", "string") == str(value))
+
+
 def _nearest(queries: list, metric: str, k: int, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}

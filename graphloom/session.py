@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,17 @@ def build_session(app: str = "graphloom", cpus: int | str = "*", **conf: str) ->
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: spark.checkpoint.dir.  Only a local master (tests) may do without."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        set_dir = tempfile.mkdtemp(prefix="graphloom-shared-")
+        spark.sparkContext.setCheckpointDir(set_dir)
+    return set_dir.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``; any path Spark itself can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

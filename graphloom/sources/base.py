@@ -45,15 +45,20 @@ class GraphSource(ABC):
         if not keep:
             return graph
         extra = json.dumps({"_source_path": str(source), "_source_style": self.name})
-        return PropertyGraph(graph.nodes.withColumn("metadata", merged_json(F.col("metadata"), F.lit(extra))), graph.edges, graph.indexes)
+        stamp = lambda rows: rows.withColumn("metadata", merged_json(F.lit(extra), F.col("metadata")))
+        return PropertyGraph(stamp(graph.nodes), stamp(graph.edges), graph.indexes)
+
+
+def members(record: Column) -> Column:
+    """The members of a JSON object with their types, as a map of variants; empty for anything else."""
+    return F.coalesce(F.from_json(record, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
 def merged_json(*objects: Column) -> Column:
     """One JSON object with the keys of all; later ones win.  Null objects count as empty.
 
-    Members are kept as the text between the braces, so nested values pass unchanged."""
-    parse = lambda o: F.coalesce(F.from_json(o, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    maps = [F.map_filter(parse(o), lambda k, v: v.isNotNull()) for o in objects]
+    Numbers, booleans, lists, objects and nulls stay what they are."""
+    maps = [members(o) for o in objects]
     out = maps[0]
     for later in maps[1:]:
         out = F.map_concat(_without(out, later), later)
@@ -65,9 +70,8 @@ def _without(first: Column, later: Column) -> Column:
 
 
 def other_fields(record: Column, known: Sequence[str]) -> Column:
-    """A JSON object of the fields of ``record`` that are not in ``known``; values keep their JSON text."""
-    fields = F.coalesce(F.from_json(record, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_filter(fields, lambda k, v: ~k.isin(*known) & v.isNotNull()))
+    """A JSON object of the fields of ``record`` that are not in ``known``; values keep their types."""
+    return F.to_json(F.map_filter(members(record), lambda k, v: ~k.isin(*known)))
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:

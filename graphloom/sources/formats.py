@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import content_id, first_present, float_or, norm_key, present, strip
@@ -161,12 +161,12 @@ class TopologySource(GraphSource):
         return rows.select(F.col("hash_id").alias("id"), F.col("content").alias("text"), vector.alias("embedding"), F.monotonically_increasing_id().alias("ord"))
 
     @staticmethod
-    def openie(spark: SparkSession, work: Path, given=None) -> DataFrame | None:
-        """One row per document: idx, passage, entities, triples, ord."""
-        found = [Path(given)] if given else [*sorted(work.glob("openie_results_ner_*.json")), *sorted(work.parent.glob("openie_results_ner_*.json"))]
-        if not found:
+    def openie(spark: SparkSession, given, *folders: Path) -> DataFrame | None:
+        """One row per document: idx, passage, entities, triples, ord, of the last file by name in the first folder that has one."""
+        found = next((f for folder in folders if (f := sorted(folder.glob("openie_results_ner_*.json")))), [])
+        if not given and not found:
             return None
-        whole = spark.read.option("wholetext", True).text(str(found[0]))
+        whole = spark.read.option("wholetext", True).text(str(given or found[-1]))
         docs = F.from_json(F.get_json_object("value", "$.docs"), "array<struct<idx:string,passage:string,extracted_entities:array<string>,extracted_triples:array<array<string>>>>")
         rows = whole.select(F.posexplode(docs).alias("ord", "d"))
         entities = F.filter("d.extracted_entities", lambda e: strip(e) != "")
@@ -179,51 +179,61 @@ class TopologySource(GraphSource):
         if not load_embeddings:
             stores = {k: v.withColumn("embedding", F.lit(None).cast("array<float>")) for k, v in stores.items()}
         step = 1 << 52
-        typed = lambda rows, kind, stage: rows.select("id", F.lit(kind).alias("type"), "text", "embedding", F.lit("{}").alias("metadata"), (F.col("ord") + stage * step).alias("ord"))
+        told = lambda **more: F.to_json(F.struct(F.col("id").alias("hash_id"), *[F.lit(v).alias(k) for k, v in more.items()]))
+        typed = lambda rows, kind, stage: rows.select("id", F.lit(kind).alias("type"), "text", "embedding", told(node_type=kind).alias("metadata"), (F.col("ord") + stage * step).alias("ord"))
         nodes = typed(stores["entity"], "Entity", 0).unionByName(typed(stores["chunk"], "Chunk", 1))
         edges = []
         bare = []
-        docs = self.openie(spark, work, openie_path)
+        docs = self.openie(spark, openie_path, work.parent)
         if docs is not None:
-            last = docs.withColumn("chunk_id", content_id("chunk", F.col("passage"))).groupBy("chunk_id").agg(F.max_by(F.struct("entities", "ord"), "ord").alias("d"))
+            last = docs.filter("idx != ''").withColumnRenamed("idx", "chunk_id").groupBy("chunk_id").agg(F.max_by(F.struct("entities", "ord"), "ord").alias("d"))
             known = last.join(stores["chunk"].select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
             named = known.select("chunk_id", F.posexplode("d.entities").alias("i", "name"), F.col("d.ord").alias("doc")).withColumn("ord", F.col("doc") * (1 << 20) + F.col("i"))
             resolved = M.resolve_names(named, stores["entity"])
             bare.append(resolved.filter("placeholder").select(F.col("resolved").alias("id"), F.col("name").alias("text"), "ord", F.lit(2).alias("stage")))
-            edges.append(M.chunk_links(resolved.select("chunk_id", F.col("resolved").alias("entity_id"), "ord")).withColumns({"weight": F.lit(1.0), "stage": F.lit(0)}))
+            links = M.chunk_links(resolved.select("chunk_id", F.col("resolved").alias("entity_id"), "ord"))
+            passage = F.when(F.col("relation") == "mentions", F.col("source")).otherwise(F.col("target"))
+            edges.append(links.withColumns({"weight": F.lit(1.0), "stage": F.lit(0), "metadata": F.to_json(F.struct(F.lit("openie").alias("source"), passage.alias("openie_passage_id")))}))
             open_triples = docs.select("ord", F.posexplode("triples").alias("i", "t")).select(F.col("t")[0].alias("head"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("tail"), (F.col("ord") * (1 << 20) + F.col("i")).alias("ord"))
         else:
             open_triples = spark.createDataFrame([], "head string, relation string, tail string, ord long")
-        parsed = stores["fact"].select("ord", M.fact_triple("text").alias("t")).select("t.*", "ord").filter("head is not null and tail is not null")
+        parsed = stores["fact"].select("ord", F.col("id").alias("fact_id"), F.col("text").alias("fact"), F.col("embedding").alias("fact_embedding"), M.fact_triple("text").alias("t")).select("t.head", strip(F.col("t.relation")).alias("relation"), "t.tail", "ord", "fact_id", "fact", "fact_embedding").filter(norm_key(F.col("head")) != "").filter(norm_key(F.col("tail")) != "")
         sides = M.resolve_names(parsed, stores["entity"], "head").withColumnsRenamed({"resolved": "source", "placeholder": "new_source"})
         sides = M.resolve_names(sides, stores["entity"], "tail").withColumnsRenamed({"resolved": "target", "placeholder": "new_target"})
         for end, name in (("source", "head"), ("target", "tail")):
             bare.append(sides.filter(f"new_{end}").select(F.col(end).alias("id"), norm_key(F.col(name)).alias("text"), "ord", F.lit(3).alias("stage")))
-        facts = first_wins(sides.select("source", "target", "relation", "ord"), ["source", "target", "relation"], "ord")
-        edges.append(facts.select("source", "target", "relation", F.lit(1.0).alias("weight"), F.col("ord").alias("edge_idx"), F.lit(1).alias("stage")))
+        facts = first_wins(sides.select("source", "target", "relation", "ord", "fact_id", "fact", "fact_embedding"), ["source", "target", "relation"], "ord")
+        edges.append(facts.select("source", "target", "relation", F.lit(1.0).alias("weight"), F.col("ord").alias("edge_idx"), F.lit(1).alias("stage"), F.to_json(F.struct(F.lit("vdb_fact").alias("source"), F.col("fact_id").alias("fact_hash_id"))).alias("metadata")))
         placeholders = bare[0]
         for more in bare[1:]:
             placeholders = placeholders.unionByName(more)
         placeholders = first_wins(placeholders.withColumn("ord", F.col("ord") + F.col("stage") * step), ["id"], "ord").join(nodes.select("id"), "id", "left_anti")
-        nodes = nodes.unionByName(placeholders.select("id", F.lit("Entity").alias("type"), "text", F.lit(None).cast("array<float>").alias("embedding"), F.lit("{}").alias("metadata"), "ord"))
+        inferred = F.when(F.col("stage") == 2, told(inferred_from_openie_entity=True)).otherwise(told(inferred_from_fact=True))
+        nodes = nodes.unionByName(placeholders.select("id", F.lit("Entity").alias("type"), "text", F.lit(None).cast("array<float>").alias("embedding"), inferred.alias("metadata"), "ord"))
         if (work / "topology.parquet").exists():
             topology = spark.read.parquet(str(work / "topology.parquet")).select(F.col("src").alias("source"), F.col("dst").alias("target"), float_or(F.col("weight").cast("string"), 1.0).alias("weight"), F.monotonically_increasing_id().alias("ord"))
             named = M.topology_edges(topology, facts, open_triples, nodes.select("id", "text"))
-            edges.append(named.withColumnRenamed("ord", "edge_idx").withColumn("stage", F.lit(2)))
+            edges.append(named.withColumnRenamed("ord", "edge_idx").withColumns({"stage": F.lit(2), "metadata": F.lit('{"source":"igraph"}')}))
             # Without any store the vertices themselves are the nodes.
             ends = topology.select(F.explode(F.array("source", "target")).alias("id"), "ord").groupBy("id").agg(F.min("ord").alias("ord"))
-            fallback = ends.join(nodes.select("id"), "id", "left_anti").select("id", F.lit("Unknown").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit("{}").alias("metadata"), (F.col("ord") + 4 * step).alias("ord"))
+            none = ends.join(nodes.limit(1).select(F.lit(True).alias("_any")), F.col("_any"), "left_anti")  # one row at most
+            fallback = none.select("id", F.lit("Unknown").alias("type"), F.col("id").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), told().alias("metadata"), (F.col("ord") + 4 * step).alias("ord"))
             nodes = nodes.unionByName(fallback)
         every = edges[0]
         for more in edges[1:]:
             every = every.unionByName(more)
-        merged = M.merge_edges(every.withColumn("edge_idx", F.col("edge_idx") + F.col("stage") * step))
+        placed = every.withColumn("edge_idx", F.col("edge_idx") + F.col("stage") * step)
+        merged = placed.groupBy("source", "relation", "target").agg(F.max("weight").alias("weight"), F.min_by("metadata", "edge_idx").alias("metadata"), F.min("edge_idx").alias("edge_idx"))
         out = self.stamped(graph(last_wins(nodes, "id", "ord"), merged), source, keep_source_reference)
-        return out.attach("node_vector", node_index(out.nodes)) if load_embeddings else out
+        if not load_embeddings:
+            return out
+        described = F.to_json(F.struct("source", "target", "relation", F.col("fact_id").alias("fact_hash_id")))
+        vectors = facts.filter("fact_embedding is not null").select(F.col("fact_id").alias("id"), F.col("fact").alias("document"), described.alias("metadata"), F.col("fact_embedding").alias("embedding"), "ord")
+        return out.attach("node_vector", node_index(out.nodes)).attach("edge_vector", VectorIndex(vectors, name="edge_vector"))
 
 
 class OpenExtractionSource(GraphSource):
-    """Only the open-extraction file: nodes and edges from its triples, passages in the edges' metadata."""
+    """Only the open-extraction file: nodes and edges from its triples, passages in the metadata of both."""
 
     name = "openie"
 
@@ -234,13 +244,16 @@ class OpenExtractionSource(GraphSource):
             return False
 
     def read(self, spark, source, *, keep_source_reference=False, openie_path=None, **options):
-        docs = TopologySource.openie(spark, as_path(source), openie_path)
+        docs = TopologySource.openie(spark, openie_path, as_path(source), as_path(source).parent)
         if docs is None:
             raise UnsupportedSourceError(f"no open-extraction file at {source}")
-        triples = docs.select("ord", F.posexplode("triples").alias("i", "t"), "passage").select(F.col("t")[0].alias("head"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("tail"), (F.col("ord") * (1 << 20) + F.col("i")).alias("ord"), "passage")
-        nodes, edges = M.triples_to_graph(triples, "entity")
-        told = edges.join(triples.select(F.col("ord").alias("edge_idx"), F.to_json(F.struct("passage")).alias("metadata")), "edge_idx", "left")
-        return self.stamped(graph(nodes, told), source, keep_source_reference)
+        triples = docs.select("ord", F.posexplode("triples").alias("i", "t"), "passage", "idx").select(F.col("t")[0].alias("head"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("tail"), (F.col("ord") * (1 << 20) + F.col("i")).alias("ord"), present(F.col("passage")).alias("passage"), present(F.col("idx")).alias("openie_passage_id"))
+        nodes, edges = M.triples_to_graph(triples, "entity", normalised=False)
+        # A node's place is twice its triple's, or one more.
+        seen = triples.select(F.col("ord").alias("_t"), "passage", "openie_passage_id")
+        nodes = nodes.join(seen, F.floor(F.col("ord") / 2) == F.col("_t")).select("id", "text", "ord", F.to_json(F.struct(F.lit(True).alias("inferred_from_openie"), F.col("id").alias("original_label"), "openie_passage_id", "passage")).alias("metadata"))
+        edges = edges.join(seen, F.col("edge_idx") == F.col("_t")).select("source", "target", "relation", "edge_idx", F.to_json(F.struct(F.lit("openie").alias("source"), "passage", "openie_passage_id"), {"ignoreNullFields": "false"}).alias("metadata"))
+        return self.stamped(graph(nodes, edges), source, keep_source_reference)
 
 
 class SubgraphUnionSource(GraphSource):
@@ -255,11 +268,11 @@ class SubgraphUnionSource(GraphSource):
     def table(spark: SparkSession, path: str, graph_id: str | None) -> DataFrame:
         """All columns as text, gid (the file's stem), row_idx (the row's place in its file) and ord."""
         where = f"{path}/{graph_id}.csv" if graph_id else path
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(where)
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).csv(where)
         named = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"))
         # A multi-line file is read by one task, so its rows are numbered without gaps.
         first = named.groupBy("_f").agg(F.min("_i").alias("_o"))
-        placed = named.join(first, "_f").withColumns({"gid": F.regexp_extract("_f", r"([^/]*)\.csv$", 1), "row_idx": F.col("_i") - F.col("_o")}).drop("_o")
+        placed = named.join(first, "_f").withColumns({"gid": F.regexp_extract("_f", r"([^/]+)\.csv(/[^/]+)?$", 1), "row_idx": F.col("_i") - F.col("_o")}).drop("_o")
         return numbered(placed, ["_f", "_i"])
 
     def read(self, spark, source, *, keep_source_reference=False, graph_id=None, **options):
@@ -302,7 +315,8 @@ class TripleTextSource(GraphSource):
     def read(self, spark, source, *, keep_source_reference=False, **options):
         rows = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(str(self.file(source)))
         listed = rows.select(M.parsed_triples(F.col("graph")).alias("t"), F.monotonically_increasing_id().alias("row")).select(F.posexplode("t").alias("i", "t"), "row")
-        nodes, edges = M.triples_to_graph(listed.select("t.head", "t.relation", "t.tail", (F.col("row") * (1 << 12) + F.col("i")).alias("ord")))
+        nodes, edges = M.triples_to_graph(numbered(listed.select("t.head", "t.relation", "t.tail", "row", "i"), ["row", "i"]), "node", F.lit("entity"))
+        nodes = nodes.withColumn("metadata", F.to_json(F.struct(F.col("id").alias("original_label"))))
         return self.stamped(graph(nodes, edges), source, keep_source_reference)
 
 
@@ -326,10 +340,11 @@ class TripleListSource(GraphSource):
         found = [path] if path.suffix == ".parquet" else [p for s in splits or self.SPLITS for p in sorted(path.glob(f"{s}*.parquet"))]
         rows = None
         for k, part in enumerate(found):
-            one = spark.read.parquet(str(part)).select("graph", (F.monotonically_increasing_id() + F.lit(k << 48)).alias("row"))
+            one = spark.read.parquet(str(part)).select("graph", F.lit(k).alias("file"), F.monotonically_increasing_id().alias("row"))
             rows = one if rows is None else rows.unionByName(one)
-        listed = rows.select(F.posexplode("graph").alias("i", "t"), "row").filter(F.size("t") == 3)
-        nodes, edges = M.triples_to_graph(listed.select(F.col("t")[0].alias("head"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("tail"), (F.col("row") * (1 << 12) + F.col("i")).alias("ord")))
+        listed = rows.select(F.posexplode("graph").alias("i", "t"), "file", "row").filter(F.size("t") == 3)
+        ordered = numbered(listed.select(F.col("t")[0].alias("head"), F.col("t")[1].alias("relation"), F.col("t")[2].alias("tail"), "file", "row", "i"), ["file", "row", "i"])
+        nodes, edges = M.triples_to_graph(ordered)
         return self.stamped(graph(nodes, edges), source, keep_source_reference)
 
 
@@ -338,9 +353,10 @@ class ExploredPathsSource(GraphSource):
 
     name = "tog"
     ENTITY = "id:string,entity_id:string,qid:string,name:string,entity_name:string,label:string"
-    RIGHT = f"array<struct<{ENTITY},related_paragraphs:array<string>>>"
+    RIGHT = f"array<struct<{ENTITY},related_paragraphs:variant>>"
     RELATION = f"array<struct<current_relation:struct<{ENTITY},relation:string,head:boolean>,right_entity:{RIGHT}>>"
     SEARCH = f"array<struct<depth:int,each_relation_right_entityList:{RELATION}>>"
+    PLACE = ("record", "s", "r", "i")
 
     def can_read(self, source):
         try:
@@ -350,28 +366,50 @@ class ExploredPathsSource(GraphSource):
 
     @staticmethod
     def records(spark: SparkSession, source) -> DataFrame:
-        """value, record: the objects of an object, a list or lines of JSON."""
+        """value, record: the objects of an object, a list or lines of JSON, numbered from 0."""
         if str(source).endswith(".jsonl"):
-            return lines(spark, str(source)).withColumnRenamed("ord", "record")
+            rows = lines(spark, str(source))
+            objects = rows.filter(F.trim("value").startswith("{"))
+            # A log of exploration runs: numbering it takes one ordered pass over the numbers only.
+            places = objects.select("ord", (F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("record"))
+            return objects.join(places, "ord").select("value", "record")
         whole = spark.read.option("wholetext", True).text(str(source))
         text = F.trim("value")
-        items = F.when(text.startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+        items = F.when(text.startswith("["), F.filter(F.from_json("value", "array<string>"), lambda x: F.trim(x).startswith("{"))).otherwise(F.array("value"))
         return whole.select(F.posexplode(items).alias("record", "value")).select("value", F.col("record").cast("long").alias("record"))
 
+    @staticmethod
+    def paragraphs(given: str, order: str, first: str) -> Column:
+        """Aggregate, as JSON: the paragraphs told of a node, in order.
+
+        Alone they stay as given, a text or a list, if the node was first seen with them.  Else they
+        are a list that others are appended to, each once."""
+        told = F.transform(F.array_sort(F.collect_list(F.when(F.col(given).isNotNull(), F.struct(order, given)))), lambda x: x[given])
+        born = F.min_by(F.col(given), F.col(order)).isNotNull()
+        head = F.when(born, F.coalesce(F.transform(F.from_json(told[0], "array<variant>"), lambda x: F.to_json(x)), F.slice(told, 1, 1))).otherwise(F.slice(told, 1, 1))
+        listed = F.concat(F.lit("["), F.array_join(F.array_distinct(F.concat(head, F.slice(told, 2, F.greatest(F.size(told) - 1, F.lit(0))))), ","), F.lit("]"))
+        return F.when(F.size(told) == 0, F.lit(None)).when(born & (F.size(told) == 1), F.get(told, F.lit(0))).otherwise(listed).alias(first)
+
     def read(self, spark, source, *, keep_source_reference=False, **options):
-        found = self.records(spark, source).select("record", F.posexplode(F.from_json(F.get_json_object("value", "$.search_entity_list"), self.SEARCH)).alias("s", "search"))
-        relations = found.select("record", "s", F.col("search.depth").alias("depth"), F.posexplode("search.each_relation_right_entityList").alias("r", "e"))
-        pairs = relations.select("record", "s", "r", "depth", F.col("e.current_relation").alias("rel"), F.posexplode("e.right_entity").alias("i", "right"))
-        name = lambda c: first_present(F.col(f"{c}.name"), F.col(f"{c}.entity_name"), F.col(f"{c}.label"))
-        key = lambda c: F.coalesce(first_present(F.col(f"{c}.id"), F.col(f"{c}.entity_id"), F.col(f"{c}.qid")), F.concat(F.lit("name:"), name(c)))
-        order = ((F.col("record") * (1 << 10) + F.col("s")) * (1 << 10) + F.col("r")) * (1 << 12) + F.col("i")
-        rows = pairs.select(key("rel").alias("a"), name("rel").alias("a_text"), key("right").alias("b"), name("right").alias("b_text"), F.col("right.related_paragraphs").alias("paragraphs"), F.coalesce(present(F.col("rel.relation")), F.lit("related")).alias("relation"), F.coalesce("rel.head", F.lit(True)).alias("head"), "depth", "record", order.alias("ord")).filter("a is not null and b is not null")
-        ends = rows.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a_text").alias("text"), F.lit(None).cast("array<string>").alias("paragraphs"), (F.col("ord") * 2).alias("ord")), F.struct(F.col("b").alias("id"), F.col("b_text").alias("text"), F.col("paragraphs"), (F.col("ord") * 2 + 1).alias("ord")))).alias("e")).select("e.*")
-        told = ends.select("id", F.explode("paragraphs").alias("p"), "ord").groupBy("id").agg(M.append_unique("p", "ord").alias("related_paragraphs"))
-        nodes = ends.groupBy("id").agg(M.first_known("text", "ord").alias("text"), F.min("ord").alias("ord")).join(told, "id", "left").select("id", "text", "ord", F.to_json(F.struct("related_paragraphs")).alias("metadata"))
-        directed = rows.select(F.when(F.col("head"), F.col("a")).otherwise(F.col("b")).alias("source"), F.when(F.col("head"), F.col("b")).otherwise(F.col("a")).alias("target"), "relation", "depth", F.col("record").alias("record_index"), F.lit(1.0).alias("weight"), F.col("ord").alias("edge_idx"))
+        found = self.records(spark, source).select("record", F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.question", "variant")).alias("question"), F.posexplode(F.from_json(F.get_json_object("value", "$.search_entity_list"), self.SEARCH)).alias("s", "search"))
+        relations = found.select("record", "question", "s", F.col("search.depth").alias("depth"), F.posexplode("search.each_relation_right_entityList").alias("r", "e"))
+        name = lambda c: F.coalesce(F.col(f"{c}.name"), F.col(f"{c}.entity_name"), F.col(f"{c}.label"))
+        given = lambda c, f: F.when(strip(F.col(f"{c}.{f}")) != "", F.col(f"{c}.{f}"))
+        named = lambda c: present(strip(F.coalesce(f"{c}.name", f"{c}.entity_name")))
+        key = lambda c: F.coalesce(*[given(c, f) for f in ("id", "entity_id", "qid")], F.concat(F.lit("name:"), named(c)))
+        current = relations.select("record", "s", "r", F.lit(-1).alias("i"), "question", "depth", F.col("e.current_relation").alias("rel"), "e.right_entity").filter(key("rel").isNotNull())
+        pairs = current.select("record", "s", "r", F.posexplode("right_entity").alias("i", "right"), "depth", key("rel").alias("a"), F.coalesce("rel.relation", F.lit("related")).alias("relation"), F.coalesce("rel.head", F.lit(True)).alias("head")).filter(key("right").isNotNull())
+        none = F.lit(None).cast("string")
+        present_json = lambda v: F.when(F.schema_of_variant(v) != "VOID", F.to_json(v))
+        ends = current.select(*self.PLACE, key("rel").alias("id"), name("rel").alias("text"), F.when(F.col("question") != "null", F.col("question")).alias("question"), none.alias("told"))
+        ends = ends.unionByName(pairs.select(*self.PLACE, key("right").alias("id"), name("right").alias("text"), none.alias("question"), present_json(F.col("right.related_paragraphs")).alias("told")))
+        ends = numbered(ends, list(self.PLACE))
+        nodes = ends.groupBy("id").agg(M.first_known("text", "ord").alias("text"), F.min_by("question", "ord").alias("question"), self.paragraphs("told", "ord", "told"), F.min("ord").alias("ord"))
+        member = lambda k, c: F.coalesce(F.concat(F.lit(f'{{"{k}":'), F.col(c), F.lit("}")), F.lit("{}"))
+        nodes = nodes.select("id", "text", "ord", merged_json(member("question", "question"), member("related_paragraphs", "told")).alias("metadata"))
+        directed = numbered(pairs.select(*self.PLACE, F.when(F.col("head"), F.col("a")).otherwise(key("right")).alias("source"), F.when(F.col("head"), key("right")).otherwise(F.col("a")).alias("target"), "relation", "depth", F.col("record").alias("record_index"), F.lit(1.0).alias("weight")), list(self.PLACE), "edge_idx")
         merged = directed.groupBy("source", "relation", "target").agg(F.max("weight").alias("weight"), F.min("edge_idx").alias("edge_idx"), M.append_unique("depth", "edge_idx").alias("depths"), M.append_unique("record_index", "edge_idx").alias("record_indices"))
-        edges = merged.select("source", "target", "relation", "weight", "edge_idx", F.to_json(F.struct("depths", "record_indices")).alias("metadata"))
+        edges = merged.select("source", "target", "relation", "weight", "edge_idx", F.to_json(F.struct("record_indices", F.when(F.size("depths") > 0, F.col("depths")).alias("depths"))).alias("metadata"))
         return self.stamped(graph(nodes, edges), source, keep_source_reference)
 
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from graphloom.plans import catalog
+from graphloom.plans import catalog, source_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -41,7 +41,7 @@ def test_attribute_bundle(spark, tmp_path):
     assert {n[0] for n in nodes} == {"e1", "e2", "new"} and edges == [("e1", "RELATED", "e2", 1.0), ("e2", "R", "new", 2.0)]
     vectors = {r["id"]: r["embedding"] for r in g.nodes.collect()}
     assert vectors["e1"] == [1.0, 2.0] and vectors["e2"] is None
-    assert json.loads(g.node("e1").first()["metadata"]) == {"k": "1"}
+    assert json.loads(g.node("e1").first()["metadata"]) == {"k": 1}
     assert g.search("node_vector", [1.0, 2.0], 1).first()["id"] == "e1" and g.list_indexes() == ["edge_vector", "node_vector"]
 
 
@@ -73,7 +73,7 @@ def test_subgraph_union(spark, tmp_path):
     nodes, edges = shown(g)
     assert {n[0] for n in nodes} >= {"0:1", "1:8"} and len(nodes) == 3
     cube = next(r for r in g.nodes.collect() if r["text"])
-    assert cube["text"] == "red, Cube" and cube["embedding"] == [0.5] and json.loads(json.loads(cube["metadata"])["graph_ids"]) == ["0", "1"]
+    assert cube["text"] == "red, Cube" and cube["embedding"] == [0.5] and json.loads(cube["metadata"])["graph_ids"] == ["0", "1"]
     assert sorted(e[3] for e in edges) == [1.0, 5.0]
     assert read_graph(spark, "subgraph_union", str(tmp_path), graph_id="1").edges.count() == 1
 
