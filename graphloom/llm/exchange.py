@@ -14,11 +14,20 @@ of a hot item to one task.  Instead:
 Ranges and batches are of equal size by construction: no key, source or group of copies can
 unbalance them.  All stages are plain shuffles of one lazy plan, so lost executors cost only a
 recomputation.
+
+Between n batches and n ranges that would be n * n rows.  Beyond ``DIRECT`` batches the rows go in
+two steps instead: a batch addresses about sqrt(n) gates, each a run of ranges; a node stands
+between about sqrt(n) batches and one gate, merges their rows and asks the gate's ranges like a
+batch of its own, and takes the answers apart again.  That makes about 4 * n * sqrt(n) rows both
+ways, each as large as a row would be if there were only sqrt(n) ranges, and no node holds more
+than a batch sends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +41,68 @@ MESSAGE = "batch int, tag int, bucket int, blob binary"
 ARROW_MESSAGE = pa.schema([("batch", pa.int32()), ("tag", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 4 << 20
-
-
-def plan_sizes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """(batches, buckets) for a table: batches of about BATCH_BYTES, and as many hash ranges."""
+#: Batches that send their rows to all ranges directly, at most.
+DIRECT = 1024
+
+
+@dataclass(frozen=True)
+class Plan:
+    """``batches``; the ``gates`` that they address; the ``ranges`` of the hash space, a whole number to
+    each gate; and the batches that share a node on the way (``group``, 0: there are no nodes)."""
+
+    batches: int
+    gates: int
+    ranges: int
+    group: int
+
+    def ask(self, messages: DataFrame, answer: Callable[[pa.Table], pa.Table], dropped: Mapping[int, int] | None = None, bits: tuple[int, ...] = ()) -> DataFrame:
+        """Answers to ``messages``: one call of ``answer`` per range, on the rows of all batches.
+
+        ``dropped``: by tag, the low bits of keys that are not sent.  ``bits``: tags whose answers
+        are one bit array.  Rows that ``answer`` sends to batch -1 come through as they are."""
+        if not self.group:
+            return messages.groupBy("bucket").applyInArrow(answer, MESSAGE)
+        dropped, ranges = dict(dropped or {}), self.ranges
+
+        def opened(table: pa.Table) -> Iterator[tuple]:
+            for tag in sorted(set(table.column("tag").to_pylist())):
+                keys, spans, rest = merged(table, tag)
+                yield tag, np.argsort(keys, kind="stable"), keys << U64(dropped.get(tag, 0)), spans, rest
+
+        def forward(key: tuple, table: pa.Table) -> pa.Table:
+            asked = []
+            for tag, order, keys, _, rest in opened(table):
+                asked += questions(key[0].as_py(), tag, ranges, keys[order], *[r[order] for r in rest], drop_bits=dropped.get(tag, 0))
+            return rows(asked)
+
+        def back(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+            if key[0].as_py() < 0:
+                return replies
+            got, gate, out = by_batch(replies), key[0].as_py() % self.gates, []
+            for tag, order, keys, spans, _ in opened(table):
+                found = answers(got, tag, keys[order], ranges, tag in bits)
+                placed = []
+                for values in found:
+                    at = np.empty(len(values), values.dtype)
+                    at[order] = values
+                    placed.append(at)
+                out += [(b, tag, gate, pack(pack_bits(placed[0][a:z])) if tag in bits else pack(*[v[a:z] for v in placed])) for b, a, z in spans if z > a]
+            return rows(out)
+
+        node = (F.floor(F.col("batch") / self.group) * self.gates + F.col("bucket")).cast("int")
+        posted = messages.groupBy(node.alias("node"))
+        replied = posted.applyInArrow(forward, MESSAGE).groupBy("bucket").applyInArrow(answer, MESSAGE)
+        return posted.cogroup(replied.groupBy(F.col("batch").alias("node"))).applyInArrow(back, MESSAGE)
+
+
+def plan(docs: DataFrame, text: str = "text") -> Plan:
+    """Batches of about BATCH_BYTES of text, and as many hash ranges."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(parallelism(docs.sparkSession), -(-total // BATCH_BYTES))
-    return n, n
+    if n <= DIRECT:
+        return Plan(n, n, n, 0)
+    gates = math.isqrt(n - 1) + 1
+    return Plan(n, gates, gates * -(-n // gates), gates)
 
 
 def in_batches(docs: DataFrame, batches: int, *cols: str) -> DataFrame:
@@ -100,20 +164,24 @@ def unpack_bits(raw: np.ndarray, n: int) -> np.ndarray:
 # --- questions and answers ------------------------------------------------------------------
 
 
+def bucket_start(b: int, buckets: int) -> int:
+    """First key of a bucket; its low bits are 0, so flags in the low bits of keys never part equal keys."""
+    return ((b << 64) // buckets) >> 24 << 24
+
+
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Positions at which sorted 64-bit keys pass from one bucket to the next: buckets + 1 of them."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], U64)
+    edges = np.array([bucket_start(b, buckets) for b in range(buckets)], U64)
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def questions(batch: int, tag: int, buckets: int, keys: np.ndarray, *rest: np.ndarray, drop_bits: int = 0, always: bool = False) -> Iterator[tuple]:
-    """Rows that ask about sorted unique 64-bit ``keys`` with arrays ``rest`` alongside.
+def questions(batch: int, tag: int, buckets: int, keys: np.ndarray, *rest: np.ndarray, drop_bits: int = 0) -> Iterator[tuple]:
+    """Rows that ask about sorted 64-bit ``keys`` with arrays ``rest`` alongside, for buckets that have keys.
 
-    ``drop_bits`` low bits of the keys are not sent (the keys must be unique without them).
-    ``always``: every bucket gets a row, also one without keys, and so answers this batch."""
+    ``drop_bits`` low bits of the keys, which are 0, are not sent."""
     edges = bucket_edges(keys, buckets)
     sent = keys >> U64(drop_bits) if drop_bits else keys
-    for b in range(buckets) if always else np.flatnonzero(np.diff(edges)):
+    for b in np.flatnonzero(np.diff(edges)):
         a, z = edges[b], edges[b + 1]
         yield batch, tag, int(b), pack(deltas(sent[a:z]), *[r[a:z] for r in rest])
 
@@ -151,11 +219,6 @@ def runs(keys: np.ndarray, stable: bool = True) -> tuple[np.ndarray, np.ndarray,
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def ask(messages: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Answers to ``messages``: one call of ``answer`` per bucket, on the rows of all batches."""
-    return messages.groupBy("bucket").applyInArrow(answer, MESSAGE)
-
-
 def by_batch(table: pa.Table) -> dict[tuple[int, int], bytes]:
     """(tag, bucket) -> blob of the answers that one batch got."""
     return {(t, b): v for t, b, v in zip(table.column("tag").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist())}

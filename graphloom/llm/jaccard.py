@@ -526,9 +526,10 @@ def star_links(found: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    batches, buckets = X.plan_sizes(docs)
+    plan = X.plan(docs)
+    buckets = plan.gates
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = X.in_batches(given, batches, "doc_id", "text")
+    held = X.in_batches(given, plan.batches, "doc_id", "text")
 
     def ask_first(table: pa.Table) -> pa.Table:
         return X.rows(Batch(table, size).messages(table.column("batch")[0].as_py(), buckets))
@@ -536,7 +537,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def find(table: pa.Table, replies: pa.Table) -> pa.Table:
         return _found(table, X.by_batch(replies), buckets, size)
 
-    counted = X.ask(held.groupBy("batch").applyInArrow(ask_first, X.MESSAGE), _answer)
+    counted = plan.ask(held.groupBy("batch").applyInArrow(ask_first, X.MESSAGE), _answer, {COUNTS: _DROPPED})
     found = written(held.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(find, FOUND), "jaccard-found")
     stars = written(star_links(found, size), "jaccard-stars")
     placed = components(stars).withColumnRenamed("id", "_id")
@@ -549,7 +550,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def enter(table: pa.Table, replies: pa.Table) -> pa.Table:
         return _members(table, X.by_batch(replies), buckets)
 
-    mixed = X.ask(located.groupBy("batch").applyInArrow(ask_again, X.MESSAGE), _answer_mixed)
+    mixed = plan.ask(located.groupBy("batch").applyInArrow(ask_again, X.MESSAGE), _answer_mixed)
     members = written(located.groupBy("batch").cogroup(mixed.groupBy("batch")).applyInArrow(enter, MEMBER), "jaccard-members")
     links = written(stars.union(cluster_links(members, given, size)), "jaccard-links")
     dropped(stars, members)

@@ -33,7 +33,7 @@ from graphloom.llm.tokens import U64, windows, words
 
 ADDED = 0.1
 MU = 10.0
-WORDS, PAIRS, MARKS = 1, 2, 3
+WORDS, PAIRS, MARKS, TOTALS = 1, 2, 3, 4
 #: Low bits of bigram hashes that are not sent: 48 bits tell bigrams apart.
 PAIR_BITS_DROPPED = 16
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -56,9 +56,9 @@ class Grams:
             self.sets[tag] = (order, run, keys[order[starts]] if len(starts) else keys, counts, hits)
 
     def messages(self, batch: int, buckets: int):
-        for tag, drop, always in ((WORDS, 0, True), (PAIRS, PAIR_BITS_DROPPED, False)):
+        for tag, drop in ((WORDS, 0), (PAIRS, PAIR_BITS_DROPPED)):
             _, _, keys, counts, hits = self.sets[tag]
-            yield from X.questions(batch, tag, buckets, keys, counts, hits, drop_bits=drop, always=always)
+            yield from X.questions(batch, tag, buckets, keys, counts, hits, drop_bits=drop)
 
     def spread(self, tag: int, values: np.ndarray) -> np.ndarray:
         """Values of the distinct keys at the positions of their occurrences."""
@@ -70,6 +70,7 @@ class Grams:
 
 
 def _add_up(table: pa.Table) -> pa.Table:
+    """Sums of counts over all batches, and to batch -1 the range's words in all, in marked documents and its distinct ones."""
     bucket = table.column("bucket")[0].as_py()
     out = []
     for tag in (WORDS, PAIRS):
@@ -77,24 +78,30 @@ def _add_up(table: pa.Table) -> pa.Table:
         if not spans:
             continue
         sums = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)]
-        totals = np.zeros(3, np.int64)
-        if len(keys):
-            order, starts, run = X.runs(keys)
-            for i, c in enumerate(rest):
-                per = np.add.reduceat(c.astype(np.int64)[order], starts)
-                sums[i][order] = per[run]
-                totals[i] = per.sum()
-            totals[2] = len(starts)
-        out += [(b, tag, bucket, X.pack(sums[0][a:z], sums[1][a:z], totals)) for b, a, z in spans]
+        totals = np.zeros(3, ">i8")
+        order, starts, run = X.runs(keys)
+        for i, c in enumerate(rest):
+            per = np.add.reduceat(c.astype(np.int64)[order], starts)
+            sums[i][order] = per[run]
+            totals[i] = per.sum()
+        totals[2] = len(starts)
+        out += [(b, tag, bucket, X.pack(sums[0][a:z], sums[1][a:z])) for b, a, z in spans]
+        if tag == WORDS:
+            out.append((-1, TOTALS, bucket, totals.tobytes()))
     return X.rows(out)
 
 
+def totals_for(sums: DataFrame, batches: int) -> DataFrame:
+    """A row for each batch with the totals of all ranges: three 64-bit numbers, as the ranges sent them."""
+    number = lambda i: F.conv(F.hex(F.substring("blob", 8 * i + 1, 8)), 16, 10).cast("long")
+    one = sums.filter(F.col("tag") == TOTALS).agg(*[F.coalesce(F.sum(number(i)), F.lit(0)).alias(f"n{i}") for i in range(3)])
+    blob = F.unhex(F.concat(*[F.lpad(F.hex(f"n{i}"), 16, "0") for i in range(3)]))
+    return one.select(F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), F.lit(TOTALS).alias("tag"), F.lit(0).alias("bucket"), blob.alias("blob"))
+
+
 def losses(grams: Grams, got: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Per word -ln p of the target (0) and background (1) model."""
-    totals = np.zeros(3)
-    for (tag, _), blob in got.items():
-        if tag == WORDS:
-            totals += X.unpack(blob)[2]
+    totals = np.frombuffer(got[TOTALS, 0], ">i8").astype(float)
     first = np.zeros(len(grams.words.hash), bool)
     first[grams.words.first[:-1][np.diff(grams.words.first) > 0]] = True
     out = []
@@ -117,7 +124,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every row of ``docs``.
 
     ``target_ids``: a column doc_id with the ids of the target documents."""
-    batches, buckets = X.plan_sizes(docs)
+    plan = X.plan(docs)
+    batches, buckets = plan.batches, plan.gates
     held = X.in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batches, "doc_id", "text")
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     key = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
@@ -137,14 +145,18 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     def apply(table: pa.Table, extra: pa.Table) -> pa.Table:
         g = grams(table, extra)
         n = np.diff(g.words.first)
-        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in losses(g, X.by_batch(extra), buckets)] if table.num_rows else [np.zeros(1)] * 2
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in losses(g, X.by_batch(extra), buckets)]
         with np.errstate(invalid="ignore"):
             target, background = ((s[g.words.first[1:]] - s[g.words.first[:-1]]) / n for s in sums)
         empty = n == 0
         return pa.table([table.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(np.where(empty, 0.0, x), pa.float64(), mask=empty) for x in (target, background, target - background)]], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    sums = X.ask(held.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(count, X.MESSAGE), _add_up)
-    return held.groupBy("batch").cogroup(sums.unionByName(marks).groupBy("batch")).applyInArrow(apply, SCORED)
+    counts = held.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(count, X.MESSAGE)
+    sums = plan.ask(counts, _add_up, {PAIRS: PAIR_BITS_DROPPED}).repartition("batch")
+    told = sums.filter("batch >= 0").unionByName(totals_for(sums, batches)).unionByName(marks)
+    return held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(apply, SCORED)
 
 
 def op3_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -174,8 +174,9 @@ def dedup(docs: DataFrame, block: int = BLOCK, window: int = WINDOW, hashed: boo
     with ``hashed`` it is the SHA-256 of the kept words joined by one space, for every row."""
     if window != 2 * block - 1:
         raise ValueError("each window must hold exactly one block: window = 2 * block - 1")
-    batches, buckets = X.plan_sizes(docs)
-    held = X.in_batches(docs, batches, *docs.columns)
+    plan = X.plan(docs)
+    buckets = plan.gates
+    held = X.in_batches(docs, plan.batches, *docs.columns)
 
     def probe(table: pa.Table) -> pa.Table:
         a = Anchors(table, block)
@@ -201,9 +202,9 @@ def dedup(docs: DataFrame, block: int = BLOCK, window: int = WINDOW, hashed: boo
         starts = e.repeated(least[0], len(a.words.hash)) if least else np.zeros(len(a.words.hash), bool)
         return _kept(a.table, a, starts, window, hashed)
 
-    hits = X.ask(held.groupBy("batch").applyInArrow(probe, X.MESSAGE), _answer_anchors).repartition("batch")
+    hits = plan.ask(held.groupBy("batch").applyInArrow(probe, X.MESSAGE), _answer_anchors, {ANCHORS: 16}, (ANCHORS,)).repartition("batch")
     windows_out = held.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, X.MESSAGE)
-    replies = hits.unionByName(X.ask(windows_out, _answer_extended))
+    replies = hits.unionByName(plan.ask(windows_out, _answer_extended, bits=(EXTENDED,)))
     return held.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(cover, kept_schema)
 
 
