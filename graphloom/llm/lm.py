@@ -13,7 +13,7 @@ all documents and are not held out: a document counts in the models that score i
 
 Counts are gathered exactly, by the two-way exchange: a batch sends each distinct word and
 bigram once with its counts, a hash range adds them up over all batches and answers with the
-sums, along with its share of N and V.
+sums, and its share of N and V is added up.
 
 Null or empty text: 0 words, losses and score null.  Null doc_id is never marked.  No marked
 document: the target model is the uniform one.  An empty table gives an empty result.  Extra
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import exchange as X
+from graphloom.llm.common import written
 from graphloom.llm.substrings import text_of
 from graphloom.llm.tokens import U64, windows, words
 
@@ -91,17 +92,15 @@ def _add_up(table: pa.Table) -> pa.Table:
     return X.rows(out)
 
 
-def totals_for(sums: DataFrame, batches: int) -> DataFrame:
-    """A row for each batch with the totals of all ranges: three 64-bit numbers, as the ranges sent them."""
+def totals_of(sums: DataFrame) -> list[float]:
+    """Words in all, in marked documents, and distinct ones, over all ranges."""
     number = lambda i: F.conv(F.hex(F.substring("blob", 8 * i + 1, 8)), 16, 10).cast("long")
-    one = sums.filter(F.col("tag") == TOTALS).agg(*[F.coalesce(F.sum(number(i)), F.lit(0)).alias(f"n{i}") for i in range(3)])
-    blob = F.unhex(F.concat(*[F.lpad(F.hex(f"n{i}"), 16, "0") for i in range(3)]))
-    return one.select(F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), F.lit(TOTALS).alias("tag"), F.lit(0).alias("bucket"), blob.alias("blob"))
+    one = sums.filter(F.col("tag") == TOTALS).agg(*[F.coalesce(F.sum(number(i)), F.lit(0)) for i in range(3)]).first()
+    return [float(x) for x in one]
 
 
-def losses(grams: Grams, got: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def losses(grams: Grams, got: dict, buckets: int, totals: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Per word -ln p of the target (0) and background (1) model."""
-    totals = np.frombuffer(got[TOTALS, 0], ">i8").astype(float)
     first = np.zeros(len(grams.words.hash), bool)
     first[grams.words.first[:-1][np.diff(grams.words.first) > 0]] = True
     out = []
@@ -147,15 +146,16 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         n = np.diff(g.words.first)
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in losses(g, X.by_batch(extra), buckets)]
+        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in losses(g, X.by_batch(extra), buckets, totals)]
         with np.errstate(invalid="ignore"):
             target, background = ((s[g.words.first[1:]] - s[g.words.first[:-1]]) / n for s in sums)
         empty = n == 0
         return pa.table([table.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(np.where(empty, 0.0, x), pa.float64(), mask=empty) for x in (target, background, target - background)]], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     counts = held.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(count, X.MESSAGE)
-    sums = plan.ask(counts, _add_up, {PAIRS: PAIR_BITS_DROPPED}).repartition("batch")
-    told = sums.filter("batch >= 0").unionByName(totals_for(sums, batches)).unionByName(marks)
+    sums = written(plan.ask(counts, _add_up, {PAIRS: PAIR_BITS_DROPPED}), "lm-sums")
+    totals = totals_of(sums)
+    told = sums.filter("batch >= 0").unionByName(marks)
     return held.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(apply, SCORED)
 
 
