@@ -6,10 +6,13 @@ exactly r bits, with r growing by one a round.  After round r every code within
 bits has been met in some segment, so a query is finished as soon as its k-th verified distance
 is within that; only unfinished queries go on.
 
-An index block is a segment, a prefix of the segment's value and a salt; queries go only to
-blocks whose prefix is within r bits of theirs, and a block answers each query with its best few
-codes, never with all it met.  Equal codes are one entry with their smallest k + 1 ids, so a code
-that a third of all rows share costs as much as any other.
+An index block is a segment and a prefix of the segment's value, as long as makes blocks of about
+``BLOCK`` codes; up to the whole value.  A query goes only to the blocks whose prefix is within r
+bits of its own, so what is sent grows with the queries and, for the prefixes, with a power of the
+logarithm of the rows, and a block answers each query with its best few codes, never with all it
+met.  Only blocks with many more codes than that are cut in parts, each of which gets the queries
+of the block.  Equal codes are one entry with their smallest k + 1 ids, so a code that a third of
+all rows share costs as much as any other.
 
 Null codes are neither searched nor found.  Ties go to the smaller id.  Rows that repeat an id
 count once.  The query itself is not among its neighbours; fewer than k others give fewer rows.
@@ -19,6 +22,7 @@ An empty table gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,9 @@ from graphloom.llm.common import written
 
 BITS = 64
 K = 10
-#: Codes in a block, about, and the bits of a segment's value that tell blocks apart.
-BLOCK = 4096
-PREFIX = 5
+#: Codes in a block, about; blocks of more than HOT times as many are cut in parts of that size.
+BLOCK = 2048
+HOT = 4
 HIT = "query_id long, code long, least_id long, distance int"
 
 
@@ -42,8 +46,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segment_spans(rows: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments: widths of about log2(rows), from 6 to 16 bits."""
-    width = max(6, min(16, round(math.log2(max(rows, 2)))))
+    """(shift, width) of the segments: widths of about log2(rows), from 6 to 32 bits."""
+    width = max(6, min(32, round(math.log2(max(rows, 2)))))
     m = -(-BITS // width)
     ends = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
@@ -81,6 +85,29 @@ def _search(spans: list[tuple[int, int]], radius: int, keep: int):
     return run
 
 
+def prefix_bits(rows: int, width: int) -> int:
+    """Leading bits of a segment's value that tell blocks apart."""
+    return max(0, min(width, (max(rows, 1) // BLOCK).bit_length() - 1))
+
+
+def in_segments(codes: DataFrame, spans: list[tuple[int, int]], bits: list[int], *keep: str) -> DataFrame:
+    """``keep``, segment and prefix of every segment of the codes."""
+    own = [F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("code", a + w - p).bitwiseAND((1 << p) - 1).cast("int").alias("prefix")) for i, ((a, w), p) in enumerate(zip(spans, bits, strict=True))]
+    return codes.select(*keep, F.explode(F.array(*own)).alias("s")).select(*keep, "s.segment", "s.prefix")
+
+
+def routed(queries: DataFrame, spans: list[tuple[int, int]], bits: list[int], radius: int, cut: DataFrame) -> DataFrame:
+    """query_id, code and the blocks (segment, prefix, part) that may hold codes whose segment differs in ``radius`` bits.
+
+    ``cut``: segment, prefix and parts of the blocks that are cut."""
+    flips = [sorted(sum(1 << b for b in on) for r in range(min(radius, p) + 1) for on in combinations(range(p), r)) for p in bits]
+    by_segment = F.get(F.array(*[F.lit(f).cast("array<int>") for f in flips]), F.col("segment"))
+    near = in_segments(queries, spans, bits, "query_id", "code").select("query_id", "code", "segment", "prefix", F.explode(by_segment).alias("flip"))
+    near = near.select("query_id", "code", "segment", F.col("prefix").bitwiseXOR(F.col("flip")).alias("prefix"))
+    parts = near.join(cut, ["segment", "prefix"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return parts.select("query_id", "code", "segment", "prefix", "part")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, neighbour_id, distance, rank: the k nearest rows of every query.
 
@@ -91,18 +118,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     codes = written(ids.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("least_id")), "hamming-codes")
     n = codes.count()
     spans = segment_spans(n)
-    salts = max(1, n // (BLOCK << PREFIX))
-    segment = lambda: F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("code", a + max(0, w - PREFIX)).bitwiseAND((1 << min(w, PREFIX)) - 1).cast("int").alias("prefix")) for i, (a, w) in enumerate(spans)]))
-    index = codes.select("code", "least_id", segment().alias("s")).select("s.segment", "s.prefix", F.pmod(F.xxhash64("code"), F.lit(salts)).cast("int").alias("salt"), "code", "least_id")
+    bits = [prefix_bits(n, w) for _, w in spans]
+    placed = in_segments(codes, spans, bits, "code", "least_id")
+    cut = written(placed.groupBy("segment", "prefix").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT * BLOCK).select("segment", "prefix", F.ceil(F.col("_n") / BLOCK).cast("int").alias("parts")), "hamming-cut")
+    index = placed.join(cut, ["segment", "prefix"], "left").withColumn("part", F.pmod(F.xxhash64("code"), F.coalesce("parts", F.lit(1))).cast("int"))
+    index = index.select("segment", "prefix", "part", "code", "least_id")
     asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("code")).filter("query_id is not null and code is not null").distinct()
     active = written(asked, "hamming-queries")
     best = None
     by_distance = Window.partitionBy("query_id").orderBy("distance", "least_id")
+    block = ["segment", "prefix", "part"]
     for radius in range(max(w for _, w in spans) + 1):
-        routed = active.select("query_id", "code", segment().alias("s"), F.explode(F.sequence(F.lit(0), F.lit((1 << PREFIX) - 1))).alias("prefix"))
-        routed = routed.filter(F.bit_count(F.col("prefix").bitwiseXOR(F.col("s.prefix"))) <= radius).select(F.col("s.segment").alias("segment"), "prefix", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "query_id", "code")
-        block = ["segment", "prefix", "salt"]
-        met = index.groupBy(*block).cogroup(routed.groupBy(*block)).applyInArrow(_search(spans, radius, k + 1), HIT)
+        sent = routed(active, spans, bits, radius, cut)
+        met = index.groupBy(*block).cogroup(sent.groupBy(*block)).applyInArrow(_search(spans, radius, k + 1), HIT)
         every = met if best is None else best.select(*met.columns).union(met)
         ranked = every.groupBy("query_id", "code", "least_id").agg(F.min("distance").alias("distance")).withColumn("place", F.row_number().over(by_distance)).filter(F.col("place") <= k + 1)
         best = written(ranked, "hamming-best")
