@@ -6,10 +6,14 @@ credits every source with its share of all tokens, the source furthest behind it
 served next, and what it was given too little or too much stays on its account in the next
 window.  Documents are cut freely, so windows are full.
 
+The proportions are those of all tokens, or given weights: then the sources that are left fill
+the windows in proportion once others are used up.
+
 The queues are dealt to partitions in advance: partition p of P gets, of every source's T
-tokens, those from floor(T * p / P) to floor(T * (p + 1) / P).  The fractions that this cut
-carries over are the accounts with which a partition starts, so proportions hold across
-partitions and no partition waits for another.  Token positions are prefix sums that never
+tokens, those from floor(T * p / P) to floor(T * (p + 1) / P).  What a source was dealt too little
+by then, the fraction of a token that the cut carries over, is its account when the partition
+starts and decides who is served first, so deficits pass from partition to partition and none
+waits for another.  Token positions are prefix sums that never
 gather a source in one task.  What is left at a partition's end, less than one window, becomes
 sequences whose lengths are powers of two, which need no padding.
 
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -37,7 +41,7 @@ END = 1
 PARTITION_TOKENS = 1 << 20
 QUANTUM = 64
 #: Words, and pieces of words, whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 RANGE_ROWS = 2000
 #: Sequence ids of one partition: at most this many.
 STRIDE = 1 << 20
@@ -69,6 +73,17 @@ def _byte_letters() -> dict[int, str]:
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
+class _Made(dict):
+    """Values by key, made where they are missing."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Ids of whole texts through the ids of their words.
 
@@ -85,42 +100,33 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.known = _Made(self._word)
+        self.pieces = _Made(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > REMEMBERED:
-                self.pieces = {"": b""}
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
-        return got
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         plain = _PLAIN.fullmatch(text)
-        return self._piece(plain[1].lower()) + self._piece(plain[2]) if plain else self._whole(text)
+        if not plain:
+            return self._whole(text)
+        letters, marks = plain.groups()
+        pieces = self.pieces
+        return (pieces[letters.lower()] if letters else b"") + (pieces[marks] if marks else b"")
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self.special):
             return self._whole(text)
-        parts = text.encode().split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = {p for p in parts if p not in known}
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(parts)
-            for p in new:
-                known[p] = self._word(p)
-            return b"".join(map(known.__getitem__, parts))
+        for made in (self.known, self.pieces):
+            if len(made) > REMEMBERED:
+                made.clear()
+        return b"".join(map(self.known.__getitem__, text.encode().split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -146,12 +152,14 @@ def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
     return rows.mapInArrow(run, TOKENIZED)
 
 
-def serve(shares: list[tuple], window: int = SEQUENCE, quantum: int = QUANTUM) -> list[tuple]:
+def serve(shares: list[tuple], window: int = SEQUENCE, quantum: int = QUANTUM, weights: dict | None = None, carried: dict | None = None) -> list[tuple]:
     """Deficit round-robin over one partition.
 
     ``shares``: (source_no, row, start, length) in queue order.  Returns (row, start, length,
-    sequence, offset).  Credits are kept as integers: a source's tokens times tokens dealt so
-    far, less its own dealt tokens times all tokens."""
+    sequence, offset).  ``weights``: whole numbers by source, else the sources' tokens.
+    ``carried``: by source, what the partitions before owe it, as a whole number of equal parts of a
+    token.  Credits are kept as integers: a source's weight times tokens dealt so far, less its own
+    dealt tokens times all weights."""
     queues: dict = {}
     for source, row, start, length in shares:
         queues.setdefault(source, []).append([row, start, length])
@@ -160,15 +168,18 @@ def serve(shares: list[tuple], window: int = SEQUENCE, quantum: int = QUANTUM) -
     lengths = [window] * (everything // window)
     rest = everything % window
     lengths += [1 << b for b in range(window.bit_length(), -1, -1) if rest >> b & 1]
+    weight = {s: max(1, weights.get(s, 1)) for s in queues} if weights else totals
+    whole = sum(weight.values())
     at, given, out, dealt = dict.fromkeys(queues, 0), dict.fromkeys(queues, 0), [], 0
-    # The next service of a source is due when the tokens dealt reach given / share.
-    due = [(0, s) for s in queues]
+    # The next service of a source is due when the tokens dealt reach given / share; of equals, the one that is owed most.
+    owed_before = {s: -(carried or {}).get(s, 0) for s in queues}
+    due = [(0, owed_before[s], s) for s in queues]
     heapify(due)
     for sequence, size in enumerate(lengths):
         offset = 0
         while offset < size:
-            _, source = heappop(due)
-            owed = totals[source] * (dealt + size - offset) // everything - given[source]
+            *_, source = heappop(due)
+            owed = weight[source] * (dealt + size - offset) // whole - given[source]
             queue = queues[source]
             row, start, length = queue[at[source]]
             take = min(length, size - offset, max(quantum, owed))
@@ -181,19 +192,21 @@ def serve(shares: list[tuple], window: int = SEQUENCE, quantum: int = QUANTUM) -
             dealt += take
             given[source] += take
             if at[source] < len(queue):
-                heappush(due, (given[source] * everything // totals[source], source))
+                heappush(due, (given[source] * whole // weight[source], owed_before[source], source))
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int = SEQUENCE, quantum: int = QUANTUM, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
+def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int = SEQUENCE, quantum: int = QUANTUM, partition_tokens: int = PARTITION_TOKENS, weights: Mapping[str | None, int] | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+
+    ``weights``: by source, whole numbers in place of the sources' tokens; 1 for others."""
     tokens = written(tokenized(docs, path, end), "pack-tokens")
     counts = tokens.select("row", "doc_id", "source", "doc_tokens")
     per = counts.groupBy("source").agg(F.sum("doc_tokens").alias("source_tokens"))
     sources = written(per.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "pack-sources")
     total = sources.agg(F.sum("source_tokens")).first()[0] or 0
     parts = max(1, -(-total // partition_tokens))
-    rows = counts.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
+    rows = counts.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     rows = rows.withColumns({"klass": F.lit(0), "digest": digest(F.col("doc_id"), SEED)})
     placed = running_sums(rows, "source_no", "klass", "digest", "doc_tokens", [F.col("row")], RANGE_ROWS)
     # Token x of T is in partition floor((x * parts + parts - 1) / T), the last p with floor(T * p / parts) <= x.
@@ -204,12 +217,18 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
     cut = lambda p: F.expr(f"({wide('source_tokens')} * {wide(p)}) div {parts}")
     start = F.greatest(cut("part") - F.col("before"), F.lit(0))
     stop = F.least(cut("part + 1") - F.col("before"), F.col("doc_tokens"))
-    shares = spread.select("part", "source_no", "before", "row", start.alias("start"), (stop - start).alias("length"))
+    carried = F.expr(f"cast(({wide('source_tokens')} * {wide('part')}) % {parts} as bigint)")
+    told = F.create_map(*[x for k, v in (weights or {}).items() if k is not None for x in (F.lit(k), F.lit(int(v)))]).cast("map<string,bigint>")
+    own = F.when(F.col("source").isNull(), F.lit(int((weights or {}).get(None, 1)))).otherwise(F.coalesce(told[F.col("source")], F.lit(1)))
+    weight = own if weights else F.lit(None)
+    shares = spread.select("part", "source_no", "before", "row", start.alias("start"), (stop - start).alias("length"), carried.alias("carried"), weight.cast("long").alias("weight"))
 
     def serve_part(table: pa.Table) -> pa.Table:
         table = table.sort_by([("source_no", "ascending"), ("before", "ascending")])
         part = table.column("part")[0].as_py()
-        pieces = serve(list(zip(*[table.column(c).to_pylist() for c in ("source_no", "row", "start", "length")], strict=True)), window, quantum)
+        numbers = table.column("source_no").to_pylist()
+        carried, told = (dict(zip(numbers, table.column(c).to_pylist(), strict=True)) for c in ("carried", "weight"))
+        pieces = serve(list(zip(numbers, *[table.column(c).to_pylist() for c in ("row", "start", "length")], strict=True)), window, quantum, told if weights else None, carried)
         cols = list(zip(*pieces, strict=True))
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([part * STRIDE + s for s in cols[3]], pa.int64()), pa.array(cols[4], pa.int64())], names=["row", "start", "length", "sequence_id", "offset"])
 
