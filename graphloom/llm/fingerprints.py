@@ -8,14 +8,18 @@ cell by cell, digests in both cancel, and peeling recovers the rest: a cell with
 whose check fits its key gives a digest of one version, which is taken out of its other cells.
 
 The fingerprint is a sketch of fixed size.  Where the difference of two fingerprints does not peel
-to nothing, sketches with more room are made and subtracted: the digests are split by their top bits
-into groups of a few, each group is sketched and peeled on its own, and a group that fails is
-sketched again with 2 and then 8 times the cells, by other bits.  Likeness is then the Jaccard
-similarity of the digest sets, from the numbers of both and of the recovered digests.
+to nothing, a larger table is made of both and subtracted.  It is cut in groups of cells by the top
+bits of the digests, as many as the difference needs: the squares of the counts in a subtable of the
+difference add up to about the number of differing digests.  Each group peels on its own, and one
+that fails is made again with 2, 8 and 32 times the cells, by other bits.  The result is the digests
+that only the first and only the second version has.  Likeness is the Jaccard similarity of the
+digest sets, from the numbers of both and of the recovered digests.
 
 Order of documents: descending id, null ids last, equal ids by a hash of the text.  The order is
-cut in ranges at ids that occur; the first document of a range also stands, as a ghost, at the
-end of the range before, so every range knows the document after its last one.
+cut in ranges at ids that occur, and an id (or none) that many rows have is cut further by those
+hashes; only rows with the same id and text are never parted.  The first document of a range also
+stands, as a ghost, at the end of the range before, so every range knows the document after its
+last one.
 
 Null text: empty.  Two texts without paragraphs have likeness 1, one without and one with 0.
 Repeated rows are documents of their own.  A single document is its own next.  An empty table
@@ -35,11 +39,14 @@ LONG = 400
 BLOCK_WORDS = 32
 #: log2 of a fingerprint's cells per subtable, and its lowest digest bit.
 FINGERPRINT, FINGERPRINT_LOW = 3, 39
-#: Digests of both versions in a group, about, and how often sets are halved at most (by their top bits).
+#: Differing digests in a group, about, and the top bits that tell groups apart at most.
 GROUP = 8
-SPLITS = 14
-#: (log2 of cells per subtable, lowest digest bit) of a group's attempts.
-ATTEMPTS = ((3, 0), (4, 9), (6, 21))
+SPLITS = 24
+#: (log2 of cells per subtable, lowest digest bit) of a group's attempts; none reaches the top bits.
+ATTEMPTS = ((3, 0), (4, 9), (6, 21), (8, 15))
+#: Bytes of text in a range of the order, about, and the ranges at most (beyond, they grow and are sorted on disk).
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 50_000
 #: Half steps of peeling: a table that needs more counts as failed.
 ROUNDS = 24
 
@@ -82,8 +89,16 @@ def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
+def _no_digests() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _keys(found: Column, n: int) -> Column:
+    return F.transform(F.filter(found, lambda f: f["n"] == n), lambda f: f["key"])
+
+
 def peeled(cells: Column, bits: int, low: int) -> Column:
-    """(first, second): how many digests only the first and only the second version has; null if peeling fails."""
+    """(first, second): the digests that only the first and only the second version has; null if peeling fails."""
     pure = lambda c: F.filter(c, lambda x: (F.abs(x["n"]) == 1) & (x["check"] == _check(x["key"])))
 
     def step(state: Column, _: Column) -> Column:
@@ -97,8 +112,8 @@ def peeled(cells: Column, bits: int, low: int) -> Column:
         took = F.struct(
             F.transform(state["cells"], without).alias("cells"),
             F.filter(state["found"], lambda f: F.lit(False)).alias("found"),
-            (state["first"] + F.size(F.filter(state["found"], lambda f: f["n"] == 1))).alias("first"),
-            (state["second"] + F.size(F.filter(state["found"], lambda f: f["n"] == -1))).alias("second"),
+            F.concat(state["first"], _keys(state["found"], 1)).alias("first"),
+            F.concat(state["second"], _keys(state["found"], -1)).alias("second"),
             F.lit(False).alias("over"),
         )
         looked = F.struct(state["cells"].alias("cells"), found.alias("found"), state["first"].alias("first"), state["second"].alias("second"), F.lit(True).alias("over"))
@@ -106,7 +121,7 @@ def peeled(cells: Column, bits: int, low: int) -> Column:
         return F.when(F.size(state["found"]) > 0, took).when(state["over"], state).otherwise(looked)
 
     none = F.expr("cast(array() as array<struct<key: bigint, check: bigint, p0: int, p1: int, p2: int, n: int>>)")
-    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(False).alias("over"))
+    start = F.struct(cells.alias("cells"), none.alias("found"), _no_digests().alias("first"), _no_digests().alias("second"), F.lit(False).alias("over"))
     clear = lambda s: F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["check"] == 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(clear(s), F.struct(s["first"].alias("first"), s["second"].alias("second"))))
 
@@ -121,29 +136,38 @@ def split_groups(a: Column, b: Column, times: Column) -> Column:
     return F.aggregate(levels, F.array(F.struct(a.alias("a"), b.alias("b"))).cast(kind), halves)
 
 
+def apart(cells: Column, bits: int) -> Column:
+    """About how many digests differ, from a difference of sketches: the largest sum of squared counts of a subtable."""
+    squares = lambda t: F.aggregate(F.slice(cells, (t << bits) + 1, 1 << bits), F.lit(0).cast("long"), lambda s, c: s + c["n"].cast("long") * c["n"])
+    return F.greatest(*[squares(t) for t in range(3)])
+
+
 def differences(a: Column, b: Column, print_a: Column, print_b: Column) -> Column:
-    """(first, second) from the fingerprints, or from larger sketches where those do not peel."""
-    both = F.size(a) + F.size(b)
-    times = F.when(both <= GROUP, 0).otherwise(F.least(F.lit(SPLITS), F.ceil(F.log2(both / F.lit(float(GROUP)))).cast("int")))
+    """(first, second): the digests of one side only, from the fingerprints or from larger tables where those do not peel."""
+    less = subtracted(print_a, print_b)
+    # No estimate exceeds what there is; too low an estimate means groups that take more attempts.
+    need = F.least(apart(less, FINGERPRINT), (F.size(a) + F.size(b)).cast("long"))
+    times = F.when(need <= GROUP, 0).otherwise(F.least(F.lit(SPLITS), F.ceil(F.log2(need / F.lit(float(GROUP)))).cast("int")))
 
     def decoded(g: Column) -> Column:
         x, y = g["a"], g["b"]
         tries = [peeled(subtracted(sketch(x, bits, low), sketch(y, bits, low)), bits, low) for bits, low in ATTEMPTS]
-        # Digests that share all their cells in every attempt: none is expected in 10^30 groups.
-        last = F.struct(F.size(F.array_except(x, y)).alias("first"), F.size(F.array_except(y, x)).alias("second"))
-        nothing = F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))
+        # Groups that no attempt peels: digests that share all their cells in all of the attempts.
+        last = F.struct(F.array_except(x, y).alias("first"), F.array_except(y, x).alias("second"))
+        nothing = F.struct(_no_digests().alias("first"), _no_digests().alias("second"))
         return F.when(F.size(x) + F.size(y) == 0, nothing).otherwise(F.coalesce(*tries, last))
 
-    zero = F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"))
-    summed = F.aggregate(F.transform(split_groups(a, b, times), decoded), zero, lambda s, x: F.struct((s["first"] + x["first"]).alias("first"), (s["second"] + x["second"]).alias("second")))
-    small = peeled(subtracted(print_a, print_b), FINGERPRINT, FINGERPRINT_LOW)
-    return F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= 3 << FINGERPRINT, small), summed)
+    groups = F.transform(split_groups(a, b, times), decoded)
+    # A one-element array holds the groups, so that they are decoded once and not per side.
+    once = F.transform(F.array(groups), lambda g: F.struct(F.flatten(F.transform(g, lambda x: x["first"])).alias("first"), F.flatten(F.transform(g, lambda x: x["second"])).alias("second")))
+    small = peeled(less, FINGERPRINT, FINGERPRINT_LOW)
+    return F.coalesce(F.when(F.abs(F.size(a) - F.size(b)) <= 3 << FINGERPRINT, small), F.get(once, F.lit(0)))
 
 
 def likeness(a: Column, b: Column, difference: Column) -> Column:
     """Jaccard similarity of two digest sets, given what only either has."""
-    shared = F.size(a) - difference["first"]
-    union = F.size(a) + difference["second"]
+    shared = F.size(a) - F.size(difference["first"])
+    union = F.size(a) + F.size(difference["second"])
     return F.when(union > 0, shared.cast("double") / union.cast("double")).otherwise(F.lit(1.0))
 
 
@@ -160,33 +184,40 @@ def _search(edges: list[int], value: Column) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, text (null: empty), range, and next: the text of the next document."""
-    n = ranges or 4 * parallelism(docs.sparkSession)
+    """doc_id, text (null: empty), place, hash, range and ghost: every range's documents and, as a ghost, the first of the next one."""
+    spark = docs.sparkSession
     least = -(1 << 63)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.coalesce("doc_id", F.lit(least).cast("long")))
-    cuts = base.agg(F.percentile_approx("place", [i / n for i in range(1, n)] if n > 1 else [0.5], 100 * n).alias("cuts"), F.max("place").alias("top")).first()
-    if cuts["top"] is None:
-        return base.withColumns({"range": F.lit(0), "next": F.col("text")}).drop("place")
-    edges = sorted({*cuts["cuts"], cuts["top"]})
-    below = _search(edges, F.col("place"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"place": F.coalesce("doc_id", F.lit(least).cast("long")), "hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    amount = base.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not amount["rows"]:
+        return base.withColumns({"range": F.lit(0).cast("long"), "ghost": F.lit(0)})
+    n = ranges or min(MOST_RANGES, max(4 * parallelism(spark), amount["bytes"] // RANGE_BYTES))
+    seen = base.agg(F.percentile_approx("place", [i / n for i in range(1, n)] if n > 1 else [0.5], max(10_000, 10 * n)).alias("cuts"), F.max("place").alias("top")).first()
+    room = max(1, -(-amount["rows"] // n))
+    # At most n ids have as many rows as a range; each becomes ranges of its own, cut by the texts' hashes.
+    hot = {r["place"]: -(-r["n"] // room) for r in base.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * room).collect()}
+    edges = sorted({*seen["cuts"], seen["top"], *hot, *(h - 1 for h in hot if h > least)})
     # Range k starts, in descending order, at the k-th largest edge.
-    number = F.lit(len(edges) - 1) - below
-    at_edge = F.get(F.array(*[F.lit(e).cast("long") for e in edges]), below) == F.col("place")
-    own = F.struct(number.alias("range"), F.lit(0).alias("ghost"))
-    ghost = F.struct(F.pmod(number - 1, F.lit(len(edges))).alias("range"), F.lit(1).alias("ghost"))
-    spread = base.withColumn("at", F.explode(F.when(at_edge, F.array(own, ghost)).otherwise(F.array(own)))).select("doc_id", "text", "place", "at.range", "at.ghost")
-    return spread.repartition("range")
+    number = F.lit(len(edges) - 1) - _search(edges, F.col("place"))
+    parts = F.get(F.array(*[F.lit(hot.get(e, 1)) for e in reversed(edges)]), number)
+    part = F.shiftright((F.shiftright("hash", 33) + F.lit(1 << 30)) * parts, 31)
+    ranged = base.withColumns({"range": number.cast("long") * F.lit(1 << 24) + part, "ghost": F.lit(0)})
+    first = F.min(F.struct(F.bitwise_not("place").alias("order"), "hash")).alias("first")
+    firsts = sorted((r["range"], ~r["first"]["order"], r["first"]["hash"]) for r in ranged.groupBy("range").agg(first).collect())
+    to = spark.createDataFrame([(firsts[i - 1][0], place, text_hash) for i, (_, place, text_hash) in enumerate(firsts)], "range long, place long, hash long")
+    ghosts = base.join(F.broadcast(to), ["place", "hash"]).select(*base.columns, "range", F.lit(1).alias("ghost"))
+    return ranged.unionByName(ghosts).repartition("range")
 
 
 def fingerprinted(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, the two fingerprints and the two likenesses."""
+    """One row per document: doc_id, n_chars, edited_sha256, the two fingerprints and the two likenesses.
+
+    Then the number of paragraphs and of recovered digests: of the text or its edited text only
+    (only_before_edit, only_after_edit), and of the text or the next one only (only_here, only_next)."""
     spread = with_next(docs, ranges)
     rows = spread.withColumn("digests", paragraphs(F.col("text"))).withColumn("print", sketch(F.col("digests"), FINGERPRINT, FINGERPRINT_LOW))
-    if "next" not in rows.columns:
-        order = Window.partitionBy("range").orderBy("ghost", F.col("place").desc(), F.xxhash64("text"))
-        rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "digests", "print")]).filter("ghost = 0")
-    else:
-        rows = rows.select("*", *[F.col(c).alias(f"next_{c}") for c in ("text", "digests", "print")])
+    order = Window.partitionBy("range").orderBy("ghost", F.col("place").desc(), "hash")
+    rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "digests", "print")]).filter("ghost = 0")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))})
@@ -201,6 +232,7 @@ def fingerprinted(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         likeness(F.col("digests"), F.col("edited_digests"), F.col("to_edited")).alias("near_edited"),
         likeness(F.col("digests"), F.col("next_digests"), F.col("to_next")).alias("near_next"),
         F.size("digests").alias("n_paragraphs"),
+        *[F.size(F.col(f"to_{x}.{side}")).alias(f"only_{name}") for x, side, name in (("edited", "first", "before_edit"), ("edited", "second", "after_edit"), ("next", "first", "here"), ("next", "second", "next"))],
     )
 
 

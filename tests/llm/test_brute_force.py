@@ -92,8 +92,9 @@ def test_sketches_peel_exactly(spark):
         cases.append((n, m, a + c, b + c))
     df = spark.createDataFrame(cases, "n int, m int, a array<long>, b array<long>")
     df = df.withColumns({"pa": fingerprints.sketch(F.col("a"), fingerprints.FINGERPRINT, fingerprints.FINGERPRINT_LOW), "pb": fingerprints.sketch(F.col("b"), fingerprints.FINGERPRINT, fingerprints.FINGERPRINT_LOW)})
-    for r in df.select("n", "m", fingerprints.differences(F.col("a"), F.col("b"), F.col("pa"), F.col("pb")).alias("d")).collect():
-        assert (r["d"]["first"], r["d"]["second"]) == (r["n"], r["m"])
+    for r in df.select("n", "m", "a", "b", fingerprints.differences(F.col("a"), F.col("b"), F.col("pa"), F.col("pb")).alias("d")).collect():
+        assert (len(r["d"]["first"]), len(r["d"]["second"])) == (r["n"], r["m"])
+        assert set(r["d"]["first"]) == set(r["a"]) - set(r["b"]) and set(r["d"]["second"]) == set(r["b"]) - set(r["a"])
 
 
 def shingles(text):

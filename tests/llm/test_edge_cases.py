@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,24 @@ def test_fingerprints(docs):
     assert got[None]["edited_sha256"] and got[2]["near_next"] == 0.0
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of all rows without id and a third with one id are cut in many ranges; each row's next is the one after it."""
+    rows = [(None, f"none {i}. tail") for i in range(200)] + [(7, f"seven {i}. tail") for i in range(200)] + [(i, f"own {i}. tail") for i in range(10, 210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spread = fingerprints.with_next(docs, 12)
+    sizes = [r["count"] for r in spread.groupBy("range").count().collect()]
+    assert max(sizes) <= 120 and len(sizes) >= 12
+    got = fingerprints.fingerprinted(docs, 12).collect()
+    assert len(got) == 600
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for i, (doc, text) in enumerate(order):
+        half = len(text) // 2
+        want.append((str(doc), hashlib.sha256((text[: len(text) - half] + order[(i + 1) % 600][1][:half]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_substrings(docs):
     got = by_id(substrings.op4_substring_dedup(docs))
     assert got[1]["n_removed"] == 0 and got[6]["n_removed"] == 40 and got[9]["n_removed"] == 40
