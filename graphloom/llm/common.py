@@ -76,9 +76,10 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[name] for name in names])
 
 
-def digest(doc_id: Column, seed: str) -> Column:
-    """A reproducible pseudo-random hex string per document; null ids share one."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def digest(doc_id: Column, seed: str, other: Column | None = None) -> Column:
+    """A reproducible pseudo-random hex string per document; null ids share one, or have one for each value of ``other``."""
+    without = F.lit("") if other is None else F.concat(F.lit("no id:"), other.cast("string"))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), without, F.lit(""))))
 
 
 def running_sums(rows: DataFrame, group: str, klass: str, digest_col: str, value: str, ties: list[Column], range_rows: int) -> DataFrame:

@@ -7,7 +7,7 @@ Decoding sums, over the bits, a logistic loss of margin against codeword, weight
 the bit's classes separate, and takes the codeword with the least loss.  The score is the softmax
 of the negative losses; a text whose two best codewords are close is flagged as ambiguous.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows of each language (those with the
+The model is fitted on about ``FIT_ROWS`` labelled rows, or all there are, of each language (those with the
 smallest id digests); prediction covers every row and the whole of every text.
 
 Null text or a text without letters: ``und`` with score 0.  Null lang is never learned from; a
@@ -19,7 +19,6 @@ result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import digest
 from graphloom.llm.tokens import U64, _LOWER, buffers, chunks
 
-#: Labelled rows of each language that the model is fitted on, at most.
+#: Labelled rows of each language that the model is fitted on, about, at most.
 FIT_ROWS = 5000
 #: Tasks that count n-grams for the fit.
 FIT_TASKS = 16
@@ -75,7 +74,9 @@ def codewords(n: int) -> np.ndarray:
     for seed in range(50):
         code = np.random.Generator(np.random.PCG64(seed)).choice(np.array([-1, 1], np.int8), (n, bits))
         code = code[:, np.abs(code.sum(0, dtype=int)) < n]
-        least = min(int((code[i] != code[j]).sum()) for i, j in combinations(range(n), 2)) if n <= 200 else 0
+        alike = code.astype(np.int32) @ code.T
+        np.fill_diagonal(alike, -code.shape[1])
+        least = (code.shape[1] - int(alike.max())) // 2
         if least > apart:
             best, apart = code, least
     return best
@@ -121,7 +122,7 @@ def fit(docs: DataFrame, rows_per_language: int = FIT_ROWS) -> Model:
         return Model({})
     # A digest bound per language that lets about rows_per_language rows through.
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, rows_per_language / v))])[F.col("lang")]
-    place = F.conv(F.substring(digest(F.col("doc_id"), SEED), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    place = F.conv(F.substring(digest(F.col("doc_id"), SEED, F.xxhash64("text")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     chosen = labelled.filter(place < share).repartition(FIT_TASKS, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +140,14 @@ def fit(docs: DataFrame, rows_per_language: int = FIT_ROWS) -> Model:
         if total:
             yield pa.record_batch([pa.array(list(total)), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], names=["lang", "counts"])
 
-    counts: dict[str, np.ndarray] = {}
-    # One row per language and fit task at most.
-    for row in chosen.mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        counts[row["lang"]] = counts.get(row["lang"], 0) + np.frombuffer(bytes(row["counts"]), "<i8")
-    return Model(counts)
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, "<i8") for v in table.column("counts").to_pylist())
+        return pa.table([table.column("lang").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    kind = "lang string, counts binary"
+    summed = chosen.mapInArrow(count, kind).groupBy("lang").applyInArrow(add, kind)
+    # One row of 2**BITS numbers per language.
+    return Model({row["lang"]: np.frombuffer(bytes(row["counts"]), "<i8") for row in summed.toLocalIterator()})
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

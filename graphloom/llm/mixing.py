@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     sizes = written(source, "mix-sizes")
     sources = written(source_targets(sizes, weights, share, most), "mix-sources")
     rows = sizes.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    rows = rows.withColumns({"klass": size_class(F.col("size")), "digest": digest(F.col("doc_id"), SEED), "one": F.lit(1)})
+    rows = rows.withColumns({"klass": size_class(F.col("size")), "digest": digest(F.col("doc_id"), SEED, F.col("text_hash")), "one": F.lit(1)})
     ranked = running_sums(rows, "source_no", "klass", "digest", "one", [F.col("doc_id").asc_nulls_last(), F.col("size").desc(), F.col("text_hash")], RANGE_ROWS)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda n: F.floor(rate * n + F.col("offset"))

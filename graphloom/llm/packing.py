@@ -207,7 +207,7 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
     total = sources.agg(F.sum("source_tokens")).first()[0] or 0
     parts = max(1, -(-total // partition_tokens))
     rows = counts.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    rows = rows.withColumns({"klass": F.lit(0), "digest": digest(F.col("doc_id"), SEED)})
+    rows = rows.withColumns({"klass": F.lit(0), "digest": digest(F.col("doc_id"), SEED, F.col("row"))})
     placed = running_sums(rows, "source_no", "klass", "digest", "doc_tokens", [F.col("row")], RANGE_ROWS)
     # Token x of T is in partition floor((x * parts + parts - 1) / T), the last p with floor(T * p / parts) <= x.
     # Products of two large counts need more than 64 bits.

@@ -142,6 +142,16 @@ def test_mixing(docs):
     assert mixed.columns == docs.columns and mixed.count() == copies
 
 
+def test_mixing_is_near_its_targets(spark):
+    """Each source's words come near its target, also where a third of the rows have no id."""
+    rows = [(None if i % 3 == 0 else i, "w " * (1 + i * i % 97), ("a", "b", "c", None)[i % 4]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per = mixing.op5_mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert len(per) == 4
+    for r in per:
+        assert abs(r["taken"] - r["target"]) <= 0.02 * r["target"] and r["target"] <= 2 * r["size"]
+
+
 def test_quality_keeps_everything_without_labels(docs, labels):
     assert {r["kept"] for r in quality.classify(docs, labels.limit(0)).collect()} == {True}
     kept = quality.accepted(docs, labels)
