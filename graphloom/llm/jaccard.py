@@ -24,8 +24,9 @@ within its main component are left out; only links that join components leave a
 components are closed over all links.
 
 Null or blank text: an empty set, linked with nothing, its own component.  Null doc_id: counted,
-but without links and with a null component.  Rows that repeat an id are one node.  An empty
-table gives an empty result.  Extra columns are ignored.
+but without links and with a null component and number of links.  Rows that repeat an id are one
+node, with the links of all its texts (a document that links with two of them counts twice).  An
+empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,8 +56,10 @@ LEAD = 4
 #: Signatures that must name a leader before it is verified first.
 NAMED = 2
 #: Documents of a block in which a cluster is verified, and shingles compared at a time.
-BLOCK = 2048
-COLUMNS = 4096
+BLOCK = 1536
+COLUMNS = 2048
+#: Rows of two blocks, or texts, worked on at a time.
+ROWS = 256
 SETS, COUNTS, LEADERS, MIXED = 1, 2, 3, 4
 _SIGN = U64(1 << 63)
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
@@ -277,10 +280,10 @@ def _signed(ids: np.ndarray) -> np.ndarray:
     return (ids ^ _SIGN).view(np.int64)
 
 
-def _found(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
+def _found(table: pa.Table, got: dict, buckets: int, size: int, stars: bool) -> pa.Table:
     """A row per document; representatives with shared signatures carry their entries of lists that may be compared.
 
-    Only documents that have a leader or may be one keep their text."""
+    For ``stars``, documents that have a leader or may be one keep their text."""
     b = Batch(table, size)
     n = len(b.ids)
     classes = b.ids.copy()
@@ -320,7 +323,7 @@ def _found(table: pa.Table, got: dict, buckets: int, size: int) -> pa.Table:
     keys, flags = s.sig[wanted], probes[wanted]
     blobs = [X.pack(X.deltas(keys[a:z]), X.pack_bits(flags[a:z])) if z > a else None for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     null_id = ~table.column("doc_id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-    texts = pc.if_else(pa.array(has | hub), text_of(table), pa.scalar(None, pa.string()))
+    texts = pc.if_else(pa.array((has | hub) & stars), text_of(table), pa.scalar(None, pa.string()))
     return pa.table(
         [table.column("batch"), table.column("doc_id"), pa.array(b.sets.sizes, pa.int64()), pa.array(_signed(classes), pa.int64(), mask=null_id), pa.array(leader, pa.int64(), mask=~has), pa.array(hub), pa.array(blobs, pa.binary()), texts],
         names=["batch", "doc_id", "n_shingles", "class_id", "leader", "hub", "entries", "text"],
@@ -411,48 +414,84 @@ def _linked(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
         part[row[lo:hi], column[lo:hi] - a] = 1
         both += part[left] @ part[right].T
     out = np.zeros(both.shape, bool)
-    for a in range(0, len(left), 256):
-        common = both[a : a + 256].astype(np.int64)
-        out[a : a + 256] = DENOMINATOR * common >= NUMERATOR * (sizes[left[a : a + 256], None] + sizes[None, right] - common)
+    for a in range(0, len(left), ROWS):
+        common = both[a : a + ROWS].astype(np.int64)
+        out[a : a + ROWS] = DENOMINATOR * common >= NUMERATOR * (sizes[left[a : a + ROWS], None] + sizes[None, right] - common)
     return out
 
 
-def block_links(ids: list[int], comps: list[int], block: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between documents of different components, as many as join them; of two blocks only those across."""
+def block_counts(linked: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, cluster: int, clusters: list[np.ndarray], copies: np.ndarray) -> np.ndarray:
+    """Per document its links in this block pair, each to as many as there are copies of the other text.
+
+    A pair counts in the first of the clusters that both are in, and not between rows of one id."""
+    counted = linked & (label[left][:, None] != label[right][None, :])
+    n = len(label)
+    owner = np.repeat(np.arange(n), [len(c) for c in clusters])
+    names = np.concatenate(clusters) if n else np.zeros(0, np.int64)
+    owner, names = owner[names < cluster], names[names < cluster]
+    _, column, times = np.unique(names, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    owner, column = owner[several], (np.cumsum(times > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - a] = 1
+        counted &= part[left] @ part[right].T == 0
+    out = np.zeros(n, np.int64)
+    for a in range(0, len(left), ROWS):
+        some = left[a : a + ROWS]
+        out[some] += counted[a : a + ROWS] @ copies[right]
+        if left[0] != right[0]:
+            out[right] += copies[some] @ counted[a : a + ROWS]
+    return out
+
+
+def block_links(ids: list[int], comps: list[int], block: list[int], sets: list[np.ndarray], cluster: int = 0, clusters: list[np.ndarray] | None = None, copies: list[int] | None = None) -> list[tuple]:
+    """(a, b, null): links between documents of different components, as many as join them; of two blocks only those across.
+
+    With ``clusters`` and ``copies`` of every document also (a, null, n): its links, see ``block_counts``."""
     sizes, side = np.array([len(x) for x in sets]), np.array(block)
     left = np.flatnonzero(side == side.min())
     right = np.flatnonzero(side == side.max())
     label = np.unique(comps, return_inverse=True)[1]
     linked = _linked(sizes, sets, left, right)
-    out = []
+    out: list[tuple] = []
+    if clusters is not None:
+        numbers = block_counts(linked, label, left, right, cluster, clusters, np.array(copies, np.int64))
+        out += [(ids[i], None, int(numbers[i])) for i in np.flatnonzero(numbers)]
     for i, doc in enumerate(left.tolist()):
         while len(other := right[linked[i] & (label[right] != label[doc])]):
-            out.append((ids[doc], ids[int(other[0])]))
+            out.append((ids[doc], ids[int(other[0])], None))
             label[label == label[other[0]]] = label[doc]
     return out
 
 
-LINK = "a long, b long"
+LINK = "a long, b long, n long"
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1, 2)], names=["a", "b", "n"])
 
 
-def _verify(size: int):
-    """Links of block pairs whose rows follow each other."""
+def _verify(size: int, counting: bool):
+    """Links of block pairs whose rows follow each other, and their numbers if ``counting``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
-        def done() -> list[tuple[int, int]]:
-            return block_links([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], [r[3] for r in held]) if len({r[1] for r in held}) > 1 else []
+        def done() -> list[tuple]:
+            if len({r[1] for r in held}) < 2:
+                return []
+            more = (key[0], [np.array(r[3], np.int64) for r in held], [r[4] for r in held]) if counting else ()
+            return block_links([r[0] for r in held], [r[1] for r in held], [r[2] for r in held], [r[-1] for r in held], *more)
 
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out = []
             sets = Sets(batch.column("text"), size)
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "doc_id", "component", "b")]
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "doc_id", "component", "b", *(["clusters", "copies"] if counting else []))]
             for i, (cluster, p, q, *row) in enumerate(zip(*cols, strict=True)):
                 if (cluster, p, q) != key:
                     out += done()
@@ -468,9 +507,11 @@ def _verify(size: int):
 
 
 def cluster_links(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) within clusters: as many as join the components that link.
+    """Links (a, b, null) within clusters: as many as join the components that link.
 
-    ``members``: cluster, id, component; ``texts``: doc_id, text.  A cluster beyond BLOCK documents is
+    ``members``: cluster, id, component; ``texts``: doc_id, text.  Where members have the columns
+    clusters (of the id, all of them) and copies (of its text), also rows (a, null, n) that add up
+    to each id's number of links.  A cluster beyond BLOCK documents is
     compared in pairs of blocks.  The blocks of its largest component meet only those of others."""
     per = members.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster")
     # Written, so that its size is known: a small table is broadcast and the members stay where they are.
@@ -481,9 +522,11 @@ def cluster_links(members: DataFrame, texts: DataFrame, size: int = SHINGLE) ->
     block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     cut = cut.withColumn("b", block + F.when(F.col("is_main"), F.lit(0)).otherwise(F.col("mains")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.when(F.col("is_main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
-    pairs = cut.select("cluster", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "id", "component")
-    rows = texts.join(pairs, F.col("doc_id") == F.col("id")).select("cluster", "p", "q", "b", "doc_id", "component", "text")
-    return rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(_verify(size), LINK)
+    counting = "clusters" in members.columns
+    more = ["clusters", "copies"] if counting else []
+    pairs = cut.select("cluster", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "id", "component", *more)
+    rows = texts.join(pairs, F.col("doc_id") == F.col("id")).select("cluster", "p", "q", "b", "doc_id", "component", "text", *more)
+    return rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(_verify(size, counting), LINK)
 
 
 def _verify_stars(size: int):
@@ -492,7 +535,7 @@ def _verify_stars(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hubs: list[np.ndarray] = []
         key = None
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out = []
             sets = Sets(batch.column("text"), size)
             for i, (hub, salt, follower, doc) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("star", "salt", "follower", "doc_id")], strict=True)):
@@ -505,7 +548,7 @@ def _verify_stars(size: int):
                 for other in hubs:
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     if DENOMINATOR * both >= NUMERATOR * (len(own) + len(other) - both):
-                        out.append((doc, hub))
+                        out.append((doc, hub, None))
                         break
             if out:
                 yield _links(out)
@@ -524,8 +567,12 @@ def star_links(found: DataFrame, size: int = SHINGLE) -> DataFrame:
     return hubs.union(rows).repartition("star", "salt").sortWithinPartitions("star", "salt", "follower").mapInArrow(_verify_stars(size), LINK)
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
+
+    With ``count_links`` also n_links, the number of documents it links with (its copies included).
+    Then no pair is left out because its components are joined already: there are no stars, and
+    every probed list of several documents is verified whole."""
     plan = X.plan(docs)
     buckets = plan.gates
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -535,11 +582,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         return X.rows(Batch(table, size).messages(table.column("batch")[0].as_py(), buckets))
 
     def find(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _found(table, X.by_batch(replies), buckets, size)
+        return _found(table, X.by_batch(replies), buckets, size, not count_links)
 
     counted = plan.ask(held.groupBy("batch").applyInArrow(ask_first, X.MESSAGE), _answer, {COUNTS: _DROPPED})
     found = written(held.groupBy("batch").cogroup(counted.groupBy("batch")).applyInArrow(find, FOUND), "jaccard-found")
-    stars = written(star_links(found, size), "jaccard-stars")
+    none = docs.sparkSession.createDataFrame([], LINK)
+    stars = none if count_links else written(star_links(found, size), "jaccard-stars")
     placed = components(stars).withColumnRenamed("id", "_id")
     listed = found.filter("entries is not null").select("batch", "doc_id", "entries")
     located = listed.join(placed, F.col("doc_id") == F.col("_id"), "left").select("batch", "doc_id", "entries", F.coalesce("component", "doc_id").alias("component"))
@@ -552,11 +600,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     mixed = plan.ask(located.groupBy("batch").applyInArrow(ask_again, X.MESSAGE), _answer_mixed)
     members = written(located.groupBy("batch").cogroup(mixed.groupBy("batch")).applyInArrow(enter, MEMBER), "jaccard-members")
-    links = written(stars.union(cluster_links(members, given, size)), "jaccard-links")
-    dropped(stars, members)
-    reached = components(links).withColumnRenamed("id", "_id")
+    within = members
+    if count_links:
+        classes = found.filter("class_id is not null and n_shingles > 0").select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("*").alias("copies"))
+        classes = written(classes.filter("copies > 1"), "jaccard-classes")
+        # No more names than the document has lists.
+        names = members.groupBy("id").agg(F.collect_set("cluster").alias("clusters"))
+        within = members.join(names, "id").join(classes, F.col("id") == F.col("class_id"), "left").select("cluster", "id", "component", "clusters", F.coalesce("copies", F.lit(1)).alias("copies"))
+    links = written(stars.union(cluster_links(within, given, size)), "jaccard-links")
+    dropped(members, *([] if count_links else [stars]))
+    reached = components(links.filter("b is not null").select("a", "b")).withColumnRenamed("id", "_id")
     out = found.select("doc_id", "n_shingles", "class_id").join(reached, F.col("class_id") == F.col("_id"), "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    more = []
+    if count_links:
+        counts = links.filter("n is not null").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("_n"))
+        out = out.join(counts, F.col("class_id") == F.col("_a"), "left").join(classes.withColumnRenamed("class_id", "_c"), F.col("class_id") == F.col("_c"), "left")
+        more = [F.when(F.col("class_id").isNotNull(), F.coalesce("_n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")]
+    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"), *more)
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -572,4 +632,4 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "class_id")
+    return near_duplicates(docs, count_links=True).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

@@ -122,11 +122,17 @@ def components(sets):
     return {i: root(i) for i in sets}
 
 
+def link_counts(sets):
+    near = lambda s, t: 100 * len(s & t) >= 75 * len(s | t)
+    return {i: sum(near(s, t) for j, t in sets.items() if i != j and t) if s else 0 for i, s in sets.items()}
+
+
 def test_jaccard(docs, texts):
     sets = {i: shingles(t) for i, t in texts.items()}
-    want = components(sets)
+    want, links = components(sets), link_counts(sets)
     for r in jaccard.op9_jaccard_join(docs).collect():
-        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
+        assert (r["n_shingles"], r["component_id"], r["n_links"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], links[r["doc_id"]])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == want
 
 
 def test_jaccard_on_mutated_copies(spark, monkeypatch):
@@ -142,9 +148,14 @@ def test_jaccard_on_mutated_copies(spark, monkeypatch):
         made.append((i, " ".join(w)))
     made += [(200 + i, " ".join([*base[:60], *[f"o{i}_{k}" for k in range(90)]])) for i in range(40)]
     made += [(300 + i, " ".join(f"s{i % 7}w{k}" for k in range(1 + i % 9))) for i in range(60)]
-    want = components({i: shingles(t) for i, t in made})
-    got = jaccard.op9_jaccard_join(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    made += [(400, made[0][1]), (401, made[0][1])]
+    sets = {i: shingles(t) for i, t in made}
+    want = components(sets)
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = jaccard.op9_jaccard_join(frame).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"]: r["n_links"] for r in got} == link_counts(sets)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame).collect()} == want
 
 
 def test_pigeonhole_allocation():
