@@ -93,11 +93,14 @@ class AttributeBundleSource(GraphSource):
         items = F.from_json(F.get_json_object("value", "$.data"), "array<string>")
         matrix = F.from_json(F.get_json_object("value", "$.matrix"), "array<array<float>>")
         any_row = F.exists(F.coalesce(matrix, F.array().cast("array<array<float>>")), lambda r: r.isNotNull())
-        rows = whole.select(F.posexplode(items).alias("ord", "value"), matrix.alias("matrix"), any_row.alias("any_row")).filter(F.trim("value").startswith("{"))
+        # Parsed before the records are listed, so once per file and not per record.
+        listed = whole.select(items.alias("items"), any_row.alias("any_row")).select(F.posexplode("items").alias("ord", "value"), "any_row")
+        rows = listed.filter(F.trim("value").startswith("{"))
         if not load_embeddings:
             return rows.select("value", F.col("ord").cast("long").alias("ord"), F.lit(None).cast("array<float>").alias("vector"))
         encoded = M.decoded_vector(field("value", "__vector__", "embedding", "vector"))
-        return rows.select("value", F.col("ord").cast("long").alias("ord"), F.when(F.col("any_row"), F.get("matrix", F.col("ord"))).otherwise(encoded).alias("vector"))
+        by_place = whole.select(F.posexplode(matrix).alias("ord", "row"))
+        return rows.join(by_place, "ord", "left").select("value", F.col("ord").cast("long").alias("ord"), F.when(F.col("any_row"), F.col("row")).otherwise(encoded).alias("vector"))
 
     def read(self, spark, source, *, keep_source_reference=False, load_embeddings=True, key_by_name=False, **options):
         """``key_by_name``: nodes are keyed by entity_name, which is what the edges refer to."""
