@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import shared_dir
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,17 +18,6 @@ _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT_TO_EXIT: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir.  Only a local master (tests) may do without."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        set_dir = tempfile.mkdtemp(prefix="graphloom-shared-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
-
-
 def _hadoop_path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
