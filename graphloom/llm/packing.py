@@ -23,13 +23,13 @@ their own.  An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Mapping
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +40,10 @@ END = 1
 #: Tokens dealt to one partition, about, and the least that a served queue gives if it has it.
 PARTITION_TOKENS = 1 << 20
 QUANTUM = 64
-#: Words, and pieces of words, whose ids a worker remembers; it starts anew beyond that.
+#: Pieces of words whose ids a worker remembers; it starts anew once it holds more.
 REMEMBERED = 500_000
+#: Text encoded at a time.
+ENCODED_BYTES = 16 << 20
 RANGE_ROWS = 2000
 #: Sequence ids of one partition: at most this many.
 STRIDE = 1 << 20
@@ -68,9 +70,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Letters whose lower case and composition are plain, then ASCII marks other than the apostrophe:
-#: such a word's tokens are those of its letters and those of its marks.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]*)([!-&(-/:-@\\[-`{-~]*)")
+#: Letters whose lower case and composition are plain, and ASCII marks other than the apostrophe: the
+#: tokens of a word of such letters, then such marks, are those of its letters and those of its marks.
+_LETTERS = "".join(chr(c) for a, b in ("AZ", "az", "\u00c0\u00d6", "\u00d8\u00f6", "\u00f8\u012f", "\u0131\u0148", "\u014a\u017e") for c in range(ord(a), ord(b) + 1))
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class _Made(dict):
@@ -88,45 +91,63 @@ class WordEncoder:
     """Ids of whole texts through the ids of their words.
 
     This vocabulary's tokenizer drops white space and never joins tokens across it, so a text's
-    ids are its words' ids in order; a word is encoded once while it is remembered.  Plain words
-    are cut in letters and marks, as the tokenizer cuts them, and go to its model directly; any
-    other word goes through the whole tokenizer, and so do texts with a special token's string."""
+    ids are its words' ids in order.  Arrow cuts texts in words, and plain words in letters and marks,
+    as the tokenizer cuts them; each distinct piece goes to the tokenizer's model once while it is
+    remembered.  Any other word goes through the whole tokenizer, and so do texts with a special
+    token's string."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stored = stored_type(self.tokenizer.get_vocab_size())
+        self.width = np.dtype(self.stored).itemsize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known = _Made(self._word)
         self.pieces = _Made(self._piece)
 
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.stored).tobytes()
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        distinct = pieces.dictionary_encode()
+        return pa.array([self.pieces[p] for p in distinct.dictionary.to_pylist()], pa.binary()).take(distinct.indices)
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if not plain:
-            return self._whole(text)
-        letters, marks = plain.groups()
-        pieces = self.pieces
-        return (pieces[letters.lower()] if letters else b"") + (pieces[marks] if marks else b"")
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        letters, marks = pc.utf8_rtrim(words, _MARKS), pc.utf8_ltrim(words, _LETTERS)
+        plain = pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(marks)), pc.binary_length(words))
+        none = pa.scalar("", pa.string())
+        ids = pc.binary_join_element_wise(self._of_pieces(pc.utf8_lower(pc.if_else(plain, letters, none))), self._of_pieces(pc.if_else(plain, marks, none)), b"")
+        odd = pc.invert(plain)
+        return pc.replace_with_mask(ids, odd, pa.array([self._whole(w) for w in words.filter(odd).to_pylist()], pa.binary()))
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        for made in (self.known, self.pieces):
-            if len(made) > REMEMBERED:
-                made.clear()
-        return b"".join(map(self.known.__getitem__, text.encode().split()))
+        """One text's ids, little-endian unsigned 32-bit."""
+        ids = self.encode_all(pa.array([text], pa.string()))[0][0].as_py()
+        return np.frombuffer(ids, self.stored).astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array, *end: int) -> tuple[pa.Array, np.ndarray]:
+        """Ids of each text (null: none) with ``end`` behind if given, in the stored type, and how many they are."""
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        texts = pc.fill_null(texts, "")
+        whole = pa.array(np.any([pc.match_substring(texts, s).to_numpy(zero_copy_only=False) for s in self.special] or [np.zeros(len(texts), bool)], axis=0))
+        words = pc.ascii_split_whitespace(pc.if_else(whole, pa.scalar("", pa.string()), texts))
+        distinct = words.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, self._of_words(distinct.dictionary).take(distinct.indices)), b"")
+        joined = pc.replace_with_mask(joined, whole, pa.array([self._whole(t) for t in texts.filter(whole).to_pylist()], pa.binary()))
+        ids = pc.binary_join_element_wise(joined, self.packed(list(end)), b"")
+        return ids, pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // self.width
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -138,15 +159,25 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def sliced(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``size`` bytes together, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """row (a number), doc_id, source, doc_tokens and ids: the ids with the end id, in ``stored_type``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or vocabulary_path())
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids = [np.frombuffer((enc.encode(t) if t else b"") + tail, "<u4") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(enc.stored).tobytes() for x in ids], pa.binary())], names=["row", "doc_id", "source", "doc_tokens", "ids"])
+            for part in sliced(batch, "text", ENCODED_BYTES):
+                ids, counts = enc.encode_all(part.column("text"), end)
+                yield pa.record_batch([part.column("row"), part.column("doc_id"), part.column("source"), pa.array(counts, pa.int64()), ids], names=["row", "doc_id", "source", "doc_tokens", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     return rows.mapInArrow(run, TOKENIZED)

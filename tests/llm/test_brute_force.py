@@ -233,6 +233,24 @@ def test_word_encoder():
         assert e.encode(x) == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_encoder_batches():
+    import pyarrow as pa
+
+    e = packing.WordEncoder(packing.vocabulary_path())
+    texts = [None, "", " ", " a  b ", "x <|endoftext|> y", "é ü z\x1c q\tw\x0bz\x0cu\r\n", "can't <|startoftext|>", "ÀÉ... it's 'a 12 a1b !?a ĳ İ ß Ÿ ſ 你好 **x** --- a-b ŉ K", "long " * 3000]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["i", "text"])
+    for size in (1, 8, 1 << 20):
+        parts = list(packing.sliced(batch, "text", size))
+        assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(len(texts)))
+        for part in parts:
+            ids, counts = e.encode_all(part.column("text"), 1)
+            for text, got, n in zip(part.column("text").to_pylist(), ids.to_pylist(), counts.tolist(), strict=True):
+                want = [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+                assert (np.frombuffer(got, e.stored).tolist(), n) == (want, len(want))
+    empty = e.encode_all(pa.array([], pa.string()), 1)
+    assert (len(empty[0]), len(empty[1])) == (0, 0)
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
