@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,9 +98,16 @@ def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(as_nodes(missing))
 
 
-def degrees(graph: PropertyGraph) -> DataFrame:
-    """id, degree: in plus out, parallel edges counted, self-loops twice; nodes without edges have 0."""
-    ends = graph.edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+def degrees(graph: PropertyGraph, among: DataFrame | None = None) -> DataFrame:
+    """id, degree: in plus out, parallel edges counted, self-loops twice; nodes without edges have 0.
+
+    ``among`` (column id): only these are counted, and only they are returned."""
+    each = graph.edges.select(F.explode(F.array("source", "target")).alias("id"))
+    if among is not None:
+        chosen = among.select("id").distinct()
+        ends = each.join(chosen, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+        return chosen.join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    ends = each.groupBy("id").agg(F.count("*").alias("degree"))
     return graph.nodes.select("id").join(ends, "id", "full_outer").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
@@ -113,18 +121,19 @@ def adjacency(graph: PropertyGraph) -> DataFrame:
     return both.groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("neighbours"))
 
 
-def k_hop(graph: PropertyGraph, seeds: DataFrame, hops: int) -> DataFrame:
+def k_hop(graph: PropertyGraph, seeds: DataFrame, hops: int, by: Sequence[str] = ()) -> DataFrame:
     """id, hop: everything within ``hops`` undirected steps of the seeds (column id), which may be no nodes.
 
+    With ``by``, columns of the seeds such as a session, every group of seeds is followed on its own.
     Each step joins only the frontier with the edges; its result is checkpointed when a shared
     folder is set, so lineage does not grow with the hops."""
     spark = graph.edges.sparkSession
     both = graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(graph.edges.select("target", "source"))
-    seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
+    seen = seeds.select(*by, "id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, max(0, int(hops)) + 1):
-        step = both.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        step = both.join(frontier.select(*by, F.col("id").alias("a")), "a").select(*by, F.col("b").alias("id")).distinct()
+        frontier = step.join(seen.select(*by, "id"), [*by, "id"], "left_anti").withColumn("hop", F.lit(hop))
         if spark.sparkContext.getCheckpointDir() and hop > 1:
             frontier = frontier.checkpoint()
         seen = seen.unionByName(frontier)
@@ -216,8 +225,3 @@ class GraphRegistry:
 
 def new_session_id() -> str:
     return uuid.uuid4().hex[:12]
-
-
-def row_ids(rows: DataFrame, order: list[str | Column], name: str = "ord") -> DataFrame:
-    """Consecutive numbers from 0 in the given order, for small tables read from single files."""
-    return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))

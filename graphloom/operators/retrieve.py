@@ -110,7 +110,8 @@ def prompt(query: Column, chunks: Column, top_k: int = 10) -> Column:
 def candidates(graph: PropertyGraph, retrieved: DataFrame) -> DataFrame:
     """id, degree: out-neighbours of the retrieved (column id) that are nodes and not retrieved."""
     near = out_neighbors(graph).join(retrieved.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-    return near.join(graph.nodes.select("id"), "id", "left_semi").join(retrieved.select("id"), "id", "left_anti").join(degrees(graph), "id")
+    fresh = near.join(graph.nodes.select("id"), "id", "left_semi").join(retrieved.select("id"), "id", "left_anti")
+    return degrees(graph, fresh)
 
 
 def dot(a: Column, b: Column) -> Column:

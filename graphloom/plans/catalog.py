@@ -454,6 +454,30 @@ def session_view_edges(spark, sf_dir):
     return S.styled_edges(near.unionByName(overlay.drop("style")), S.overlay_nodes(events), overlay)
 
 
+@query(f"""WITH {EDGES}, {KG_NODES}, {KG_EDGES},
+ons AS (SELECT session_id, 'p:' || k AS id, arg_max(CASE WHEN kind = 'click' THEN 'current' ELSE 'previous' END, event_id) AS style FROM live WHERE has_nodes GROUP BY session_id, k),
+ends AS (SELECT session_id, source AS id FROM oe UNION SELECT session_id, target FROM oe),
+seed AS (SELECT session_id, id FROM ons UNION ALL SELECT session_id, id FROM ends WHERE session_id NOT IN (SELECT session_id FROM ons)),
+und AS (SELECT source AS a, target AS b FROM ke UNION SELECT target, source FROM ke),
+sel AS (SELECT session_id, id FROM seed UNION SELECT session_id, b FROM seed JOIN und ON a = id UNION SELECT session_id, id FROM ends),
+vw AS (SELECT session_id, count(*) AS n, count(*) FILTER (style = 'current') AS c FROM sel JOIN kn USING (id) LEFT JOIN ons USING (session_id, id) GROUP BY session_id),
+ed AS (SELECT s.session_id, ke.*, coalesce(oe.style, CASE WHEN a.style IS NOT NULL AND b.style IS NOT NULL THEN CASE WHEN 'current' IN (a.style, b.style) THEN 'current' ELSE 'previous' END END) AS style
+  FROM ke JOIN sel s ON ke.source = s.id JOIN sel t ON ke.target = t.id AND s.session_id = t.session_id
+  LEFT JOIN oe ON oe.session_id = s.session_id AND oe.source = ke.source AND oe.target = ke.target AND ke.relation = 'RELATED'
+  LEFT JOIN ons a ON a.session_id = s.session_id AND a.id = ke.source LEFT JOIN ons b ON b.session_id = s.session_id AND b.id = ke.target),
+ve2 AS (SELECT session_id, count(*) AS n, count(style) AS c FROM ed GROUP BY session_id),
+hn AS (SELECT session_id, count(*) AS n FROM ons GROUP BY session_id), he AS (SELECT session_id, count(*) AS n FROM oe GROUP BY session_id)
+SELECT session_id, r.revision, coalesce(vw.n, 0) AS nodes, coalesce(ve2.n, 0) AS edges, coalesce(hn.n, 0) AS highlighted_nodes, coalesce(he.n, 0) AS highlighted_edges, coalesce(vw.c, 0) AS current_nodes, coalesce(ve2.c, 0) AS styled_edges
+FROM (SELECT session_id, count(*) AS revision FROM ev GROUP BY session_id) r LEFT JOIN vw USING (session_id) LEFT JOIN ve2 USING (session_id) LEFT JOIN hn USING (session_id) LEFT JOIN he USING (session_id)""")
+def session_view_counts(spark, sf_dir):
+    """Overlay, seeds, one hop, induced edges and styles of every session over the whole knowledge graph, counted."""
+    events = B.session_events(spark, sf_dir)
+    nodes, edges = S.session_view(B.knowledge_graph(spark, sf_dir), events, 1)
+    shown = nodes.groupBy("session_id").agg(F.count_if(F.col("style") == S.CURRENT).alias("current_nodes"))
+    styled = edges.groupBy("session_id").agg(F.count("style").alias("styled_edges"))
+    return S.view_counts(events, nodes, edges).join(shown, "session_id", "left").join(styled, "session_id", "left").na.fill(0)
+
+
 @query()
 def session_stream_fold(spark, sf_dir):
     """The streaming twin of session_fold, run to completion over the events file."""

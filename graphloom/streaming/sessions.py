@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import PropertyGraph, k_hop, labels, view_seeds
+
 EVENT_SCHEMA = "session_id string, event_id long, op string, nodes array<struct<id:string,style:string>>, edges array<struct<source:string,target:string,relation:string,style:string>>, metadata string, progress struct<current:int,total:int,message:string>"
 DEFAULT_RELATION = "RELATED"
 #: Styles of the last step's edges and of earlier ones.
@@ -90,14 +92,111 @@ def session_metadata(events: DataFrame) -> DataFrame:
 
 
 def styled_edges(edges: DataFrame, nodes: DataFrame, overlay: DataFrame) -> DataFrame:
-    """``edges`` (session_id, source, target, relation) with a style: the overlay's of the same key, else by both ends' stages.
+    """``edges`` (session_id, source, target, relation and more) with a style: the overlay's of the same key, else by both ends' stages.
 
     ``nodes``: session_id, id, style.  An edge is current if both ends have a stage and one is current."""
     stage = lambda side: nodes.select("session_id", F.col("id").alias(side), F.col("style").alias(f"_{side}"))
     joined = edges.join(overlay.withColumnRenamed("style", "_own"), ["session_id", "source", "target", "relation"], "left").join(stage("source"), ["session_id", "source"], "left").join(stage("target"), ["session_id", "target"], "left")
     both = F.col("_source").isNotNull() & F.col("_target").isNotNull()
     style = F.coalesce("_own", F.when(both & ((F.col("_source") == CURRENT) | (F.col("_target") == CURRENT)), CURRENT).when(both, PREVIOUS))
-    return joined.select("session_id", "source", "target", "relation", style.alias("style"))
+    return joined.select(*edges.columns, style.alias("style"))
+
+
+def live_sessions(events: DataFrame) -> DataFrame:
+    """session_id, revision: the sessions that no later delete ended, and their events since."""
+    cut = events.filter("op = 'delete'").groupBy("session_id").agg(F.max("event_id").alias("_cut"))
+    rows = events.join(cut, "session_id", "left").filter("_cut is null or event_id > _cut")
+    return rows.groupBy("session_id").agg(F.count("*").alias("revision"))
+
+
+def polled(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """session_id, exists, revision (-1 without such a session), changed: answers to ``asked`` (session_id, since_revision)."""
+    found = asked.select("session_id", "since_revision").join(live_sessions(events), "session_id", "left")
+    revision = F.coalesce("revision", F.lit(-1)).cast("long")
+    return found.select("session_id", F.col("revision").isNotNull().alias("exists"), revision.alias("revision"), F.coalesce(revision != F.col("since_revision"), F.lit(True)).alias("changed"))
+
+
+def session_view(graph: PropertyGraph, events: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """What every session shows of the graph: nodes and edges.
+
+    nodes: session_id, id, label, group, title, style (null: not in the overlay).  edges: session_id,
+    edge_idx, source, target, relation, weight, style.  Shown are the nodes within ``hops`` of the
+    overlay's nodes, or of its edges' ends where it has no nodes; those ends in any case; and the
+    edges between them.  Sessions without an overlay show nothing."""
+    own_nodes, own_edges = overlay_nodes(events), overlay_edges(events)
+    near = k_hop(graph, view_seeds(own_nodes, own_edges), hops, by=["session_id"]).select("session_id", "id")
+    ends = own_edges.select("session_id", F.explode(F.array("source", "target")).alias("id"))
+    chosen = near.unionByName(ends).distinct()
+    nodes = chosen.join(labels(graph.nodes), "id").join(own_nodes, ["session_id", "id"], "left")
+    inside = graph.edges.join(chosen.withColumnRenamed("id", "source"), "source").join(chosen.withColumnRenamed("id", "target"), ["session_id", "target"], "left_semi")
+    edges = inside.select("session_id", "edge_idx", "source", "target", F.coalesce("relation", F.lit("")).alias("relation"), "weight")
+    return nodes.select("session_id", "id", "label", "group", "title", "style"), styled_edges(edges, own_nodes, own_edges)
+
+
+def view_counts(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """session_id, revision, nodes, edges, highlighted_nodes, highlighted_edges of every live session.
+
+    ``nodes`` and ``edges``: the session's view; highlighted is what its overlay holds."""
+    out = live_sessions(events)
+    for name, rows in (("nodes", nodes), ("edges", edges), ("highlighted_nodes", overlay_nodes(events)), ("highlighted_edges", overlay_edges(events))):
+        out = out.join(rows.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "left")
+    return out.na.fill(0)
+
+
+def distinct_steps(steps: DataFrame, *signature: str) -> DataFrame:
+    """Steps (session_id, step) whose ``signature`` columns differ from those of the session's step before."""
+    now = F.struct(*signature)
+    by = Window.partitionBy("session_id").orderBy("step")
+    marked = steps.withColumns({"_first": F.row_number().over(by) == 1, "_same": now.eqNullSafe(F.lag(now).over(by))})
+    return marked.filter(F.col("_first") | ~F.col("_same")).drop("_first", "_same")
+
+
+def stage(message: Column) -> Column:
+    """The stage of a retrieval that a progress message stands for."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    told = lambda part: F.contains(text, F.lit(part))
+    return F.when(told("answer generated"), "generated").when(told("generating"), "generating").when(told("retrieval complete"), "retrieved").otherwise("retrieving")
+
+
+# --- event constructors --------------------------------------------------------------------------
+
+#: Types of the parts of an update that may not be given.
+NODES, EDGES, PROGRESS = "array<struct<id:string,style:string>>", "array<struct<source:string,target:string,relation:string,style:string>>", "struct<current:int,total:int,message:string>"
+
+
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _updates(rows: DataFrame, nodes: Column, edges: Column, progress: Column) -> DataFrame:
+    metadata = F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")
+    return rows.select("session_id", "event_id", F.lit("update").alias("op"), nodes.alias("nodes"), edges.alias("edges"), metadata.alias("metadata"), progress.alias("progress"))
+
+
+def record_events(rows: DataFrame) -> DataFrame:
+    """Updates of (session_id, event_id, node_ids, style, message): every id in the row's style, current by default.
+
+    Null ids: no nodes given.  A null or empty message: no progress given.  metadata is kept if there."""
+    style = F.coalesce("style", F.lit(CURRENT))
+    nodes = F.transform("node_ids", lambda i: F.struct(i.cast("string").alias("id"), style.alias("style")))
+    said = F.struct(F.lit(None).cast("int").alias("current"), F.lit(None).cast("int").alias("total"), F.col("message"))
+    return _updates(rows, nodes, _none(EDGES), F.when(F.coalesce("message", F.lit("")) != "", said))
+
+
+def progress_events(rows: DataFrame) -> DataFrame:
+    """Updates of (session_id, event_id, current, total, message) that only set the progress."""
+    return _updates(rows, _none(NODES), _none(EDGES), F.struct(F.col("current").cast("int").alias("current"), F.col("total").cast("int").alias("total"), F.coalesce("message", F.lit("")).alias("message")))
+
+
+def search_events(rows: DataFrame) -> DataFrame:
+    """Updates of search results (session_id, event_id, seed_nodes: ids, one_hop_edges: source, target, relation).
+
+    Seeds without an id and edges without an end are left out; nulls count as empty lists."""
+    seeds = F.filter(F.coalesce("seed_nodes", F.array().cast("array<string>")), lambda i: i.isNotNull())
+    nodes = F.transform(seeds, lambda i: F.struct(i.alias("id"), F.lit(CURRENT).alias("style")))
+    given = F.filter(F.coalesce("one_hop_edges", F.array().cast("array<struct<source:string,target:string,relation:string>>")), lambda e: e["source"].isNotNull() & e["target"].isNotNull())
+    edges = F.transform(given, lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), F.coalesce(e["relation"], F.lit(DEFAULT_RELATION)).alias("relation"), F.lit(None).cast("string").alias("style")))
+    return _updates(rows, nodes, edges, _none(PROGRESS))
 
 
 def frame_changes(before: DataFrame, after: DataFrame) -> DataFrame:

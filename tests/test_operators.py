@@ -181,3 +181,46 @@ def test_registry():
     with pytest.raises(KeyError):
         r.switch("b")
     assert X.prettified("/data/scene_graphs-v2/QA") == "QA" and X.prettified("scene_graphs") == "Scene Graphs"
+
+
+def test_session_view(spark):
+    g = make(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], [(i, i) for i in "abcdxy"])
+    events = spark.createDataFrame(
+        [
+            ("s", 1, "update", [("a", "current")], None, None, None),
+            ("s", 2, "update", [("b", "previous")], [("x", "y", None, None)], None, None),
+            ("e", 1, "update", None, [("c", "d", "r", "previous"), ("no", "node", None, None)], None, None),
+            ("gone", 1, "update", [("a", "current")], None, None, None),
+            ("gone", 2, "delete", None, None, None, None),
+            ("bare", 1, "clear", None, None, None, None),
+        ],
+        S.EVENT_SCHEMA,
+    )
+    nodes, edges = S.session_view(g, events, 1)
+    shown = lambda s: sorted(r["id"] for r in nodes.filter(F.col("session_id") == s).collect())
+    assert (shown("s"), shown("e"), shown("gone"), shown("bare")) == (list("abcxy"), list("bcd"), [], [])
+    styles = {(r["session_id"], r["source"], r["target"]): r["style"] for r in edges.collect()}
+    assert styles["s", "a", "b"] == "current" and styles["s", "b", "c"] is None and ("s", "c", "d") not in styles
+    counts = {r["session_id"]: tuple(r)[1:] for r in S.view_counts(events, nodes, edges).collect()}
+    assert counts == {"s": (2, 5, 3, 2, 1), "e": (1, 3, 2, 0, 2), "bare": (1, 0, 0, 0, 0)}
+    asked = spark.createDataFrame([("s", 2), ("e", 0), ("gone", 2), ("never", None)], "session_id string, since_revision long")
+    assert sorted(tuple(r) for r in S.polled(events, asked).collect()) == [("e", True, 1, True), ("gone", False, -1, True), ("never", False, -1, True), ("s", True, 2, False)]
+
+
+def test_session_event_constructors(spark):
+    rows = spark.createDataFrame([("s", 1, ["a", "b"], None, "seeds"), ("s", 2, None, None, ""), ("s", 3, ["a"], "previous", None)], "session_id string, event_id long, node_ids array<string>, style string, message string")
+    made = S.record_events(rows)
+    done = S.progress_events(spark.createDataFrame([("s", 4, 3, 4, None)], "session_id string, event_id long, current long, total long, message string"))
+    found = S.search_events(spark.createDataFrame([("s", 5, ["c", None], [("a", "c", None), (None, "c", "r")]), ("s", 6, None, None)], "session_id string, event_id long, seed_nodes array<string>, one_hop_edges array<struct<source:string,target:string,relation:string>>"))
+    events = made.unionByName(done).unionByName(found)
+    assert {(r["id"], r["style"]) for r in S.overlay_nodes(events).collect()} == {("a", "previous"), ("b", "current"), ("c", "current")}
+    assert [tuple(r) for r in S.overlay_edges(events).collect()] == [("s", "a", "c", "RELATED", "previous")]
+    fold = S.folded(events).orderBy("event_id").select("message", "percent", "snapshot").collect()
+    assert [tuple(r) for r in fold] == [("seeds", 0.0, True), ("seeds", 0.0, False), ("seeds", 0.0, True), ("", 75.0, True), ("", 75.0, True), ("", 75.0, True)]
+
+
+def test_distinct_steps_and_stages(spark):
+    steps = spark.createDataFrame([("s", 0, None), ("s", 1, None), ("s", 2, "x"), ("s", 3, "x"), ("s", 4, None), ("t", 0, "x")], "session_id string, step long, message string")
+    assert sorted((r["session_id"], r["step"]) for r in S.distinct_steps(steps, "message").collect()) == [("s", 0), ("s", 2), ("s", 4), ("t", 0)]
+    said = spark.createDataFrame([("Answer generated.",), ("generating answer",), ("Retrieval complete: 5",), ("",), (None,)], "m string")
+    assert [r[0] for r in said.select(S.stage(F.col("m"))).collect()] == ["generated", "generating", "retrieved", "retrieving", "retrieving"]
