@@ -121,21 +121,25 @@ def adjacency(graph: PropertyGraph) -> DataFrame:
     return both.groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("neighbours"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed where a shared folder is set, so that plans which use it often do not make it again."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def k_hop(graph: PropertyGraph, seeds: DataFrame, hops: int, by: Sequence[str] = ()) -> DataFrame:
     """id, hop: everything within ``hops`` undirected steps of the seeds (column id), which may be no nodes.
 
     With ``by``, columns of the seeds such as a session, every group of seeds is followed on its own.
     Each step joins only the frontier with the edges; its result is checkpointed when a shared
     folder is set, so lineage does not grow with the hops."""
-    spark = graph.edges.sparkSession
     both = graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(graph.edges.select("target", "source"))
     seen = seeds.select(*by, "id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, max(0, int(hops)) + 1):
         step = both.join(frontier.select(*by, F.col("id").alias("a")), "a").select(*by, F.col("b").alias("id")).distinct()
         frontier = step.join(seen.select(*by, "id"), [*by, "id"], "left_anti").withColumn("hop", F.lit(hop))
-        if spark.sparkContext.getCheckpointDir() and hop > 1:
-            frontier = frontier.checkpoint()
+        if hop > 1:
+            frontier = cut(frontier)
         seen = seen.unionByName(frontier)
     return seen
 

@@ -29,15 +29,15 @@ def coerced(value: Any) -> list[float] | None:
         return None
 
 
-def _scores(metric: str, vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Distances; a zero norm counts as 1 for cosine."""
+def _scores(metric: str, vectors: np.ndarray, squares: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Distances; a zero norm counts as 1 for cosine.  ``squares``: the vectors' squared norms."""
+    if metric == "l2sq":
+        return ((vectors - query) ** 2).sum(1)
     dot = vectors @ query
     if metric == "ip":
         return 1.0 - dot
-    if metric == "l2sq":
-        return ((vectors - query) ** 2).sum(1)
-    norms = np.sqrt((vectors**2).sum(1)) * (np.sqrt((query**2).sum()) or 1.0)
-    return 1.0 - dot / np.where(norms == 0, np.where((vectors**2).sum(1) == 0, np.sqrt((query**2).sum()) or 1.0, 1.0), norms)
+    own = np.sqrt(squares)
+    return 1.0 - dot / (np.where(own == 0, 1.0, own) * (np.sqrt((query**2).sum()) or 1.0))
 
 
 class VectorIndex:
@@ -135,10 +135,11 @@ def _nearest(queries: list, metric: str, k: int, schema: T.StructType):
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 matrix = flat[(starts[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
+                squares = (matrix**2).sum(1)
                 for q, (_, vector) in enumerate(queries):
                     if len(vector) != dim:
                         continue
-                    distance = _scores(metric, matrix, vector)
+                    distance = _scores(metric, matrix, squares, vector)
                     old = best.get(q, (np.zeros(0), np.zeros(0, np.int64), []))
                     if len(distance) > k:
                         near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import PropertyGraph, k_hop, labels, view_seeds
+from graphloom.operators.graph import PropertyGraph, cut, k_hop, labels, view_seeds
 
 EVENT_SCHEMA = "session_id string, event_id long, op string, nodes array<struct<id:string,style:string>>, edges array<struct<source:string,target:string,relation:string,style:string>>, metadata string, progress struct<current:int,total:int,message:string>"
 DEFAULT_RELATION = "RELATED"
@@ -123,10 +123,10 @@ def session_view(graph: PropertyGraph, events: DataFrame, hops: int = 2) -> tupl
     edge_idx, source, target, relation, weight, style.  Shown are the nodes within ``hops`` of the
     overlay's nodes, or of its edges' ends where it has no nodes; those ends in any case; and the
     edges between them.  Sessions without an overlay show nothing."""
-    own_nodes, own_edges = overlay_nodes(events), overlay_edges(events)
+    own_nodes, own_edges = cut(overlay_nodes(events)), cut(overlay_edges(events))
     near = k_hop(graph, view_seeds(own_nodes, own_edges), hops, by=["session_id"]).select("session_id", "id")
     ends = own_edges.select("session_id", F.explode(F.array("source", "target")).alias("id"))
-    chosen = near.unionByName(ends).distinct()
+    chosen = cut(near.unionByName(ends).distinct())
     nodes = chosen.join(labels(graph.nodes), "id").join(own_nodes, ["session_id", "id"], "left")
     inside = graph.edges.join(chosen.withColumnRenamed("id", "source"), "source").join(chosen.withColumnRenamed("id", "target"), ["session_id", "target"], "left_semi")
     edges = inside.select("session_id", "edge_idx", "source", "target", F.coalesce("relation", F.lit("")).alias("relation"), "weight")

@@ -91,6 +91,47 @@ def test_collect_stops_at_hits(spark):
     assert len(few) == 8 and all(r["origin"] == "VS" for r in few)
 
 
+def _collected(nodes, edges, hits, vector, words, most, slide=R.SLIDE):
+    """The rounds of ``collect`` in plain Python: (id, origin) in the final order."""
+    text, emb, order = {i: t for i, t, _ in nodes}, {i: v for i, _, v in nodes}, []
+    degree = {i: sum((a == i) + (b == i) for a, b in edges) for i in text}
+    out = {i: {b for a, b in edges if a == i} for i in text}
+    reranker = R.LexicalReranker()
+    held = [(i, "VS") for i in hits[:slide]]
+    while True:
+        scores = reranker.logits(reranker.features(words, [text[i] for i, _ in held]))
+        held = [held[k] for k in sorted(range(len(held)), key=lambda k: -scores[k])]
+        if len(held) >= most:
+            return held
+        ids = {i for i, _ in held}
+        r = len(ids)
+        found = []
+        for c in {t for i in ids for t in out[i]} - ids:
+            near = sum(c in out[i] for i in ids)
+            rank = 1 - r / (r - 1) if r > 1 else 0.0
+            cap = min(degree[c], r)
+            bridge = (near - 1) / (cap - 1) if cap > 1 else 0.0
+            found.append((-(rank + bridge + sum(x * y for x, y in zip(emb[c], vector, strict=True))), degree[c], c))
+        if not found:
+            return held
+        held += [(c, "GS") for *_, c in sorted(found)[: min(slide, most - len(held))]]
+
+
+def test_collect_against_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    words = "cat dog bird fish cow".split()
+    nodes = [(f"n{i:02d}", " ".join(rng.choices(words, k=rng.randint(1, 6))), [rng.choice([0.25, 0.5, 0.75, 1.0]) for _ in range(3)]) for i in range(60)]
+    edges = [(rng.choice(nodes)[0], rng.choice(nodes)[0]) for _ in range(150)]
+    rows = spark.createDataFrame([(o, *n) for o, n in enumerate(nodes)], "ord long, id string, text string, embedding array<float>")
+    g = G.PropertyGraph(G.as_nodes(rows), G.as_edges(spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "edge_idx long, source string, target string")))
+    for most in (7, 25, 60):
+        hits = spark.createDataFrame([(p, i, t) for p, (i, t, _) in enumerate(nodes[:most])], "pos long, id string, text string")
+        got = R.collect(g, "cat bird", [1.0, 0.5, 0.25], hits, R.LexicalReranker()).orderBy("place").collect()
+        assert [(r["id"], r["origin"]) for r in got] == _collected(nodes, edges, [i for i, _, _ in nodes[:most]], [1.0, 0.5, 0.25], "cat bird", most)
+
+
 def test_triples(spark):
     t = spark.createDataFrame([("(a; r; b;c)(; r; x)(p; q)",)], "t string")
     assert [tuple(r) for r in t.select(F.explode(M.parsed_triples(F.col("t"))).alias("x")).select("x.*").collect()] == [("a", "r", "b;c")]
