@@ -43,7 +43,7 @@ QUANTUM = 64
 #: Pieces of words whose ids a worker remembers; it starts anew once it holds more.
 REMEMBERED = 500_000
 #: Text encoded at a time.
-ENCODED_BYTES = 16 << 20
+ENCODED_BYTES = 8 << 20
 RANGE_ROWS = 2000
 #: Sequence ids of one partition: at most this many.
 STRIDE = 1 << 20
