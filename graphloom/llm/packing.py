@@ -40,8 +40,8 @@ END = 1
 #: Tokens dealt to one partition, about, and the least that a served queue gives if it has it.
 PARTITION_TOKENS = 1 << 20
 QUANTUM = 64
-#: Pieces of words whose ids a worker remembers; it starts anew once it holds more.
-REMEMBERED = 500_000
+#: Pieces of words whose ids a task remembers; it starts anew once it holds more.
+REMEMBERED = 300_000
 #: Text encoded at a time.
 ENCODED_BYTES = 8 << 20
 RANGE_ROWS = 2000
@@ -178,6 +178,9 @@ def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
             for part in sliced(batch, "text", ENCODED_BYTES):
                 ids, counts = enc.encode_all(part.column("text"), end)
                 yield pa.record_batch([part.column("row"), part.column("doc_id"), part.column("source"), pa.array(counts, pa.int64()), ids], names=["row", "doc_id", "source", "doc_tokens", "ids"])
+        # The worker lives on and serves other stages, which need its memory.
+        enc.pieces.clear()
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     return rows.mapInArrow(run, TOKENIZED)
