@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,28 +24,47 @@ def _hadoop_path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a zstd parquet table in the shared folder: cuts lineage and outlives any executor.
-
-    The shuffle files that made it go when it is written; the application's tables go when it exits."""
-    spark = df.sparkSession
+def _new_table(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; the application's tables go when it exits."""
     folder = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    if folder not in _LEFT_TO_EXIT:
+        fs, at = _hadoop_path(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _LEFT_TO_EXIT.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def _dropping_shuffles(spark: SparkSession, write: Callable[[], None]) -> None:
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        write()
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    if folder not in _LEFT_TO_EXIT:
-        fs, at = _hadoop_path(spark, folder)
-        fs.deleteOnExit(at)
-        _LEFT_TO_EXIT.add(folder)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a zstd parquet table in the shared folder: cuts lineage and outlives any executor.
+
+    The shuffle files that made it go when it is written."""
+    spark = df.sparkSession
+    path = _new_table(spark, label)
+    _dropping_shuffles(spark, lambda: df.write.option("compression", "zstd").parquet(path))
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like ``written``, with the rows of a key together in a bucket: later work by that key moves no rows."""
+    spark = df.sparkSession
+    path = _new_table(spark, label)
+    name = f"graphloom_{path.rpartition('/')[2].replace('-', '_')}"
+    _dropping_shuffles(spark, lambda: df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name))
+    return spark.table(name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``written`` returned and that no later plan reads."""
     for table in tables:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import fingerprints, hamming, jaccard, language, licenses, lm, mixing, packing, quality, substrings
+from graphloom.llm import exact, fingerprints, hamming, jaccard, language, licenses, lm, middle, mixing, packing, quality, substrings, variants
 from graphloom.session import table
 
 QUERIES = {
@@ -18,6 +18,9 @@ QUERIES = {
     "op10_pack": lambda spark, sf_dir: packing.op10_pack(table(spark, sf_dir, "documents")),
     "op4_substring_dedup": lambda spark, sf_dir: substrings.op4_substring_dedup(table(spark, sf_dir, "documents")),
     "op5_mix_sources": lambda spark, sf_dir: mixing.op5_mix_sources(table(spark, sf_dir, "documents")),
+    "op11_fill_in_middle": lambda spark, sf_dir: middle.op11_fill_in_middle(table(spark, sf_dir, "documents")),
+    "op12_spelling_variants": lambda spark, sf_dir: variants.op12_spelling_variants(table(spark, sf_dir, "documents")),
+    "op13_exact_dedup": lambda spark, sf_dir: exact.op13_exact_dedup(table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
@@ -26,4 +29,7 @@ ORACLES = {
     "op3_lm_score": lm.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op11_fill_in_middle": middle.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
+    "op13_exact_dedup": exact.ORACLE,
 }

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -29,7 +30,7 @@ def texts(docs):
 
 
 def shown(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return "null"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 

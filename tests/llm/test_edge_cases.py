@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, hamming, jaccard, language, licenses, lm, mixing, packing, quality, substrings
+from graphloom.llm import exact, fingerprints, hamming, jaccard, language, licenses, lm, middle, mixing, packing, quality, substrings, variants
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(30000))
@@ -50,6 +50,8 @@ EVERY = {
     "op7": lambda d, l: language.op7_language_id(d),
     "op8": lambda d, l: quality.op8_quality_classifier(d, l),
     "op9": lambda d, l: jaccard.op9_jaccard_join(d),
+    "op11": lambda d, l: middle.op11_fill_in_middle(d),
+    "op13": lambda d, l: exact.op13_exact_dedup(d),
 }
 
 
@@ -59,9 +61,9 @@ def test_one_row_per_document(docs, labels, name):
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
 
 
-@pytest.mark.parametrize("name", [*EVERY, "op10"])
+@pytest.mark.parametrize("name", [*EVERY, "op10", "op12"])
 def test_empty_table(docs, labels, name):
-    run = EVERY.get(name, lambda d, l: packing.op10_pack(d))
+    run = {"op10": lambda d, l: packing.op10_pack(d), "op12": lambda d, l: variants.op12_spelling_variants(d), **EVERY}[name]
     assert run(docs.limit(0), labels).count() == 0
     if name in ("op3", "op8"):
         assert run(docs, labels.limit(0)).count() == len(ROWS)
