@@ -9,12 +9,14 @@ window.  Documents are cut freely, so windows are full.
 The proportions are those of all tokens, or given weights: then the sources that are left fill
 the windows in proportion once others are used up.
 
-The queues are dealt to partitions in advance: partition p of P gets, of every source's T
-tokens, those from floor(T * p / P) to floor(T * (p + 1) / P).  What a source was dealt too little
-by then, the fraction of a token that the cut carries over, is its account when the partition
-starts and decides who is served first, so deficits pass from partition to partition and none
-waits for another.  Token positions are prefix sums that never
-gather a source in one task.  What is left at a partition's end, less than one window, becomes
+The queues are dealt to P partitions in advance, in grains of a sequence at least: a source of T
+tokens is cut in G = min(P, T / grain) equal runs of tokens (one if it has fewer), and run g goes to
+partition floor((g * P + o) / G), with o a digest of the source, so small sources go to few
+partitions, each to others, and no run is empty.  What a source was dealt too little by then, its
+share of the partitions before less its tokens in them, is its account when the partition starts
+and decides who is served first, so deficits pass from partition to partition and none waits for
+another.  Token positions are prefix sums that never gather a source in one task, and no task sees
+all sources.  What is left at a partition's end, less than one window, becomes
 sequences whose lengths are powers of two, which need no padding.
 
 Null text: only the end id.  Null source: a queue of its own.  Repeated rows are documents of
@@ -30,7 +32,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import digest, running_sums, written
@@ -189,10 +191,9 @@ def tokenized(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
 def serve(shares: list[tuple], window: int = SEQUENCE, quantum: int = QUANTUM, weights: dict | None = None, carried: dict | None = None) -> list[tuple]:
     """Deficit round-robin over one partition.
 
-    ``shares``: (source_no, row, start, length) in queue order.  Returns (row, start, length,
+    ``shares``: (source, row, start, length) in queue order, each with a token at least.  Returns (row, start, length,
     sequence, offset).  ``weights``: whole numbers by source, else the sources' tokens.
-    ``carried``: by source, what the partitions before owe it, as a whole number of equal parts of a
-    token.  Credits are kept as integers: a source's weight times tokens dealt so far, less its own
+    ``carried``: by source, the tokens that the partitions before owe it.  Credits are kept as integers: a source's weight times tokens dealt so far, less its own
     dealt tokens times all weights."""
     queues: dict = {}
     for source, row, start, length in shares:
@@ -235,34 +236,35 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, window: int =
 
     ``weights``: by source, whole numbers in place of the sources' tokens; 1 for others."""
     tokens = written(tokenized(docs, path, end), "pack-tokens")
-    counts = tokens.select("row", "doc_id", "source", "doc_tokens")
-    per = counts.groupBy("source").agg(F.sum("doc_tokens").alias("source_tokens"))
-    sources = written(per.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "pack-sources")
+    counts = tokens.select("row", "doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("queue"), "source", "doc_tokens")
+    sources = written(counts.groupBy("queue").agg(F.sum("doc_tokens").alias("source_tokens")), "pack-sources")
     total = sources.agg(F.sum("source_tokens")).first()[0] or 0
     parts = max(1, -(-total // partition_tokens))
-    rows = counts.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
+    dealt = sources.withColumns({"grains": F.expr(f"greatest(1, least({parts}, source_tokens div {window}))"), "phase": F.pmod(F.xxhash64("queue"), F.lit(parts))})
+    rows = counts.join(dealt, "queue")
     rows = rows.withColumns({"klass": F.lit(0), "digest": digest(F.col("doc_id"), SEED, F.col("row"))})
-    placed = running_sums(rows, "source_no", "klass", "digest", "doc_tokens", [F.col("row")], RANGE_ROWS)
-    # Token x of T is in partition floor((x * parts + parts - 1) / T), the last p with floor(T * p / parts) <= x.
+    placed = running_sums(rows, "queue", "klass", "digest", "doc_tokens", [F.col("row")], RANGE_ROWS)
+    # Token x of T is in run floor((x * grains + grains - 1) / T), the last g with floor(T * g / grains) <= x.
     # Products of two large counts need more than 64 bits.
     wide = lambda x: f"cast(({x}) as decimal(19, 0))"
-    part_of = lambda x: F.expr(f"({wide(x)} * {wide(parts)} + {parts - 1}) div source_tokens")
-    spread = placed.withColumn("part", F.explode(F.sequence(part_of("before"), part_of("before + doc_tokens - 1"))))
-    cut = lambda p: F.expr(f"({wide('source_tokens')} * {wide(p)}) div {parts}")
-    start = F.greatest(cut("part") - F.col("before"), F.lit(0))
-    stop = F.least(cut("part + 1") - F.col("before"), F.col("doc_tokens"))
-    carried = F.expr(f"cast(({wide('source_tokens')} * {wide('part')}) % {parts} as bigint)")
+    run_of = lambda x: F.expr(f"({wide(x)} * {wide('grains')} + grains - 1) div source_tokens")
+    spread = placed.withColumn("grain", F.explode(F.sequence(run_of("before"), run_of("before + doc_tokens - 1"))))
+    cut = lambda g: F.expr(f"({wide('source_tokens')} * {wide(g)}) div grains")
+    start = F.greatest(cut("grain") - F.col("before"), F.lit(0))
+    stop = F.least(cut("grain + 1") - F.col("before"), F.col("doc_tokens"))
+    spread = spread.withColumn("part", F.expr(f"(grain * {parts} + phase) div grains"))
+    carried = F.col("source_tokens").cast("double") * F.col("part") / parts - cut("grain")
     told = F.create_map(*[x for k, v in (weights or {}).items() if k is not None for x in (F.lit(k), F.lit(int(v)))]).cast("map<string,bigint>")
     own = F.when(F.col("source").isNull(), F.lit(int((weights or {}).get(None, 1)))).otherwise(F.coalesce(told[F.col("source")], F.lit(1)))
     weight = own if weights else F.lit(None)
-    shares = spread.select("part", "source_no", "before", "row", start.alias("start"), (stop - start).alias("length"), carried.alias("carried"), weight.cast("long").alias("weight"))
+    shares = spread.select("part", "queue", "before", "row", start.alias("start"), (stop - start).alias("length"), carried.alias("carried"), weight.cast("long").alias("weight"))
 
     def serve_part(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("source_no", "ascending"), ("before", "ascending")])
+        table = table.sort_by([("queue", "ascending"), ("before", "ascending")])
         part = table.column("part")[0].as_py()
-        numbers = table.column("source_no").to_pylist()
-        carried, told = (dict(zip(numbers, table.column(c).to_pylist(), strict=True)) for c in ("carried", "weight"))
-        pieces = serve(list(zip(numbers, *[table.column(c).to_pylist() for c in ("row", "start", "length")], strict=True)), window, quantum, told if weights else None, carried)
+        queues = table.column("queue").to_pylist()
+        carried, told = (dict(zip(queues, table.column(c).to_pylist(), strict=True)) for c in ("carried", "weight"))
+        pieces = serve(list(zip(queues, *[table.column(c).to_pylist() for c in ("row", "start", "length")], strict=True)), window, quantum, told if weights else None, carried)
         cols = list(zip(*pieces, strict=True))
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([part * STRIDE + s for s in cols[3]], pa.int64()), pa.array(cols[4], pa.int64())], names=["row", "start", "length", "sequence_id", "offset"])
 

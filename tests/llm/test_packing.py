@@ -63,3 +63,38 @@ def test_accounts_between_partitions():
     shares = [(s, (s, 0), 0, 3000) for s in (0, 1, 2)]
     first = lambda carried: packing.serve(shares, carried=carried)[0][0][0]
     assert (first({0: 0, 1: 5, 2: 3}), first({0: 9, 1: 5, 2: 3}), first(None)) == (1, 0, 0)
+
+
+@pytest.mark.parametrize("sources,docs", [(30, 30), (7, 200), (1, 40)])
+def test_more_partitions_than_tokens_of_a_source(spark, ids, sources, docs):
+    """Small sources go to few partitions whole: no empty pieces, and few of them."""
+    texts = [(i, "word " * (1 + i * 37 % 90), f"s{i % sources}" if i % sources else None) for i in range(docs)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    window = 64
+    got = packing.pack(frame, window=window, quantum=8, partition_tokens=64).collect()
+    have, sequences = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        assert r["length"] > 0
+        have[r["doc_id"]] += r["length"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert have == {i: len(ids(t)) for i, t, _ in texts}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == window or at & (at - 1) == 0
+    # A piece ends where a document, a sequence, a grain or a turn of a quantum ends.
+    tokens = sum(have.values())
+    assert len(got) <= docs + len(sequences) + 2 * tokens // window + tokens // 8
+
+
+def test_grains_even_out_over_partitions(spark):
+    """Every partition gets its share of a large source, and small sources fall on different ones."""
+    texts = [(i, "a b c d e f g " * 8, "large" if i % 4 else f"small{i % 64}") for i in range(1600)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = packing.pack(frame, partition_tokens=8192)
+    per = got.groupBy(F.floor(F.col("sequence_id") / packing.STRIDE).alias("part"), (F.col("source") == "large").alias("large")).agg(F.sum("length").alias("n")).collect()
+    large = [r["n"] for r in per if r["large"]]
+    assert max(large) - min(large) <= 1
+    assert len({r["part"] for r in per if not r["large"]}) >= len(large) // 2
