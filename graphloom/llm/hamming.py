@@ -40,9 +40,12 @@ HIT = "query_id long, code long, least_id long, distance int"
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i of 64 is whether component i is positive; missing, null and NaN components are not."""
+    """Bit i of 64 is whether component i is positive; missing, null and NaN components are not.
+
+    A vector of more components ends the job with an error: a code would stand for its front only."""
     positive = F.transform(vector, lambda x: F.when((x > 0) & ~F.isnan(x), F.lit("1")).otherwise(F.lit("0")))
-    return F.when(vector.isNotNull() & (F.size(vector) > 0), F.conv(F.rpad(F.substring(F.array_join(positive, ""), 1, BITS), BITS, "0"), 2, -10).cast("long"))
+    too_wide = F.raise_error(F.lit(f"vectors of more than {BITS} components")).cast("long")
+    return F.when(F.size(vector) > BITS, too_wide).when(vector.isNotNull() & (F.size(vector) > 0), F.conv(F.rpad(F.substring(F.array_join(positive, ""), 1, BITS), BITS, "0"), 2, -10).cast("long"))
 
 
 def segment_spans(rows: int) -> list[tuple[int, int]]:

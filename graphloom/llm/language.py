@@ -34,6 +34,8 @@ FIT_ROWS = 5000
 FIT_TASKS = 16
 BITS = 16
 SIZES = (1, 2, 3)
+#: Bytes of text whose n-grams are held at a time.
+RUN_BYTES = 1 << 18
 SMOOTHING = 0.5
 #: Margins are multiplied by this before the loss, and the score gap below which a text is ambiguous.
 SHARPNESS = 20.0
@@ -46,21 +48,27 @@ _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 def ngrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, offsets, features) of runs of texts: a row of hashed n-grams per byte.
 
+    A long text comes in several runs of its own, whose rows follow each other.
     A feature 2**BITS stands for an n-gram that would pass the end of its text."""
     data, offsets = buffers(texts)
-    for a, b in chunks(offsets, 1 << 18):
-        lo, hi = int(offsets[a]), int(offsets[b])
-        part = _LOWER[data[lo:hi]].astype(U64)
-        at = offsets[a : b + 1] - lo
-        out = np.full((len(part), len(SIZES)), 1 << BITS, np.int64)
-        left = np.repeat(at[1:], np.diff(at)) - np.arange(len(part))
-        code = np.zeros(len(part), U64)
-        for k, n in enumerate(SIZES):
-            code = (code << U64(8))
-            code[: max(0, len(part) - n + 1)] |= part[n - 1 :]
-            fits = left >= n
-            out[fits, k] = (((code[fits] << U64(2)) | U64(n)) * _MULTIPLIER >> U64(64 - BITS)).astype(np.int64)
-        yield a, b, at, out
+    longest = max(SIZES) - 1
+    for a, b in chunks(offsets, RUN_BYTES):
+        first, end = int(offsets[a]), int(offsets[b])
+        for lo in range(first, max(end, first + 1), RUN_BYTES if b - a == 1 else max(1, end - first)):
+            hi = min(end, lo + RUN_BYTES) if b - a == 1 else end
+            # The n-grams of the last bytes reach into what follows.
+            part = _LOWER[data[lo : min(end, hi + longest)]].astype(U64)
+            at = np.clip(offsets[a : b + 1], lo, hi) - lo
+            n = hi - lo
+            out = np.full((n, len(SIZES)), 1 << BITS, np.int64)
+            left = np.repeat(offsets[a + 1 : b + 1] - lo, np.diff(at)) - np.arange(n)
+            code = np.zeros(len(part), U64)
+            for k, size in enumerate(SIZES):
+                code = (code << U64(8))
+                code[: max(0, len(part) - size + 1)] |= part[size - 1 :]
+                fits = left >= size
+                out[fits, k] = (((code[:n][fits] << U64(2)) | U64(size)) * _MULTIPLIER >> U64(64 - BITS)).astype(np.int64)
+            yield a, b, at, out
 
 
 def codewords(n: int) -> np.ndarray:
@@ -161,13 +169,13 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             n = len(texts)
             pred, score, unsure = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
             if m.langs and n:
-                margins = np.zeros((n, m.code.shape[1]))
+                margins, used = np.zeros((n, m.code.shape[1])), np.zeros(n, np.int64)
                 for a, b, at, features in ngrams(texts):
                     full = np.flatnonzero(np.diff(at))
                     if len(full):
-                        sums = np.add.reduceat(m.weights[features].sum(1, dtype=np.float32), at[full], axis=0)
-                        used = np.add.reduceat((features < 1 << BITS).sum(1), at[full])
-                        margins[a + full] = sums / used[:, None]
+                        margins[a + full] += np.add.reduceat(m.weights[features].sum(1, dtype=np.float32), at[full], axis=0)
+                        used[a + full] += np.add.reduceat((features < 1 << BITS).sum(1), at[full])
+                margins /= np.maximum(used, 1)[:, None]
                 best, top, close = m.decode(margins)
                 for i, text in enumerate(texts.to_pylist()):
                     if text and any(map(str.isalpha, text)):

@@ -121,3 +121,26 @@ def test_quality_by_plain_importance_resampling(spark):
             assert r["kept"] == (keys[i] >= edge)
     tied = spark.createDataFrame([(v,) for v in (3.0, 2.0, 2.0, 2.0, 1.0)], "v double")
     assert quality.kth_largest(tied, "v", 3) == 2.0 and tied.filter(F.col("v") >= 2.0).count() == 4
+
+
+def test_long_texts_come_in_runs(monkeypatch):
+    """The n-grams of a text are the same however it is cut, and no run is longer than the bound."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["ab", None, "é" * 700 + " Fin", "", "xyz", "q" * 2048, "tail"], pa.string())
+
+    def grams(size):
+        monkeypatch.setattr(language, "RUN_BYTES", size)
+        got = {}
+        for a, b, at, features in language.ngrams(texts):
+            assert len(features) <= max(size, 0) or b - a > 1
+            for i in range(a, b):
+                got.setdefault(i, []).extend(features[at[i - a] : at[i - a + 1]].tolist())
+        return got
+
+    whole = grams(1 << 18)
+    assert [len(x) for x in whole.values()] == [2, 0, 1404, 0, 3, 2048, 4]
+    for size in (64, 100, 1403):
+        cut = grams(size)
+        assert {i: cut.get(i, []) for i in whole} == whole

@@ -1,6 +1,7 @@
 """The Hamming search against brute force, its codes, and what it sends."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import hamming
@@ -29,10 +30,12 @@ def test_hot_segments(spark, monkeypatch):
 
 def test_sign_codes(spark):
     nan = float("nan")
-    rows = [(0, None), (1, []), (2, [1.0]), (3, [-1.0, nan, None, 2.0]), (4, [1.0] * 64), (5, [1.0] * 70), (6, [0.0] * 64)]
+    rows = [(0, None), (1, []), (2, [1.0]), (3, [-1.0, nan, None, 2.0]), (4, [1.0] * 64), (6, [0.0] * 64)]
     frame = spark.createDataFrame(rows, "id int, v array<double>")
     got = {r["id"]: r["c"] for r in frame.select("id", hamming.sign_code(F.col("v")).alias("c")).collect()}
-    assert got == {0: None, 1: None, 2: -(2**63), 3: 1 << 60, 4: -1, 5: -1, 6: 0}
+    assert got == {0: None, 1: None, 2: -(2**63), 3: 1 << 60, 4: -1, 6: 0}
+    with pytest.raises(Exception, match="more than 64 components"):
+        spark.createDataFrame([(5, [1.0] * 65)], "id int, v array<double>").select(hamming.sign_code(F.col("v"))).collect()
 
 
 def test_routed_rows_follow_the_queries(spark):
