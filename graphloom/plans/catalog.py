@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import chunk, content_id, norm_key
 from graphloom.operators import chat, graph as G, judge as J, merge as M, retrieve as R
 from graphloom.plans import testbed as B
-from graphloom.session import table
-from graphloom.streaming import sessions as S
+from graphloom.session import shared_folder, table
+from graphloom.streaming import sessions as S, store as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -478,12 +477,57 @@ def session_view_counts(spark, sf_dir):
     return S.view_counts(events, nodes, edges).join(shown, "session_id", "left").join(styled, "session_id", "left").na.fill(0)
 
 
-@query()
+@query(f"WITH {FOLD} SELECT session_id, event_id, revision, current, message, percent, snapshot FROM fold")
 def session_stream_fold(spark, sf_dir):
-    """The streaming twin of session_fold, run to completion over the events file."""
+    """The streaming twin of session_fold, run to completion over the events file into the feed's table."""
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folded = S.stream_folded(B.session_events(spark, sf_dir, stream))
-    name = f"session_stream_{uuid.uuid4().hex[:8]}"
-    run = folded.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("session_id", "event_id", "revision", "current", "message", "percent", "snapshot")
+    at = shared_folder(spark, "session-stream")
+    T.start(B.session_events(spark, sf_dir, stream), f"{at}/feed", f"{at}/checkpoint").awaitTermination()
+    return T.feed(spark, f"{at}/feed").select("session_id", "event_id", "revision", "current", "message", "percent", "snapshot")
+
+
+def _lived(spark, sf_dir) -> str:
+    """A folder with the feed and the state of a stream over sessions' lives, stopped half-way and begun again."""
+    at, events = shared_folder(spark, "session-lives"), B.lifecycle_events(spark, sf_dir)
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    for part in (events.filter(F.col("event_id") <= half), events.filter(F.col("event_id") > half)):
+        part.write.mode("append").parquet(f"{at}/in")
+        T.start(spark.readStream.schema(events.schema).parquet(f"{at}/in"), f"{at}/feed", f"{at}/checkpoint").awaitTermination()
+    return at
+
+
+LIVES = EV.replace("ev AS (", "e0 AS (") + """,
+e1 AS (SELECT * REPLACE (CASE WHEN kind = 'signup' AND event_id % 4 = 0 THEN 'delete' WHEN kind = 'signup' AND event_id % 4 = 1 THEN 'create' ELSE op END AS op) FROM e0),
+e2 AS (SELECT *, lag(op) OVER (PARTITION BY session_id ORDER BY event_id) AS prior,
+    coalesce(sum((op = 'delete')::INT) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM e1),
+e3 AS (SELECT * REPLACE (has_progress AND op = 'update' AS has_progress), min(event_id) OVER (PARTITION BY session_id, life) AS born, prior IS NOT NULL AND prior <> 'delete' AS there FROM e2)"""
+LIVES_FOLD = LIVES + ", ev AS (SELECT * FROM e3 WHERE op NOT IN ('create', 'delete')), " + FOLD.split("FROM events),", 1)[1].replace("PARTITION BY session_id", "PARTITION BY session_id, life")
+
+
+@query(f"""WITH {LIVES_FOLD}
+SELECT session_id, event_id, 'session_update' AS event, born, revision, message, percent, snapshot FROM fold UNION ALL
+SELECT session_id, event_id, 'session_deleted', born, -1, '', 0.0, false FROM e3 WHERE op = 'delete' AND there UNION ALL
+SELECT session_id, event_id, 'session_created', born, 0, '', 0.0, false FROM e3 WHERE op = 'create' AND NOT there""")
+def session_feed(spark, sf_dir):
+    """What followers are told of every session, by a stream that is stopped and begun again."""
+    return T.feed(spark, f"{_lived(spark, sf_dir)}/feed").select("session_id", "event_id", "event", "born", "revision", "message", "percent", "snapshot")
+
+
+@query(f"""WITH {LIVES},
+gone AS (SELECT session_id, max(event_id) AS d FROM e3 WHERE op = 'delete' GROUP BY session_id),
+cut AS (SELECT session_id, max(event_id) AS c FROM e3 WHERE op IN ('delete', 'clear') GROUP BY session_id),
+kept AS (SELECT e3.* FROM e3 LEFT JOIN gone USING (session_id) WHERE d IS NULL OR event_id > d),
+live AS (SELECT kept.* FROM kept LEFT JOIN cut USING (session_id) WHERE op = 'update' AND (c IS NULL OR event_id > c)),
+facts AS (SELECT session_id, event_id, kind AS name, k AS value FROM kept WHERE op IN ('update', 'create') UNION ALL SELECT session_id, event_id, 'even', (event_id % 2 = 0)::VARCHAR FROM kept WHERE op IN ('update', 'create')),
+fact AS (SELECT session_id, name, arg_max(value, event_id) AS value FROM facts GROUP BY session_id, name)
+SELECT session_id, 'session' AS kind, 'revision' AS key, count(*) FILTER (op IN ('update', 'clear'))::VARCHAR AS value FROM kept GROUP BY session_id UNION ALL
+SELECT session_id, 'node', 'p:' || k, '{{"color":{{"background":"#ffd54f","border":"#ff6f00"}},"borderWidth":3,"stage":"' || arg_max(CASE WHEN kind = 'click' THEN 'current' ELSE 'previous' END, event_id) || '"}}' FROM live WHERE has_nodes GROUP BY session_id, k UNION ALL
+SELECT session_id, 'edge', 'c:' || session_id || '|p:' || k || '|RELATED', CASE WHEN max(event_id) = any_value(m) THEN 'current' ELSE 'previous' END FROM (SELECT *, max(event_id) OVER (PARTITION BY session_id) AS m FROM live WHERE has_edges) GROUP BY session_id, k UNION ALL
+SELECT session_id, 'metadata', '', '{{' || string_agg('"' || name || '":' || value, ',' ORDER BY name) || '}}' FROM fact GROUP BY session_id""")
+def session_state(spark, sf_dir):
+    """The sessions, full styles, edges and metadata that the stream's state holds at its end."""
+    at = f"{_lived(spark, sf_dir)}/checkpoint"
+    sessions = T.stored_sessions(spark, at).select("session_id", F.lit("session").alias("kind"), F.lit("revision").alias("key"), F.col("revision").cast("string").alias("value"))
+    nodes = T.stored_nodes(spark, at).select("session_id", F.lit("node"), "id", T.full_style(F.col("style"), T.NODE_STYLE))
+    edges = T.stored_edges(spark, at).select("session_id", F.lit("edge"), F.concat_ws("|", "source", "target", "relation"), "style")
+    return sessions.union(nodes).union(edges).union(T.stored_metadata(spark, at).select("session_id", F.lit("metadata"), F.lit(""), "metadata"))

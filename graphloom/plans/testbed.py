@@ -94,6 +94,17 @@ def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None =
     )
 
 
+def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session updates with sessions created and deleted at some signups, and metadata of numbers and booleans."""
+    events = session_events(spark, sf_dir)
+    kind = F.element_at(F.json_object_keys("metadata"), 1)
+    key = F.call_function("get_json_object", F.col("metadata"), F.concat(F.lit("$."), kind))
+    signup = kind == "signup"
+    op = F.when(signup & (F.col("event_id") % 4 == 0), "delete").when(signup & (F.col("event_id") % 4 == 1), "create").otherwise(F.col("op"))
+    metadata = F.concat(F.lit('{"'), kind, F.lit('": '), key, F.lit(', "even": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}"))
+    return events.withColumns({"op": op, "metadata": metadata}).withColumn("progress", F.when(F.col("op") == "update", F.col("progress")))
+
+
 def verdict_content(doc_id: Column) -> Column:
     """A verdict as a judge may write it: fenced, in lower case, truncated, in numbers or without a block, by the id."""
     w = F.element_at(F.array(F.lit("Answer 1"), F.lit("Answer 2"), F.lit("Tie"), F.lit("2"), F.lit("neither")), (doc_id % 5 + 1).cast("int"))

@@ -1,20 +1,17 @@
-"""Session overlays as folds over update events: in batch by windows, and as a stateful stream.
+"""Session overlays as folds over update events in batch, by windows; ``streaming.store`` keeps them as the state of a stream.
 
-Events: session_id, event_id, op (update, clear, delete), nodes array<struct<id, style>>, edges
+Events: session_id, event_id, op (update, clear, delete; create, see ``streaming.store``), nodes array<struct<id, style>>, edges
 array<struct<source, target, relation, style>>, metadata (JSON), progress struct<current, total,
 message>.  Events of a session are ordered by event_id.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import PropertyGraph, cut, k_hop, labels, view_seeds
+from graphloom.sources.base import members
 
 EVENT_SCHEMA = "session_id string, event_id long, op string, nodes array<struct<id:string,style:string>>, edges array<struct<source:string,target:string,relation:string,style:string>>, metadata string, progress struct<current:int,total:int,message:string>"
 DEFAULT_RELATION = "RELATED"
@@ -83,12 +80,13 @@ def overlay_edges(events: DataFrame) -> DataFrame:
 
 
 def session_metadata(events: DataFrame) -> DataFrame:
-    """session_id, metadata: the union of the updates' keys, later values first; clears keep it."""
+    """session_id, metadata: a JSON object with the keys of all updates in order, values with their types, later ones first; clears keep it."""
     cut = events.filter("op = 'delete'").groupBy("session_id").agg(F.max("event_id").alias("_cut"))
-    rows = events.join(cut, "session_id", "left").filter("op = 'update' and metadata is not null and (_cut is null or event_id > _cut)")
-    each = rows.select("session_id", "event_id", F.explode(F.from_json("metadata", "map<string,string>")).alias("key", "value"))
-    last = each.groupBy("session_id", "key").agg(F.max_by("value", "event_id").alias("value"))
-    return last.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata"))
+    rows = events.join(cut, "session_id", "left").filter("op in ('update', 'create') and metadata is not null and (_cut is null or event_id > _cut)")
+    each = rows.select("session_id", "event_id", F.explode(members(F.col("metadata"))).alias("key", "value"))
+    last = each.groupBy("session_id", "key").agg(F.max_by(F.to_json("value"), "event_id").alias("value"))
+    listed = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("m"))
+    return listed.select("session_id", F.to_json(F.map_from_entries(F.transform("m", lambda e: F.struct(e["key"], F.parse_json(e["value"]))))).alias("metadata"))
 
 
 def styled_edges(edges: DataFrame, nodes: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -205,10 +203,6 @@ def frame_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return added.unionByName(before.select("id").distinct().join(after.select("id"), "id", "left_anti").withColumn("change", F.lit("removed")))
 
 
-STATE = "revision long, current int, total int, message string, percent double, taken boolean"
-OUT = "session_id string, event_id long, revision long, current int, total int, message string, percent double, snapshot boolean"
-
-
 def advance(state: tuple, row: dict) -> tuple[tuple, tuple]:
     """A session's state after an event, and the event's output."""
     revision, current, total, message, percent_, taken = state
@@ -230,26 +224,3 @@ def advance(state: tuple, row: dict) -> tuple[tuple, tuple]:
             snapshot = overlay or abs(percent_ - before) > 1e-9 or not taken
             taken = taken or snapshot
     return (revision, current, total, message, percent_, taken), (revision, current, total, message, percent_, snapshot)
-
-
-def stream_folded(events: DataFrame) -> DataFrame:
-    """``folded`` as a stateful stream keyed by session; within a trigger events go by event_id."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, 0, 0, "", 0.0, False)
-        out = []
-        rows = [json.loads(r) for frame in frames for r in frame["event"]]
-        for row in sorted(rows, key=lambda r: r["event_id"]):
-            row = {"nodes": None, "edges": None, "progress": None, **row}
-            if row["op"] == "delete":
-                now = (0, 0, 0, "", 0.0, False)
-                continue
-            if row["progress"] is not None:
-                row["progress"] = {"current": None, "total": None, "message": None, **row["progress"]}
-            now, shown = advance(tuple(now), row)
-            out.append((key[0], row["event_id"], *shown))
-        state.update(now)
-        yield pd.DataFrame(out, columns=["session_id", "event_id", "revision", "current", "total", "message", "percent", "snapshot"])
-
-    rows = events.select("session_id", F.to_json(F.struct("event_id", "op", "nodes", "edges", "progress")).alias("event"))
-    return rows.groupBy("session_id").applyInPandasWithState(fold, OUT, STATE, "append", "NoTimeout")

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from graphloom.plans import catalog, source_catalog  # noqa: F401
@@ -22,7 +23,7 @@ def duck():
 
 
 def shown(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return "null"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
