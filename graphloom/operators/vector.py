@@ -1,4 +1,4 @@
-"""Exact vector search: every vector is scored, each task keeps its best k per query."""
+"""Exact vector search: blocks of vectors meet blocks of queries, and each pair keeps its best k per query."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from graphloom.functions.text import strip
 
-#: Query vectors scored in one pass over the index.
-QUERY_BLOCK = 1024
+#: Queries of a block and, of these, at a time; numbers in a block of vectors.
+QUERY_BLOCK, QUERY_STEP = 1024, 64
+BLOCK_NUMBERS = 1 << 21
 METRICS = ("cosine", "l2sq", "ip")
 COLUMNS = ("id", "document", "metadata", "embedding", "ord")
 
@@ -29,15 +30,15 @@ def coerced(value: Any) -> list[float] | None:
         return None
 
 
-def _scores(metric: str, vectors: np.ndarray, squares: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Distances; a zero norm counts as 1 for cosine.  ``squares``: the vectors' squared norms."""
+def _distances(metric: str, vectors: np.ndarray, squares: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """A row of distances for each query; a zero norm counts as 1 for cosine.  ``squares``: the vectors' squared norms."""
     if metric == "l2sq":
-        return ((vectors - query) ** 2).sum(1)
-    dot = vectors @ query
+        return np.stack([((vectors - q) ** 2).sum(1) for q in queries])
+    dot = queries @ vectors.T
     if metric == "ip":
         return 1.0 - dot
-    own = np.sqrt(squares)
-    return 1.0 - dot / (np.where(own == 0, 1.0, own) * (np.sqrt((query**2).sum()) or 1.0))
+    norm = lambda s: np.where(s == 0, 1.0, np.sqrt(s))
+    return 1.0 - dot / (norm(squares)[None, :] * norm((queries**2).sum(1))[:, None])
 
 
 class VectorIndex:
@@ -73,7 +74,6 @@ class VectorIndex:
 
         ``queries``: (query_id, vector), or one vector.  ``where``: metadata values that rows must have."""
         spark = self.rows.sparkSession
-        kind = self.rows.schema["id"].dataType
         rows = self.rows
         for key, value in (where or {}).items():
             rows = rows.filter(has_value(F.col("metadata"), key, value))
@@ -81,27 +81,23 @@ class VectorIndex:
             vector = coerced(queries)
             queries = spark.createDataFrame([("", vector)] if vector else [], "query_id string, vector array<double>")
         known = queries.filter("vector is not null and size(vector) > 0").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-        qtype = known.schema["query_id"].dataType
-        hit = T.StructType([T.StructField("query_id", qtype), T.StructField("id", kind), T.StructField("distance", T.DoubleType()), T.StructField("ord", T.LongType())])
-        found = None
-        # The query set is stated by the caller; it goes through in blocks of checked size.
-        block: list = []
-        blocks = []
-        for row in known.toLocalIterator() if top_k > 0 else []:
-            block.append((row["query_id"], np.array(row["vector"])))
-            if len(block) == QUERY_BLOCK:
-                blocks.append(block)
-                block = []
-        if block:
-            blocks.append(block)
-        for part in blocks:
-            best = rows.select("id", "ord", "embedding").filter("embedding is not null").mapInArrow(_nearest(part, self.metric, top_k, hit), hit)
-            found = best if found is None else found.unionByName(best)
-        if found is None:
+        hit = T.StructType([known.schema["query_id"], rows.schema["id"], T.StructField("distance", T.DoubleType()), T.StructField("ord", T.LongType())])
+        asked, widest = known.agg(F.count("*"), F.max(F.size("vector"))).first()
+        if not asked or top_k <= 0:
             found = spark.createDataFrame([], hit)
+        else:
+            # Blocks of bounded size on either side meet once; each pair keeps the best k of its queries.
+            query_blocks = -(-asked // QUERY_BLOCK)
+            row_blocks = max(1, -(-self.rows.count() * widest // BLOCK_NUMBERS))
+            block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+            numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+            left = known.select(block("query_id", query_blocks).alias("q"), numbers(row_blocks).alias("r"), "query_id", "vector")
+            right = rows.filter("embedding is not null").select(numbers(query_blocks).alias("q"), block("ord", row_blocks).alias("r"), "id", "ord", "embedding")
+            found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(_nearest(self.metric, top_k, hit), hit)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ord"))
-        top = found.withColumn("rank", rank).filter(F.col("rank") <= top_k).drop("ord")
-        return top.join(rows.drop("ord"), "id").select("query_id", "id", "document", "metadata", "embedding", "distance", "rank")
+        top = found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+        # Rows may share an id, such as parallel edges in an index of edges; place and id together do not.
+        return top.join(rows, ["id", "ord"]).select("query_id", "id", "document", "metadata", "embedding", "distance", "rank")
 
 
 def has_value(metadata: Column, key: str, value: Any) -> Column:
@@ -120,38 +116,41 @@ def has_value(metadata: Column, key: str, value: Any) -> Column:
     return (kind == "STRING") & (F.try_variant_get(found, "$", "string") == str(value))
 
 
-def _nearest(queries: list, metric: str, k: int, schema: T.StructType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
-        types = [None, None]
-        for batch in batches:
-            ids = batch.column("id")
-            types[0] = ids.type
-            order = batch.column("ord").to_numpy()
-            lists = batch.column("embedding")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                matrix = flat[(starts[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
-                squares = (matrix**2).sum(1)
-                for q, (_, vector) in enumerate(queries):
-                    if len(vector) != dim:
-                        continue
-                    distance = _scores(metric, matrix, squares, vector)
-                    old = best.get(q, (np.zeros(0), np.zeros(0, np.int64), []))
-                    if len(distance) > k:
-                        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-                    else:
-                        near = np.arange(len(distance))
-                    d = np.concatenate([old[0], distance[near]])
-                    o = np.concatenate([old[1], order[at[near]]])
-                    names = old[2] + ids.take(pa.array(at[near])).to_pylist()
-                    keep = np.lexsort((o, d))[:k]
-                    best[q] = (d[keep], o[keep], [names[i] for i in keep])
-        for q, (d, o, names) in best.items():
-            yield pa.record_batch([pa.array([queries[q][0]] * len(d)), pa.array(names, types[0]), pa.array(d), pa.array(o, pa.int64())], names=schema.names)
+def _by_size(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the vectors of each dimension."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        yield at, flat[(starts[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
+
+
+def _nearest(metric: str, k: int, schema: T.StructType):
+    """The best k rows of a block for each query of a block."""
+
+    def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        of, near, away, places = [], [], [], []
+        order = rows.column("ord").to_numpy()
+        matrices = {m.shape[1]: (at, m, (m**2).sum(1)) for at, m in _by_size(rows.column("embedding"))} if rows.num_rows else {}
+        for asked, vectors in _by_size(queries.column("vector")) if queries.num_rows else []:
+            if vectors.shape[1] not in matrices:
+                continue
+            at, matrix, squares = matrices[vectors.shape[1]]
+            for a in range(0, len(asked), QUERY_STEP):
+                distances = _distances(metric, matrix, squares, vectors[a : a + QUERY_STEP])
+                for q, distance in zip(asked[a : a + QUERY_STEP].tolist(), distances, strict=True):
+                    # Equal vectors are equally far, however the product was cut.
+                    told = np.round(distance, 12)
+                    some = np.flatnonzero(told <= np.partition(told, k - 1)[k - 1]) if len(told) > k else np.arange(len(told))
+                    best = some[np.lexsort((order[at[some]], told[some]))[:k]]
+                    of.append(np.full(len(best), q))
+                    near.append(at[best])
+                    away.append(told[best])
+                    places.append(order[at[best]])
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table([queries.column("query_id").take(pa.array(joined(of, np.int64))), rows.column("id").take(pa.array(joined(near, np.int64))), pa.array(joined(away, float)), pa.array(joined(places, np.int64))], names=schema.names)
 
     return run
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import chunk, content_id, norm_key
-from graphloom.operators import chat, graph as G, judge as J, merge as M, retrieve as R
+from graphloom.operators import batch as Q, chat, graph as G, judge as J, merge as M, retrieve as R, textindex as X
 from graphloom.plans import testbed as B
 from graphloom.session import shared_folder, table
 from graphloom.streaming import sessions as S, store as T
@@ -147,6 +147,61 @@ def keyword_topk(spark, sf_dir):
     return R.keyword_seeds(docs, WORDS, 20).select("pos", "id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH asked AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS words FROM conversations WHERE role = 'user' AND conv_id % 100 = 0),
+word AS (SELECT query_id, w, count(*) AS times FROM (SELECT query_id, unnest(words) AS w FROM asked) GROUP BY query_id, w),
+hit AS (SELECT query_id, doc_id, sum(times) AS hits FROM word JOIN documents ON contains(lower(doc_id::VARCHAR || ' ' || coalesce(text, '')), w) GROUP BY query_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS r FROM hit)
+SELECT query_id, (r - 1)::INTEGER AS pos, doc_id::VARCHAR AS id, round(hits / len(words), 6) AS score FROM ranked JOIN asked USING (query_id) WHERE r <= 20""")
+def keyword_topk_batch(spark, sf_dir):
+    """The users' turns of the conversations whose id is divisible by 100, as queries over all documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("ord"))
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 100 = 0")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return X.TrigramIndex.build(docs).search(asked, 20).select("query_id", "pos", "id", F.round("score", 6).alias("score"))
+
+
+def _asked(spark, sf_dir):
+    return B.query_set(spark, sf_dir).select("query_id", F.concat(F.lit("query "), "query_id").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
+
+
+BATCH_HITS = VG.replace("WHERE vec_id = 7", "WHERE vec_id % 100 = 0").rsplit("hits AS", 1)[0] + f"""
+hits AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round({COS}, 12), vec_id) - 1 AS pos FROM vn, q),
+seed AS (SELECT * FROM hits WHERE pos < 5),
+told AS (SELECT id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM vn WHERE text IS NOT NULL),
+placed AS (SELECT query_id, id, min(k) AS k FROM (
+  SELECT query_id, id, [0, pos, 0] AS k FROM seed UNION ALL SELECT query_id, target, [1, pos, edge_idx] FROM seed JOIN ve ON ve.source = seed.id) GROUP BY query_id, id),
+hop AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY k) - 1 AS pos, '[' || id || '] ' || text AS chunk FROM placed JOIN told USING (id) WHERE text <> ''),
+near AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS pos, '[' || id || '] ' || text AS chunk FROM seed JOIN told USING (id) WHERE text <> '')"""
+
+
+@query(f"WITH {BATCH_HITS} SELECT query_id, pos::INTEGER AS pos, chunk FROM hop WHERE pos < 10")
+def retrieve_batch(spark, sf_dir):
+    """One-hop contexts of all queries, those whose id is divisible by 100, in one plan."""
+    got = Q.retrieved(B.vector_graph(spark, sf_dir), _asked(spark, sf_dir), "one-hop", top_k=5)
+    return got.select("query_id", F.posexplode("chunks").alias("pos", "chunk"))
+
+
+@query(f"""WITH {BATCH_HITS},
+said AS (SELECT 'one-hop' AS retriever, query_id, string_agg(chunk, chr(10) ORDER BY pos) AS outputs FROM hop WHERE pos < 10 GROUP BY query_id UNION ALL
+  SELECT 'vector', query_id, string_agg(chunk, chr(10) ORDER BY pos) FROM near GROUP BY query_id UNION ALL
+  SELECT 'hybrid', query_id, 'ERROR: NotImplementedError: hybrid retrieval is not defined' FROM q),
+methods AS (SELECT unnest(['one-hop', 'vector', 'hybrid']) AS retriever)
+SELECT 'vectors' AS graph, retriever, query_id, md5(coalesce(outputs, 'No retrieval context was found.')) AS outputs FROM q CROSS JOIN methods LEFT JOIN said USING (retriever, query_id)""")
+def experiment_matrix(spark, sf_dir):
+    """Graphs by retrievers by queries in one plan; what fails is an output."""
+    got = Q.experiment({"vectors": B.vector_graph(spark, sf_dir)}, ["one-hop", "vector", "hybrid"], _asked(spark, sf_dir), top_k=5)
+    return got.select("graph", "retriever", "query_id", F.md5("outputs").alias("outputs"))
+
+
+@query()
+def collect_batch(spark, sf_dir):
+    """Collection in rounds for all queries at once; tests hold it against one query at a time in plain Python."""
+    graph, asked = B.vector_graph(spark, sf_dir), _asked(spark, sf_dir)
+    hits = graph.search("node_vector", asked.select("query_id", "vector"), 30).select("query_id", (F.col("rank") - 1).alias("pos"), "id", F.col("document").alias("text"))
+    got = Q.collect(graph, asked, G.cut(hits))
+    return got.select("query_id", "place", "id", "origin", F.round("score", 6).alias("score"), F.round("gs_score", 6).alias("gs_score"))
+
+
 def _one_hop(spark, sf_dir):
     return R.OneHopRetriever().retrieve(B.vector_graph(spark, sf_dir), WORDS, vector=B.query_vector(spark, sf_dir), top_k=5)
 
@@ -256,8 +311,10 @@ def collect_round1(spark, sf_dir):
 @query()
 def collect_final(spark, sf_dir):
     graph = B.vector_graph(spark, sf_dir)
-    found = R.CollectingRetriever().retrieve(graph, WORDS, vector=B.query_vector(spark, sf_dir), diving_top_k=30)
-    return found.nodes.select("place", "id", "origin", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
+    asked = B.query_vectors(spark, sf_dir, 8).filter("query_id = 7").select("query_id", F.lit(WORDS).alias("query"), "vector")
+    hits = graph.search("node_vector", asked.select("query_id", "vector"), 30).select("query_id", (F.col("rank") - 1).alias("pos"), "id", F.col("document").alias("text"))
+    found = Q.collect(graph, asked, G.cut(hits)).filter("place < 10")
+    return found.select("place", "id", "origin", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
 
 
 @query(f"""WITH {TOP10}, f AS (SELECT got.id, unnest(range(len(e))) AS dim, unnest(e) AS x FROM got JOIN vn ON got.id = vn.id),

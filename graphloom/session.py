@@ -52,3 +52,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``; any path Spark itself can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bucketed_table(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written to the shared folder with the rows of a key together in a bucket: work by that key moves none of them."""
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    name = f"graphloom_{path.rpartition('/')[2].replace('-', '_')}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.mode("overwrite").bucketBy(buckets, key).option("path", f"{path}/table").format("parquet").saveAsTable(name)
+    return spark.table(name)
