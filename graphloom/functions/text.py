@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's str methods see it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -58,11 +59,26 @@ def ordered_distinct(items: Column) -> Column:
     return F.array_distinct(F.transform(items, lambda x: x.cast("string")))
 
 
-def nan_to_null(column: Column, kind: str = "double") -> Column:
-    """Null for NaN, also inside arrays of numbers."""
-    if kind.startswith("array"):
-        return F.transform(column, lambda x: F.when(~F.isnan(x), x))
-    return F.when(~F.isnan(column), column)
+#: A NaN outside of strings: what follows it is balanced.
+BARE_NAN = r'\bNaN\b(?=(?:[^"\\]|\\.|"(?:[^"\\]|\\.)*")*$)'
+
+
+def nan_to_null(column: Column, kind: T.DataType) -> Column:
+    """Null for every NaN in a number, and in the numbers of arrays, maps and structs."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(column), column)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: nan_to_null(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, x: nan_to_null(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[nan_to_null(column[f.name], f.dataType).alias(f.name) for f in kind]))
+    return column
+
+
+def json_nan_to_null(record: Column) -> Column:
+    """JSON text whose bare NaN are null; text without any stays as it is."""
+    return F.when(F.contains(record, F.lit("NaN")), F.regexp_replace(record, BARE_NAN, "null")).otherwise(record)
 
 
 def prettified(path: str) -> str:

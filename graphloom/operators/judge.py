@@ -59,12 +59,12 @@ def directed(value: Column, reverse: Column) -> Column:
 def request_pairs(left: DataFrame, right: DataFrame, limit: int = -1) -> DataFrame:
     """Forward and reverse judge requests of two answer tables (query, answer, ord), joined on the query.
 
-    The order is that of the smaller table, of equals the left one's; ``limit`` counts queries."""
+    The order is that of the smaller table, of equals the left one's; ``limit`` counts queries, if it is more than 0."""
     n_left, n_right = left.count(), right.count()
     order = F.col("l.ord") if n_left <= n_right else F.col("r.ord")
     joined = left.alias("l").join(right.alias("r"), F.col("l.query") == F.col("r.query")).select(F.col("l.query").alias("query"), F.col("l.answer").alias("answer_l"), F.col("r.answer").alias("answer_r"), order.alias("ord"))
     numbered = joined.withColumn("n", F.row_number().over(Window.orderBy("ord")))
-    if limit >= 0:
+    if limit > 0:
         numbered = numbered.filter(F.col("n") <= limit)
     sides = F.explode(F.array(F.lit("for"), F.lit("rev"))).alias("direction")
     both = numbered.select("n", "query", "answer_l", "answer_r", sides)

@@ -15,6 +15,7 @@ from graphloom.functions.text import chunk, first_line, ordered_distinct, strip
 from graphloom.operators.graph import PropertyGraph, degrees, out_neighbors
 from graphloom.operators.vector import coerced
 
+#: Fixed value: what stands for an empty context.
 NO_CONTEXT = "No retrieval context was found."
 
 

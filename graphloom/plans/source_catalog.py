@@ -65,7 +65,7 @@ def source_component(spark, sf_dir):
     return shown(read_graph(spark, "component_graph", path))
 
 
-@query("""SELECT 'node' AS part, 'n:' || n_nationkey AS id, 'Nation' AS a, n_name AS b, NULL::DOUBLE AS weight, '{"area":' || n_regionkey || '}' AS metadata, n_nationkey::DOUBLE AS v FROM nation UNION ALL
+@query("""SELECT 'node' AS part, 'n:' || n_nationkey AS id, 'Nation' AS a, n_name AS b, NULL::DOUBLE AS weight, '{"type":"Nation","area":' || n_regionkey || '}' AS metadata, n_nationkey::DOUBLE AS v FROM nation UNION ALL
 SELECT 'node', 'r:' || r_regionkey, 'Entity', NULL, NULL, '{}', NULL FROM region UNION ALL
 SELECT 'edge', 'n:' || n_nationkey, 'RELATED', 'r:' || n_regionkey, 2.0, '{}', NULL FROM nation""")
 def source_attribute_bundle(spark, sf_dir):
@@ -201,6 +201,34 @@ def native_roundtrip(spark, sf_dir):
     return shown(read_graph(spark, "native", f"{path}/g"))
 
 
+@query("""SELECT 'edge' AS part, 'o:' || l_orderkey AS id, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS weight, CASE WHEN l_linenumber = 2 THEN '{"k":null,"t":"a NaN, NaN"}' ELSE '{"k":1}' END AS metadata, NULL AS v FROM lineitem UNION ALL
+SELECT 'node', 'c:' || c_custkey, NULL, '{"b":' || CASE WHEN c_nationkey = 3 THEN 'null' ELSE c_nationkey || '.0' END || '}', '[' || CASE WHEN c_nationkey = 3 THEN 'null' ELSE c_nationkey || '.0' END || ',1.0]' FROM customer""")
+def native_nan(spark, sf_dir):
+    """NaN in weights, vectors, and metadata as text and as structs, is null once read."""
+    path = folder(spark)
+    nan = F.lit(float("nan"))
+    own = F.when(F.col("c_nationkey") == 3, nan).otherwise(F.col("c_nationkey").cast("double"))
+    table(spark, sf_dir, "customer").select(text("c:", "c_custkey").alias("id"), F.lit("Customer").alias("type"), F.lit(None).cast("string").alias("text"), F.array(own, F.lit(1.0)).alias("embedding"), F.struct(own.alias("b")).alias("metadata")).write.parquet(f"{path}/g_nodes.parquet")
+    second = F.col("l_linenumber") == 2
+    table(spark, sf_dir, "lineitem").select(text("o:", "l_orderkey").alias("source"), text("p:", "l_partkey").alias("target"), F.lit("r").alias("relation"), F.when(second, nan).otherwise(F.col("l_quantity")).alias("weight"), F.when(second, F.lit('{"k":NaN,"t":"a NaN, NaN"}')).otherwise(F.lit('{"k":1}')).alias("metadata")).write.parquet(f"{path}/g_edges.parquet")
+    graph = read_graph(spark, "native", f"{path}/g")
+    nodes = graph.nodes.filter("type = 'Customer'").select(F.lit("node").alias("part"), "id", F.lit(None).cast("double").alias("weight"), "metadata", F.to_json(F.col("embedding").cast("array<double>")).alias("v"))
+    return nodes.unionByName(graph.edges.select(F.lit("edge").alias("part"), F.col("source").alias("id"), "weight", "metadata", F.lit(None).cast("string").alias("v")))
+
+
+@query("""SELECT 'n:' || n_nationkey AS text, 'flat' AS graph_ids, n_nationkey::VARCHAR AS original FROM nation UNION ALL SELECT 'c:' || c_custkey, 'flat', (1000 + c_custkey)::VARCHAR FROM customer""")
+def source_flat_csv(spark, sf_dir):
+    """Just nodes.csv and edges.csv: one graph, named by its folder."""
+    path = f"{folder(spark)}/flat"
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    nodes = n.select(F.col("n_nationkey").cast("string").alias("node_id"), text("n:", "n_nationkey").alias("node_attr")).union(c.select((F.col("c_custkey") + 1000).cast("string"), text("c:", "c_custkey")))
+    nodes.write.option("header", True).csv(f"{path}/nodes.csv")
+    c.select((F.col("c_custkey") + 1000).cast("string").alias("src"), F.lit("in").alias("edge_attr"), F.col("c_nationkey").cast("string").alias("dst")).write.option("header", True).csv(f"{path}/edges.csv")
+    read = read_graph(spark, "subgraph_union_graph", path).nodes
+    own = lambda k: F.get(F.from_json(F.get_json_object("metadata", f"$.{k}"), "array<string>"), F.lit(0))
+    return read.select("text", own("graph_ids").alias("graph_ids"), own("original_node_ids").alias("original"))
+
+
 @query(f"WITH {KG_EDGES} SELECT source, target, relation, weight FROM ke")
 def export_jsonl_roundtrip(spark, sf_dir):
     """Edges exported as JSON lines and read back from the files."""
@@ -210,15 +238,51 @@ def export_jsonl_roundtrip(spark, sf_dir):
     return lines.select(F.from_json("value", "source string, target string, relation string, weight string").alias("e")).select("e.source", "e.target", "e.relation", F.col("e.weight").cast("double").alias("weight"))
 
 
-@query("""SELECT 'judge-' || lpad(doc_id::VARCHAR, 6, '0') || '-for' AS custom_id, 'POST' AS method, 'm' AS model, contains(text, 'x') AS has_x FROM documents""")
+@query("""WITH d AS (SELECT doc_id, direction, coalesce(text, '') AS own, 'about ' || doc_id AS other FROM documents, (SELECT unnest(['for', 'rev']) AS direction))
+SELECT 'judge-' || lpad(doc_id::VARCHAR, 6, '0') || '-' || direction AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url, 'm' AS model, 'json_object' AS response_format, 'system' AS role0, 'user' AS role1,
+ md5('---Role---
+You are an expert tasked with evaluating two answers to the same question based on three criteria: **Comprehensiveness, Diversity, and Empowerment**.
+
+---Goal---
+Evaluate two answers based on:
+- **Comprehensiveness**: Detail covering all aspects.
+- **Diversity**: Variety of perspectives.
+- **Empowerment**: Helping the reader make informed judgments.
+
+For each criterion, choose the better answer (Answer 1 or Answer 2) and explain why. Then, select an overall winner.') AS system_md5,
+ md5('
+Here is the question: q ' || doc_id || '
+
+Here are the two answers:
+**Answer 1**: ' || CASE direction WHEN 'for' THEN own ELSE other END || '
+**Answer 2**: ' || CASE direction WHEN 'for' THEN other ELSE own END || '
+
+Evaluate both answers. Output your evaluation in the following **JSON format**:
+{
+  "Comprehensiveness": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." },
+  "Diversity": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." },
+  "Empowerment": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." },
+  "Overall Winner": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." }
+}
+') AS user_md5,
+ 'a_vs_b' AS pair_id, 'q ' || doc_id AS query, CASE direction WHEN 'for' THEN 'forward' ELSE 'reverse' END AS direction,
+ CASE direction WHEN 'for' THEN 'g_a.jsonl' ELSE 'g_b.jsonl' END AS answer_a_file, CASE direction WHEN 'for' THEN 'g_b.jsonl' ELSE 'g_a.jsonl' END AS answer_b_file,
+ CASE direction WHEN 'for' THEN 'g_a' ELSE 'g_b' END AS model_a, CASE direction WHEN 'for' THEN 'g_b' ELSE 'g_a' END AS model_b FROM d""")
 def judge_batch_roundtrip(spark, sf_dir):
-    """Judge requests written as a batch file and read back."""
+    """Judge requests and their metadata written as files and read back, field by field."""
     path = folder(spark)
-    d = table(spark, sf_dir, "documents").select(F.format_string("judge-%06d-for", "doc_id").alias("custom_id"), F.lit("q").alias("query"), F.col("text").alias("answer_a"), F.lit("").alias("answer_b"))
-    sinks.write_batch(d, path, "m")
-    got = spark.read.text(path).select("value", F.get_json_object("value", "$.body.messages[0].content").alias("content"))
-    answer = F.substring_index(F.substring_index("content", "\nAnswer 1: ", -1), "\nAnswer 2: ", 1)
-    return got.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.get_json_object("value", "$.method").alias("method"), F.get_json_object("value", "$.body.model").alias("model"), F.contains(answer, F.lit("x")).alias("has_x"))
+    sides = F.explode(F.array(F.lit("for"), F.lit("rev"))).alias("direction")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("own"), text("about ", "doc_id").alias("other"), sides)
+    first = F.col("direction") == "for"
+    requests = d.select(F.format_string("judge-%06d-%s", "doc_id", "direction").alias("custom_id"), text("q ", "doc_id").alias("query"), "direction", F.when(first, F.col("own")).otherwise(F.col("other")).alias("answer_a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("answer_b"))
+    sinks.write_batch(requests, f"{path}/batch", "m")
+    sinks.write_request_metadata(requests, "a_vs_b", "out/g_a.jsonl", "out/g_b.jsonl", f"{path}/metadata")
+    body = "body struct<model:string,messages:array<struct<role:string,content:string>>,response_format:struct<type:string>>"
+    got = spark.read.text(f"{path}/batch").select(F.from_json("value", f"custom_id string, method string, url string, {body}").alias("r"))
+    content = lambda i: F.md5(F.col("r.body.messages")[i]["content"])
+    role = lambda i: F.col("r.body.messages")[i]["role"]
+    sent = got.select("r.custom_id", "r.method", "r.url", "r.body.model", F.col("r.body.response_format.type").alias("response_format"), role(0).alias("role0"), role(1).alias("role1"), content(0).alias("system_md5"), content(1).alias("user_md5"))
+    return sent.join(files.request_metadata(spark, f"{path}/metadata"), "custom_id")
 
 
 @query("""SELECT 'p' AS pair_id, CASE WHEN doc_id % 4 = 1 THEN 2 WHEN doc_id % 4 = 2 THEN 0 ELSE 1 END AS winner, count(*) AS n FROM documents WHERE doc_id % 4 <> 3 GROUP BY ALL""")

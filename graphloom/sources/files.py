@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +43,13 @@ def judge_results(spark: SparkSession, pair_id: str, path: str) -> DataFrame:
     return rows.select(F.lit(pair_id).alias("pair_id"), F.get_json_object("value", "$.custom_id").alias("custom_id"), F.get_json_object("value", "$.response.body.choices[0].message.content").alias("content"))
 
 
-def request_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """pair_id, custom_id, query, direction of a request metadata file."""
-    data = json.loads(Path(path).read_text())
-    rows = [(data.get("pair_id"), k, v.get("query"), v.get("direction")) for k, v in data.get("requests", {}).items()]
-    return spark.createDataFrame(rows, "pair_id string, custom_id string, query string, direction string")
+REQUEST = "custom_id string, pair_id string, query string, direction string, answer_a_file string, answer_b_file string, model_a string, model_b string"
+
+
+def request_metadata(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """custom_id, pair_id, query, direction, answer files and models of request metadata: lines, or with ``document`` one JSON document of all requests."""
+    if not document:
+        return lines(spark, path).select(F.from_json("value", REQUEST).alias("r")).filter("r.custom_id is not null").select("r.*")
+    fields = REQUEST.split(", ", 2)[2]
+    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"pair_id string, requests map<string, struct<{fields.replace(' string', ':string')}>>").alias("d"))
+    return whole.select("d.pair_id", F.explode("d.requests").alias("custom_id", "r")).select("custom_id", "pair_id", "r.*")

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import content_id, first_present, float_or, norm_key, present, strip
+from graphloom.functions.text import json_nan_to_null, nan_to_null, content_id, first_present, float_or, norm_key, present, strip
 from graphloom.operators import merge as M
 from graphloom.operators.graph import PropertyGraph, canonical_format, first_wins, last_wins
 from graphloom.operators.vector import VectorIndex, edge_documents
@@ -32,7 +32,7 @@ def manifest(source) -> dict:
 
 
 class NativeSource(GraphSource):
-    """``{path}_nodes.parquet`` and ``{path}_edges.parquet`` with all columns of both."""
+    """``{path}_nodes.parquet`` and ``{path}_edges.parquet`` with all columns of both; NaN in them is null."""
 
     name = "native"
 
@@ -47,7 +47,9 @@ class NativeSource(GraphSource):
             nodes = nodes.withColumn("text", F.lit(None).cast("string"))
         if "ord" not in nodes.columns:
             nodes = nodes.withColumn("ord", F.monotonically_increasing_id())
-        nodes, edges = (f.withColumn("metadata", F.to_json("metadata")) if "metadata" in f.columns and f.schema["metadata"].dataType.typeName() in ("struct", "map") else f for f in (nodes, edges))
+        nodes, edges = (f.select(*[nan_to_null(F.col(c.name), c.dataType).alias(c.name) for c in f.schema]) for f in (nodes, edges))
+        nodes, edges = (f.withColumn("metadata", json_nan_to_null(F.col("metadata"))) if "metadata" in f.columns and f.schema["metadata"].dataType.typeName() == "string" else f for f in (nodes, edges))
+        nodes, edges = (f.withColumn("metadata", F.to_json("metadata", {"ignoreNullFields": "false"})) if "metadata" in f.columns and f.schema["metadata"].dataType.typeName() in ("struct", "map") else f for f in (nodes, edges))
         return graph(last_wins(nodes, "id", "ord"), edges)
 
 
@@ -106,7 +108,7 @@ class AttributeBundleSource(GraphSource):
         """``key_by_name``: nodes are keyed by entity_name, which is what the edges refer to."""
         rows = self.records(spark, f"{source}/vdb_entities.json", load_embeddings)
         keys = ("entity_name", "id", "__id__") if key_by_name else ("id", "__id__")
-        known = ("id", "__id__", "content", "type", "__vector__", "embedding", "vector")
+        known = ("id", "__id__", "content", "__vector__", "embedding", "vector")
         nodes = rows.select(field("value", *keys).alias("id"), F.coalesce(field("value", "type"), F.lit("Entity")).alias("type"), F.get_json_object("value", "$.content").alias("text"), F.col("vector").alias("embedding"), other_fields(F.col("value"), known).alias("metadata"), "ord").filter("id is not null")
         nodes = last_wins(nodes, "id", "ord")
         links = self.records(spark, f"{source}/vdb_relationships.json", load_embeddings)
@@ -260,22 +262,26 @@ class OpenExtractionSource(GraphSource):
 
 
 class SubgraphUnionSource(GraphSource):
-    """One CSV of nodes and one of edges per graph, merged; vectors from ``embeddings.parquet`` by row."""
+    """One CSV of nodes and one of edges per graph, merged, or just ``nodes.csv`` and ``edges.csv``; vectors from ``embeddings.parquet`` by row.
+
+    The flat files are one graph, whose id is the folder's name (``graph_id`` names another)."""
 
     name = "subgraph_union_graph"
 
     def can_read(self, source):
-        return exists(source, "nodes", "edges")
+        return exists(source, "nodes", "edges") or exists(source, "nodes.csv", "edges.csv")
 
     @staticmethod
     def table(spark: SparkSession, path: str, graph_id: str | None) -> DataFrame:
         """All columns as text, gid (the file's stem), row_idx (the row's place in its file) and ord."""
-        where = f"{path}/{graph_id}.csv" if graph_id else path
+        flat = "://" not in path and not Path(path).exists() and Path(f"{path}.csv").exists()
+        where = f"{path}.csv" if flat else f"{path}/{graph_id}.csv" if graph_id else path
         raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True).csv(where)
         named = raw.select("*", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_i"))
         # A multi-line file is read by one task, so its rows are numbered without gaps.
         first = named.groupBy("_f").agg(F.min("_i").alias("_o"))
-        placed = named.join(first, "_f").withColumns({"gid": F.regexp_extract("_f", r"([^/]+)\.csv(/[^/]+)?$", 1), "row_idx": F.col("_i") - F.col("_o")}).drop("_o")
+        gid = F.lit(graph_id or Path(path).parent.name) if flat else F.regexp_extract("_f", r"([^/]+)\.csv(/[^/]+)?$", 1)
+        placed = named.join(first, "_f").withColumns({"gid": gid, "row_idx": F.col("_i") - F.col("_o")}).drop("_o")
         return numbered(placed, ["_f", "_i"])
 
     def read(self, spark, source, *, keep_source_reference=False, graph_id=None, **options):

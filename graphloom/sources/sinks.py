@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import judge as J
 from graphloom.operators.graph import PropertyGraph
 from graphloom.sources.base import merged_json
 
@@ -55,13 +55,59 @@ def write_outputs(outputs: DataFrame, path: str) -> None:
     outputs.write.mode("overwrite").partitionBy("graph", "retriever").json(path)
 
 
+#: What a judge is told, and the layout of its answer.
+JUDGE_SYSTEM = """---Role---
+You are an expert tasked with evaluating two answers to the same question based on three criteria: **Comprehensiveness, Diversity, and Empowerment**.
+
+---Goal---
+Evaluate two answers based on:
+- **Comprehensiveness**: Detail covering all aspects.
+- **Diversity**: Variety of perspectives.
+- **Empowerment**: Helping the reader make informed judgments.
+
+For each criterion, choose the better answer (Answer 1 or Answer 2) and explain why. Then, select an overall winner."""
+JUDGE_USER = """
+Here is the question: {query}
+
+Here are the two answers:
+**Answer 1**: {answer_a}
+**Answer 2**: {answer_b}
+
+Evaluate both answers. Output your evaluation in the following **JSON format**:
+{
+  "Comprehensiveness": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." },
+  "Diversity": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." },
+  "Empowerment": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." },
+  "Overall Winner": { "Winner": "[Answer 1 or Answer 2]", "Explanation": "..." }
+}
+"""
+
+
+def judge_prompt() -> Column:
+    """The user's message of rows with query, answer_a and answer_b."""
+    parts = re.split(r"\{(query|answer_a|answer_b)\}", JUDGE_USER)
+    return F.concat(*[F.coalesce(F.col(x), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
 def write_batch(requests: DataFrame, path: str, model: str) -> None:
-    """Judge requests as lines of a batch file."""
-    text = F.concat(F.lit("Compare two answers to the question by "), F.lit(", ".join(J.CRITERIA)), F.lit('. Reply in JSON with a Winner of "Answer 1" or "Answer 2" for each.\nQuestion: '), "query", F.lit("\nAnswer 1: "), "answer_a", F.lit("\nAnswer 2: "), "answer_b")
-    body = F.struct(F.lit(model).alias("model"), F.array(F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages"))
+    """Judge requests (custom_id, query, answer_a, answer_b) as lines of a batch file."""
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(said("system", F.lit(JUDGE_SYSTEM)), said("user", judge_prompt()))
+    body = F.struct(F.lit(model).alias("model"), messages.alias("messages"), F.struct(F.lit("json_object").alias("type")).alias("response_format"))
     requests.orderBy("custom_id").select(F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_request_metadata(requests: DataFrame, pair_id: str, left: str, right: str, path: str) -> None:
+    """What a judge's results do not say, as lines by custom_id: pair_id, query, direction, and the files and models of both answers.
+
+    ``left`` and ``right``: the answer files; forward requests have the left one's answer first."""
+    forward = F.col("direction").isin("for", "forward")
+    side = lambda one, other: F.when(forward, F.lit(one)).otherwise(F.lit(other))
+    stem = lambda name: Path(name).stem
+    row = F.struct("custom_id", F.lit(pair_id).alias("pair_id"), "query", F.when(forward, "forward").otherwise("reverse").alias("direction"), side(Path(left).name, Path(right).name).alias("answer_a_file"), side(Path(right).name, Path(left).name).alias("answer_b_file"), side(stem(left), stem(right)).alias("model_a"), side(stem(right), stem(left)).alias("model_b"))
+    requests.orderBy("custom_id").select(F.to_json(row).alias("value")).write.mode("overwrite").text(path)
+
+
 def upsert_vectors(old: DataFrame | None, rows: DataFrame, path: str) -> None:
     """Vectors by id, the last of each kept, over an old table if there is one, written to ``path``."""
     last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "ord").alias("v")).select("id", "v.*")

@@ -127,3 +127,29 @@ def test_files(spark, tmp_path):
         files.answer_files(str(tmp_path))
     lines(tmp_path / "r.jsonl", ["broken", {"custom_id": "judge-000000-for", "response": {"body": {"choices": [{"message": {"content": "c"}}]}}}])
     assert files.judge_results(spark, "p", str(tmp_path / "r.jsonl")).first()["content"] == "c"
+
+
+def test_nan_is_null_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions.text import json_nan_to_null, nan_to_null
+
+    nan = float("nan")
+    frame = spark.createDataFrame([(nan, [1.0, nan], {"a": nan}, (nan, [{"x": nan}]), "s"), (None, None, None, None, None)], "d double, l array<double>, m map<string,double>, s struct<a:double,b:array<map<string,double>>>, t string")
+    got = frame.select(*[nan_to_null(F.col(f.name), f.dataType).alias(f.name) for f in frame.schema]).collect()
+    assert got[0].asDict(True) == {"d": None, "l": [1.0, None], "m": {"a": None}, "s": {"a": None, "b": [{"x": None}]}, "t": "s"}
+    assert got[1].asDict(True) == {"d": None, "l": None, "m": None, "s": None, "t": None}
+    texts = ['{"k":NaN,"t":"NaN \\\\" NaN","l":[NaN, 1]}', '{"NaN":1}', "[NaN]", '"NaN"', None]
+    fixed = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(json_nan_to_null(F.col("t"))).collect()]
+    assert fixed == ['{"k":null,"t":"NaN \\\\" NaN","l":[null, 1]}', '{"NaN":1}', "[null]", '"NaN"', None]
+
+
+def test_request_metadata_as_one_document(spark, tmp_path):
+    import json
+
+    from graphloom.sources import files
+
+    one = {"query": "q", "direction": "reverse", "answer_a_file": "g_b.jsonl", "answer_b_file": "g_a.jsonl", "model_a": "g_b", "model_b": "g_a"}
+    (tmp_path / "m.json").write_text(json.dumps({"pair_id": "p", "requests": {"judge-000000-rev": one}}, indent=2))
+    got = files.request_metadata(spark, str(tmp_path / "m.json"), document=True).first().asDict()
+    assert got == {"custom_id": "judge-000000-rev", "pair_id": "p", **one}
