@@ -97,14 +97,3 @@ def win_rates(rows: DataFrame) -> DataFrame:
     totals = rows.groupingSets([["pair_id", "criterion"], ["criterion"]], "pair_id", "criterion").agg(F.count_if(w == 1).alias("answer1"), F.count_if(w == 2).alias("answer2"), F.count_if(w == 0).alias("tie"), F.count_if(w.isNull()).alias("invalid"), F.count("*").alias("total"))
     valid = F.col("total") - F.col("invalid")
     return totals.select("pair_id", "criterion", "answer1", "answer2", "tie", "invalid", "total", valid.alias("valid"), *[percent(F.col(c), valid).alias(f"{c}_pct") for c in ("answer1", "answer2", "tie")])
-
-
-def ledger_merged(ledger: DataFrame, updates: DataFrame) -> DataFrame:
-    """The batch ledger with ``updates`` in place of entries of the same batch_id."""
-    return ledger.join(updates.select("batch_id"), "batch_id", "left_anti").unionByName(updates, allowMissingColumns=True)
-
-
-def to_download(ledger: DataFrame, present: DataFrame, force: bool = False) -> DataFrame:
-    """Completed batches, once each, whose output file (name) is not there yet; all of them with ``force``."""
-    done = ledger.filter("status = 'completed'").dropDuplicates(["batch_id"])
-    return done if force else done.join(present.select(F.col("name").alias("final_outputs_path")), "final_outputs_path", "left_anti")

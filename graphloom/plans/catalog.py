@@ -11,7 +11,7 @@ from graphloom.functions.text import chunk, content_id, norm_key
 from graphloom.operators import batch as Q, chat, graph as G, judge as J, merge as M, retrieve as R, textindex as X
 from graphloom.plans import testbed as B
 from graphloom.session import shared_folder, table
-from graphloom.streaming import sessions as S, store as T
+from graphloom.streaming import history as H, sessions as S, store as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -588,3 +588,36 @@ def session_state(spark, sf_dir):
     nodes = T.stored_nodes(spark, at).select("session_id", F.lit("node"), "id", T.full_style(F.col("style"), T.NODE_STYLE))
     edges = T.stored_edges(spark, at).select("session_id", F.lit("edge"), F.concat_ws("|", "source", "target", "relation"), "style")
     return sessions.union(nodes).union(edges).union(T.stored_metadata(spark, at).select("session_id", F.lit("metadata"), F.lit(""), "metadata"))
+
+
+SEEK = FOLD + """,
+req AS (SELECT session_id, revision AS r FROM fold WHERE revision % 7 = 0),
+upto AS (SELECT q.r, f.* FROM req q JOIN fold f ON q.session_id = f.session_id AND f.revision <= q.r),
+cl AS (SELECT session_id, r, max(revision) AS c FROM upto WHERE op = 'clear' GROUP BY session_id, r),
+lv AS (SELECT upto.* FROM upto LEFT JOIN cl USING (session_id, r) WHERE op = 'update' AND (c IS NULL OR revision > c)),
+fr AS (SELECT 'node' AS kind, session_id, r AS revision, 'p:' || k AS key, arg_max(CASE WHEN kind = 'click' THEN 'current' ELSE 'previous' END, revision) AS style FROM lv WHERE has_nodes GROUP BY session_id, r, k UNION ALL
+  SELECT 'edge', session_id, r, 'c:' || session_id || '|p:' || k || '|RELATED', CASE WHEN max(revision) = any_value(m) THEN 'current' ELSE 'previous' END FROM (SELECT *, max(revision) OVER (PARTITION BY session_id, r) AS m FROM lv WHERE has_edges) GROUP BY session_id, r, k)"""
+
+
+def _seventh(spark, sf_dir):
+    """The sessions' history and every seventh revision of each."""
+    events = B.session_events(spark, sf_dir)
+    asked = S.folded(events).filter("revision % 7 = 0").select("session_id", "life", "revision")
+    return H.history(events, 16), asked
+
+
+@query(f"WITH {SEEK} SELECT kind, session_id, revision, key, style FROM fr")
+def session_seek(spark, sf_dir):
+    """What every session showed at every seventh revision."""
+    kept, asked = _seventh(spark, sf_dir)
+    return H.frames(kept, asked, 16).select("kind", "session_id", F.col("revision").cast("long").alias("revision"), F.concat_ws("|", "key").alias("key"), "style")
+
+
+@query(f"""WITH {SEEK.replace("revision AS r FROM fold WHERE revision % 7 = 0", "unnest([revision - 1, revision]) AS r FROM fold WHERE revision % 7 = 0")},
+n AS (SELECT * FROM fr WHERE revision % 7 = 0), p AS (SELECT * REPLACE (revision + 1 AS revision) FROM fr WHERE revision % 7 <> 0)
+SELECT * FROM (SELECT kind, session_id, revision, key, CASE WHEN p.style IS NULL THEN 'added' WHEN n.style IS NULL THEN 'removed' WHEN n.style <> p.style THEN 'restyled' END AS change
+FROM n FULL JOIN p USING (kind, session_id, revision, key)) WHERE change IS NOT NULL""")
+def session_frame_changes(spark, sf_dir):
+    """What each of these revisions changed."""
+    kept, asked = _seventh(spark, sf_dir)
+    return H.frame_changes(kept, asked, 16).select("kind", "session_id", F.col("revision").cast("long").alias("revision"), F.concat_ws("|", "key").alias("key"), "change")

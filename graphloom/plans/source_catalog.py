@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.operators.judge import criteria_winners
 from graphloom.operators.vector import has_value
 from graphloom.plans import testbed as B
-from graphloom.plans.catalog import KG_EDGES, KG_NODES, query
+from graphloom.plans.catalog import JUDGE, KG_EDGES, KG_NODES, RATES, query
 from graphloom.session import shared_dir, table
-from graphloom.sources import files, sinks
+from graphloom.sources import files, ledger as L, sinks
 from graphloom.sources.formats import read_graph
 
 
@@ -296,3 +296,33 @@ def judge_results_read(spark, sf_dir):
     d.select(F.when(F.col("doc_id") % 4 == 3, F.lit("broken")).otherwise(line).alias("value")).write.text(path)
     rows = criteria_winners(files.judge_results(spark, "p", path), "pair_id").filter("criterion = 'Overall Winner'")
     return rows.groupBy("pair_id", "winner").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {JUDGE} SELECT pair_id, criterion, {RATES} FROM jr GROUP BY GROUPING SETS ((pair_id, criterion), (criterion))""")
+def judge_results_stream(spark, sf_dir):
+    """Result files of every pair in two deliveries, some results in both, taken by two runs of the stream; rates by their metadata files."""
+    path = folder(spark)
+    found, asked = B.judge_rows(spark, sf_dir)
+    message = F.struct(F.array(F.struct(F.struct("content").alias("message"))).alias("choices"))
+    line = F.to_json(F.struct("custom_id", F.struct(message.alias("body")).alias("response"))).alias("value")
+    number = F.regexp_extract("custom_id", r"(\d+)", 1).cast("int")
+    for delivery in (number % 3 != 0, number % 3 != 1):
+        for pair in [r[0] for r in found.select("pair_id").distinct().collect()]:
+            found.filter(delivery & (F.col("pair_id") == pair)).select(line).write.mode("append").text(f"{path}/in/{pair}{L.SUFFIX}")
+        L.collect_results(spark, f"{path}/in", f"{path}/results", f"{path}/checkpoint").awaitTermination()
+    as_lines(asked, f"{path}/metadata")
+    return L.rates(spark, f"{path}/results", files.request_metadata(spark, f"{path}/metadata"))
+
+
+@query("""WITH l AS (SELECT doc_id::VARCHAR AS b, 'f' || (doc_id % 400) AS f, CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 5 < 4 THEN 'completed' ELSE 'running' END AS status FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT f, max(b::BIGINT)::VARCHAR AS b FROM l WHERE status = 'completed' GROUP BY f)
+SELECT f AS final_outputs_path, b AS batch_id, 'p' AS pair_id FROM d WHERE substr(f, 2)::INTEGER % 7 <> 0""")
+def ledger_to_download(spark, sf_dir):
+    """Batches submitted, then changed, in an append-only ledger; those completed and not there yet."""
+    path = folder(spark)
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", F.col("doc_id").cast("string").alias("batch_id"))
+    L.append(d.select("batch_id", F.lit("submitted").alias("status"), F.lit("p").alias("pair_id"), F.concat(F.lit("f"), (F.col("doc_id") % 400).cast("string")).alias("final_outputs_path"), F.col("doc_id").cast("long").alias("seq")), path)
+    state = F.when(F.col("doc_id") % 5 == 0, "failed").when(F.col("doc_id") % 5 < 4, "completed").otherwise("running")
+    L.append(d.select("batch_id", state.alias("status"), (F.col("doc_id") + (1 << 40)).cast("long").alias("seq")), path)
+    present = d.select(F.concat(F.lit("f"), (F.col("doc_id") % 400).cast("string")).alias("name")).distinct().filter(F.substring("name", 2, 9).cast("int") % 7 == 0)
+    return L.to_download(L.ledger(spark, path), present).select("final_outputs_path", "batch_id", "pair_id")

@@ -51,5 +51,5 @@ def request_metadata(spark: SparkSession, path: str, document: bool = False) ->
     if not document:
         return lines(spark, path).select(F.from_json("value", REQUEST).alias("r")).filter("r.custom_id is not null").select("r.*")
     fields = REQUEST.split(", ", 2)[2]
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"pair_id string, requests map<string, struct<{fields.replace(' string', ':string')}>>").alias("d"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"pair_id string, requests map<string, struct<{fields.replace(' string', ':string')}>>").alias("d"))
     return whole.select("d.pair_id", F.explode("d.requests").alias("custom_id", "r")).select("custom_id", "pair_id", "r.*")

@@ -91,7 +91,7 @@ class AttributeBundleSource(GraphSource):
         """value (JSON text), ord, vector: items of ``data`` with their vectors.
 
         A file is one JSON document and so one task; convert large ones to lines once."""
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         items = F.from_json(F.get_json_object("value", "$.data"), "array<string>")
         matrix = F.from_json(F.get_json_object("value", "$.matrix"), "array<array<float>>")
         any_row = F.exists(F.coalesce(matrix, F.array().cast("array<array<float>>")), lambda r: r.isNotNull())
@@ -171,7 +171,7 @@ class TopologySource(GraphSource):
         found = next((f for folder in folders if (f := sorted(folder.glob("openie_results_ner_*.json")))), [])
         if not given and not found:
             return None
-        whole = spark.read.option("wholetext", True).text(str(given or found[-1]))
+        whole = spark.read.text(str(given or found[-1]), wholetext=True)
         docs = F.from_json(F.get_json_object("value", "$.docs"), "array<struct<idx:string,passage:string,extracted_entities:array<string>,extracted_triples:array<array<string>>>>")
         rows = whole.select(F.posexplode(docs).alias("ord", "d"))
         entities = F.filter("d.extracted_entities", lambda e: strip(e) != "")
@@ -382,7 +382,7 @@ class ExploredPathsSource(GraphSource):
             # A log of exploration runs: numbering it takes one ordered pass over the numbers only.
             places = objects.select("ord", (F.row_number().over(Window.orderBy("ord")) - 1).cast("long").alias("record"))
             return objects.join(places, "ord").select("value", "record")
-        whole = spark.read.option("wholetext", True).text(str(source))
+        whole = spark.read.text(str(source), wholetext=True)
         text = F.trim("value")
         items = F.when(text.startswith("["), F.filter(F.from_json("value", "array<string>"), lambda x: F.trim(x).startswith("{"))).otherwise(F.array("value"))
         return whole.select(F.posexplode(items).alias("record", "value")).select("value", F.col("record").cast("long").alias("record"))

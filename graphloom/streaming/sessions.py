@@ -197,12 +197,6 @@ def search_events(rows: DataFrame) -> DataFrame:
     return _updates(rows, nodes, edges, _none(PROGRESS))
 
 
-def frame_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """id, change (added or removed) between two frames' node ids."""
-    added = after.select("id").distinct().join(before.select("id"), "id", "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(before.select("id").distinct().join(after.select("id"), "id", "left_anti").withColumn("change", F.lit("removed")))
-
-
 def advance(state: tuple, row: dict) -> tuple[tuple, tuple]:
     """A session's state after an event, and the event's output."""
     revision, current, total, message, percent_, taken = state

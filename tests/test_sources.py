@@ -153,3 +153,48 @@ def test_request_metadata_as_one_document(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"pair_id": "p", "requests": {"judge-000000-rev": one}}, indent=2))
     got = files.request_metadata(spark, str(tmp_path / "m.json"), document=True).first().asDict()
     assert got == {"custom_id": "judge-000000-rev", "pair_id": "p", **one}
+
+
+def test_pretty_printed_bundles(spark, tmp_path):
+    """A JSON document over many lines is one document."""
+    import json
+
+    from graphloom.sources.formats import read_graph
+
+    (tmp_path / "vdb_entities.json").write_text(json.dumps({"data": [{"id": "a", "content": "x", "type": "T", "k": 1}, {"id": "b"}], "matrix": [[1.0], [2.0]]}, indent=2))
+    (tmp_path / "vdb_relationships.json").write_text(json.dumps({"data": [{"src_id": "a", "tgt_id": "b"}]}, indent=2))
+    graph = read_graph(spark, "attribute_bundle_graph", str(tmp_path))
+    got = {r["id"]: r for r in graph.nodes.collect()}
+    assert (got["a"]["type"], json.loads(got["a"]["metadata"]), list(got["b"]["embedding"])) == ("T", {"type": "T", "k": 1}, [2.0])
+    assert graph.edges.count() == 1
+
+
+def test_ledger(spark, tmp_path):
+    from graphloom.sources import ledger as L
+
+    path = str(tmp_path / "ledger")
+    rows = lambda data: spark.createDataFrame(data, "batch_id string, status string, final_outputs_path string")
+    L.append(rows([("1", "submitted", "f1"), ("2", "submitted", "f1"), ("3", "submitted", "f2"), ("4", "submitted", "f3")]), path)
+    L.append(rows([("1", "completed", None), ("2", "completed", None), ("3", "completed", None)]), path)
+    L.append(rows([("3", "failed", None), ("4", "completed", None)]), path)
+    state = {r["batch_id"]: (r["status"], r["final_outputs_path"]) for r in L.ledger(spark, path).collect()}
+    assert state == {"1": ("completed", "f1"), "2": ("completed", "f1"), "3": ("failed", "f2"), "4": ("completed", "f3")}
+    present = spark.createDataFrame([("f3",)], "name string")
+    taken = lambda force: sorted((r["final_outputs_path"], r["batch_id"]) for r in L.to_download(L.ledger(spark, path), present, force).collect())
+    assert taken(False) == [("f1", "2")] and taken(True) == [("f1", "2"), ("f3", "4")]
+
+
+def test_result_files_are_taken_once(spark, tmp_path):
+    import json
+
+    from graphloom.sources import ledger as L
+
+    folder, table, checkpoint = (str(tmp_path / x) for x in ("in", "out", "c"))
+    line = lambda i, c: json.dumps({"custom_id": i, "response": {"body": {"choices": [{"message": {"content": c}}]}}})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "g a_vs_b_results.jsonl").write_text("\n".join([line("1", "x"), "{broken", line("2", "y")]))
+    L.collect_results(spark, folder, table, checkpoint).awaitTermination()
+    (tmp_path / "in" / "c_vs_d_results.jsonl").write_text(line("1", "z"))
+    L.collect_results(spark, folder, table, checkpoint).awaitTermination()
+    L.collect_results(spark, folder, table, checkpoint).awaitTermination()
+    assert sorted(tuple(r)[:3] for r in spark.read.schema(L.RESULT).parquet(table).collect()) == [("c_vs_d", "1", "z"), ("g a_vs_b", "1", "x"), ("g a_vs_b", "2", "y")]
