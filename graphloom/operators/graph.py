@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import present
+from graphloom.session import bucketed_table
 
 #: Metadata is a JSON object as text, so that keys may differ from row to row.
 NODE_SCHEMA = T.StructType(
@@ -47,11 +48,12 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class PropertyGraph:
-    """Nodes, directed edges (parallel ones and self-loops allowed) and named indexes."""
+    """Nodes, directed edges (parallel ones and self-loops allowed), named indexes, and the edges stored by their ends if they are."""
 
     nodes: DataFrame
     edges: DataFrame
     indexes: dict = field(default_factory=dict)
+    by_ends: DataFrame | None = None
 
     @staticmethod
     def empty(spark: SparkSession) -> PropertyGraph:
@@ -66,14 +68,29 @@ class PropertyGraph:
     def append_edges(self, edges: DataFrame) -> PropertyGraph:
         """Edges appended as they are; endpoints that are not nodes become bare ones, sources before targets."""
         new = as_edges(edges)
-        return replace(self, nodes=closed(self.nodes, new), edges=self.edges.unionByName(new))
+        return replace(self, nodes=closed(self.nodes, new), edges=self.edges.unionByName(new), by_ends=None)
+
+    def stored(self) -> PropertyGraph:
+        """The graph with its edges written once, each under both of its ends, bucketed by them.
+
+        What joins or groups edges by an end then moves none of them: ``ends``, ``k_hop``, ``incident``,
+        ``neighbors``, ``induced``.  The edges themselves are those whose end is their source."""
+        return replace(self, by_ends=bucketed_table(_ends_of(self.edges), "edges-by-ends", "id", gather=True))
+
+    def ends(self) -> DataFrame:
+        """id, other, outward, and the columns of edges: every edge under its source (outward) and under its target."""
+        return self.by_ends if self.by_ends is not None else _ends_of(self.edges)
+
+    def outward(self) -> DataFrame:
+        """The edges, by source: from the stored table if there is one."""
+        return self.edges if self.by_ends is None else self.by_ends.filter("outward").select(F.col("id").alias("source"), F.col("other").alias("target"), "edge_idx", "relation", "weight", "metadata").select(*EDGE_SCHEMA.names)
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.filter(F.col("id") == node_id)
 
     def neighbors(self, ids: DataFrame) -> DataFrame:
         """Outgoing edges of the ids (column id), in insertion order when sorted by edge_idx."""
-        return self.edges.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+        return self.outward().join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
 
     def attach(self, name: str, index) -> PropertyGraph:
         return replace(self, indexes={**self.indexes, name: index})
@@ -91,6 +108,18 @@ class PropertyGraph:
         return index.search(queries, top_k if top_k is not None else k, **options)
 
 
+def _ends_of(edges: DataFrame) -> DataFrame:
+    end = lambda a, b, out: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(out).alias("outward"))
+    return edges.select(F.explode(F.array(end("source", "target", True), end("target", "source", False))).alias("e"), "edge_idx", "relation", "weight", "metadata").select("e.*", "edge_idx", "relation", "weight", "metadata")
+
+
+def incident(graph: PropertyGraph) -> DataFrame:
+    """id, out_edges, in_edges: edge_idx of every node's edges in order; a self-loop is in both."""
+    ends = graph.ends().groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("outward") == out, F.col("edge_idx")))).alias(name) for name, out in (("out_edges", True), ("in_edges", False))])
+    none = F.array().cast("array<bigint>")
+    return graph.nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("out_edges", none).alias("out_edges"), F.coalesce("in_edges", none).alias("in_edges"))
+
+
 def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes and the bare nodes that stand for endpoints missing among them."""
     ends = edges.select(F.explode(F.array(F.struct((F.col("edge_idx") * 2).alias("ord"), F.col("source").alias("id")), F.struct((F.col("edge_idx") * 2 + 1).alias("ord"), F.col("target").alias("id")))).alias("e")).select("e.id", "e.ord")
@@ -111,8 +140,9 @@ def degrees(graph: PropertyGraph, among: DataFrame | None = None) -> DataFrame:
     return graph.nodes.select("id").join(ends, "id", "full_outer").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def out_neighbors(graph: PropertyGraph) -> DataFrame:
-    return graph.edges.select("source", "target").distinct()
+def out_neighbors(graph: PropertyGraph, of: DataFrame) -> DataFrame:
+    """source, target: the distinct outgoing pairs of the ids ``of`` (column id); only their edges are compared."""
+    return graph.neighbors(of).select("source", "target").distinct()
 
 
 def adjacency(graph: PropertyGraph) -> DataFrame:
@@ -132,7 +162,7 @@ def k_hop(graph: PropertyGraph, seeds: DataFrame, hops: int, by: Sequence[str] =
     With ``by``, columns of the seeds such as a session, every group of seeds is followed on its own.
     Each step joins only the frontier with the edges; its result is checkpointed when a shared
     folder is set, so lineage does not grow with the hops."""
-    both = graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(graph.edges.select("target", "source"))
+    both = graph.ends().select(F.col("id").alias("a"), F.col("other").alias("b"))
     seen = seeds.select(*by, "id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, max(0, int(hops)) + 1):
@@ -147,7 +177,7 @@ def k_hop(graph: PropertyGraph, seeds: DataFrame, hops: int, by: Sequence[str] =
 def induced(graph: PropertyGraph, ids: DataFrame) -> PropertyGraph:
     """The nodes among ``ids`` (column id), and the edges with both ends there."""
     chosen = ids.select("id").distinct()
-    edges = graph.edges.join(chosen.withColumnRenamed("id", "source"), "source", "left_semi").join(chosen.withColumnRenamed("id", "target"), "target", "left_semi")
+    edges = graph.outward().join(chosen.withColumnRenamed("id", "source"), "source", "left_semi").join(chosen.withColumnRenamed("id", "target"), "target", "left_semi")
     return PropertyGraph(graph.nodes.join(chosen, "id", "left_semi"), edges.select(*EDGE_SCHEMA.names))
 
 

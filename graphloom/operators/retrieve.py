@@ -110,7 +110,7 @@ def prompt(query: Column, chunks: Column, top_k: int = 10) -> Column:
 
 def candidates(graph: PropertyGraph, retrieved: DataFrame) -> DataFrame:
     """id, degree: out-neighbours of the retrieved (column id) that are nodes and not retrieved."""
-    near = out_neighbors(graph).join(retrieved.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+    near = out_neighbors(graph, retrieved).select(F.col("target").alias("id")).distinct()
     fresh = near.join(graph.nodes.select("id"), "id", "left_semi").join(retrieved.select("id"), "id", "left_anti")
     return degrees(graph, fresh)
 
@@ -130,7 +130,7 @@ def stex(graph: PropertyGraph, retrieved: DataFrame, vector: Sequence[float], be
     ``retrieved``: id, and pos for the position mode."""
     r_max = retrieved.agg(F.count("*").alias("r_max"))
     best = F.min(F.col("pos") + 1) if rank_mode == "position" else F.max(F.lit(0))
-    near = out_neighbors(graph).join(retrieved.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("adjacent"), best.cast("double").alias("best"))
+    near = out_neighbors(graph, retrieved).join(retrieved.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("adjacent"), best.cast("double").alias("best"))
     # One row: the number of retrieved nodes.
     rows = candidates(graph, retrieved).join(near, "id").join(graph.nodes.select("id", "embedding"), "id").join(F.broadcast(r_max), F.lit(True))
     first = F.col("best") if rank_mode == "position" else F.col("r_max") + 1.0

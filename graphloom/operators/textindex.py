@@ -79,7 +79,7 @@ class TrigramIndex:
         schema = T.StructType([rows.schema["id"], rows.schema["ord"], rows.schema["haystack"], T.StructField("block", T.LongType()), T.StructField("pos", T.IntegerType())])
         texts = bucketed_table(rows.mapInArrow(_blocks, schema), "texts", "block")
         postings = texts.select("block", "pos", "haystack").groupBy("block").applyInArrow(_postings, POSTINGS)
-        return TrigramIndex(texts, bucketed_table(postings, "postings", "gram"))
+        return TrigramIndex(texts, bucketed_table(postings, "postings", "gram", gather=True))
 
     def routes(self, words: DataFrame) -> DataFrame:
         """word, gram: where the candidates of each word (column word) are listed; none if there can be none."""

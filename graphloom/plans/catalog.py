@@ -247,6 +247,24 @@ def endpoint_closure(spark, sf_dir):
     return G.closed(graph.nodes.filter("type != 'Part'"), graph.edges).select("id", "type", "text")
 
 
+@query(f"""WITH {KG_NODES}, {KG_EDGES},
+o AS (SELECT source AS id, string_agg(edge_idx::VARCHAR, ',' ORDER BY edge_idx) AS out_edges FROM ke GROUP BY source), i AS (SELECT target AS id, string_agg(edge_idx::VARCHAR, ',' ORDER BY edge_idx) AS in_edges FROM ke GROUP BY target)
+SELECT kn.id, coalesce(out_edges, '') AS out_edges, coalesce(in_edges, '') AS in_edges FROM kn LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")
+def incident_edges(spark, sf_dir):
+    """Every node's outgoing and incoming edges, from edges stored by their ends."""
+    lists = G.incident(B.knowledge_graph(spark, sf_dir).stored())
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return lists.select("id", shown("out_edges"), shown("in_edges"))
+
+
+@query(UND + """ SELECT count(*) AS edges, count(DISTINCT edge_idx) AS distinct_edges, sum(weight) AS weight FROM ke WHERE source IN (SELECT id FROM hop) AND target IN (SELECT id FROM hop)""")
+def khop_stored(spark, sf_dir):
+    """Two hops and the edges among what they reach, from edges stored by their ends."""
+    graph = B.knowledge_graph(spark, sf_dir).stored()
+    near = G.k_hop(graph, spark.createDataFrame([("c:1",)], "id string"), 2)
+    return G.induced(graph, near).edges.agg(F.count("*").alias("edges"), F.countDistinct("edge_idx").alias("distinct_edges"), F.sum("weight").alias("weight"))
+
+
 @query(f"WITH {KG_EDGES}, b AS (SELECT source AS id, target AS n FROM ke UNION SELECT target, source FROM ke) SELECT id, string_agg(n, ',' ORDER BY n) AS neighbours FROM b GROUP BY id")
 def adjacency_list(spark, sf_dir):
     return G.adjacency(B.knowledge_graph(spark, sf_dir)).select("id", F.array_join("neighbours", ",").alias("neighbours"))

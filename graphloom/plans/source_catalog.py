@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.judge import criteria_winners
-from graphloom.operators.vector import has_value
+from graphloom.operators.judge import answer_pairs, criteria_winners
+from graphloom.operators.vector import backfilled, has_value
 from graphloom.plans import testbed as B
 from graphloom.plans.catalog import JUDGE, KG_EDGES, KG_NODES, RATES, query
 from graphloom.session import shared_dir, table
 from graphloom.sources import files, ledger as L, sinks
 from graphloom.sources.formats import read_graph
+from graphloom.sources.vectorstore import VectorStore
 
 
 def folder(spark: SparkSession) -> str:
@@ -326,3 +327,44 @@ def ledger_to_download(spark, sf_dir):
     L.append(d.select("batch_id", state.alias("status"), (F.col("doc_id") + (1 << 40)).cast("long").alias("seq")), path)
     present = d.select(F.concat(F.lit("f"), (F.col("doc_id") % 400).cast("string")).alias("name")).distinct().filter(F.substring("name", 2, 9).cast("int") % 7 == 0)
     return L.to_download(L.ledger(spark, path), present).select("final_outputs_path", "batch_id", "pair_id")
+
+
+@query("""SELECT 0 AS version, vec_id AS id, label, round(CAST(embedding[1] AS DOUBLE), 5) + 0.0 AS first FROM embeddings UNION ALL
+SELECT 1, vec_id, CASE WHEN vec_id % 16 = 3 THEN NULL ELSE label END, round(CASE WHEN vec_id % 16 = 3 THEN 2 ELSE 1 END * CAST(embedding[1] AS DOUBLE), 5) + 0.0 FROM embeddings UNION ALL
+SELECT 1, -1 - vec_id, NULL, 0.5 FROM embeddings WHERE vec_id % 100 = 0""")
+def vector_store_upsert(spark, sf_dir):
+    """Vectors upserted twice, with repeated ids; both versions read afterwards."""
+    store = VectorStore(spark, folder(spark))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(1).alias("ord"))
+    again = rows.withColumns({"embedding": F.transform("embedding", lambda x: x * 9), "ord": F.lit(0)})
+    first = store.upsert(rows.unionByName(again))
+    changed = rows.filter("id % 16 = 3").select("id", F.transform("embedding", lambda x: x * 2).alias("embedding"), "ord")
+    added = rows.filter("id % 100 = 0").select((-1 - F.col("id")).alias("id"), F.array(F.lit(0.5)).alias("embedding"), "ord")
+    second = store.upsert(changed.unionByName(added))
+    part = lambda v: store.read(v).select(F.lit(v).alias("version"), "id", "label", (F.round(F.col("embedding")[0], 5) + 0.0).alias("first"))
+    return part(first).unionByName(part(second))
+
+
+@query("""SELECT vec_id::VARCHAR AS id, round(CASE WHEN vec_id % 3 = 0 THEN 0.25 ELSE CAST(embedding[1] AS DOUBLE) END, 5) + 0.0 AS first FROM embeddings""")
+def embedding_backfill(spark, sf_dir):
+    """Missing embeddings filled from the nodes' metadata, then from the index."""
+    graph = B.vector_graph(spark, sf_dir)
+    own = F.when(F.col("ord") % 3 == 0, F.lit('{"embedding":[0.25]}')).otherwise(F.col("metadata"))
+    bare = graph.nodes.withColumns({"embedding": F.lit(None).cast("array<float>"), "metadata": own})
+    return backfilled(bare, graph.index("node_vector")).select("id", (F.round(F.col("embedding")[0].cast("double"), 5) + 0.0).alias("first"))
+
+
+@query("""SELECT 'one_' || lang AS graph, source AS retriever, doc_id::VARCHAR AS query, md5(coalesce(text, '')) AS outputs FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def outputs_roundtrip(spark, sf_dir):
+    """Outputs written by graph and retriever and read back."""
+    path = folder(spark)
+    d = table(spark, sf_dir, "documents").filter("lang is not null and source is not null")
+    sinks.write_outputs(d.select(F.concat(F.lit("one_"), "lang").alias("graph"), F.col("source").alias("retriever"), F.col("doc_id").cast("string").alias("query"), F.coalesce("text", F.lit("")).alias("outputs")), path)
+    read = spark.read.schema("query string, outputs string, graph string, retriever string").json(path)
+    return read.select("graph", "retriever", "query", F.md5("outputs").alias("outputs"))
+
+
+@query("""WITH n AS (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL) SELECT a.name AS left, b.name AS right FROM n a JOIN n b ON a.name < b.name""")
+def judge_file_pairs(spark, sf_dir):
+    """Every unordered pair of answer files, one file a source."""
+    return answer_pairs(table(spark, sf_dir, "documents").select(F.col("source").alias("name")).filter("name is not null").distinct())

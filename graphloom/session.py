@@ -54,11 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucketed_table(df: DataFrame, label: str, key: str) -> DataFrame:
-    """``df`` written to the shared folder with the rows of a key together in a bucket: work by that key moves none of them."""
+def bucketed_table(df: DataFrame, label: str, key: str, gather: bool = False) -> DataFrame:
+    """``df`` written to the shared folder with the rows of a key together in a bucket: work by that key moves none of them.
+
+    ``gather``: move rows to their buckets once before, so that a bucket is one file; without, each task writes its own."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
     name = f"graphloom_{path.rpartition('/')[2].replace('-', '_')}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.mode("overwrite").bucketBy(buckets, key).option("path", f"{path}/table").format("parquet").saveAsTable(name)
+    df = df.repartition(buckets, key) if gather else df
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", f"{path}/table").format("parquet").saveAsTable(name)
     return spark.table(name)

@@ -106,10 +106,3 @@ def write_request_metadata(requests: DataFrame, pair_id: str, left: str, right:
     stem = lambda name: Path(name).stem
     row = F.struct("custom_id", F.lit(pair_id).alias("pair_id"), "query", F.when(forward, "forward").otherwise("reverse").alias("direction"), side(Path(left).name, Path(right).name).alias("answer_a_file"), side(Path(right).name, Path(left).name).alias("answer_b_file"), side(stem(left), stem(right)).alias("model_a"), side(stem(right), stem(left)).alias("model_b"))
     requests.orderBy("custom_id").select(F.to_json(row).alias("value")).write.mode("overwrite").text(path)
-
-
-def upsert_vectors(old: DataFrame | None, rows: DataFrame, path: str) -> None:
-    """Vectors by id, the last of each kept, over an old table if there is one, written to ``path``."""
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "ord").alias("v")).select("id", "v.*")
-    out = last if old is None else old.join(last.select("id"), "id", "left_anti").unionByName(last, allowMissingColumns=True)
-    out.write.mode("overwrite").parquet(path)

@@ -119,3 +119,35 @@ def test_vector_blocks(spark, monkeypatch):
                     a, n = np.array(e), lambda x: np.linalg.norm(x) or 1.0
                     far.append((round({"l2sq": float(((a - v) ** 2).sum()), "ip": 1 - float(a @ v), "cosine": 1 - float(a @ v) / (n(a) * n(v))}[metric], 9), o, i))
             assert [(x[2], x[3]) for x in first if x[0] == q] == [(i, d + 0.0) for d, _, i in sorted(far)[:4]]
+
+
+def below_the_join(plan, table):
+    """The steps from the scan of a table up to its first join, or to the aggregate that ends a group."""
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if table in x and "Scan" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    out, least = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < least:
+            least = depth(line)
+            out.append(line.strip(" :+-"))
+            if "Join" in line or "Aggregate" in line and "partial" not in line:
+                return out
+    raise AssertionError(plan)
+
+
+def test_stored_edges_are_not_moved(spark, world):
+    """k-hop, induced edges, neighbours and incident lists join the stored edges where they lie."""
+    graph, _ = world
+    stored = graph.stored()
+    seeds = spark.createDataFrame([("n01",), ("n07",)], "id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (lambda g: G.k_hop(g, seeds, 1), lambda g: g.neighbors(seeds), lambda g: G.incident(g), lambda g: Q.one_hop_edges(g.outward(), seeds.select(F.lit(1).alias("query_id"), F.lit(0).alias("pos"), "id"))):
+            got, plain = make(stored), make(graph)
+            assert sorted(map(str, got.select(sorted(got.columns)).collect())) == sorted(map(str, plain.select(sorted(plain.columns)).collect()))
+            plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "Exchange" not in " ".join(below_the_join(plan, "edges_by_ends")), plan
+        assert sorted(r["edge_idx"] for r in G.induced(stored, G.k_hop(stored, seeds, 2)).edges.collect()) == sorted(r["edge_idx"] for r in G.induced(graph, G.k_hop(graph, seeds, 2)).edges.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators.graph import PropertyGraph
 from graphloom.sources import files, sinks
@@ -198,3 +199,32 @@ def test_result_files_are_taken_once(spark, tmp_path):
     L.collect_results(spark, folder, table, checkpoint).awaitTermination()
     L.collect_results(spark, folder, table, checkpoint).awaitTermination()
     assert sorted(tuple(r)[:3] for r in spark.read.schema(L.RESULT).parquet(table).collect()) == [("c_vs_d", "1", "z"), ("g a_vs_b", "1", "x"), ("g a_vs_b", "2", "y")]
+
+
+def test_upserts_by_copy_on_write(spark, tmp_path):
+    from graphloom.sources.vectorstore import ConcurrentUpsert, VectorStore
+
+    store = VectorStore(spark, str(tmp_path / "v"), 8)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, vector array<double>, ord long")
+    held = lambda v=None: {r["id"]: r["vector"] for r in store.read(v).collect()}
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    assert store.upsert(frame([(f"i{k}", [float(k)], 0) for k in range(40)] + [("i1", [9.0], 5), (None, [1.0], 1)])) == 0
+    before = held()
+    assert len(before) == 40 and before["i1"] == [9.0]
+    touched = set((tmp_path / "v" / "data").iterdir())
+    assert store.upsert(frame([("i2", [7.0], 0)])) == 1
+    new = next(iter(set((tmp_path / "v" / "data").iterdir()) - touched))
+    assert len([p for p in new.iterdir() if p.name.startswith("bucket=")]) == 1  # only the touched bucket
+    assert held(0) == before and held() == before | {"i2": [7.0]} == held(1)
+    # A write that fails, and one that another writer was faster than, leave the last version.
+    bad = frame([("i3", [0.0], 0)]).withColumn("vector", F.raise_error(F.lit("lost")).cast("array<double>"))
+    with pytest.raises(Exception, match="lost"):
+        store.upsert(bad)
+    slow = VectorStore(spark, str(tmp_path / "v"), 8)
+    slow.versions = lambda: [0]
+    with pytest.raises(ConcurrentUpsert):
+        slow.upsert(frame([("i4", [0.0], 0)]))
+    assert held() == before | {"i2": [7.0]}
+    assert store.upsert(spark.createDataFrame([("z", 1, "t")], "id string, ord long, note string")) == 2
+    assert store.read().filter("id = 'z'").first().asDict() == {"id": "z", "vector": None, "note": "t"} and store.read().count() == 41
