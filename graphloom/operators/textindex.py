@@ -1,10 +1,10 @@
 """Substring search for a table of queries over a trigram index.
 
 Every query word that is a substring of a node's lower-cased ``id text`` is a hit, so an index of
-words does not do.  The index has, for each trigram and block of texts, the texts that hold it; two
-marks behind each text make trigrams of its last letters too, so a word of one or two letters is the
-union of the trigrams that begin with it.  A longer word's candidates are those of its rarest
-trigram, and only they are verified on the text.
+words does not do.  The index has, for each trigram and block of texts, the texts that hold it, as
+places or as a bitmap, whichever is shorter.  A word's candidates are the texts that hold its
+rarest trigrams, and only they are verified on the text.  Words of one or two letters, of which
+there are few and which most texts hold, are looked for in all texts of a block.
 
 Texts lie in blocks of bounded size, bucketed by block, so a search moves postings and not texts.
 A block answers all queries at once and keeps the best k of each, so what leaves it is bounded by
@@ -28,9 +28,9 @@ from graphloom.session import bucketed_table
 
 #: Characters and texts of a block, at most (a longer text is a block of its own).
 BLOCK_CHARS, BLOCK_ROWS = 4 << 20, 4096
-#: What stands behind a text twice.
-MARK = "\0"
-POSTINGS = "gram string, block long, held array<int>, n int"
+#: Letters of a gram, and the rarest grams of a word that its candidates must hold.
+GRAM, RAREST = 3, 3
+POSTINGS = "gram string, block long, held binary, n int"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,25 +48,44 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), batch.column("ord"), batch.column("haystack"), pa.array(numbers, pa.int64()), pa.array(places, pa.int32())], names=["id", "ord", "haystack", "block", "pos"])
 
 
+def _packed(places: np.ndarray, rows: int) -> bytes:
+    """Places below ``rows``, as 16-bit numbers behind a 0 or as a bitmap behind a 1."""
+    if 2 * len(places) < rows // 8:
+        return b"\0" + places.astype("<u2").tobytes()
+    bits = np.zeros(rows, bool)
+    bits[places] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def _unpacked(held: bytes, rows: int) -> np.ndarray:
+    """Whether each place is held."""
+    if held[0]:
+        return np.unpackbits(np.frombuffer(held, np.uint8, offset=1), count=rows).astype(bool)
+    bits = np.zeros(rows, bool)
+    bits[np.frombuffer(held, "<u2", offset=1)] = True
+    return bits
+
+
 def _postings(key: tuple, table: pa.Table) -> pa.Table:
     texts, places = table.column("haystack").to_pylist(), table.column("pos").to_numpy()
-    letters = np.frombuffer("".join(t + MARK * 2 for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]])
-    at = np.arange(lengths.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    inner = np.maximum(lengths - GRAM + 1, 0)
+    starts = np.cumsum(lengths) - lengths
+    at = np.arange(inner.sum()) + np.repeat(starts - (np.cumsum(inner) - inner), inner)
     grams, number = np.unique(letters[at] << np.uint64(42) | letters[at + 1] << np.uint64(21) | letters[at + 2], return_inverse=True)
     rows = int(places.max()) + 1
-    pairs = np.unique(number * rows + np.repeat(places, lengths))
+    pairs = np.unique(number * rows + np.repeat(places, inner))
     counts = np.bincount(pairs // rows, minlength=len(grams))
     mask = np.uint64((1 << 21) - 1)
     spelled = np.stack([grams >> np.uint64(42), grams >> np.uint64(21) & mask, grams & mask], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(pairs % rows, pa.int32()))
-    return pa.table([pa.array([spelled[3 * i : 3 * i + 3] for i in range(len(grams))]), pa.array([key[0].as_py()] * len(grams), pa.int64()), held, pa.array(counts, pa.int32())], names=["gram", "block", "held", "n"])
+    held = [_packed(x, rows) for x in np.split(pairs % rows, np.cumsum(counts)[:-1])] if len(grams) else []
+    return pa.table([pa.array([spelled[GRAM * i : GRAM * (i + 1)] for i in range(len(grams))], pa.string()), pa.array([key[0].as_py()] * len(grams), pa.int64()), pa.array(held, pa.binary()), pa.array(counts, pa.int32())], names=["gram", "block", "held", "n"])
 
 
 @dataclass(frozen=True)
 class TrigramIndex:
-    """``texts``: id, ord, haystack, block, pos.  ``postings``: gram, block, held (places), n."""
+    """``texts``: id, ord, haystack, block, pos.  ``postings``: gram, block, held (packed places), n."""
 
     texts: DataFrame
     postings: DataFrame
@@ -82,60 +101,74 @@ class TrigramIndex:
         return TrigramIndex(texts, bucketed_table(postings, "postings", "gram", gather=True))
 
     def routes(self, words: DataFrame) -> DataFrame:
-        """word, gram: where the candidates of each word (column word) are listed; none if there can be none."""
-        every = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substr("word", i, F.lit(3)))
-        long = words.filter(F.length("word") >= 3).select("word", F.explode(F.array_distinct(every)).alias("gram"))
+        """word, grams: the rarest grams of each word (column word) of GRAM letters or more, rarest first; no row if a gram is nowhere."""
+        every = F.transform(F.sequence(F.lit(1), F.length("word") - GRAM + 1), lambda i: F.substr("word", i, F.lit(GRAM)))
+        long = words.filter(F.length("word") >= GRAM).select("word", F.explode(F.array_distinct(every)).alias("gram"))
         spread = self.postings.select("gram", "n").join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("texts"))
-        known = long.join(spread, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), (F.count("texts") == F.count("*")).alias("whole"))
-        fronts = F.explode(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2))).alias("word")
-        short = self.postings.select("gram").distinct().select("gram", fronts).distinct().join(words.filter(F.length("word") < 3).select("word"), "word")
-        return known.filter("whole").select("word", "gram").union(short.select("word", "gram"))
+        known = long.join(spread, "gram", "left").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("texts", "gram"))).alias("grams"), (F.count("texts") == F.count("*")).alias("whole"))
+        return known.filter("whole").select("word", F.slice(F.transform("grams", lambda g: g["gram"]), 1, RAREST).alias("grams"))
 
     def candidates(self, words: DataFrame) -> DataFrame:
-        """word, block, held: the texts that may hold each word."""
-        return self.routes(words).join(self.postings, "gram").select("word", "block", "held")
+        """word, texts: an upper bound of the texts that are verified for each word, those with its rarest gram."""
+        first = self.routes(words).select("word", F.col("grams")[0].alias("gram"))
+        return first.join(self.postings, "gram").groupBy("word").agg(F.sum("n").alias("texts"))
 
     def search(self, queries: DataFrame, top_k: int) -> DataFrame:
-        """query_id, pos, id, score: the best nodes of every query (query_id, query), as ``keyword_seeds`` has them for one."""
+        """query_id, pos, id, score: the best nodes of every query (query_id, query), as ``keyword_seeds`` has them for one.
+
+        A block gets the words and what queries ask for them, so very large tables of queries are better searched in parts."""
         kind = queries.schema["query_id"].dataType
         said = queries.select("query_id", tokens(F.col("query")).alias("words"))
         counted = said.select("query_id", F.explode("words").alias("word")).groupBy("query_id", "word").agg(F.count("*").cast("int").alias("times"))
         asked = counted.groupBy("word").agg(F.collect_list(F.struct("query_id", "times")).alias("asked"))
-        routed = self.candidates(asked.select("word")).join(asked, "word")
+        routed = self.routes(asked.select("word")).join(asked, "word")
+        # A gram goes to its blocks once, with the words that it is the rarest gram of.
+        led = routed.groupBy(F.col("grams")[0].alias("gram")).agg(F.collect_list(F.struct("word", "grams", "asked")).alias("words"))
+        grams = routed.select(F.explode("grams").alias("gram")).distinct().join(led, "gram", "left")
+        by_gram = self.postings.join(grams, "gram").select("block", "gram", "held", "words")
+        # The short words are one row, for every block.
+        none = F.array().cast("array<string>")
+        short = asked.filter(F.length("word") < GRAM).groupBy(F.lit(0).alias("all")).agg(F.collect_list(F.struct("word", none.alias("grams"), "asked")).alias("words"))
+        everywhere = self.texts.select("block").distinct().withColumn("all", F.lit(0)).join(short, "all").select("block", F.lit("").alias("gram"), F.lit(b"").alias("held"), "words")
+        sent = by_gram.unionByName(everywhere)
         hit = T.StructType([T.StructField("query_id", kind), self.texts.schema["id"], T.StructField("ord", T.LongType()), T.StructField("hits", T.LongType())])
 
         def answer(key: tuple, found: pa.Table, texts: pa.Table) -> pa.Table:
             out: list[list] = [[], [], [], []]
             if found.num_rows and texts.num_rows:
                 texts = texts.sort_by("pos")
-                haystacks, ords = texts.column("haystack").to_pylist(), texts.column("ord").to_numpy()
+                haystacks, ords, rows = texts.column("haystack").to_pylist(), texts.column("ord").to_numpy(), texts.num_rows
+                ids = texts.column("id").to_pylist()
+                held = {g: _unpacked(h, rows) for g, h in zip(found.column("gram").to_pylist(), found.column("held").to_pylist(), strict=True) if g}
                 of_query: dict = {}
-                held: dict[str, list] = {}
-                asked_by = {}
-                for word, places, asked in zip(found.column("word").to_pylist(), found.column("held").to_pylist(), found.column("asked").to_pylist(), strict=True):
-                    held.setdefault(word, []).append(places)
-                    asked_by[word] = asked
-                for word, lists in held.items():
-                    places = np.unique(np.concatenate(lists))
-                    if len(word) > 3 or MARK in word:
-                        places = np.array([p for p in places.tolist() if word in haystacks[p]], np.int64)
+                for word in (w for words in found.column("words").to_pylist() for w in words or []):
+                    if not all(g in held for g in word["grams"]):
+                        continue
+                    may = np.logical_and.reduce([held[g] for g in word["grams"]]) if word["grams"] else np.ones(rows, bool)
+                    places = np.flatnonzero(may)
+                    text = word["word"]
+                    if len(text) != GRAM:
+                        places = np.array([p for p in places.tolist() if text in haystacks[p]], np.int64)
                     if len(places):
-                        for a in asked_by[word]:
+                        for a in word["asked"]:
                             of_query.setdefault(a["query_id"], []).append((places, a["times"]))
-                ids = texts.column("id").to_pylist()
                 for query, parts in of_query.items():
-                    hits = np.bincount(np.concatenate([p for p, _ in parts]), np.concatenate([np.full(len(p), t) for p, t in parts]), len(ids))
+                    hits = np.zeros(rows, np.int64)
+                    for places, times in parts:
+                        hits[places] += times
                     some = np.flatnonzero(hits)
                     if len(some) > top_k:
                         some = some[hits[some] >= np.partition(hits[some], len(some) - top_k)[len(some) - top_k]]
                     best = some[np.lexsort((ords[some], -hits[some]))[:top_k]]
-                    for column, values in zip(out, ([query] * len(best), [ids[i] for i in best], ords[best].tolist(), hits[best].astype(np.int64).tolist()), strict=True):
+                    for column, values in zip(out, ([query] * len(best), [ids[i] for i in best], ords[best].tolist(), hits[best].tolist()), strict=True):
                         column.extend(values)
-            return pa.table([pa.array(c, t) for c, t in zip(out, (found.schema.field("asked").type.value_type.field("query_id").type, texts.schema.field("id").type, pa.int64(), pa.int64()), strict=True)], names=["query_id", "id", "ord", "hits"])
+            words = found.schema.field("words").type.value_type
+            query_type = words.field("asked").type.value_type.field("query_id").type
+            return pa.table([pa.array(c, t) for c, t in zip(out, (query_type, texts.schema.field("id").type, pa.int64(), pa.int64()), strict=True)], names=["query_id", "id", "ord", "hits"])
 
         if top_k <= 0:
             return queries.sparkSession.createDataFrame([], hit).select("query_id", F.lit(0).alias("pos"), "id", F.lit(0.0).alias("score"))
-        best = routed.groupBy("block").cogroup(self.texts.groupBy("block")).applyInArrow(answer, hit)
+        best = sent.groupBy("block").cogroup(self.texts.groupBy("block")).applyInArrow(answer, hit)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "ord"))
         top = best.withColumn("rank", rank).filter(F.col("rank") <= top_k)
         sizes = said.select("query_id", F.size("words").alias("n"))

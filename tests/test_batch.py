@@ -131,7 +131,7 @@ def below_the_join(plan, table):
         if depth(line) < least:
             least = depth(line)
             out.append(line.strip(" :+-"))
-            if "Join" in line or "Aggregate" in line and "partial" not in line:
+            if "Join" in line or "CoGroups" in line or "Aggregate" in line and "partial" not in line:
                 return out
     raise AssertionError(plan)
 
