@@ -5,7 +5,13 @@ text, every block between blank lines (a header is one) and every whole text are
 the templates, which are one-line notices, headers and full licence texts: terms are runs of ASCII letters and digits in lower case, a term's weight is its count times
 ln((1 + N) / (1 + df)) + 1 with df over all N texts, also for terms that no template has, and the
 similarity is the cosine.  A text's own licence is its most similar template at ``THRESHOLD`` or
-more (of equals the first by name).
+more (of equals the first by name).  The licence of the next most similar template of another
+name, if that reaches the threshold too, is its ``runner_up``, and ``margin`` is how much less
+similar it is: near licences (AGPL and GPL, ISC and MIT) are told apart by the best template, and a
+small margin says that this was close or that a text holds two licences.
+
+Known are the names in ``TEMPLATES``, ``HEADERS``, ``TITLES`` and the files of ``FULL_TEXTS``; a licence
+that is none of them gets the name of the one that it resembles, or none.
 
 Only pieces that hold a key term are counted: without those, what is left of any template is too
 short to reach the threshold.  A piece whose template terms are too few beside its other words is
@@ -34,13 +40,51 @@ from graphloom.llm.common import dropped, written
 
 #: Fixed notices, by licence name.
 TEMPLATES = {
+    "0BSD": "Released under the BSD Zero Clause License.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+#: Titles of licence files, by licence name.
+TITLES = {
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+}
+#: The header of the GNU licences: what it covers, the licence's kind, its version and where to find it.
+GNU_HEADER = """This {covered} is free software: you can redistribute it and/or modify it under the terms of the GNU
+{kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your
+option) any later version.
+This {covered} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details.
+You should have received a copy of the GNU {kind} Public License along with this {covered}. If not, {found}."""
+_SEE = "see\n<https://www.gnu.org/licenses/>"
+_WRITE = "write to the Free\nSoftware Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+GNU = {
+    "AGPL-3.0": {"covered": "program", "kind": "Affero General", "version": "3", "found": _SEE},
+    "GPL-2.0": {"covered": "program", "kind": "General", "version": "2", "found": _WRITE},
+    "GPL-3.0": {"covered": "program", "kind": "General", "version": "3", "found": _SEE},
+    "LGPL-2.1": {"covered": "library", "kind": "Lesser General", "version": "2.1", "found": _WRITE},
+    "LGPL-3.0": {"covered": "library", "kind": "Lesser General", "version": "3", "found": _SEE},
 }
 #: Headers as they stand on top of source files, by licence name.
 HEADERS = {
@@ -50,20 +94,20 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
 specific language governing permissions and limitations under the License.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
-General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
-option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
-You should have received a copy of the GNU General Public License along with this program. If not, see
-<https://www.gnu.org/licenses/>.""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring
+rights to this software to the public domain worldwide. This software is distributed without any warranty.
+You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see
+<https://creativecommons.org/publicdomain/zero/1.0/>.""",
+    **{name: GNU_HEADER.format(**words) for name, words in GNU.items()},
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 #: Parts that name a licence where blank lines cut a header.
 OPENINGS = {
     "Apache-2.0": " ".join(HEADERS["Apache-2.0"].split("\n")[:2]),
-    "GPL-3.0": " ".join(HEADERS["GPL-3.0"].split("\n")[:3]),
+    **{name: " ".join(HEADERS[name].split("\n")[:3]) for name in GNU},
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -150,9 +194,9 @@ class Templates:
 
 
 def built_in() -> list[tuple[str, str]]:
-    """Notices, headers and full texts with their licences' names."""
+    """Notices, titles, headers and full texts with their licences' names."""
     full = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(FULL_TEXTS.glob("*.txt"))]
-    return [*TEMPLATES.items(), *HEADERS.items(), *OPENINGS.items(), *full]
+    return [*TEMPLATES.items(), *TITLES.items(), *HEADERS.items(), *OPENINGS.items(), *full]
 
 
 def units(text: Column) -> Column:
@@ -161,7 +205,7 @@ def units(text: Column) -> Column:
 
 
 def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, threshold: float) -> DataFrame:
-    """(key, licence, similarity) of the files that have a licence of their own.
+    """(key, licence, similarity, runner_up, margin) of the files that have a licence of their own.
 
     ``kept``: key (unique), text of the files that may have one; ``texts``: the text of all."""
     pieces = kept.filter("text is not null").select("key", F.posexplode(units(F.col("text"))).alias("unit", "words"))
@@ -185,8 +229,11 @@ def own_licences(kept: DataFrame, texts: DataFrame, templates: Templates, thresh
     weighed = terms.join(df, "term", "left").withColumn("idf", F.coalesce("idf", true))
     size = weighed.groupBy("key", "unit").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("size"))
     similar = possible.join(size, ["key", "unit"]).select("key", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
-    best = similar.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "licence")).alias("best"))
-    return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("similarity"))
+    # A row per licence name that a file resembles, so the sorted lists are no longer than there are names.
+    by_name = similar.groupBy("key", "licence").agg(F.max("similarity").alias("similarity"))
+    ranked = by_name.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "licence"))).alias("ranked"))
+    first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    return ranked.select("key", first["licence"].alias("licence"), (-first["order"]).alias("similarity"), second["licence"].alias("runner_up"), F.round(second["order"] - first["order"], 6).alias("margin"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -196,7 +243,7 @@ def ancestors(directory: Column) -> Column:
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """row, licence, similarity, origin (own, inherited or none), licence_path.
+    """row, licence, similarity, origin (own, inherited or none), licence_path, runner_up, margin.
 
     ``files``: row (any value, null or repeated too), path, text."""
     texts = files.select("text")
@@ -211,7 +258,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     joined = named.join(nearest, "directory", "left")
     has_own = F.col("licence").isNotNull()
     origin = F.when(has_own, "own").when(F.col("from").isNotNull(), "inherited").otherwise("none")
-    return joined.select("row", F.coalesce("licence", "from.given").alias("licence"), "similarity", origin.alias("origin"), F.when(has_own, F.col("path")).otherwise(F.col("from.licence_path")).alias("licence_path"))
+    return joined.select("row", F.coalesce("licence", "from.given").alias("licence"), "similarity", origin.alias("origin"), F.when(has_own, F.col("path")).otherwise(F.col("from.licence_path")).alias("licence_path"), "runner_up", "margin")
 
 
 #: Where the documents table lies as a file tree: every fiftieth document is a licence file.
@@ -240,13 +287,15 @@ tw AS (SELECT template, name, term, tt.n * w AS w FROM tt JOIN idf USING (term))
 tl AS (SELECT template, sqrt(sum(w * w)) AS size FROM tw GROUP BY template),
 dot AS (SELECT key, piece, template, name, sum(pw.w * tw.w) AS d FROM pw JOIN tw USING (term) GROUP BY ALL),
 cos AS (SELECT key, name, round(d / (len.size * tl.size), 6) AS c FROM dot JOIN len USING (piece) JOIN tl USING (template)),
-own AS (SELECT key, first(name ORDER BY c DESC, name) AS licence, max(c) AS similarity FROM cos WHERE c >= {THRESHOLD} GROUP BY key),
-named AS (SELECT docs.key, docs.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp_extract(path, '([^/]*)$', 1) AS name, licence, similarity FROM docs LEFT JOIN own USING (key)),
+names AS (SELECT key, name, max(c) AS c FROM cos WHERE c >= {THRESHOLD} GROUP BY key, name),
+ranks AS (SELECT key, name, c, row_number() OVER (PARTITION BY key ORDER BY c DESC, name) AS rank FROM names),
+own AS (SELECT a.key, a.name AS licence, a.c AS similarity, b.name AS runner_up, round(a.c - b.c, 6) AS margin FROM ranks a LEFT JOIN ranks b ON a.key = b.key AND b.rank = 2 WHERE a.rank = 1),
+named AS (SELECT docs.key, docs.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp_extract(path, '([^/]*)$', 1) AS name, licence, similarity, runner_up, margin FROM docs LEFT JOIN own USING (key)),
 holders AS (SELECT directory AS ancestor, first(path ORDER BY similarity DESC, path) AS licence_path, first(licence ORDER BY similarity DESC, path) AS given FROM named WHERE licence IS NOT NULL AND name LIKE 'LICENSE%' GROUP BY directory),
 nearest AS (SELECT n.key, first(h.licence_path ORDER BY length(h.ancestor) DESC) AS licence_path, first(h.given ORDER BY length(h.ancestor) DESC) AS given FROM named n JOIN holders h ON n.directory = h.ancestor OR starts_with(n.directory, h.ancestor || '/') GROUP BY n.key)
 SELECT n.doc_id, coalesce(n.licence, r.given) AS licence, n.similarity,
        CASE WHEN n.licence IS NOT NULL THEN 'own' WHEN r.key IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-       CASE WHEN n.licence IS NOT NULL THEN n.path ELSE r.licence_path END AS licence_path
+       CASE WHEN n.licence IS NOT NULL THEN n.path ELSE r.licence_path END AS licence_path, n.runner_up, n.margin
 FROM named n LEFT JOIN nearest r USING (key)
 """
 

@@ -87,3 +87,27 @@ def test_null_and_repeated_ids(spark):
 
 def test_template_of_one_word(spark):
     assert [g[0] for g in scanned(spark, ["The text\nUnlicense", "no such word"], {"Unlicense": "Unlicense"})] == ["Unlicense", None]
+
+
+def test_near_licences_are_told_apart(spark):
+    """Every known text finds itself, also as a comment and with its header cut by blank lines; near ones are the runner-up."""
+    known = licenses.built_in()
+    prose = [f"tree {i} and the river {i * 7} of a valley\nstone w{i}" for i in range(100)]
+    commented = {n: "\n".join("# " + line for line in licenses.HEADERS[n].split("\n")) + "\n\nx = 1\n" for n in licenses.GNU}
+    cut = {n: h.replace("\nThis ", "\n\nThis ").replace("\nYou ", "\n\nYou ") + "\n\n" + prose[0] for n, h in licenses.HEADERS.items() if n in licenses.GNU}
+    named = [*known, *commented.items(), *cut.items()]
+    rows = [(i, f"d/f{i}", t) for i, t in enumerate([*(t for _, t in named), *prose])]
+    got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).orderBy("row").collect()
+    assert [g["licence"] for g in got[: len(named)]] == [n for n, _ in named]
+    assert {g["licence"] for g in got[len(named) :]} == {None}
+    agpl, isc = got[len(known) + list(commented).index("AGPL-3.0")], got[[n for n, t in known if t.count("\n") > 10].index("ISC") + len(known) - sum(t.count("\n") > 10 for _, t in known)]
+    assert agpl["runner_up"] == "GPL-3.0" and 0 < agpl["margin"] < 0.3
+    assert isc["licence"] == "ISC" and isc["runner_up"] == "0BSD" and isc["margin"] > 0
+    assert all(g["margin"] is None for g in got if g["runner_up"] is None)
+
+
+def test_two_licences_in_one_text(spark):
+    both = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    got = licenses.scan(spark.createDataFrame([(0, "d/f", both), (1, "d/g", "plain")], SCHEMA)).orderBy("row").collect()
+    assert (got[0]["licence"], got[0]["runner_up"], got[0]["margin"]) == ("Apache-2.0", "MIT", 0.0)
+    assert got[1]["licence"] is None and got[1]["origin"] == "none" and got[1]["runner_up"] is None
