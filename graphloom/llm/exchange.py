@@ -59,7 +59,8 @@ class Plan:
         """Answers to ``messages``: one call of ``answer`` per range, on the rows of all batches.
 
         ``dropped``: by tag, the low bits of keys that are not sent.  ``bits``: tags whose answers
-        are one bit array.  Rows that ``answer`` sends to batch -1 come through as they are."""
+        are one bit array.  Rows that ``answer`` sends to negative batches come through as they
+        are, a group for each such batch: they should be many where the ranges are many."""
         if not self.group:
             return messages.groupBy("bucket").applyInArrow(answer, MESSAGE)
         dropped, ranges = dict(dropped or {}), self.ranges

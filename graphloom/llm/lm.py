@@ -35,6 +35,8 @@ from graphloom.llm.tokens import U64, windows, words
 ADDED = 0.1
 MU = 10.0
 WORDS, PAIRS, MARKS, TOTALS = 1, 2, 3, 4
+#: Negative batches that the ranges' totals are spread over.
+TOTAL_GROUPS = 1024
 #: Low bits of bigram hashes that are not sent: 48 bits tell bigrams apart.
 PAIR_BITS_DROPPED = 16
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -71,7 +73,7 @@ class Grams:
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """Sums of counts over all batches, and to batch -1 the range's words in all, in marked documents and its distinct ones."""
+    """Sums of counts over all batches, and to a negative batch the range's words in all, in marked documents and its distinct ones."""
     bucket = table.column("bucket")[0].as_py()
     out = []
     for tag in (WORDS, PAIRS):
@@ -88,7 +90,7 @@ def _add_up(table: pa.Table) -> pa.Table:
         totals[2] = len(starts)
         out += [(b, tag, bucket, X.pack(sums[0][a:z], sums[1][a:z])) for b, a, z in spans]
         if tag == WORDS:
-            out.append((-1, TOTALS, bucket, totals.tobytes()))
+            out.append((-1 - bucket % TOTAL_GROUPS, TOTALS, bucket, totals.tobytes()))
     return X.rows(out)
 
 

@@ -13,7 +13,8 @@ all documents at or above it.
 
 Null or empty text: no evidence, weight 0, as any average document.  Without good labels every
 document is kept.  Keys that tie with the k-th are all kept.  Rows that repeat an id share its
-noise.  An empty table gives an empty result.  Extra columns are ignored.
+noise, rows without id have noise by their text.  A labelled id that several rows have counts once, with
+the mean of their means, when the threshold is chosen.  An empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,17 +161,22 @@ class Model:
 
     def judge(self, docs: DataFrame, *keep: str) -> DataFrame:
         """The columns ``keep`` of every row with log_ratio, key and kept."""
-        return keyed(weighed(docs, self.table, *dict.fromkeys(["doc_id", *keep]))).withColumn("kept", F.col("key") >= F.lit(float(self.edge)))
+        return keyed(weighed(placed(docs), self.table, *dict.fromkeys(["doc_id", *keep, "_noise"]))).withColumn("kept", F.col("key") >= F.lit(float(self.edge)))
 
 
-def _place(doc_id: str, seed: str) -> Column:
-    """A reproducible number in [0, 2**32) per document."""
-    return F.conv(F.substring(digest(F.col(doc_id), seed), 1, 8), 16, 10).cast("long")
+def _place(doc_id: str, seed: str, other: Column | None = None) -> Column:
+    """A reproducible number in [0, 2**32) per document; null ids have one for each value of ``other``."""
+    return F.conv(F.substring(digest(F.col(doc_id), seed, other), 1, 8), 16, 10).cast("long")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _noise, the number that a document's Gumbel noise is made of."""
+    return docs.withColumn("_noise", _place("doc_id", SEED, F.xxhash64("text")))
 
 
 def keyed(scores: DataFrame) -> DataFrame:
     """``key``: the log weight of a LENGTH-word text at this rate, plus Gumbel noise."""
-    uniform = (_place("doc_id", SEED) + 0.5) / F.lit(4294967296.0)
+    uniform = (F.col("_noise") + 0.5) / F.lit(4294967296.0)
     return scores.withColumn("key", F.col("log_ratio") * LENGTH - F.log(-F.log(uniform)))
 
 
@@ -182,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marks = F.broadcast(known.filter(_place("_id", SEED + "-sample") < F.lit(int(share * 4294967296))).withColumn("fits", _place("_id", SEED + "-fold") % 2 == 0))
     joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"), "left")
     table = ratios(_counted(joined.select("text", F.coalesce(F.col("good") & F.col("fits"), F.lit(False)).alias("target"))))
-    scores = written(weighed(docs, table, "doc_id"), "quality-scores")
-    judged = scores.join(marks.filter(~F.col("fits")), F.col("doc_id") == F.col("_id")).select("doc_id", "log_ratio", "good")
-    sample = judged.toPandas()
+    scores = written(weighed(placed(docs), table, "doc_id", "_noise"), "quality-scores")
+    judged = scores.join(marks.filter(~F.col("fits")), F.col("doc_id") == F.col("_id"))
+    sample = judged.groupBy("_id").agg(F.avg("log_ratio").alias("log_ratio"), F.first("good").alias("good")).toPandas()  # a row per chosen id at most
     least = threshold(sample["log_ratio"].to_numpy(), sample["good"].to_numpy(dtype=bool))
     if not np.isfinite(least):
         return Model(table, least)

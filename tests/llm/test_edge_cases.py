@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import exact, fingerprints, hamming, jaccard, language, licenses, lm, middle, mixing, packing, quality, substrings, variants
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,3 +179,63 @@ def test_hamming(spark):
     got = hamming.top_k(rows, rows.filter("id in (0, 4)"), 3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["neighbour_id"], r["distance"]) for r in got] == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (4, 3, 62), (4, 2, 63), (4, 0, 64)]
     assert hamming.top_k(rows.limit(0), rows, 3).count() == 0
+
+
+def test_quality_noise_without_ids(spark, labels):
+    """Documents without id have noise of their own by their texts; repeated labelled ids count once."""
+    rows = [(None, f"word{i} same words here") for i in range(50)] + [(9, f"bad words {i}") for i in range(20)] + [(1, "good words")]
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    keys = [r["key"] - r["log_ratio"] * quality.LENGTH for r in got if r["doc_id"] is None]
+    assert len(got) == 71 and len({round(k, 6) for k in keys}) == 50
+    nine = {round(r["key"] - r["log_ratio"] * quality.LENGTH, 6) for r in got if r["doc_id"] == 9}
+    assert len(nine) == 1
+
+
+def test_totals_of_many_ranges(spark, docs, labels, monkeypatch):
+    """Totals come through nodes in groups of their own, and scores stay the same."""
+    want = sorted(map(str, lm.op3_lm_score(docs, labels).collect()))
+    monkeypatch.setattr(lm, "TOTAL_GROUPS", 3)
+    monkeypatch.setattr("graphloom.llm.exchange.DIRECT", 2)
+    assert sorted(map(str, lm.op3_lm_score(docs, labels).collect())) == want
+
+
+def _piped(monkeypatch, spark, docs, labels):
+    """The output of every stage over ``docs``, each written before the next."""
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: labels if name == "labels" else docs)
+    out, data = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        data = corpus_pipeline.written(stage(spark, data, ""), f"edge-{name}")
+        out[name] = data
+    return out
+
+
+def test_pipeline(monkeypatch, spark, docs, labels):
+    """Nulls, empty and long texts, copies, repeated rows and extra columns through all stages."""
+    out = _piped(monkeypatch, spark, docs, labels.limit(0))
+    for name in ("quality", "near_duplicates", "substrings", "mixture"):
+        assert out[name].columns == docs.columns
+        assert {r["batch"] for r in out[name].select("batch").distinct().collect()} == {"x"}
+    assert out["quality"].count() == len(ROWS)
+    single = out["near_duplicates"].collect()
+    assert sorted(str(r["doc_id"]) for r in single) == ["1", "2", "3", "4", "5", "7", "8", "None"]  # 6 is a copy of 1, 9 a near copy
+    cut = {r["doc_id"]: r["text"] for r in out["substrings"].collect()}
+    assert len(cut) == 8 and cut[1] == COPY and cut[2] is None and cut[3] == "" and cut[5] == LONG
+    taken = out["mixture"].collect()
+    assert {r["doc_id"] for r in taken} <= set(cut) and all(cut[r["doc_id"]] == r["text"] for r in taken)
+    pieces = out["packing"].collect()
+    assert all(0 < r["length"] <= 2048 for r in pieces)
+    assert {str(r["doc_id"]) for r in pieces} == {str(r["doc_id"]) for r in taken}
+    for copies, doc in ((sum(t["doc_id"] == d for t in taken), d) for d in {t["doc_id"] for t in taken}):
+        mine = [r for r in pieces if r["doc_id"] == doc]
+        assert sum(r["length"] for r in mine) == copies * mine[0]["doc_tokens"]
+
+
+def test_pipeline_with_labels(monkeypatch, spark, docs, labels):
+    out = _piped(monkeypatch, spark, docs, labels)
+    assert {str(r["doc_id"]) for r in out["quality"].collect()} <= {str(r[0]) for r in ROWS}
+    assert out["packing"].count() > 0
+
+
+def test_pipeline_of_an_empty_table(monkeypatch, spark, docs, labels):
+    out = _piped(monkeypatch, spark, docs.limit(0), labels)
+    assert [out[name].count() for name, _ in corpus_pipeline.STAGES] == [0] * 5
