@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
 last return the columns of documents, with texts as the stage left them.
+
+Null and empty texts carry no evidence for or against: they stay and are packed as empty documents.
+Of rows that repeat an id one stays, and rows without id are never taken for copies.  Extra columns,
+whatever their names, come through unchanged up to packing.  Long texts are handled whole, and an
+empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
