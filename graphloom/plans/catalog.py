@@ -11,7 +11,7 @@ from graphloom.functions.text import chunk, content_id, norm_key
 from graphloom.operators import batch as Q, chat, graph as G, judge as J, merge as M, retrieve as R, textindex as X
 from graphloom.plans import testbed as B
 from graphloom.session import shared_folder, table
-from graphloom.streaming import history as H, sessions as S, store as T
+from graphloom.streaming import history as H, sessions as S, store as T, trace as TR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,6 +193,22 @@ def experiment_matrix(spark, sf_dir):
     return got.select("graph", "retriever", "query_id", F.md5("outputs").alias("outputs"))
 
 
+@query(f"""WITH {BATCH_HITS},
+n AS (SELECT query_id, (SELECT count(*) FROM seed WHERE seed.query_id = q.query_id) AS seeds, (SELECT count(*) FROM seed JOIN ve ON ve.source = seed.id WHERE seed.query_id = q.query_id) AS edges,
+  (SELECT count(*) FROM hop WHERE hop.query_id = q.query_id AND pos < 10) AS nodes FROM (SELECT DISTINCT query_id FROM q) q)
+SELECT 'query ' || query_id AS session_id, 1 AS event_id, NULL::INTEGER AS current, NULL AS message, seeds AS given FROM n
+UNION ALL SELECT 'query ' || query_id, 2, 1, 'Seeds: ' || seeds, NULL FROM n
+UNION ALL SELECT 'query ' || query_id, 4, 2, 'Edges: ' || edges, NULL FROM n
+UNION ALL SELECT 'query ' || query_id, 5, NULL, NULL, nodes FROM n
+UNION ALL SELECT 'query ' || query_id, 6, 3, 'Retrieval complete: ' || nodes, NULL FROM n""")
+def retrieval_trace(spark, sf_dir):
+    """Session events of a traced one-hop retrieval for all queries: ids and numbers of every stage."""
+    asked = _asked(spark, sf_dir)
+    _, trace = TR.one_hop(B.vector_graph(spark, sf_dir), asked, top_k=5)
+    events = TR.one_hop_events(trace, asked.select("query_id", F.concat(F.lit("query "), F.col("query_id").cast("string")).alias("session_id")))
+    return events.select("session_id", "event_id", "progress.current", "progress.message", F.when(F.col("nodes").isNotNull(), F.size("nodes").cast("long")).alias("given"))
+
+
 @query()
 def collect_batch(spark, sf_dir):
     """Collection in rounds for all queries at once; tests hold it against one query at a time in plain Python."""
