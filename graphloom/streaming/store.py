@@ -40,6 +40,8 @@ PREVIOUS_COLOR = '{"color": "#4caf50", "highlight": "#4caf50"}'
 QUIET = 20.0
 
 HEAD = "born long, revision long, current int, total int, message string, percent double, taken boolean, edges_at long"
+#: What ``parts`` has beside the session, as it is read.
+PARTS = ("event_id", "i", "op", "with_nodes", "with_edges", "with_progress", "current", "total", "message", "part", "a", "b", "c", "v")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,44 +76,57 @@ class SessionState(StatefulProcessor):
         self.metadata = handle.getMapState("metadata", "name string", "value string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(rows)).sort_values(["event_id", "i"], kind="stable")
-        head, emptied, forgotten, out = self.head.get() if self.head.exists() else None, -1, -1, []
-        given = lambda x: None if pd.isna(x) else x
-        for e in table[table["part"] == "event"].to_dict("records"):
-            at = e["event_id"]
-            if e["op"] == "delete":
+        # Plain lists: frames of a few rows cost more by far than what is done with them.
+        columns: list[list] = [[] for _ in PARTS]
+        for frame in rows:
+            for column, name in zip(columns, PARTS, strict=True):
+                column.extend(frame[name].tolist())
+        head, emptied, forgotten, out = self.head.get(), -1, -1, []
+        nodes, edges, members_ = {}, {}, {}
+        given = lambda x: None if x is None or x != x else x
+        whole = lambda x: None if x is None or x != x else int(x)
+        for at, _, op, with_nodes, with_edges, with_progress, current, total, message, part, a, b, c, v in sorted(zip(*columns, strict=True), key=lambda r: r[:2]):
+            # Only an update gives nodes and edges; a session is created with metadata too.
+            if part == "node":
+                if op == "update" and at > emptied:
+                    nodes[a] = given(v)
+            elif part == "edge":
+                if op == "update" and at > emptied:
+                    edges[a, b, c] = (v, at)
+            elif part == "member":
+                if op in ("update", "create") and at > forgotten:
+                    members_[a] = v
+            elif op == "delete":
                 if head is not None:
                     out.append((key[0], at, DELETED, head[0], -1, 0, 0, "", 0.0, False))
                 head, emptied, forgotten = None, at, at
-                continue
-            if e["op"] == "create":
+                nodes, edges, members_ = {}, {}, {}
+            elif op == "create":
                 if head is None:
                     head = (at, 0, 0, 0, "", 0.0, False, None)
                     out.append((key[0], at, CREATED, at, 0, 0, 0, "", 0.0, False))
-                continue
-            born, *state, edges_at = head or (at, 0, 0, 0, "", 0.0, False, None)
-            progress = {"current": None if pd.isna(e["current"]) else int(e["current"]), "total": None if pd.isna(e["total"]) else int(e["total"]), "message": given(e["message"])} if e["with_progress"] else None
-            state, shown = advance(tuple(state), {"op": e["op"], "progress": progress, "nodes": e["with_nodes"] or None, "edges": e["with_edges"] or None})
-            if e["op"] == "clear":
-                emptied, edges_at = at, None
-            elif e["with_edges"]:
-                edges_at = at
-            head = (born, *state, edges_at)
-            out.append((key[0], at, UPDATED, born, *shown))
+            else:
+                born, *state, edges_at = head or (at, 0, 0, 0, "", 0.0, False, None)
+                progress = {"current": whole(current), "total": whole(total), "message": given(message)} if with_progress else None
+                state, shown = advance(tuple(state), {"op": op, "progress": progress, "nodes": with_nodes or None, "edges": with_edges or None})
+                if op == "clear":
+                    emptied, edges_at = at, None
+                    nodes, edges = {}, {}
+                elif with_edges:
+                    edges_at = at
+                head = (born, *state, edges_at)
+                out.append((key[0], at, UPDATED, born, *shown))
         if emptied >= 0:
             self.nodes.clear()
             self.edges.clear()
         if forgotten >= 0:
             self.metadata.clear()
-        # Only an update gives nodes and edges; a session is created with metadata too.
-        fresh = table[(table["event_id"] > emptied) & (table["op"] == "update")]
-        for n in fresh[fresh["part"] == "node"].drop_duplicates("a", keep="last").itertuples():
-            self.nodes.updateValue((n.a,), (given(n.v),))
-        for n in fresh[fresh["part"] == "edge"].drop_duplicates(["a", "b", "c"], keep="last").itertuples():
-            self.edges.updateValue((n.a, n.b, n.c), (n.v, n.event_id))
-        told = table[(table["event_id"] > forgotten) & table["op"].isin(["update", "create"]) & (table["part"] == "member")]
-        for n in told.drop_duplicates("a", keep="last").itertuples():
-            self.metadata.updateValue((n.a,), (n.v,))
+        for id_, style in nodes.items():
+            self.nodes.updateValue((id_,), (style,))
+        for edge, value in edges.items():
+            self.edges.updateValue(edge, value)
+        for name, value in members_.items():
+            self.metadata.updateValue((name,), (value,))
         if head is None:
             self.head.clear()
         else:
