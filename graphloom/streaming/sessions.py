@@ -95,9 +95,13 @@ def styled_edges(edges: DataFrame, nodes: DataFrame, overlay: DataFrame) -> Data
     ``nodes``: session_id, id, style.  An edge is current if both ends have a stage and one is current."""
     stage = lambda side: nodes.select("session_id", F.col("id").alias(side), F.col("style").alias(f"_{side}"))
     joined = edges.join(overlay.withColumnRenamed("style", "_own"), ["session_id", "source", "target", "relation"], "left").join(stage("source"), ["session_id", "source"], "left").join(stage("target"), ["session_id", "target"], "left")
+    return joined.select(*edges.columns, _edge_style().alias("style"))
+
+
+def _edge_style() -> Column:
+    """The edge's own style (_own), else that of its ends' stages (_source, _target)."""
     both = F.col("_source").isNotNull() & F.col("_target").isNotNull()
-    style = F.coalesce("_own", F.when(both & ((F.col("_source") == CURRENT) | (F.col("_target") == CURRENT)), CURRENT).when(both, PREVIOUS))
-    return joined.select(*edges.columns, style.alias("style"))
+    return F.coalesce("_own", F.when(both & ((F.col("_source") == CURRENT) | (F.col("_target") == CURRENT)), CURRENT).when(both, PREVIOUS))
 
 
 def live_sessions(events: DataFrame) -> DataFrame:
@@ -124,21 +128,37 @@ def session_view(graph: PropertyGraph, events: DataFrame, hops: int = 2) -> tupl
     own_nodes, own_edges = cut(overlay_nodes(events)), cut(overlay_edges(events))
     near = k_hop(graph, view_seeds(own_nodes, own_edges), hops, by=["session_id"]).select("session_id", "id")
     ends = own_edges.select("session_id", F.explode(F.array("source", "target")).alias("id"))
-    chosen = cut(near.unionByName(ends).distinct())
-    nodes = chosen.join(labels(graph.nodes), "id").join(own_nodes, ["session_id", "id"], "left")
-    inside = graph.edges.join(chosen.withColumnRenamed("id", "source"), "source").join(chosen.withColumnRenamed("id", "target"), ["session_id", "target"], "left_semi")
-    edges = inside.select("session_id", "edge_idx", "source", "target", F.coalesce("relation", F.lit("")).alias("relation"), "weight")
-    return nodes.select("session_id", "id", "label", "group", "title", "style"), styled_edges(edges, own_nodes, own_edges)
+    # The stages go with the nodes, so both ends of an edge bring theirs.
+    chosen = cut(near.unionByName(ends).distinct().join(own_nodes, ["session_id", "id"], "left"))
+    nodes = chosen.join(labels(graph.nodes), "id")
+    end = lambda side: chosen.select("session_id", F.col("id").alias(side), F.col("style").alias(f"_{side}"))
+    inside = graph.edges.join(end("source"), "source").join(end("target"), ["session_id", "target"])
+    edges = inside.select("session_id", "edge_idx", "source", "target", F.coalesce("relation", F.lit("")).alias("relation"), "weight", "_source", "_target")
+    styled = edges.join(own_edges.withColumnRenamed("style", "_own"), ["session_id", "source", "target", "relation"], "left")
+    return nodes.select("session_id", "id", "label", "group", "title", "style"), styled.select("session_id", "edge_idx", "source", "target", "relation", "weight", _edge_style().alias("style"))
 
 
 def view_counts(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """session_id, revision, nodes, edges, highlighted_nodes, highlighted_edges of every live session.
 
     ``nodes`` and ``edges``: the session's view; highlighted is what its overlay holds."""
+    return style_counts(events, nodes, edges).drop("current_nodes", "styled_edges")
+
+
+def style_counts(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``view_counts`` and current_nodes and styled_edges: the view's nodes that are current, and its edges with a style."""
+    # Each table is grouped once: a view is much larger than what it is made of.
+    number = F.count("*")
+    counted = [
+        nodes.groupBy("session_id").agg(number.alias("nodes"), F.count_if(F.col("style") == CURRENT).alias("current_nodes")),
+        edges.groupBy("session_id").agg(number.alias("edges"), F.count("style").alias("styled_edges")),
+        overlay_nodes(events).groupBy("session_id").agg(number.alias("highlighted_nodes")),
+        overlay_edges(events).groupBy("session_id").agg(number.alias("highlighted_edges")),
+    ]
     out = live_sessions(events)
-    for name, rows in (("nodes", nodes), ("edges", edges), ("highlighted_nodes", overlay_nodes(events)), ("highlighted_edges", overlay_edges(events))):
-        out = out.join(rows.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "left")
-    return out.na.fill(0)
+    for rows in counted:
+        out = out.join(rows, "session_id", "left")
+    return out.na.fill(0).select("session_id", "revision", "nodes", "edges", "highlighted_nodes", "highlighted_edges", "current_nodes", "styled_edges")
 
 
 def distinct_steps(steps: DataFrame, *signature: str) -> DataFrame:
