@@ -25,15 +25,21 @@ def _refuse_full(destination: str, overwrite: bool) -> None:
         raise FileExistsError(f"{destination} is not empty")
 
 
+def _merged(own: Column, metadata: Column) -> Column:
+    """``merged_json``; objects are taken apart only where the metadata has members."""
+    empty = metadata.isNull() | (F.trim(metadata) == "{}")
+    return F.when(empty, own).otherwise(merged_json(own, metadata))
+
+
 def node_lines(nodes: DataFrame, embeddings: bool = False) -> DataFrame:
     """A JSON object per node: id, text, type and the metadata's keys, which win."""
     fields = ["id", "text", "type", *(["embedding"] if embeddings else [])]
-    return nodes.select(merged_json(F.to_json(F.struct(*fields)), F.col("metadata")).alias("value"), "ord")
+    return nodes.select(_merged(F.to_json(F.struct(*fields)), F.col("metadata")).alias("value"), "ord")
 
 
 def edge_lines(edges: DataFrame, lossy: bool = False) -> DataFrame:
     """A JSON object per edge, or with ``lossy`` the array of its two ends."""
-    whole = merged_json(F.to_json(F.struct("source", "target", "relation", "weight")), F.col("metadata"))
+    whole = _merged(F.to_json(F.struct("source", "target", "relation", "weight")), F.col("metadata"))
     return edges.select((F.to_json(F.array("source", "target")) if lossy else whole).alias("value"), "edge_idx")
 
 
@@ -42,8 +48,9 @@ def export(graph: PropertyGraph, destination: str, *, overwrite: bool = False, c
 
     Returns destination, files and row counts."""
     _refuse_full(destination, overwrite)
-    node_lines(graph.nodes, embeddings and not component).orderBy("ord").select("value").write.mode("overwrite").text(f"{destination}/nodes.jsonl")
-    edge_lines(graph.edges, component).orderBy("edge_idx").select("value").write.mode("overwrite").text(f"{destination}/edges.jsonl")
+    # Sorted before the lines are made: the sort looks at its rows once more, to choose its ranges.
+    node_lines(graph.nodes.orderBy("ord"), embeddings and not component).select("value").write.mode("overwrite").text(f"{destination}/nodes.jsonl")
+    edge_lines(graph.edges.orderBy("edge_idx"), component).select("value").write.mode("overwrite").text(f"{destination}/edges.jsonl")
     index = graph.index("node_vector")
     if index is not None or component:
         Path(destination, "manifest.json").write_text(json.dumps({"vector_store": index.describe_store() if index is not None else {}}))
