@@ -7,7 +7,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import present, strip
@@ -76,8 +76,13 @@ def other_fields(record: Column, known: Sequence[str]) -> Column:
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """value, ord: the lines with text of text files, in order of file, block and line."""
-    text = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    return numbered(text.filter(strip(F.col("value")) != ""), ["_f", "_b", "_i"])
+    # Files go by their numbers: a path in every row would be most of what the sort holds.
+    read = spark.read.text(list(paths))
+    named = read.select(F.col("_metadata.file_path").alias("_f")).distinct()
+    files = named.select("_f", F.row_number().over(Window.orderBy("_f")).alias("_n"))  # a row a file
+    text = read.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    placed = text.filter(strip(F.col("value")) != "").join(F.broadcast(files), "_f").select("value", "_n", "_b", "_i")
+    return numbered(placed, ["_n", "_b", "_i"])
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
